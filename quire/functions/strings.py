@@ -133,7 +133,7 @@ def entity_cost(e1: Column, e2: Column) -> Column:
 
 def normalise_reply(x: Column) -> Column:
     """Model side: drop trailing ';' and all spaces (case kept)."""
-    return F.replace(F.regexp_replace(x, ";+$", ""), F.lit(" "), F.lit(""))
+    return F.replace(F.regexp_replace(x, r";+\z", ""), F.lit(" "), F.lit(""))
 
 
 def normalise_gold(x: Column) -> Column:

@@ -138,3 +138,46 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+EVAL_JSON_SPAN = 64
+
+
+def eval_json_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-reply fixture: prompts = (source, doc_id div 64) of labelled documents;
+    gold = yes/no from quality; the stand-in reply says no for toxic documents."""
+    from pyspark.sql import Window as W
+    lab = read_table(spark, sf_dir, "labels")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    g = lab.join(docs, "doc_id").select(
+        F.concat_ws("-", F.col("source"), F.floor(F.col("doc_id") / EVAL_JSON_SPAN).cast("string")).alias("group_id"),
+        F.col("source").alias("table_name"), "doc_id",
+        F.when(F.col("quality") == 1, F.lit("yes")).otherwise(F.lit("no")).alias("gold"), "toxic")
+    w = W.partitionBy("group_id").orderBy("doc_id")   # groups hold at most 64 documents
+    return g.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+
+
+def eval_json_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = eval_json_gold(spark, sf_dir)
+    return g.groupBy("group_id", "table_name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "gold"))), lambda x: x["gold"]).alias("answers"))
+
+
+def eval_json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempt 1 is cut short (invalid JSON) when the group holds a toxic document;
+    attempt 2 is a full object.  Some values carry spaces and trailing ';;', and the
+    key of every document with ``doc_id % 7 = 0`` is left out."""
+    g = eval_json_gold(spark, sf_dir)
+    val = F.when(F.col("toxic") == 1, F.lit("no")).otherwise(F.lit("yes"))
+    val = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), val, F.lit(";;"))).otherwise(val)
+    item = F.concat(F.lit('"Question'), (F.col("pos") + 1).cast("string"), F.lit('": "'), val, F.lit('"'))
+    kept = g.where(F.col("doc_id") % 7 != 0)
+    body = kept.groupBy("group_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("it")))),
+                                 lambda x: x["it"]), ", ").alias("body"))
+    flags = g.groupBy("group_id").agg(F.max("toxic").alias("any_toxic"))
+    full = flags.join(body, "group_id", "left").select(
+        "group_id", "any_toxic", F.concat(F.lit("{"), F.coalesce("body", F.lit("")), F.lit("}")).alias("full"))
+    first = full.select("group_id", F.lit(1).alias("attempt"),
+                        F.when(F.col("any_toxic") == 1, F.expr("substring(full, 1, length(full) - 1)"))
+                        .otherwise(F.col("full")).alias("text"))
+    second = full.select("group_id", F.lit(2).alias("attempt"), F.col("full").alias("text"))
+    return first.unionByName(second)
