@@ -10,6 +10,7 @@ reliable checkpoint; no adjacency list is ever collected.
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.sql import Column, DataFrame
@@ -104,9 +105,11 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
        component (found by pivot -> farthest -> farthest);
     3. if every node is within 1/(2 k0) of the centroid no pair is far: the
        components are the identical-vector groups;
-    4. otherwise a breadth-first search on the complement of the exact "near" join
-       (pairs closer than 1/k0): seed = node with fewest near partners, absorb every
-       node not near all of the component, repeat on what is left."""
+    4. otherwise, when the far pairs are the sparse side, they are found exactly by a
+       range join of the centred points with their negation and linked by connected
+       components; else a breadth-first search on the complement of the exact "near"
+       join (pairs closer than 1/k0): seed = node with fewest near partners, absorb
+       every node not near all of the component, repeat on what is left."""
     from quire.operators.simjoin import range_join
 
     pts = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -133,6 +136,23 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
     _, rho = _farthest(P, list(centroid))
     if 2.0 * rho < r * (1 - 1e-9):
         return finish(P.select("id", F.col("id").alias("cluster_id")))
+    # 4a. far pairs directly: with x~ = x - centroid and |x~| <= rho, a far pair
+    #     (|x - y| >= r) has |x~ + y~|^2 = 2|x~|^2 + 2|y~|^2 - |x - y|^2 <= 4 rho^2 - r^2,
+    #     so it is a NEAR pair between the centred points and their negation.
+    R = math.sqrt(max(0.0, 4.0 * rho * rho * (1 + 1e-9) - r * r)) * (1 + 1e-9) + 1e-12
+    if R < r:
+        clit = F.array(*[F.lit(float(x)) for x in centroid])
+        cen = P.select("id", F.zip_with("vec", clit, lambda x, c: x - c).alias("vec"))
+        neg = cen.select(F.col("id").alias("id2"), F.transform("vec", lambda x: -x).alias("vec"))
+        cand = range_join(cen, neg, "id", "id2", R, metric="euclid", n_pivots=n_pivots) \
+            .where(F.col("id") < F.col("id2")).select("id", "id2")
+        far = cand.join(P.select("id", F.col("vec").alias("_a")), "id") \
+            .join(P.select(F.col("id").alias("id2"), F.col("vec").alias("_b")), "id2") \
+            .withColumn("d", euclid(F.col("_a"), F.col("_b"))) \
+            .where((F.col("d") == 0) | ((F.lit(1.0) / F.col("d")) <= F.lit(k0)))
+        labels = connected_components(P.select("id"), far.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
+        return finish(labels)
+    # 4b. dense far graph: breadth-first search on the complement of the near join
     near = range_join(P, P.withColumnRenamed("id", "id2"), "id", "id2", r * (1 + 1e-9), metric="euclid",
                       self_join=True, n_pivots=n_pivots)
     near = near.where((F.col("dist") > 0) & ((F.lit(1.0) / F.col("dist")) > F.lit(k0)))
