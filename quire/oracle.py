@@ -126,7 +126,7 @@ jfull AS (SELECT group_id, max(toxic) AS any_toxic,
 jresp AS (SELECT group_id, 1 AS attempt, CASE WHEN any_toxic = 1 THEN substring(full_text, 1, length(full_text) - 1)
                                               ELSE full_text END AS text FROM jfull
           UNION ALL SELECT group_id, 2, full_text FROM jfull),
-jok AS (SELECT group_id, attempt, text, json_valid(text) AND json_type(text::JSON) = 'OBJECT' AS valid FROM jresp),
+jok AS (SELECT group_id, attempt, text, CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END AS valid FROM jresp),
 jfirst AS (SELECT j.group_id, j.text FROM jok j
            JOIN (SELECT group_id, min(attempt) AS a FROM jok WHERE valid AND attempt <= 30 GROUP BY group_id) m
              ON m.group_id = j.group_id AND m.a = j.attempt),
