@@ -172,7 +172,7 @@ def top_k(pairs: DataFrame, key: str, other: str, k: int, order_col: str = "dist
 
 def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int,
              metric: str = "euclid", vec_col: str = "vec", start_radius: float | None = None,
-             n_pivots: int = 2, checkpoint: bool = True) -> DataFrame:
+             n_pivots: int = 2, checkpoint: bool = True, sample_size: int = 32) -> DataFrame:
     """Exact ``k`` nearest ``right`` rows for every ``left`` row (no distance threshold).
 
     Radius doubling: a left row is settled as soon as it has ``k`` partners within the
@@ -184,9 +184,19 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
     spark = left.sparkSession
     max_d = max(max_distance_bound(left, metric, vec_col), max_distance_bound(right, metric, vec_col)) \
         if metric == "euclid" else 2.0
-    r = start_radius if start_radius else max_d / 16.0
-    pending = left.select(left_id, vec_col)
     pivots = choose_pivots(_prep(right, right_id, vec_col), right_id, n_pivots, metric)
+    if start_radius:
+        r = start_radius
+    else:
+        # exact k-th neighbour distance of a fixed-size hash sample of the left rows
+        # (bounded work: sample_size x right) -- most rows settle in the first round
+        sample = left.select(left_id, vec_col).orderBy(F.xxhash64(F.col(left_id)), F.col(left_id)).limit(sample_size)
+        sp = range_join(sample, right, left_id, right_id, max_d, metric=metric, vec_col=vec_col, pivots=pivots)
+        row = top_k(sp, left_id, right_id, k).groupBy(left_id).agg(F.max("dist").alias("_kd")) \
+            .agg(F.max("_kd").alias("r")).first()
+        r = float(row["r"]) * (1 + 1e-9) if row and row["r"] is not None else max_d / 16.0
+        r = max(r, max_d / 1024.0)
+    pending = left.select(left_id, vec_col)
     results = []
     while True:
         last = r >= max_d
@@ -222,11 +232,31 @@ def pair_distances(questions: DataFrame, demos: DataFrame, radius: float, metric
 
 
 def knn_cover(questions: DataFrame, demos: DataFrame, k1: float, upper_ques: int, metric: str,
-              vec_col: str = "vec", n_pivots: int = 2) -> DataFrame:
+              vec_col: str = "vec", n_pivots: int = 2, dedup: bool = True) -> DataFrame:
     """Each demo keeps its ``upper_ques`` nearest questions with ``dist <= k1``
-    (ties by ques_id).  Output ``(ques_id, demo_id, dist, rank)``."""
-    pairs = pair_distances(questions, demos, k1, metric, vec_col, n_pivots)
-    return top_k(pairs, "demo_id", "ques_id", upper_ques).select("ques_id", "demo_id", "dist", "rank")
+    (ties by ques_id).  Output ``(ques_id, demo_id, dist, rank)``.
+
+    ``dedup`` joins distinct vectors only: feature vectors of entity pairs repeat a
+    lot, and the pairs within the threshold are the cost.  Per demo vector the
+    ``k`` nearest question vectors (all ties kept) can hold the answer, and each
+    of them contributes at most its ``k`` smallest ids, so the result is exact."""
+    if not dedup:
+        pairs = pair_distances(questions, demos, k1, metric, vec_col, n_pivots)
+        return top_k(pairs, "demo_id", "ques_id", upper_ques).select("ques_id", "demo_id", "dist", "rank")
+    k = upper_ques
+    q = questions.select("ques_id", F.col(vec_col).alias("vec"))
+    d = demos.select("demo_id", F.col(vec_col).alias("vec"))
+    qv = q.groupBy("vec").agg(F.min("ques_id").alias("qk"))
+    dv = d.groupBy("vec").agg(F.min("demo_id").alias("dk"))
+    qmap = q.join(qv, "vec").select("qk", "ques_id")
+    dmap = d.join(dv, "vec").select("dk", "demo_id")
+    vp = range_join(dv, qv, "dk", "qk", k1, metric=metric, n_pivots=n_pivots)
+    near = vp.withColumn("_r", F.rank().over(W.partitionBy("dk").orderBy("dist"))).where(F.col("_r") <= k)
+    ids = qmap.withColumn("_i", F.row_number().over(W.partitionBy("qk").orderBy("ques_id"))) \
+        .where(F.col("_i") <= k).select("qk", "ques_id")
+    cand = near.join(ids, "qk").select("dk", "ques_id", "dist")
+    best = top_k(cand, "dk", "ques_id", k)
+    return best.join(dmap, "dk").select("ques_id", "demo_id", "dist", "rank")
 
 
 def filter_candidates(questions: DataFrame, demos: DataFrame, cover: DataFrame) -> tuple[DataFrame, DataFrame]:
