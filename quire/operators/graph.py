@@ -49,7 +49,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         small = large.join(ms, "hi").select(F.col("lo").alias("x"), F.col("m").alias("y")) \
             .unionByName(ms.select(F.col("hi").alias("x"), F.col("m").alias("y")))
         E2 = cut_lineage(_canon(small, "x", "y"))
-        changed = E2.exceptAll(E).limit(1).count() + E.exceptAll(E2).limit(1).count()
+        # exact set comparison in one job: rows present on one side only
+        diff = E2.withColumn("_n", F.lit(1)).join(E.withColumn("_o", F.lit(1)), ["hi", "lo"], "full_outer") \
+            .where(F.col("_n").isNull() | F.col("_o").isNull())
+        changed = 0 if diff.isEmpty() else 1
         E = E2
         if changed == 0:
             break

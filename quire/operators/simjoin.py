@@ -34,25 +34,61 @@ from quire.functions.vectors import cosine_dist, euclid
 _EPS = 1e-9
 
 
-def _norm(v: F.Column) -> F.Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+UNROLL_MAX_DIM = 512
+BLOCK_MIN_DIM = 16   # dense vectors from this dimension on are compared block-wise in numpy
 
 
-def _prep(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def _sum_terms(terms: list[F.Column]) -> F.Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t          # left to right, the same order as aggregate()
+    return out
+
+
+def dot_expr(a: F.Column, b: F.Column, dim: int | None) -> F.Column:
+    """Dot product; unrolled into plain arithmetic (compiled by whole-stage codegen)
+    when the dimension is known, else a higher-order aggregate."""
+    if dim and dim <= UNROLL_MAX_DIM:
+        return _sum_terms([a.getItem(i) * b.getItem(i) for i in range(dim)])
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def sqdist_expr(a: F.Column, b: F.Column, dim: int | None) -> F.Column:
+    if dim and dim <= UNROLL_MAX_DIM:
+        return _sum_terms([(a.getItem(i) - b.getItem(i)) * (a.getItem(i) - b.getItem(i)) for i in range(dim)])
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _lit_vec(p: list[float]) -> F.Column:
+    return F.array(*[F.lit(float(x)) for x in p])
+
+
+def _norm(v: F.Column, dim: int | None = None) -> F.Column:
+    return F.sqrt(dot_expr(v, v, dim))
+
+
+def _prep(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
     """``(id, _v, _n)``: the vector and its norm, computed once per row."""
-    return df.select(F.col(id_col), F.col(vec_col).alias("_v")) \
-        .withColumn("_n", F.coalesce(_norm(F.col("_v")), F.lit(0.0)))
+    return df.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("_v")) \
+        .withColumn("_n", F.coalesce(_norm(F.col("_v"), dim), F.lit(0.0)))
 
 
 def _pivot_dist(metric: str, pivot: list[float]) -> F.Column:
-    """Pivot-metric distance of ``_v`` to a pivot: Euclid, or the chord of the unit vectors."""
-    lit = F.array(*[F.lit(float(x)) for x in pivot])
+    """Pivot-metric distance of ``_v`` to a pivot: Euclid, or the chord of the unit vectors.
+    The pivot is a literal, so the products are unrolled against constants."""
+    dim = len(pivot)
     if metric == "euclid":
-        return euclid(F.col("_v"), lit)
+        if dim <= UNROLL_MAX_DIM:
+            return F.sqrt(_sum_terms([(F.col("_v").getItem(i) - F.lit(float(x))) * (F.col("_v").getItem(i) - F.lit(float(x)))
+                                      for i, x in enumerate(pivot)]))
+        return euclid(F.col("_v"), _lit_vec(pivot))
     if metric == "cosine":
         pn = math.sqrt(sum(float(x) * float(x) for x in pivot)) or 1.0
-        cos = F.aggregate(F.zip_with(F.col("_v"), lit, lambda x, y: x * y), F.lit(0.0),
-                          lambda acc, x: acc + x) / (F.col("_n") * F.lit(pn))
+        if dim <= UNROLL_MAX_DIM:
+            d = _sum_terms([F.col("_v").getItem(i) * F.lit(float(x)) for i, x in enumerate(pivot)])
+        else:
+            d = dot_expr(F.col("_v"), _lit_vec(pivot), None)
+        cos = d / (F.col("_n") * F.lit(pn))
         return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) * (F.lit(1.0) - cos)))
     raise ValueError(f"unknown metric {metric!r} (euclid | cosine)")
 
@@ -65,10 +101,13 @@ def _working_radius(metric: str, radius: float) -> float:
 
 def choose_pivots(df: DataFrame, id_col: str, n_pivots: int, metric: str = "euclid") -> list[list[float]]:
     """Farthest-point pivots over prepared rows ``(id, _v, _n)`` (one aggregate per pivot)."""
-    first = (df.select(F.min_by("_v", F.struct(F.xxhash64(F.col(id_col)), F.col(id_col))).alias("p"))
+    first = (df.select(F.min_by("_v", F.struct(F.xxhash64(F.col(id_col)), F.col(id_col))).alias("p"),
+                       F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi"))
              .first())
     if first is None or first["p"] is None:
         return []
+    if first["lo"] != first["hi"]:
+        raise ValueError(f"vectors of different lengths ({first['lo']} and {first['hi']}) cannot be compared")
     pivots = [list(first["p"])]
     while len(pivots) < n_pivots:
         dists = [_pivot_dist(metric, p) for p in pivots]
@@ -89,10 +128,55 @@ def _with_cells(df: DataFrame, pivots: list[list[float]], width: float, metric:
     return df
 
 
+def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool, strict: bool):
+    """Per (cell, salt) block: all left x right distances with numpy, summing the
+    dimensions left to right so values equal the SQL-expression path bit for bit."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"_lid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"),
+                              "dist": pd.Series([], dtype="float64")})
+        if lpdf.empty or rpdf.empty:
+            return empty
+        L = np.stack(lpdf["_v"].to_numpy()).astype("float64", copy=False)
+        R = np.stack(rpdf["_v"].to_numpy()).astype("float64", copy=False)
+        ok = np.ones((len(L), len(R)), dtype=bool)
+        for i in range(m):
+            ok &= np.abs(lpdf[f"_pd{i}"].to_numpy()[:, None] - rpdf[f"_pd{i}"].to_numpy()[None, :]) <= width
+        lid = lpdf["_lid"].to_numpy()
+        rid = rpdf["_rid"].to_numpy()
+        if self_join:
+            ok &= lid[:, None] < rid[None, :]
+        li, ri = np.nonzero(ok)
+        if li.size == 0:
+            return empty
+        a, b = L[li], R[ri]
+        acc = a[:, 0] * b[:, 0] if metric == "cosine" else (a[:, 0] - b[:, 0]) * (a[:, 0] - b[:, 0])
+        for j in range(1, L.shape[1]):
+            acc = acc + (a[:, j] * b[:, j] if metric == "cosine" else (a[:, j] - b[:, j]) * (a[:, j] - b[:, j]))
+        if metric == "cosine":
+            d = 1.0 - acc / (lpdf["_n"].to_numpy()[li] * rpdf["_n"].to_numpy()[ri])
+        else:
+            d = np.sqrt(acc)
+        keep = d < radius if strict else d <= radius
+        return pd.DataFrame({"_lid": lid[li][keep], "_rid": rid[ri][keep], "dist": d[keep]})
+    return fn
+
+
+def _norm_sequential_np(v):
+    """Row norms summed left to right (the order of the SQL-expression path)."""
+    import numpy as np
+    acc = v[:, 0] * v[:, 0]
+    for j in range(1, v.shape[1]):
+        acc = acc + v[:, j] * v[:, j]
+    return np.sqrt(acc)
+
+
 def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float,
                metric: str = "euclid", vec_col: str = "vec", self_join: bool = False,
                n_pivots: int = 2, pivots: list[list[float]] | None = None,
-               strict: bool = False) -> DataFrame:
+               strict: bool = False, engine: str = "auto", block_rows: int = 2048) -> DataFrame:
     """All pairs with ``dist <= radius`` (``< radius`` if ``strict``): ``(left_id, right_id, dist)``.
 
     ``left`` is the side replicated over neighbour cells -- pass the smaller one.
@@ -100,20 +184,24 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     pairs are returned."""
     if metric not in ("euclid", "cosine"):
         raise ValueError(f"unknown metric {metric!r} (euclid | cosine)")
-    lw = _prep(left, left_id, vec_col)
-    rw = _prep(right, right_id, vec_col)
     R = _working_radius(metric, radius)
     width = max(R * (1 + _EPS), 1e-12)
     if pivots is None:
-        pivots = choose_pivots(rw, right_id, n_pivots, metric)
+        pivots = choose_pivots(_prep(right, right_id, vec_col), right_id, n_pivots, metric)
         if not pivots:
             return left.sparkSession.createDataFrame(
                 [], f"{left_id} long, {right_id} long, dist double")
     m = len(pivots)
+    dim = len(pivots[0])
+    lw = _prep(left, left_id, vec_col, dim)
+    rw = _prep(right, right_id, vec_col, dim)
     lc = _with_cells(lw, pivots, width, metric)
     rc = _with_cells(rw, pivots, width, metric)
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=m)]
     off_arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+    if engine == "block" or (engine == "auto" and dim >= BLOCK_MIN_DIM):
+        return _range_join_blocks(lc, rc, left_id, right_id, off_arr, m, metric, radius, width, self_join,
+                                  strict, block_rows)
     lx = lc.select("*", F.explode(off_arr).alias("_off"))
     for i in range(m):
         lx = lx.withColumn(f"_k{i}", F.col(f"_c{i}") + F.col("_off")[i])
@@ -133,14 +221,42 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     cand = cand.where(band)
     # exact distance in the caller's metric, on the original vectors
     if metric == "cosine":
-        d = F.lit(1.0) - F.aggregate(F.zip_with("_lv", "_rv", lambda x, y: x * y), F.lit(0.0),
-                                     lambda acc, x: acc + x) / (F.col("_ln") * F.col("_rn"))
+        d = F.lit(1.0) - dot_expr(F.col("_lv"), F.col("_rv"), dim) / (F.col("_ln") * F.col("_rn"))
     else:
-        d = euclid(F.col("_lv"), F.col("_rv"))
+        d = F.sqrt(sqdist_expr(F.col("_lv"), F.col("_rv"), dim))
     out = cand.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), d.alias("dist"))
     return out.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def _range_join_blocks(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str, off_arr, m: int,
+                       metric: str, radius: float, width: float, self_join: bool, strict: bool,
+                       block_rows: int) -> DataFrame:
+    """Cell join executed as numpy blocks: ``cogroup`` on (cell vector, left salt,
+    right salt).  The salt count comes from the most populated cell (one small
+    aggregate), so a cell holding most of the rows is cut into blocks of about
+    ``block_rows`` x ``block_rows`` and no task holds an unbounded group."""
+    keys = [f"_k{i}" for i in range(m)]
+    cells = [f"_c{i}" for i in range(m)]
+    top = lc.groupBy(*cells).agg(F.count("*").alias("n")).agg(F.max("n").alias("a")).first()["a"] or 0
+    top_r = rc.groupBy(*cells).agg(F.count("*").alias("n")).agg(F.max("n").alias("a")).first()["a"] or 0
+    salts = max(1, math.ceil(max(top, top_r) / block_rows))
+    seq = F.sequence(F.lit(0), F.lit(salts - 1))
+    L = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *[f"_pd{i}" for i in range(m)], *cells,
+                  F.explode(off_arr).alias("_off"))
+    L = L.select("_lid", "_v", "_n", *[f"_pd{i}" for i in range(m)],
+                 *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)],
+                 F.pmod(F.xxhash64("_lid"), F.lit(salts)).cast("int").alias("_ls"),
+                 F.explode(seq).alias("_rs"))
+    Rr = rc.select(F.col(right_id).alias("_rid"), "_v", "_n", *[f"_pd{i}" for i in range(m)],
+                   *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)],
+                   F.explode(seq).alias("_ls"),
+                   F.pmod(F.xxhash64(F.col(right_id)), F.lit(salts)).cast("int").alias("_rs"))
+    gk = keys + ["_ls", "_rs"]
+    out = L.groupBy(*gk).cogroup(Rr.groupBy(*gk)).applyInPandas(
+        _block_fn(metric, radius, width, m, self_join, strict), "_lid long, _rid long, dist double")
+    return out.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "dist")
+
+
 def exact_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                 metric: str, vec_col: str = "vec") -> DataFrame:
     """Recompute ``dist`` for given pairs from the original vectors (same formula as SQL)."""
