@@ -354,7 +354,8 @@ def _picks(spark, sf):
 
 def set_cover(spark, sf):
     p, _, _ = _picks(spark, sf)
-    return p.select("cluster_id", "demo_id", _r(F.col("score")).alias("score"), F.col("pick_no").cast("int"))
+    return setcover.with_pick_no(p).select("cluster_id", "demo_id", _r(F.col("score")).alias("score"),
+                                           F.col("pick_no").cast("int"))
 
 
 def _explicit_picks(spark, sf):
@@ -422,9 +423,8 @@ def _groups_out(g: DataFrame) -> DataFrame:
 
 def plan_groups(spark, sf):
     from quire.operators.features import pair_features as feats
-    m = max_value_length(fx.er_pairs(spark, sf))
-    q = feats(fx.er_questions(spark, sf), max_len=m)
-    d = feats(fx.er_demos(spark, sf), max_len=m)
+    q = feats(fx.er_questions(spark, sf))
+    d = feats(fx.er_demos(spark, sf))
     plan = grouping.plan_groups(q, d, ER_CFG, render_prompts=False)
     return _groups_out(plan.groups)
 
@@ -588,9 +588,8 @@ def queries() -> dict[str, Query]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     from quire.operators.features import pair_features as feats
-    m = max_value_length(fx.er_pairs(spark, sf_dir))
-    q = feats(fx.er_questions(spark, sf_dir), max_len=m)
-    d = feats(fx.er_demos(spark, sf_dir), max_len=m)
+    q = feats(fx.er_questions(spark, sf_dir))
+    d = feats(fx.er_demos(spark, sf_dir))
     plan = grouping.plan_groups(q, d, ER_CFG)
     return plan.prompts.select("group_id", "prompt", F.array_join("answers", ",").alias("answers"),
                                F.col("tokens").cast("long").alias("tokens"))

@@ -15,15 +15,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _order(picks: DataFrame) -> F.Column:
+    """Pick order key: an explicit ``pick_no`` if given, else greedy order (score desc, id)."""
+    if "pick_no" in picks.columns:
+        return F.col("pick_no")
+    return F.struct((-F.col("score")).alias("s"), F.col("demo_id").alias("d"))
+
+
 def _holders(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id") -> DataFrame:
     return ccover.select(key, "demo_id", "ques_id").distinct() \
-        .join(picks.select(key, "demo_id", "score", "pick_no"), [key, "demo_id"])
+        .join(picks.select(key, "demo_id", _order(picks).alias("_ord")), [key, "demo_id"])
 
 
 def assign_last(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """``(key, ques_id, demo_id)`` -- the holder with the largest pick_no."""
+    """``(key, ques_id, demo_id)`` -- the holder latest in pick order (an aggregate)."""
     h = _holders(picks, ccover, key)
-    return h.groupBy(key, "ques_id").agg(F.max_by("demo_id", "pick_no").alias("demo_id")) \
+    return h.groupBy(key, "ques_id").agg(F.max_by("demo_id", "_ord").alias("demo_id")) \
         .select(key, "ques_id", "demo_id")
 
 
@@ -40,7 +47,7 @@ def assign_balanced(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id"
     """Trim sets above the cluster average (floor(distinct questions / sets)), then W4."""
     from quire.session import cut_lineage
 
-    h = _holders(picks, ccover, key).select(key, "demo_id", "ques_id", "pick_no")
+    h = _holders(picks, ccover, key).select(key, "demo_id", "ques_id", F.col("_ord").alias("pick_no"))
     avg = h.groupBy(key).agg(F.floor(F.countDistinct("ques_id") / F.countDistinct("demo_id")).alias("_avg"))
     h = cut_lineage(h)
     for _ in range(max_rounds):
@@ -48,19 +55,19 @@ def assign_balanced(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id"
         size = h.groupBy(key, "demo_id").agg(F.count("*").alias("_size"))
         x = h.join(mult, [key, "ques_id"]).join(size, [key, "demo_id"]).join(avg, key)
         # each shared question may leave only its least-preferred holder in a round
-        least = W.partitionBy(key, "ques_id").orderBy(F.col("pick_no").asc())
-        x = x.withColumn("_first_holder", F.row_number().over(least) == 1)
+        # a shared question may leave only its earliest holder in a round (the latest keeps it)
+        first = h.groupBy(key, "ques_id").agg(F.min("pick_no").alias("_first"))
+        x = x.join(first, [key, "ques_id"]).withColumn("_first_holder", F.col("pick_no") == F.col("_first"))
+        cand = x.where((F.col("_size") > F.col("_avg")) & (F.col("_mult") > 1) & F.col("_first_holder"))
+        # per set, release shared questions (most alternatives first, then id) down to the average;
+        # the window runs over one set's own questions only
         rel = W.partitionBy(key, "demo_id").orderBy(F.col("_mult").desc(), F.col("ques_id"))
-        x = x.withColumn("_r", F.row_number().over(
-            W.partitionBy(key, "demo_id", (F.col("_mult") > 1) & F.col("_first_holder"))
-            .orderBy(F.col("_mult").desc(), F.col("ques_id"))))
-        drop = x.where((F.col("_size") > F.col("_avg")) & (F.col("_mult") > 1) & F.col("_first_holder") &
-                       (F.col("_r") <= F.col("_size") - F.col("_avg"))).select(key, "demo_id", "ques_id")
-        _ = rel
+        drop = cand.withColumn("_r", F.row_number().over(rel)) \
+            .where(F.col("_r") <= F.col("_size") - F.col("_avg")).select(key, "demo_id", "ques_id")
         if drop.isEmpty():
             break
         h = cut_lineage(h.join(drop, [key, "demo_id", "ques_id"], "left_anti"))
-    picks2 = h.select(key, "demo_id", "pick_no").distinct().withColumn("score", F.lit(None).cast("double"))
+    picks2 = h.select(key, "demo_id", "pick_no").distinct()
     return assign_last(picks2, h, key)
 
 

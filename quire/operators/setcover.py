@@ -27,7 +27,7 @@ from quire.session import cut_lineage
 def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
               universe: DataFrame | None = None, max_rounds: int = 10000) -> DataFrame:
     """``edges(key, demo_id, ques_id)``, ``costs(key, demo_id, set_cost)`` ->
-    ``picks(key, demo_id, score, pick_no)``.
+    ``picks(key, demo_id, score, round)`` (``with_pick_no`` numbers them for reports).
 
     ``universe(key, ques_id)`` defaults to the covered elements; keys with an
     element outside every set are skipped (no picks), as in the sequential rule."""
@@ -62,8 +62,21 @@ def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
     out = picks[0]
     for p in picks[1:]:
         out = out.unionByName(p)
+    return out.select(key, "demo_id", "score", "round")
+
+
+def with_pick_no(picks: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Number the picks of each key in greedy order ``(score desc, demo_id asc)``.
+
+    For reports only: operators use the order key itself (an aggregate), because this
+    window puts all picks of one key -- possibly one giant cluster -- in one task."""
     w = W.partitionBy(key).orderBy(F.col("score").desc(), F.col("demo_id"))
-    return out.withColumn("pick_no", F.row_number().over(w)).select(key, "demo_id", "score", "pick_no", "round")
+    return picks.withColumn("pick_no", F.row_number().over(w))
+
+
+def pick_order(score: str = "score", demo: str = "demo_id") -> F.Column:
+    """Sortable key of the greedy order: ascending = picked earlier."""
+    return F.struct((-F.col(score)).alias("s"), F.col(demo).alias("d"))
 
 
 def set_cover_local(universe: set, subsets: list[set], costs: list[float]) -> list[int]:
@@ -119,7 +132,8 @@ def group_extra_demos(groups_long: DataFrame, ccover: DataFrame, costs: DataFram
         gcost = open_groups.select("group_id", "cluster_id").join(costs, "cluster_id") \
             .select("group_id", "demo_id", "set_cost")
         uni = gq.join(open_groups.select("group_id"), "group_id").select("group_id", "ques_id")
-        picks = set_cover(edges, gcost, key="group_id", universe=uni, max_rounds=max_rounds)
+        # groups are bounded by the token budget, so numbering per group is bounded too
+        picks = with_pick_no(set_cover(edges, gcost, key="group_id", universe=uni, max_rounds=max_rounds), "group_id")
         # append in pick order; stop once the group holds as many demos as questions
         # (at least one pick is appended per round, as in the sequential rule)
         picks = picks.join(open_groups.select("group_id", "_nd", "_nq"), "group_id") \

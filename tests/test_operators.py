@@ -32,7 +32,7 @@ def test_set_cover_equals_sequential(spark):
     costs = [(c, d, cost) for c, _, cs in inst for d, cost in cs.items()]
     e = spark.createDataFrame(edges, "cluster_id long, demo_id long, ques_id long")
     k = spark.createDataFrame(costs, "cluster_id long, demo_id long, set_cost long")
-    picks = setcover.set_cover(e, k).collect()
+    picks = setcover.with_pick_no(setcover.set_cover(e, k)).collect()
     got = {}
     for r in picks:
         got.setdefault(r["cluster_id"], []).append((r["pick_no"], r["demo_id"]))
@@ -195,7 +195,7 @@ def test_partition_independence(spark):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         e = spark.createDataFrame(edges, "cluster_id long, demo_id long, ques_id long").repartition(parts)
         k = spark.createDataFrame(costs, "cluster_id long, demo_id long, set_cost long")
-        results.append(sorted(tuple(r) for r in setcover.set_cover(e, k).select("cluster_id", "demo_id", "pick_no")
+        results.append(sorted(tuple(r) for r in setcover.with_pick_no(setcover.set_cover(e, k)).select("cluster_id", "demo_id", "pick_no")
                               .collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
