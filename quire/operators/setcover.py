@@ -36,7 +36,9 @@ def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
         bad = universe.select(key, "ques_id").join(e.select(key, "ques_id"), [key, "ques_id"], "left_anti") \
             .select(key).distinct()
         e = e.join(bad, key, "left_anti")
-    c = costs.select(key, "demo_id", F.greatest(F.col("set_cost").cast("double"), F.lit(1.0)).alias("_cost"))
+    # loop invariant: materialised once, so no round recomputes the upstream plan
+    c = cut_lineage(costs.select(key, "demo_id",
+                                 F.greatest(F.col("set_cost").cast("double"), F.lit(1.0)).alias("_cost")))
     live = cut_lineage(e)
     picks = []
     rnd = 0
@@ -50,7 +52,10 @@ def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
         wins = votes.groupBy(key, (-F.col("_best.nd")).alias("demo_id")).agg(F.count("*").alias("_wins"))
         taken = scored.join(wins, [key, "demo_id"]).where(F.col("_wins") == F.col("_gain")) \
             .select(key, "demo_id", "score", F.lit(rnd).alias("round"))
-        taken = cut_lineage(taken)
+        # cached, not checkpointed: its lineage starts at this round's checkpointed
+        # ``live``, so a lost block is recomputed from there; the next checkpoint
+        # (``live``) materialises it
+        taken = taken.persist()
         picks.append(taken)
         covered = live.join(taken.select(key, "demo_id"), [key, "demo_id"], "left_semi").select(key, "ques_id")
         live = cut_lineage(live.join(covered, [key, "ques_id"], "left_anti"))
@@ -108,8 +113,12 @@ def group_extra_demos(groups_long: DataFrame, ccover: DataFrame, costs: DataFram
 
     ``groups_long(cluster_id, group_id, ques_id, demo_id)`` (demo_id/ques_id may be
     NULL on one side).  Returns added ``(group_id, demo_id, extra_round, pick_no)``."""
-    gq = groups_long.where(F.col("ques_id").isNotNull()).select("cluster_id", "group_id", "ques_id").distinct()
-    gd = groups_long.where(F.col("demo_id").isNotNull()).select("cluster_id", "group_id", "demo_id").distinct()
+    gq = cut_lineage(groups_long.where(F.col("ques_id").isNotNull())
+                     .select("cluster_id", "group_id", "ques_id").distinct())
+    gd = cut_lineage(groups_long.where(F.col("demo_id").isNotNull())
+                     .select("cluster_id", "group_id", "demo_id").distinct())
+    ccover = cut_lineage(ccover.select("cluster_id", "demo_id", "ques_id"))
+    costs = cut_lineage(costs.select("cluster_id", "demo_id", "set_cost"))
     n_q = gq.groupBy("group_id").agg(F.count("*").alias("_nq"))
     n_cluster_demos = ccover.groupBy("cluster_id").agg(F.countDistinct("demo_id").alias("_ncd"))
     added = []

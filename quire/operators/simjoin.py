@@ -300,6 +300,9 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
     spark = left.sparkSession
     max_d = max(max_distance_bound(left, metric, vec_col), max_distance_bound(right, metric, vec_col)) \
         if metric == "euclid" else 2.0
+    # loop invariant: the right side is read by every round
+    right = cut_lineage(right.select(F.col(right_id), F.col(vec_col))) if checkpoint else \
+        right.select(F.col(right_id), F.col(vec_col)).cache()
     pivots = choose_pivots(_prep(right, right_id, vec_col), right_id, n_pivots, metric)
     if start_radius:
         r = start_radius
