@@ -199,3 +199,37 @@ def test_partition_independence(spark):
                               .collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def _diverse_brute(vecs, k0):
+    n = len(vecs)
+    edges = []
+    for i in range(n):
+        for j in range(i + 1, n):
+            d = sum((a - b) ** 2 for a, b in zip(vecs[i][1], vecs[j][1])) ** 0.5
+            if d == 0 or 1.0 / d <= k0:
+                edges.append((i, j))
+    lab = _union_find(n, edges)
+    return {vecs[i][0]: vecs[lab[i]][0] for i in range(n)}
+
+
+def _ball(rng, n, dim):
+    out = []
+    for i in range(n):
+        g = [rng.gauss(0, 1) for _ in range(dim)]
+        norm = sum(x * x for x in g) ** 0.5
+        scale = rng.random() ** (1.0 / dim) / norm
+        out.append((i, [x * scale for x in g]))
+    return out
+
+
+def test_diverse_middle_regime_matches_brute_force(spark):
+    # points in a unit ball: no pair is 2/k0 apart and the spread exceeds 1/(2 k0), so
+    # k0 = 0.625 takes the antipode far-pair join, k0 = 0.833 the complement search
+    rng = random.Random(8)
+    for dim, k0 in ((2, 0.625), (6, 0.625), (2, 0.833)):
+        vecs = _ball(rng, 150, dim)
+        vecs += [(150, list(vecs[3][1])), (151, list(vecs[7][1]))]   # identical vectors
+        df = spark.createDataFrame(vecs, "id long, vec array<double>")
+        got = {r["id"]: r["cluster_id"] for r in graph.cluster_diverse(df, k0).collect()}
+        assert got == _diverse_brute(vecs, k0)
