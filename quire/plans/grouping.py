@@ -96,7 +96,9 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
         "ques_id", F.lit("uncoverable").alias("reason")))
     assignment = cut_lineage(assign.assign_last(picks, ccover))
     items = assign.assign_cost(picks, assignment, qcost, dcost, keep_empty=cfg.keep_empty)
-    cap = float(cfg.k2 - cfg.t_cost)
+    from quire.functions.prompts import task_text_cost
+    t_cost = task_text_cost(cfg.task) if cfg.t_cost is None else cfg.t_cost
+    cap = float(cfg.k2 - t_cost)
     bins = cut_lineage(packing.pack_groups(items, cap, cfg.max_pack_items))
     extra = None
     if cfg.task in ("code", "qa") and cfg.set_cover_num > 0:

@@ -233,3 +233,37 @@ def test_diverse_middle_regime_matches_brute_force(spark):
         df = spark.createDataFrame(vecs, "id long, vec array<double>")
         got = {r["id"]: r["cluster_id"] for r in graph.cluster_diverse(df, k0).collect()}
         assert got == _diverse_brute(vecs, k0)
+
+
+def test_skew_hot_cell_salted_blocks(spark):
+    # most vectors identical (one hot cell); tiny blocks force several salts per side
+    rng = random.Random(6)
+    base = [rng.gauss(0, 1) for _ in range(32)]
+    vecs = [(i, base if i % 4 else [rng.gauss(0, 1) for _ in range(32)]) for i in range(120)]
+    df = spark.createDataFrame(vecs, "id long, vec array<double>")
+    got = {(r["id"], r["id2"]) for r in simjoin.range_join(
+        df, df.withColumnRenamed("id", "id2"), "id", "id2", 0.3, metric="cosine", self_join=True,
+        engine="block", block_rows=8).collect()}
+    want = set()
+    for i, a in vecs:
+        for j, b in vecs:
+            if i < j:
+                na = sum(x * x for x in a) ** 0.5
+                nb = sum(x * x for x in b) ** 0.5
+                if 1 - sum(x * y for x, y in zip(a, b)) / (na * nb) <= 0.3:
+                    want.add((i, j))
+    assert got == want and len(got) > 4000
+
+
+def test_skew_one_demo_covers_everything(spark):
+    edges = [(0, 99, q) for q in range(300)] + [(0, d, d) for d in range(30)]
+    costs = [(0, 99, 500)] + [(0, d, 2) for d in range(30)]
+    e = spark.createDataFrame(edges, "cluster_id long, demo_id long, ques_id long")
+    k = spark.createDataFrame(costs, "cluster_id long, demo_id long, set_cost long")
+    picks = setcover.with_pick_no(setcover.set_cover(e, k)).collect()
+    want = set_cover_local(set(range(300)), [{q for _, d, q in edges if d == x} for x in list(range(30)) + [99]],
+                           [2.0] * 30 + [500.0])
+    ids = list(range(30)) + [99]
+    assert [r["demo_id"] for r in sorted(picks, key=lambda r: r["pick_no"])] == [ids[i] for i in want]
+    a = assign.assign_last(setcover.set_cover(e, k), e).collect()
+    assert len(a) == 300
