@@ -237,9 +237,11 @@ def _range_join_blocks(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str
     ``block_rows`` x ``block_rows`` and no task holds an unbounded group."""
     keys = [f"_k{i}" for i in range(m)]
     cells = [f"_c{i}" for i in range(m)]
-    top = lc.groupBy(*cells).agg(F.count("*").alias("n")).agg(F.max("n").alias("a")).first()["a"] or 0
-    top_r = rc.groupBy(*cells).agg(F.count("*").alias("n")).agg(F.max("n").alias("a")).first()["a"] or 0
-    salts = max(1, math.ceil(max(top, top_r) / block_rows))
+    # largest cell of either side, one job (partial aggregation per side)
+    sizes = lc.select(F.lit(0).alias("_side"), *cells).unionByName(rc.select(F.lit(1).alias("_side"), *cells)) \
+        .groupBy("_side", *cells).agg(F.count("*").alias("n"))
+    top = sizes.agg(F.max("n").alias("a")).first()["a"] or 0
+    salts = max(1, math.ceil(top / block_rows))
     seq = F.sequence(F.lit(0), F.lit(salts - 1))
     L = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *[f"_pd{i}" for i in range(m)], *cells,
                   F.explode(off_arr).alias("_off"))
