@@ -282,6 +282,12 @@ def cluster_size_filter(spark, sf):
     return lab.join(sizes, "cluster_id").where(F.col("_n") > 2).select("id", "cluster_id")
 
 
+def cluster_random(spark, sf):
+    """Every filtered question in one cluster."""
+    q, _ = simjoin.filter_candidates(_vq(spark, sf), _vd(spark, sf), _knn(spark, sf))
+    return graph.cluster_random(q.select(F.col("ques_id").alias("id")))
+
+
 def clusters_by_size(spark, sf):
     return graph.clusters_by_size(_similar(spark, sf)).select("cluster_id", F.col("size").cast("long"), "min_member")
 
@@ -556,7 +562,7 @@ _QUERIES: dict[str, Query] = {
     "cover_overlap": cover_overlap, "cluster_demos": cluster_demos, "uncovered_questions": uncovered_questions,
     "dominated_demos": dominated_demos, "components": components, "cluster_similar": cluster_similar,
     "cluster_diverse": cluster_diverse, "cluster_stats": cluster_stats, "cluster_size_filter": cluster_size_filter,
-    "clusters_by_size": clusters_by_size, "affinity_edges": affinity_edges, "edge_transform": edge_transform,
+    "clusters_by_size": clusters_by_size, "cluster_random": cluster_random, "affinity_edges": affinity_edges, "edge_transform": edge_transform,
     "label_nodes": label_nodes, "split_clusters": split_clusters, "corr_loss_linear": corr_loss_linear,
     "corr_loss_binary": corr_loss_binary, "corr_loss_poles": corr_loss_poles, "corr_best": corr_best,
     "corr_cluster": corr_cluster, "set_cover": set_cover, "group_extra_demos": group_extra_demos,

@@ -352,15 +352,26 @@ def pair_distances(questions: DataFrame, demos: DataFrame, radius: float, metric
                       n_pivots=n_pivots).select("ques_id", "demo_id", "dist")
 
 
+def duplicate_share(questions: DataFrame, demos: DataFrame, vec_col: str = "vec") -> float:
+    """Share of rows whose vector repeats another one (one HyperLogLog aggregate)."""
+    both = questions.select(F.col(vec_col).alias("v")).unionByName(demos.select(F.col(vec_col).alias("v")))
+    row = both.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v"), 0.02).alias("d")).first()
+    n = row["n"] or 0
+    return 0.0 if n == 0 else max(0.0, 1.0 - float(row["d"]) / n)
+
+
 def knn_cover(questions: DataFrame, demos: DataFrame, k1: float, upper_ques: int, metric: str,
-              vec_col: str = "vec", n_pivots: int = 2, dedup: bool = True) -> DataFrame:
+              vec_col: str = "vec", n_pivots: int = 2, dedup: bool | str = "auto") -> DataFrame:
     """Each demo keeps its ``upper_ques`` nearest questions with ``dist <= k1``
     (ties by ques_id).  Output ``(ques_id, demo_id, dist, rank)``.
 
     ``dedup`` joins distinct vectors only: feature vectors of entity pairs repeat a
     lot, and the pairs within the threshold are the cost.  Per demo vector the
     ``k`` nearest question vectors (all ties kept) can hold the answer, and each
-    of them contributes at most its ``k`` smallest ids, so the result is exact."""
+    of them contributes at most its ``k`` smallest ids, so the result is exact.
+    ``dedup="auto"`` takes that path when at least a fifth of the vectors repeat."""
+    if dedup == "auto":
+        dedup = duplicate_share(questions, demos, vec_col) >= 0.2
     if not dedup:
         pairs = pair_distances(questions, demos, k1, metric, vec_col, n_pivots)
         return top_k(pairs, "demo_id", "ques_id", upper_ques).select("ques_id", "demo_id", "dist", "rank")

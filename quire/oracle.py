@@ -274,6 +274,7 @@ WHERE EXISTS (SELECT 1 FROM sets j JOIN cst cj ON cj.demo_id = j.demo_id
         "SELECT id, cluster_id FROM lab JOIN sz USING (cluster_id) WHERE size > 2"
     q["clusters_by_size"] = _with(VEC, sim_edges, qn, reach("qnodes", "qe"), sim_lab, recursive=True) + \
         "SELECT cluster_id, count(*)::BIGINT AS size, min(id) AS min_member FROM lab GROUP BY 1 ORDER BY size DESC, min_member"
+    q["cluster_random"] = _with(VEC) + "SELECT DISTINCT ques_id AS id, 0::BIGINT AS cluster_id FROM knn"
     q["affinity_edges"] = _with(VEC) + f"""SELECT a.ques_id AS src, b.ques_id AS dst,
   CASE WHEN list_distance(a.v, b.v) >= {K0_AFF} THEN 1.0 ELSE -1.0 END::DOUBLE AS weight
 FROM vq a JOIN vq b ON a.ques_id < b.ques_id WHERE list_distance(a.v, b.v) <= {AFF_R}"""
