@@ -232,27 +232,31 @@ def _range_join_blocks(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str
                        metric: str, radius: float, width: float, self_join: bool, strict: bool,
                        block_rows: int) -> DataFrame:
     """Cell join executed as numpy blocks: ``cogroup`` on (cell vector, left salt,
-    right salt).  The salt count comes from the most populated cell (one small
-    aggregate), so a cell holding most of the rows is cut into blocks of about
-    ``block_rows`` x ``block_rows`` and no task holds an unbounded group."""
+    right salt).  Each cell gets its own salt count from its population (a
+    cell-size aggregate joined back on the cell key), so a cell holding most of the
+    rows is cut into blocks of about ``block_rows`` x ``block_rows`` while ordinary
+    cells are not replicated, and no task holds an unbounded group."""
     keys = [f"_k{i}" for i in range(m)]
     cells = [f"_c{i}" for i in range(m)]
-    # largest cell of either side, one job (partial aggregation per side)
     sizes = lc.select(F.lit(0).alias("_side"), *cells).unionByName(rc.select(F.lit(1).alias("_side"), *cells)) \
         .groupBy("_side", *cells).agg(F.count("*").alias("n"))
-    top = sizes.agg(F.max("n").alias("a")).first()["a"] or 0
-    salts = max(1, math.ceil(top / block_rows))
-    seq = F.sequence(F.lit(0), F.lit(salts - 1))
+    salt_of = sizes.groupBy(*cells).agg(
+        F.greatest(F.lit(1), F.ceil(F.max("n") / F.lit(block_rows))).cast("int").alias("_s")) \
+        .select(*[F.col(c).alias(k) for c, k in zip(cells, keys)], "_s")
     L = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *[f"_pd{i}" for i in range(m)], *cells,
                   F.explode(off_arr).alias("_off"))
     L = L.select("_lid", "_v", "_n", *[f"_pd{i}" for i in range(m)],
-                 *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)],
-                 F.pmod(F.xxhash64("_lid"), F.lit(salts)).cast("int").alias("_ls"),
-                 F.explode(seq).alias("_rs"))
+                 *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)])
+    # neighbour cells with no right rows have no salt entry and drop out here
+    L = L.join(salt_of, keys).select(
+        "_lid", "_v", "_n", *[f"_pd{i}" for i in range(m)], *keys,
+        F.pmod(F.xxhash64("_lid"), F.col("_s")).cast("int").alias("_ls"),
+        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_rs"))
     Rr = rc.select(F.col(right_id).alias("_rid"), "_v", "_n", *[f"_pd{i}" for i in range(m)],
-                   *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)],
-                   F.explode(seq).alias("_ls"),
-                   F.pmod(F.xxhash64(F.col(right_id)), F.lit(salts)).cast("int").alias("_rs"))
+                   *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)]).join(salt_of, keys)
+    Rr = Rr.select("_rid", "_v", "_n", *[f"_pd{i}" for i in range(m)], *keys,
+                   F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_ls"),
+                   F.pmod(F.xxhash64("_rid"), F.col("_s")).cast("int").alias("_rs"))
     gk = keys + ["_ls", "_rs"]
     out = L.groupBy(*gk).cogroup(Rr.groupBy(*gk)).applyInPandas(
         _block_fn(metric, radius, width, m, self_join, strict), "_lid long, _rid long, dist double")
