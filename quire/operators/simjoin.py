@@ -327,14 +327,16 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
         last = r >= max_d
         pairs = range_join(pending, right, left_id, right_id, min(r, max_d), metric=metric,
                            vec_col=vec_col, pivots=pivots)
-        counts = pairs.groupBy(left_id).agg(F.count("*").alias("_n"))
-        settled = counts.where(F.col("_n") >= k) if not last else counts
-        got = top_k(pairs.join(settled.select(left_id), left_id, "left_semi"), left_id, right_id, k)
-        got = cut_lineage(got) if checkpoint else got.cache()
-        results.append(got)
+        # one evaluation of the join per round: the top k within r of every pending row;
+        # a row is settled once it has k of them (its k nearest all lie inside r)
+        ranked = top_k(pairs, left_id, right_id, k)
+        ranked = cut_lineage(ranked) if checkpoint else ranked.cache()
         if last:
+            results.append(ranked)
             break
-        pending = pending.join(settled.select(left_id), left_id, "left_anti")
+        settled = ranked.where(F.col("rank") == k).select(left_id)
+        results.append(ranked.join(settled, left_id, "left_semi"))
+        pending = pending.join(settled, left_id, "left_anti")
         pending = cut_lineage(pending) if checkpoint else pending.cache()
         if pending.isEmpty():
             break
