@@ -34,7 +34,7 @@ from quire.functions.vectors import cosine_dist, euclid
 _EPS = 1e-9
 
 
-UNROLL_MAX_DIM = 512
+UNROLL_MAX_DIM = 15   # unrolled (codegen) arithmetic below the block engine threshold
 BLOCK_MIN_DIM = 16   # dense vectors from this dimension on are compared block-wise in numpy
 
 

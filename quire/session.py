@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
+    if master and master.startswith("local") and not (extra or {}).get("spark.driver.memory"):
+        builder = builder.config("spark.driver.memory", "4g")   # local runs: driver = executor
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
