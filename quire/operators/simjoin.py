@@ -148,19 +148,25 @@ def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool,
         rid = rpdf["_rid"].to_numpy()
         if self_join:
             ok &= lid[:, None] < rid[None, :]
-        li, ri = np.nonzero(ok)
-        if li.size == 0:
+        if not ok.any():
             return empty
-        a, b = L[li], R[ri]
-        acc = a[:, 0] * b[:, 0] if metric == "cosine" else (a[:, 0] - b[:, 0]) * (a[:, 0] - b[:, 0])
-        for j in range(1, L.shape[1]):
-            acc = acc + (a[:, j] * b[:, j] if metric == "cosine" else (a[:, j] - b[:, j]) * (a[:, j] - b[:, j]))
+        # whole block, dimensions summed left to right (same order as the SQL path)
         if metric == "cosine":
-            d = 1.0 - acc / (lpdf["_n"].to_numpy()[li] * rpdf["_n"].to_numpy()[ri])
+            acc = L[:, 0, None] * R[None, :, 0]
+            for j in range(1, L.shape[1]):
+                acc += L[:, j, None] * R[None, :, j]
+            d = 1.0 - acc / (lpdf["_n"].to_numpy()[:, None] * rpdf["_n"].to_numpy()[None, :])
         else:
+            t = L[:, 0, None] - R[None, :, 0]
+            acc = t * t
+            for j in range(1, L.shape[1]):
+                t = L[:, j, None] - R[None, :, j]
+                acc += t * t
             d = np.sqrt(acc)
-        keep = d < radius if strict else d <= radius
-        return pd.DataFrame({"_lid": lid[li][keep], "_rid": rid[ri][keep], "dist": d[keep]})
+        ok &= (d < radius) if strict else (d <= radius)
+        li, ri = np.nonzero(ok)
+        return pd.DataFrame({"_lid": lid[li], "_rid": rid[ri], "dist": d[li, ri]})
+
     return fn
 
 
