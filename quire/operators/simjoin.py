@@ -316,6 +316,9 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
     right = cut_lineage(right.select(F.col(right_id), F.col(vec_col))) if checkpoint else \
         right.select(F.col(right_id), F.col(vec_col)).cache()
     pivots = choose_pivots(_prep(right, right_id, vec_col), right_id, n_pivots, metric)
+    if not pivots:
+        return left.sparkSession.createDataFrame(
+            [], f"{left_id} long, {right_id} long, dist double, rank int")
     if start_radius:
         r = start_radius
     else:

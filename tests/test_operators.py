@@ -267,3 +267,18 @@ def test_skew_one_demo_covers_everything(spark):
     assert [r["demo_id"] for r in sorted(picks, key=lambda r: r["pick_no"])] == [ids[i] for i in want]
     a = assign.assign_last(setcover.set_cover(e, k), e).collect()
     assert len(a) == 300
+
+
+def test_empty_inputs(spark):
+    vecs = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, vec array<double>")
+    none = vecs.where("id < 0")
+    q = vecs.withColumnRenamed("id", "ques_id")
+    d = none.withColumnRenamed("id", "demo_id")
+    assert simjoin.range_join(q, d, "ques_id", "demo_id", 1.0).count() == 0
+    assert simjoin.knn_join(q, d, "ques_id", "demo_id", 2).count() == 0
+    assert simjoin.knn_cover(q, d, 1.0, 3, "euclid").count() == 0
+    assert graph.cluster_diverse(none, 0.5).count() == 0
+    e = spark.createDataFrame([], "cluster_id long, demo_id long, ques_id long")
+    k = spark.createDataFrame([], "cluster_id long, demo_id long, set_cost long")
+    assert setcover.set_cover(e, k).count() == 0
+    assert packing.pack_groups(spark.createDataFrame([], "cluster_id long, demo_id long, weight long"), 10.0).count() == 0
