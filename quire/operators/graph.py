@@ -287,7 +287,9 @@ def pivot_clusters(nodes: DataFrame, edges: DataFrame, seeds: list[int], max_rou
         nmin = E.join(a_u, "u").join(a_v, ["seed", "v"]).groupBy("seed", "u").agg(F.min("pv").alias("nmin"))
         piv = a_u.join(nmin, ["seed", "u"], "left").where(F.col("nmin").isNull() | (F.col("pu") < F.col("nmin"))) \
             .select("seed", F.col("u").alias("id"), F.col("pu").alias("p"))
-        piv = cut_lineage(piv)
+        # cached, not checkpointed: its lineage starts at this round's checkpointed
+        # ``active``; the next checkpoint materialises it
+        piv = piv.persist()
         pivots.append(piv)
         gone = piv.select("seed", "id").unionByName(
             E.join(piv.select("seed", F.col("id").alias("u")), "u").select("seed", F.col("v").alias("id")))
