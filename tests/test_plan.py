@@ -67,3 +67,16 @@ def test_plan_code_task_extra_covers(spark):
     _check(plan, q, d, 150)
     reasons = {r["reason"] for r in plan.unasked.collect()}
     assert reasons <= {"small_cluster", "no_near_demo", "uncoverable"}
+
+
+def test_plan_partition_independence(spark):
+    out = []
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        q = pair_features(fx.er_questions(spark, SF001)).repartition(parts)
+        d = pair_features(fx.er_demos(spark, SF001))
+        plan = plan_groups(q, d, PlanConfig(k0=1.9, k1=0.13, k2=300, upper_ques=5), render_prompts=False)
+        out.append(sorted((r["group_id"], tuple(r["ques"]), tuple(r["demo"]), r["tokens"])
+                          for r in plan.groups.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert out[0] == out[1]
