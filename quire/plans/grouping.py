@@ -108,7 +108,7 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
     un = unasked[0]
     for u in unasked[1:]:
         un = un.unionByName(u)
-    prompts = render_prompts_for(groups, questions, demos, cfg.task) if render_prompts else None
+    prompts = render_prompts_for(groups, questions, demos, cfg.task, cfg.item_word) if render_prompts else None
     return Plan(groups=groups, prompts=prompts, clusters=clusters, picks=picks, assignment=assignment,
                 unasked=un, cover=ccover)
 
@@ -123,7 +123,8 @@ def _ordered(groups: DataFrame, col: str, records: DataFrame, id_col: str, field
         by_pos, lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias(col))
 
 
-def render_prompts_for(groups: DataFrame, questions: DataFrame, demos: DataFrame, task: str) -> DataFrame:
+def render_prompts_for(groups: DataFrame, questions: DataFrame, demos: DataFrame, task: str,
+                       item_word: str = "Product") -> DataFrame:
     """``prompts(group_id, prompt, answers, tokens)``; lists are bounded by the budget."""
     if task == "er":
         qf, df_ = ["e1", "e2", "answer"], ["e1", "e2", "answer"]
@@ -132,7 +133,7 @@ def render_prompts_for(groups: DataFrame, questions: DataFrame, demos: DataFrame
     qa = _ordered(groups, "ques", questions, "ques_id", qf)
     da = _ordered(groups, "demo", demos, "demo_id", df_)
     g = groups.select("group_id").join(qa, "group_id").join(da, "group_id")
-    prompt = render(task, F.col("demo"), F.col("ques"))
+    prompt = render(task, F.col("demo"), F.col("ques"), item_word)
     return g.select("group_id", prompt.alias("prompt"),
                     F.transform("ques", lambda x: x["answer"]).alias("answers")) \
         .withColumn("tokens", token_count(F.col("prompt")))

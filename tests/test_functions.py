@@ -74,3 +74,27 @@ def test_json_reply_and_normalise(spark):
     assert got[1] is None and got[2] is None
     n = spark.createDataFrame([("assertEquals (a, b);;",)], "t string").select(normalise_reply(F.col("t"))).first()[0]
     assert n == "assertEquals(a,b)"
+
+
+def test_missing_attribute_policy(spark):
+    from quire.operators.features import feature_vector
+    df = spark.sql("SELECT map('a', 'xy', 'b', 'z') AS e1, map('a', 'xy') AS e2")
+    got = df.select(feature_vector(F.col("e1"), F.col("e2"), max_len=10, missing="empty").alias("f")).first()["f"]
+    assert got == [1.0, 0.0]
+    got = df.select(feature_vector(F.col("e1"), F.col("e2"), missing="empty").alias("f")).first()["f"]
+    assert got == [1.0, 0.0]
+    with pytest.raises(Exception):
+        df.select(feature_vector(F.col("e1"), F.col("e2"), max_len=10).alias("f")).collect()
+    with pytest.raises(Exception):
+        df.select(feature_vector(F.col("e1"), F.col("e2")).alias("f")).collect()
+
+
+def test_legacy_set_cost(spark):
+    from quire.operators.coverage import set_costs
+    cc = spark.createDataFrame([(0, 7, 1), (0, 7, 2), (0, 8, 2)], "cluster_id long, demo_id long, ques_id long")
+    qc = spark.createDataFrame([(1, 5), (2, 9)], "ques_id long, cost int")
+    dc = spark.createDataFrame([(7, 3), (8, 4)], "demo_id long, cost int")
+    now = {r["demo_id"]: r["set_cost"] for r in set_costs(cc, qc, dc).collect()}
+    old = {r["demo_id"]: r["set_cost"] for r in set_costs(cc, qc, dc, legacy=True).collect()}
+    assert now == {7: 3 + 5 + 9, 8: 4 + 9}
+    assert old == {7: 3 + 2 * 5, 8: 4 + 5}   # every question charged the first question's cost
