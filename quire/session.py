@@ -48,10 +48,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 _SHIPPED: set[str] = set()
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per SparkContext (Arrow UDF workers import it)."""
-    sc = spark.sparkContext
-    key = sc.applicationId
+    """Send this package to the executors once per session (Arrow UDF workers import it)."""
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else f"connect-{id(spark)}"
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -66,7 +74,10 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:
+        spark.addArtifacts(zpath, pyfile=True)
     _SHIPPED.add(key)
 
 
@@ -79,7 +90,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if unset."""
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:   # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
