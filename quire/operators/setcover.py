@@ -18,7 +18,6 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
@@ -73,10 +72,10 @@ def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
 def with_pick_no(picks: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Number the picks of each key in greedy order ``(score desc, demo_id asc)``.
 
-    For reports only: operators use the order key itself (an aggregate), because this
-    window puts all picks of one key -- possibly one giant cluster -- in one task."""
-    w = W.partitionBy(key).orderBy(F.col("score").desc(), F.col("demo_id"))
-    return picks.withColumn("pick_no", F.row_number().over(w))
+    Operators use the order key itself (an aggregate); the numbering is a
+    distributed per-key row number, so one giant cluster is not one task."""
+    from quire.operators.ordering import row_number_within
+    return row_number_within(picks, [key], [F.col("score").desc(), F.col("demo_id")], "pick_no")
 
 
 def pick_order(score: str = "score", demo: str = "demo_id") -> F.Column:

@@ -282,3 +282,17 @@ def test_empty_inputs(spark):
     k = spark.createDataFrame([], "cluster_id long, demo_id long, set_cost long")
     assert setcover.set_cover(e, k).count() == 0
     assert packing.pack_groups(spark.createDataFrame([], "cluster_id long, demo_id long, weight long"), 10.0).count() == 0
+
+
+def test_row_number_within_matches_window(spark):
+    from pyspark.sql import Window as W
+
+    from quire.operators.ordering import row_number_within
+    rng = random.Random(12)
+    rows = [(0 if rng.random() < 0.6 else rng.randrange(1, 6), rng.random(), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, s double, i long")
+    got = {(r["k"], r["i"]): r["row_no"] for r in row_number_within(df, ["k"], [F.col("s").desc(), F.col("i")],
+                                                                     n_parts=7).collect()}
+    want = {(r["k"], r["i"]): r["rn"] for r in df.withColumn(
+        "rn", F.row_number().over(W.partitionBy("k").orderBy(F.col("s").desc(), "i"))).collect()}
+    assert got == want
