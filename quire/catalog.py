@@ -74,18 +74,19 @@ def token_cost(spark, sf):
 
 
 def field_similarity(spark, sf):
-    """F1 through the Arrow path (no length bound declared)."""
+    """F1 through the JVM expression (length bound measured first; the Arrow path is the default
+    of ``pair_features``)."""
     p = fx.er_pairs(spark, sf)
+    m = max_value_length(p)
     ex = p.select("id", "e1", "e2", F.explode(F.map_keys("e1")).alias("attr"))
     return ex.select("id", "attr", _r(lcs_ratio(F.element_at("e1", F.col("attr")),
-                                                F.element_at("e2", F.col("attr")))).alias("ratio"))
+                                                F.element_at("e2", F.col("attr")), max_len=m)).alias("ratio"))
 
 
 def pair_features(spark, sf):
-    """F2 through the native expression (length bound measured first)."""
+    """F2 through the default (Arrow) path."""
     p = fx.er_pairs(spark, sf)
-    m = max_value_length(p)
-    v = feature_vector(F.col("e1"), F.col("e2"), max_len=m)
+    v = feature_vector(F.col("e1"), F.col("e2"))
     return p.select("id", v.alias("f")).select(
         "id", _r(F.col("f")[0]).alias("f_name"), _r(F.col("f")[1]).alias("f_brand"), _r(F.col("f")[2]).alias("f_type"))
 
