@@ -120,35 +120,40 @@ def eval_rollup(matches: DataFrame) -> DataFrame:
     return r.select("table_name", "correct", "total", _ratio(F.col("correct"), F.col("total")).alias("accuracy"))
 
 
-def running_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str], n_parts: int | None = None) -> DataFrame:
-    """Cumulative sums in ``order_cols`` order without a single-task global window.
-
-    Range-partition by the order, total each partition, turn the (few) partition
-    totals into offsets, and add them to per-partition running sums."""
+def running_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str], n_parts: int | None = None,
+                 keys: list[str] | None = None) -> DataFrame:
+    """Cumulative sums in ``order_cols`` order (per ``keys`` if given) without a
+    single-task window.
+
+    Range-partition by (keys, order), total each (partition, key) slice, turn those
+    totals into offsets (one row per slice), and add them to per-slice running sums."""
+    keys = keys or []
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    totals = parted.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wp = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    # one row per partition: bounded by the partition count, not by the data
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}")
-                                      for c in sum_cols])
-    wl = W.partitionBy("_pid").orderBy(*order_cols).rowsBetween(W.unboundedPreceding, 0)
-    out = parted.join(F.broadcast(offsets), "_pid")
+    parted = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
+    totals = parted.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wp = (W.partitionBy(*keys) if keys else W).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    # one row per (partition, key) slice: bounded by the slices, not by the rows
+    offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}")
+                                             for c in sum_cols])
+    wl = W.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(W.unboundedPreceding, 0)
+    out = parted.join(offsets, ["_pid", *keys])
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(wl) + F.col(f"_o_{c}"))
     return out.drop("_pid", *[f"_o_{c}" for c in sum_cols])
 
 
-def eval_running(counts: DataFrame, kind: str = "er") -> DataFrame:
-    """Accuracy after each prompt in ``group_id`` order (on per-prompt aggregates)."""
+def eval_running(counts: DataFrame, kind: str = "er", by: list[str] | None = None) -> DataFrame:
+    """Accuracy after each prompt in ``group_id`` order (on per-prompt aggregates);
+    ``by=["table_name"]`` keeps one running figure per table (transform task)."""
+    by = by or []
     if kind == "er":
-        base = counts.select("group_id", (F.col("tp") + F.col("tn")).alias("right"),
+        base = counts.select(*by, "group_id", (F.col("tp") + F.col("tn")).alias("right"),
                              (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("seen"))
     else:
-        base = counts.select("group_id", F.coalesce("correct", F.lit(0)).alias("right"),
+        base = counts.select(*by, "group_id", F.coalesce("correct", F.lit(0)).alias("right"),
                              F.coalesce("total", F.lit(0)).alias("seen"))
-    r = running_sums(base, ["group_id"], ["right", "seen"])
-    return r.select("group_id", F.col("cum_right").cast("long").alias("cum_right"),
+    r = running_sums(base, ["group_id"], ["right", "seen"], keys=by)
+    return r.select(*by, "group_id", F.col("cum_right").cast("long").alias("cum_right"),
                     F.col("cum_seen").cast("long").alias("cum_seen"),
                     _ratio(F.col("cum_right"), F.col("cum_seen")).alias("running_accuracy"))

@@ -296,3 +296,17 @@ def test_row_number_within_matches_window(spark):
     want = {(r["k"], r["i"]): r["rn"] for r in df.withColumn(
         "rn", F.row_number().over(W.partitionBy("k").orderBy(F.col("s").desc(), "i"))).collect()}
     assert got == want
+
+
+def test_running_sums_per_key(spark):
+    from pyspark.sql import Window as W
+
+    from quire.operators.evaluate import running_sums
+    rng = random.Random(13)
+    rows = [("big" if rng.random() < 0.7 else f"t{rng.randrange(4)}", i, rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "t string, g long, x long")
+    for keys in ([], ["t"]):
+        got = {(r["t"], r["g"]): r["cum_x"] for r in running_sums(df, ["g"], ["x"], n_parts=5, keys=keys).collect()}
+        w = (W.partitionBy(*keys) if keys else W).orderBy("g").rowsBetween(W.unboundedPreceding, 0)
+        want = {(r["t"], r["g"]): r["c"] for r in df.withColumn("c", F.sum("x").over(w)).collect()}
+        assert got == want
