@@ -385,6 +385,8 @@ def correlation_clustering(nodes: DataFrame, edges: DataFrame, seeds: list[int])
     """G5 end to end: pivot runs for each seed plus the component clustering the
     reference starts from; keep the smallest linear loss; split non-positive parts.
     Output ``(id, cluster_id)``."""
+    # read by the pivot rounds, the components, the losses and the split: materialise once
+    edges = cut_lineage(edges.select("src", "dst", "weight"))
     runs = pivot_clusters(nodes, edges, seeds)
     cc = components(nodes, edges).select(F.lit(-1).cast("long").alias("seed"), "id", "cluster_id")
     allruns = cut_lineage(runs.unionByName(cc))
