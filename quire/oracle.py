@@ -181,6 +181,106 @@ SELECT q.group_id, {_lit(CODE_TASK_TEXT)} || d.demo_txt || {_lit(CODE_QUESTIONS_
 FROM qtx q JOIN dtx d USING (group_id)"""
 
 
+# Sequential greedy set cover over the VEC cover with label clusters: one pick per step,
+# best newly-covered / cost, ties to the lowest demo id (a recursive CTE with a LATERAL top-1).
+GREEDY = """sc AS (SELECT cc.cluster_id, cc.demo_id, list(cc.ques_id) AS qs,
+              min(10 + d.label) + sum(10 + q.label) AS cost
+       FROM cc JOIN vq q USING (ques_id) JOIN vd d USING (demo_id) GROUP BY 1, 2),
+g(cluster_id, step, covered, pick, score) AS (
+  SELECT DISTINCT cluster_id, 0, []::BIGINT[], NULL::BIGINT, NULL::DOUBLE FROM sc
+  UNION ALL
+  SELECT g.cluster_id, g.step + 1, list_distinct(list_concat(g.covered, b.qs)), b.demo_id, b.score
+  FROM g, LATERAL (SELECT s.demo_id, s.qs,
+                          len(list_filter(s.qs, lambda x: NOT list_contains(g.covered, x))) / greatest(s.cost, 1) AS score
+                   FROM sc s WHERE s.cluster_id = g.cluster_id ORDER BY score DESC, s.demo_id LIMIT 1) b
+  WHERE b.score > 0),
+picks AS (SELECT cluster_id, pick AS demo_id, score, step FROM g WHERE step > 0),
+owner AS (SELECT cc.cluster_id, cc.ques_id, arg_max(p.demo_id, p.step) AS demo_id
+          FROM cc JOIN picks p USING (cluster_id, demo_id) GROUP BY 1, 2),
+wt AS (SELECT o.cluster_id, o.demo_id, 10 + any_value(d.label) + sum(10 + q.label) AS weight
+       FROM owner o JOIN vq q USING (ques_id) JOIN vd d USING (demo_id) GROUP BY 1, 2),
+items AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, demo_id) AS rn FROM wt),
+bins(cluster_id, rn, loads, demo_id, weight, bin_no) AS (
+  SELECT DISTINCT cluster_id, 0::BIGINT, []::DOUBLE[], NULL::BIGINT, NULL::BIGINT, NULL::INTEGER FROM items
+  UNION ALL
+  SELECT b.cluster_id, b.rn + 1,
+         CASE WHEN f.fit IS NULL THEN list_append(b.loads, i.weight::DOUBLE)
+              ELSE list_transform(generate_series(1, len(b.loads)),
+                                  lambda j: CASE WHEN j = f.fit THEN b.loads[j] + i.weight ELSE b.loads[j] END) END,
+         i.demo_id, i.weight, (coalesce(f.fit, len(b.loads) + 1) - 1)::INTEGER
+  FROM bins b JOIN items i ON i.cluster_id = b.cluster_id AND i.rn = b.rn + 1,
+  LATERAL (SELECT CASE WHEN list_max(fl) IS NULL THEN NULL ELSE list_position(fl, list_max(fl)) END AS fit FROM (SELECT list_transform(generate_series(1, len(b.loads)),
+           lambda j: CASE WHEN b.loads[j] + i.weight <= 60.0 THEN b.loads[j] END) AS fl)) f)"""
+
+
+def _plan_groups_sql() -> str:
+    """The whole ER plan of ``catalog.plan_groups`` by brute force: LCS features, all
+    question-demo distances, top-k per demo, the far/identical graph labelled by
+    min-label propagation, the sequential greedy cover, last-holder assignment, item
+    weights and best-fit-decreasing packing."""
+    from quire.catalog import ER_CFG
+    from quire.functions.prompts import task_text_cost
+    cap = float(ER_CFG.k2 - task_text_cost("er"))
+    k0, k1, k = ER_CFG.k0, ER_CFG.k1, ER_CFG.upper_ques
+    d3 = "sqrt(({a}.f1 - {b}.f1) * ({a}.f1 - {b}.f1) + ({a}.f2 - {b}.f2) * ({a}.f2 - {b}.f2) + ({a}.f3 - {b}.f3) * ({a}.f3 - {b}.f3))"
+    return _with(ER, f"""feat AS (SELECT id, is_demo, {lcs_ratio('n1', 'n2')} AS f1, {lcs_ratio('b1', 'b2')} AS f2,
+        {lcs_ratio('t1', 't2')} AS f3,
+        {tok('n1')} + {tok('b1')} + {tok('t1')} + {tok('n2')} + {tok('b2')} + {tok('t2')} AS cost FROM er)""",
+                 "eq AS (SELECT id AS ques_id, f1, f2, f3, cost FROM feat WHERE NOT is_demo)",
+                 "ed AS (SELECT id AS demo_id, f1, f2, f3, cost FROM feat WHERE is_demo)",
+                 f"ep AS (SELECT q.ques_id, d.demo_id, {d3.format(a='q', b='d')} AS dist FROM eq q CROSS JOIN ed d)",
+                 f"""kn AS (SELECT ques_id, demo_id FROM (SELECT ques_id, demo_id,
+          row_number() OVER (PARTITION BY demo_id ORDER BY dist, ques_id) AS rk FROM ep WHERE dist <= {k1})
+        WHERE rk <= {k})""",
+                 "fq AS (SELECT q.* FROM eq q WHERE q.ques_id IN (SELECT ques_id FROM kn))",
+                 f"""far AS (SELECT a.ques_id AS a, b.ques_id AS b FROM fq a JOIN fq b ON a.ques_id <> b.ques_id
+        WHERE {d3.format(a='a', b='b')} = 0 OR 1.0 / {d3.format(a='a', b='b')} <= {k0})""",
+                 """lab(id, l) USING KEY (id) AS (
+  SELECT ques_id, ques_id FROM fq
+  UNION
+  SELECT far.b, min(lab.l) FROM lab JOIN far ON far.a = lab.id GROUP BY far.b
+  HAVING min(lab.l) < (SELECT x.l FROM recurring.lab x WHERE x.id = far.b))""",
+                 "pcc AS (SELECT lab.l AS cluster_id, kn.demo_id, kn.ques_id FROM kn JOIN lab ON lab.id = kn.ques_id)",
+                 """psc AS (SELECT c.cluster_id, c.demo_id, list(c.ques_id) AS qs, min(d.cost) + sum(q.cost) AS cost
+        FROM pcc c JOIN eq q USING (ques_id) JOIN ed d USING (demo_id) GROUP BY 1, 2)""",
+                 """pg(cluster_id, step, covered, pick, score) AS (
+  SELECT DISTINCT cluster_id, 0, []::BIGINT[], NULL::BIGINT, NULL::DOUBLE FROM psc
+  UNION ALL
+  SELECT g.cluster_id, g.step + 1, list_distinct(list_concat(g.covered, b.qs)), b.demo_id, b.score
+  FROM pg g, LATERAL (SELECT s.demo_id, s.qs,
+                          len(list_filter(s.qs, lambda x: NOT list_contains(g.covered, x))) / greatest(s.cost, 1) AS score
+                   FROM psc s WHERE s.cluster_id = g.cluster_id ORDER BY score DESC, s.demo_id LIMIT 1) b
+  WHERE b.score > 0)""",
+                 "pp AS (SELECT cluster_id, pick AS demo_id, step FROM pg WHERE step > 0)",
+                 """po AS (SELECT c.cluster_id, c.ques_id, arg_max(p.demo_id, p.step) AS demo_id
+        FROM pcc c JOIN pp p USING (cluster_id, demo_id) GROUP BY 1, 2)""",
+                 """pw AS (SELECT o.cluster_id, o.demo_id, any_value(d.cost) + sum(q.cost) AS weight
+        FROM po o JOIN eq q USING (ques_id) JOIN ed d USING (demo_id) GROUP BY 1, 2)""",
+                 "pi AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, demo_id) AS rn FROM pw)",
+                 f"""pb(cluster_id, rn, loads, demo_id, weight, bin_no) AS (
+  SELECT DISTINCT cluster_id, 0::BIGINT, []::DOUBLE[], NULL::BIGINT, NULL::BIGINT, NULL::INTEGER FROM pi
+  UNION ALL
+  SELECT b.cluster_id, b.rn + 1,
+         CASE WHEN f.fit IS NULL THEN list_append(b.loads, i.weight::DOUBLE)
+              ELSE list_transform(generate_series(1, len(b.loads)),
+                                  lambda j: CASE WHEN j = f.fit THEN b.loads[j] + i.weight ELSE b.loads[j] END) END,
+         i.demo_id, i.weight, (coalesce(f.fit, len(b.loads) + 1) - 1)::INTEGER
+  FROM pb b JOIN pi i ON i.cluster_id = b.cluster_id AND i.rn = b.rn + 1,
+  LATERAL (SELECT CASE WHEN list_max(fl) IS NULL THEN NULL ELSE list_position(fl, list_max(fl)) END AS fit
+           FROM (SELECT list_transform(generate_series(1, len(b.loads)),
+                 lambda j: CASE WHEN b.loads[j] + i.weight <= {cap} THEN b.loads[j] END) AS fl)) f)""",
+                 """gq AS (SELECT b.cluster_id, b.bin_no, o.ques_id FROM pb b JOIN po o USING (cluster_id, demo_id)
+        WHERE b.rn > 0)""",
+                 """gd AS (SELECT cluster_id, bin_no, count(*) AS n_demo,
+               string_agg(demo_id::VARCHAR, ',' ORDER BY demo_id) AS demo, sum(weight) AS tokens
+        FROM pb WHERE rn > 0 GROUP BY 1, 2)""", recursive=True) + f"""
+SELECT gd.cluster_id, gd.cluster_id::VARCHAR || '-0-' || gd.bin_no::VARCHAR AS group_id,
+       count(gq.ques_id)::BIGINT AS n_ques, any_value(gd.n_demo)::BIGINT AS n_demo,
+       string_agg(gq.ques_id::VARCHAR, ',' ORDER BY gq.ques_id) AS ques, any_value(gd.demo) AS demo,
+       any_value(gd.tokens)::BIGINT AS tokens, any_value(gd.tokens) > {cap} AS over_budget
+FROM gd JOIN gq USING (cluster_id, bin_no) GROUP BY gd.cluster_id, gd.bin_no"""
+
+
 def oracle_sql() -> dict[str, str]:
     e1, e2 = _ent("n1", "b1", "t1"), _ent("n2", "b2", "t2")
     q: dict[str, str] = {}
@@ -303,6 +403,13 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
         FROM ge JOIN runs r1 ON r1.id = ge.src JOIN runs r2 ON r2.id = ge.dst AND r2.seed = r1.seed GROUP BY r1.seed)""") + \
         "SELECT seed, round(loss, 6) AS loss FROM ls ORDER BY loss, seed LIMIT 1"
 
+    q["set_cover"] = _with(VEC, GREEDY, recursive=True) + \
+        "SELECT cluster_id, demo_id, round(score, 6) AS score, step::INTEGER AS pick_no FROM picks"
+    q["pack_groups"] = _with(VEC, GREEDY, recursive=True) + """SELECT cluster_id, 0::INTEGER AS shard, demo_id, weight::BIGINT AS weight,
+  bin_no FROM bins WHERE rn > 0"""
+    q["groups_long"] = _with(VEC, GREEDY, recursive=True) + """SELECT b.cluster_id, b.cluster_id::VARCHAR || '-0-' || b.bin_no::VARCHAR AS group_id,
+  b.demo_id, o.ques_id FROM bins b JOIN owner o USING (cluster_id, demo_id) WHERE b.rn > 0"""
+    q["plan_groups"] = _plan_groups_sql()
     q["assign_last"] = _with(VEC) + "SELECT cluster_id, ques_id, max(demo_id) AS demo_id FROM cc GROUP BY 1, 2"
     q["assign_random"] = _with(VEC) + f"""SELECT cluster_id, ques_id, arg_min(demo_id, md5('{SEED}:' || demo_id::VARCHAR) || lpad(demo_id::VARCHAR, 20, '0')) AS demo_id
 FROM cc GROUP BY 1, 2"""
