@@ -263,7 +263,9 @@ def clusters_by_size(labels: DataFrame, keep_noise: bool = True) -> DataFrame:
 
 
 def _prio(seed: Column, ident: Column) -> Column:
-    return F.struct(F.xxhash64(seed, ident).alias("h"), ident.alias("i"))
+    """Seeded priority ``(md5('seed:id'), id)`` -- reproducible in any SQL engine."""
+    return F.struct(F.md5(F.concat(seed.cast("string"), F.lit(":"), ident.cast("string"))).alias("h"),
+                    ident.alias("i"))
 
 
 def pivot_clusters(nodes: DataFrame, edges: DataFrame, seeds: list[int], max_rounds: int = 10000) -> DataFrame:

@@ -281,6 +281,42 @@ SELECT gd.cluster_id, gd.cluster_id::VARCHAR || '-0-' || gd.bin_no::VARCHAR AS g
 FROM gd JOIN gq USING (cluster_id, bin_no) GROUP BY gd.cluster_id, gd.bin_no"""
 
 
+def _corr_cluster_sql() -> str:
+    """Correlation clustering of ``catalog.corr_cluster``: the sequential pivot algorithm per
+    seed (priority md5('seed:id')), the component clustering as one more candidate, the
+    smallest linear loss (ties: lowest seed), then split into positive components."""
+    prop = ("{n}(id, l) USING KEY (id) AS (SELECT id, id FROM gv UNION "
+            "SELECT {e}.b, min({n}.l) FROM {n} JOIN {e} ON {e}.a = {n}.id GROUP BY {e}.b "
+            "HAVING min({n}.l) < (SELECT x.l FROM recurring.{n} x WHERE x.id = {e}.b))")
+    return _with(GRAPH,
+                 "pe AS (SELECT src AS a, dst AS b FROM ge WHERE weight >= 0 UNION ALL SELECT dst, src FROM ge WHERE weight >= 0)",
+                 "sd(seed) AS (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT))",
+                 """pr AS (SELECT sd.seed, gv.id, row_number() OVER (PARTITION BY sd.seed
+          ORDER BY md5(sd.seed::VARCHAR || ':' || gv.id::VARCHAR), gv.id) AS rn FROM sd CROSS JOIN gv)""",
+                 """pv(seed, rn, clustered, piv, members) AS (
+  SELECT seed, 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] FROM sd
+  UNION ALL
+  SELECT p.seed, p.rn + 1,
+         CASE WHEN list_contains(p.clustered, x.id) THEN p.clustered ELSE list_concat(p.clustered, m.mem) END,
+         CASE WHEN list_contains(p.clustered, x.id) THEN NULL ELSE x.id END,
+         CASE WHEN list_contains(p.clustered, x.id) THEN []::BIGINT[] ELSE m.mem END
+  FROM pv p JOIN pr x ON x.seed = p.seed AND x.rn = p.rn + 1,
+  LATERAL (SELECT list_prepend(x.id, coalesce(list(e.b) FILTER (WHERE NOT list_contains(p.clustered, e.b)),
+                                              []::BIGINT[])) AS mem FROM pe e WHERE e.a = x.id) m)""",
+                 """pl AS (SELECT seed, unnest(members) AS id, piv FROM pv WHERE piv IS NOT NULL)""",
+                 prop.format(n="cc", e="pe"),
+                 """runs AS (SELECT seed, id, min(id) OVER (PARTITION BY seed, piv) AS cluster_id FROM pl
+        UNION ALL SELECT -1::BIGINT, id, l FROM cc)""",
+                 """ls AS (SELECT r1.seed, sum(CASE WHEN ge.weight >= 0 AND r1.cluster_id <> r2.cluster_id THEN ge.weight
+          WHEN ge.weight < 0 AND r1.cluster_id = r2.cluster_id THEN abs(ge.weight) ELSE 0 END) AS loss
+        FROM ge JOIN runs r1 ON r1.id = ge.src JOIN runs r2 ON r2.id = ge.dst AND r2.seed = r1.seed GROUP BY r1.seed)""",
+                 "best AS (SELECT seed FROM ls ORDER BY loss, seed LIMIT 1)",
+                 "ch AS (SELECT r.id, r.cluster_id FROM runs r JOIN best USING (seed))",
+                 """se AS (SELECT pe.a, pe.b FROM pe JOIN ch c1 ON c1.id = pe.a JOIN ch c2 ON c2.id = pe.b
+        WHERE c1.cluster_id = c2.cluster_id)""",
+                 prop.format(n="sp", e="se"), recursive=True) + "SELECT id, l AS cluster_id FROM sp"
+
+
 def oracle_sql() -> dict[str, str]:
     e1, e2 = _ent("n1", "b1", "t1"), _ent("n2", "b2", "t2")
     q: dict[str, str] = {}
@@ -410,6 +446,7 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
     q["groups_long"] = _with(VEC, GREEDY, recursive=True) + """SELECT b.cluster_id, b.cluster_id::VARCHAR || '-0-' || b.bin_no::VARCHAR AS group_id,
   b.demo_id, o.ques_id FROM bins b JOIN owner o USING (cluster_id, demo_id) WHERE b.rn > 0"""
     q["plan_groups"] = _plan_groups_sql()
+    q["corr_cluster"] = _corr_cluster_sql()
     q["assign_last"] = _with(VEC) + "SELECT cluster_id, ques_id, max(demo_id) AS demo_id FROM cc GROUP BY 1, 2"
     q["assign_random"] = _with(VEC) + f"""SELECT cluster_id, ques_id, arg_min(demo_id, md5('{SEED}:' || demo_id::VARCHAR) || lpad(demo_id::VARCHAR, 20, '0')) AS demo_id
 FROM cc GROUP BY 1, 2"""

@@ -139,7 +139,7 @@ def _seq_pivot(n, edges, prio):
 
 
 def test_pivot_matches_sequential(spark):
-    import xxhash  # noqa: F401  (priorities come from Spark's xxhash64)
+    import hashlib
     rng = random.Random(2)
     n = 60
     edges = list({(min(a, b), max(a, b)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(120))
@@ -147,8 +147,7 @@ def test_pivot_matches_sequential(spark):
     nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
     e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double")
     got = graph.pivot_clusters(nodes, e, [4]).collect()
-    prio = {r["id"]: (r["h"], r["id"]) for r in nodes.select("id", F.xxhash64(F.lit(4).cast("long"), "id")
-                                                               .alias("h")).collect()}
+    prio = {i: (hashlib.md5(f"4:{i}".encode()).hexdigest(), i) for i in range(n)}
     want = _seq_pivot(n, edges, lambda v: prio[v])
     assert {r["id"]: r["cluster_id"] for r in got} == want
 
