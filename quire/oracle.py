@@ -317,6 +317,56 @@ def _corr_cluster_sql() -> str:
                  prop.format(n="sp", e="se"), recursive=True) + "SELECT id, l AS cluster_id FROM sp"
 
 
+def _extra_round(r: int, prev_demos: str) -> list[str]:
+    """CTEs of extra-cover round ``r`` (C4) given the group demos so far (``prev_demos``)."""
+    stopped = " UNION ALL ".join(f"SELECT group_id FROM stop{i}" for i in range(1, r)) or \
+        "SELECT NULL::VARCHAR AS group_id WHERE false"
+    return [
+        f"""open{r} AS (SELECT n.group_id, n.nq, d.nd FROM gnq n
+        JOIN (SELECT group_id, any_value(cluster_id) AS cluster_id, count(*) AS nd FROM {prev_demos} GROUP BY 1) d
+          USING (group_id)
+        JOIN gncd USING (cluster_id)
+        WHERE d.nd <> gncd.ncd AND n.group_id NOT IN ({stopped}))""",
+        f"""c{r} AS (SELECT gq.group_id, cc.demo_id, list(gq.ques_id) AS qs, any_value(s.cost) AS cost
+        FROM gq JOIN open{r} USING (group_id)
+        JOIN cc ON cc.cluster_id = gq.cluster_id AND cc.ques_id = gq.ques_id
+        JOIN sc s ON s.cluster_id = cc.cluster_id AND s.demo_id = cc.demo_id
+        WHERE NOT EXISTS (SELECT 1 FROM {prev_demos} x WHERE x.group_id = gq.group_id AND x.demo_id = cc.demo_id)
+        GROUP BY gq.group_id, cc.demo_id)""",
+        f"""ok{r} AS (SELECT o.group_id FROM open{r} o
+        JOIN (SELECT group_id, count(DISTINCT q) AS nc FROM (SELECT group_id, unnest(qs) AS q FROM c{r}) GROUP BY 1) k
+          USING (group_id) WHERE k.nc = o.nq)""",
+        f"""r{r}(group_id, step, covered, pick) AS (
+  SELECT group_id, 0, []::BIGINT[], NULL::BIGINT FROM ok{r}
+  UNION ALL
+  SELECT g.group_id, g.step + 1, list_distinct(list_concat(g.covered, b.qs)), b.demo_id
+  FROM r{r} g, LATERAL (SELECT c.demo_id, c.qs,
+                          len(list_filter(c.qs, lambda x: NOT list_contains(g.covered, x))) / greatest(c.cost, 1) AS score
+                   FROM c{r} c WHERE c.group_id = g.group_id ORDER BY score DESC, c.demo_id LIMIT 1) b
+  WHERE b.score > 0)""",
+        f"""a{r} AS (SELECT g.group_id, g.pick AS demo_id, {r} AS extra_round, g.step AS pick_no
+        FROM r{r} g JOIN open{r} o USING (group_id) WHERE g.step > 0 AND g.step <= greatest(o.nq - o.nd, 1))""",
+        f"""stop{r} AS (SELECT a.group_id FROM a{r} a JOIN open{r} o USING (group_id)
+        GROUP BY a.group_id, o.nq, o.nd HAVING o.nd + count(*) >= o.nq)""",
+    ]
+
+
+def _group_extra_demos_sql() -> str:
+    return _with(VEC, GREEDY,
+                 """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-0-' || bin_no::VARCHAR AS group_id, demo_id
+        FROM bins WHERE rn > 0)""",
+                 "gq AS (SELECT g0.cluster_id, g0.group_id, o.ques_id FROM g0 JOIN owner o USING (cluster_id, demo_id))",
+                 "gnq AS (SELECT group_id, count(*) AS nq FROM gq GROUP BY 1)",
+                 "gncd AS (SELECT cluster_id, count(DISTINCT demo_id) AS ncd FROM cc GROUP BY 1)",
+                 *_extra_round(1, "g0"),
+                 """g1 AS (SELECT cluster_id, group_id, demo_id FROM g0
+        UNION ALL SELECT g0x.cluster_id, a1.group_id, a1.demo_id FROM a1
+        JOIN (SELECT DISTINCT cluster_id, group_id FROM g0) g0x USING (group_id))""",
+                 *_extra_round(2, "g1"), recursive=True) + """
+SELECT group_id, demo_id, extra_round::INTEGER AS extra_round, pick_no::INTEGER AS pick_no FROM a1
+UNION ALL SELECT group_id, demo_id, extra_round::INTEGER, pick_no::INTEGER FROM a2"""
+
+
 def oracle_sql() -> dict[str, str]:
     e1, e2 = _ent("n1", "b1", "t1"), _ent("n2", "b2", "t2")
     q: dict[str, str] = {}
@@ -447,6 +497,7 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
   b.demo_id, o.ques_id FROM bins b JOIN owner o USING (cluster_id, demo_id) WHERE b.rn > 0"""
     q["plan_groups"] = _plan_groups_sql()
     q["corr_cluster"] = _corr_cluster_sql()
+    q["group_extra_demos"] = _group_extra_demos_sql()
     q["assign_last"] = _with(VEC) + "SELECT cluster_id, ques_id, max(demo_id) AS demo_id FROM cc GROUP BY 1, 2"
     q["assign_random"] = _with(VEC) + f"""SELECT cluster_id, ques_id, arg_min(demo_id, md5('{SEED}:' || demo_id::VARCHAR) || lpad(demo_id::VARCHAR, 20, '0')) AS demo_id
 FROM cc GROUP BY 1, 2"""
