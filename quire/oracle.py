@@ -51,14 +51,15 @@ def cos(a: str, b: str) -> str:
     return COS.format(a=a, b=b)
 
 
-VEC = f"""vq AS (SELECT vec_id AS ques_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 5 <> 0),
+VEC_BASE = f"""vq AS (SELECT vec_id AS ques_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 5 <> 0),
 vd AS (SELECT vec_id AS demo_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 5 = 0),
 vp AS (SELECT q.ques_id, d.demo_id, {cos('q.v', 'd.v')} AS cdist, list_distance(q.v, d.v) AS edist
        FROM vq q CROSS JOIN vd d),
 knn AS (SELECT ques_id, demo_id, dist, rank FROM (
           SELECT ques_id, demo_id, cdist AS dist,
                  row_number() OVER (PARTITION BY demo_id ORDER BY cdist, ques_id) AS rank
-          FROM vp WHERE cdist <= {VEC_K1}) WHERE rank <= {UPPER}),
+          FROM vp WHERE cdist <= {VEC_K1}) WHERE rank <= {UPPER})"""
+VEC = VEC_BASE + """,
 cc AS (SELECT q.label::BIGINT AS cluster_id, k.demo_id, k.ques_id, k.dist FROM knn k JOIN vq q USING (ques_id))"""
 
 GRAPH = f"""gv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -183,7 +184,7 @@ FROM qtx q JOIN dtx d USING (group_id)"""
 
 # Sequential greedy set cover over the VEC cover with label clusters: one pick per step,
 # best newly-covered / cost, ties to the lowest demo id (a recursive CTE with a LATERAL top-1).
-GREEDY = """sc AS (SELECT cc.cluster_id, cc.demo_id, list(cc.ques_id) AS qs,
+GREEDY_T = """sc AS (SELECT cc.cluster_id, cc.demo_id, list(cc.ques_id) AS qs,
               min(10 + d.label) + sum(10 + q.label) AS cost
        FROM cc JOIN vq q USING (ques_id) JOIN vd d USING (demo_id) GROUP BY 1, 2),
 g(cluster_id, step, covered, pick, score) AS (
@@ -210,7 +211,16 @@ bins(cluster_id, rn, loads, demo_id, weight, bin_no) AS (
          i.demo_id, i.weight, (coalesce(f.fit, len(b.loads) + 1) - 1)::INTEGER
   FROM bins b JOIN items i ON i.cluster_id = b.cluster_id AND i.rn = b.rn + 1,
   LATERAL (SELECT CASE WHEN list_max(fl) IS NULL THEN NULL ELSE list_position(fl, list_max(fl)) END AS fit FROM (SELECT list_transform(generate_series(1, len(b.loads)),
-           lambda j: CASE WHEN b.loads[j] + i.weight <= 60.0 THEN b.loads[j] END) AS fl)) f)"""
+           lambda j: CASE WHEN b.loads[j] + i.weight <= {cap} THEN b.loads[j] END) AS fl)) f)"""
+
+
+def greedy(cap: float) -> str:
+    """Sequential greedy cover, last-holder owner, item weights and best-fit-decreasing
+    packing over the CTE ``cc(cluster_id, demo_id, ques_id)`` with VEC costs."""
+    return GREEDY_T.replace("{cap}", repr(float(cap)))
+
+
+GREEDY = greedy(60.0)
 
 
 def _plan_groups_sql() -> str:
@@ -281,19 +291,17 @@ SELECT gd.cluster_id, gd.cluster_id::VARCHAR || '-0-' || gd.bin_no::VARCHAR AS g
 FROM gd JOIN gq USING (cluster_id, bin_no) GROUP BY gd.cluster_id, gd.bin_no"""
 
 
-def _corr_cluster_sql() -> str:
-    """Correlation clustering of ``catalog.corr_cluster``: the sequential pivot algorithm per
-    seed (priority md5('seed:id')), the component clustering as one more candidate, the
-    smallest linear loss (ties: lowest seed), then split into positive components."""
+def _corr_parts() -> list[str]:
+    """CTEs of the correlation clustering over node table ``gv(id)`` and edge table
+    ``ge(src, dst, weight)``; the labels end in ``sp(id, l)``."""
     prop = ("{n}(id, l) USING KEY (id) AS (SELECT id, id FROM gv UNION "
             "SELECT {e}.b, min({n}.l) FROM {n} JOIN {e} ON {e}.a = {n}.id GROUP BY {e}.b "
             "HAVING min({n}.l) < (SELECT x.l FROM recurring.{n} x WHERE x.id = {e}.b))")
-    return _with(GRAPH,
-                 "pe AS (SELECT src AS a, dst AS b FROM ge WHERE weight >= 0 UNION ALL SELECT dst, src FROM ge WHERE weight >= 0)",
-                 "sd(seed) AS (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT))",
-                 """pr AS (SELECT sd.seed, gv.id, row_number() OVER (PARTITION BY sd.seed
+    return ["pe AS (SELECT src AS a, dst AS b FROM ge WHERE weight >= 0 UNION ALL SELECT dst, src FROM ge WHERE weight >= 0)",
+            "sd(seed) AS (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT))",
+            """pr AS (SELECT sd.seed, gv.id, row_number() OVER (PARTITION BY sd.seed
           ORDER BY md5(sd.seed::VARCHAR || ':' || gv.id::VARCHAR), gv.id) AS rn FROM sd CROSS JOIN gv)""",
-                 """pv(seed, rn, clustered, piv, members) AS (
+            """pv(seed, rn, clustered, piv, members) AS (
   SELECT seed, 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] FROM sd
   UNION ALL
   SELECT p.seed, p.rn + 1,
@@ -303,18 +311,26 @@ def _corr_cluster_sql() -> str:
   FROM pv p JOIN pr x ON x.seed = p.seed AND x.rn = p.rn + 1,
   LATERAL (SELECT list_prepend(x.id, coalesce(list(e.b) FILTER (WHERE NOT list_contains(p.clustered, e.b)),
                                               []::BIGINT[])) AS mem FROM pe e WHERE e.a = x.id) m)""",
-                 """pl AS (SELECT seed, unnest(members) AS id, piv FROM pv WHERE piv IS NOT NULL)""",
-                 prop.format(n="cc", e="pe"),
-                 """runs AS (SELECT seed, id, min(id) OVER (PARTITION BY seed, piv) AS cluster_id FROM pl
-        UNION ALL SELECT -1::BIGINT, id, l FROM cc)""",
-                 """ls AS (SELECT r1.seed, sum(CASE WHEN ge.weight >= 0 AND r1.cluster_id <> r2.cluster_id THEN ge.weight
+            "pl AS (SELECT seed, unnest(members) AS id, piv FROM pv WHERE piv IS NOT NULL)",
+            prop.format(n="ccl", e="pe"),
+            """runs AS (SELECT seed, id, min(id) OVER (PARTITION BY seed, piv) AS cluster_id FROM pl
+        UNION ALL SELECT -1::BIGINT, id, l FROM ccl)""",
+            """ls AS (SELECT r1.seed, sum(CASE WHEN ge.weight >= 0 AND r1.cluster_id <> r2.cluster_id THEN ge.weight
           WHEN ge.weight < 0 AND r1.cluster_id = r2.cluster_id THEN abs(ge.weight) ELSE 0 END) AS loss
         FROM ge JOIN runs r1 ON r1.id = ge.src JOIN runs r2 ON r2.id = ge.dst AND r2.seed = r1.seed GROUP BY r1.seed)""",
-                 "best AS (SELECT seed FROM ls ORDER BY loss, seed LIMIT 1)",
-                 "ch AS (SELECT r.id, r.cluster_id FROM runs r JOIN best USING (seed))",
-                 """se AS (SELECT pe.a, pe.b FROM pe JOIN ch c1 ON c1.id = pe.a JOIN ch c2 ON c2.id = pe.b
+            """best AS (SELECT seed FROM (SELECT DISTINCT seed FROM runs) r LEFT JOIN ls USING (seed)
+        ORDER BY coalesce(loss, 0), seed LIMIT 1)""",
+            "ch AS (SELECT r.id, r.cluster_id FROM runs r JOIN best USING (seed))",
+            """se AS (SELECT pe.a, pe.b FROM pe JOIN ch c1 ON c1.id = pe.a JOIN ch c2 ON c2.id = pe.b
         WHERE c1.cluster_id = c2.cluster_id)""",
-                 prop.format(n="sp", e="se"), recursive=True) + "SELECT id, l AS cluster_id FROM sp"
+            prop.format(n="sp", e="se")]
+
+
+def _corr_cluster_sql() -> str:
+    """Correlation clustering of ``catalog.corr_cluster``: the sequential pivot algorithm per
+    seed (priority md5('seed:id')), the component clustering as one more candidate, the
+    smallest linear loss (ties: lowest seed), then split into positive components."""
+    return _with(GRAPH, *_corr_parts(), recursive=True) + "SELECT id, l AS cluster_id FROM sp"
 
 
 def _extra_round(r: int, prev_demos: str) -> list[str]:
@@ -367,6 +383,45 @@ SELECT group_id, demo_id, extra_round::INTEGER AS extra_round, pick_no::INTEGER
 UNION ALL SELECT group_id, demo_id, extra_round::INTEGER, pick_no::INTEGER FROM a2"""
 
 
+def _plan_groups_corr_sql() -> str:
+    """``catalog.plan_groups_corr``: QA task on VEC -- kNN filter, threshold cover among the
+    kept rows, correlation clustering of the eps graph, sequential greedy per cluster,
+    last holder, best-fit-decreasing, two rounds of extra covers, groups."""
+    from quire.functions.prompts import task_text_cost
+    cap = float(80 - task_text_cost("qa"))
+    return _with(VEC_BASE,
+                 "fq AS (SELECT DISTINCT ques_id FROM knn)",
+                 "fd AS (SELECT DISTINCT demo_id FROM knn)",
+                 f"""cov AS (SELECT ques_id, demo_id FROM vp WHERE cdist <= {VEC_K1}
+        AND ques_id IN (SELECT ques_id FROM fq) AND demo_id IN (SELECT demo_id FROM fd))""",
+                 "gv AS (SELECT ques_id AS id, v FROM vq WHERE ques_id IN (SELECT ques_id FROM fq))",
+                 f"""ge AS (SELECT a.id AS src, b.id AS dst, 1.0 AS weight FROM gv a JOIN gv b ON a.id < b.id
+        WHERE {cos('a.v', 'b.v')} <= {EPS_SIM})""",
+                 *_corr_parts(),
+                 "cc AS (SELECT sp.l AS cluster_id, cov.demo_id, cov.ques_id FROM cov JOIN sp ON sp.id = cov.ques_id)",
+                 greedy(cap),
+                 """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-0-' || bin_no::VARCHAR AS group_id, demo_id
+        FROM bins WHERE rn > 0)""",
+                 "gq AS (SELECT g0.cluster_id, g0.group_id, o.ques_id FROM g0 JOIN owner o USING (cluster_id, demo_id))",
+                 "gnq AS (SELECT group_id, count(*) AS nq FROM gq GROUP BY 1)",
+                 "gncd AS (SELECT cluster_id, count(DISTINCT demo_id) AS ncd FROM cc GROUP BY 1)",
+                 *_extra_round(1, "g0"),
+                 """g1 AS (SELECT cluster_id, group_id, demo_id FROM g0
+        UNION ALL SELECT g0x.cluster_id, a1.group_id, a1.demo_id FROM a1
+        JOIN (SELECT DISTINCT cluster_id, group_id FROM g0) g0x USING (group_id))""",
+                 *_extra_round(2, "g1"),
+                 """gall AS (SELECT DISTINCT group_id, demo_id FROM (SELECT group_id, demo_id FROM g1
+        UNION ALL SELECT group_id, demo_id FROM a2))""", recursive=True) + f"""
+SELECT t.cluster_id, t.group_id, qn.n_ques, dn.n_demo, qn.ques, dn.demo, t.tokens::BIGINT AS tokens,
+       t.tokens > {cap} AS over_budget
+FROM (SELECT cluster_id, cluster_id::VARCHAR || '-0-' || bin_no::VARCHAR AS group_id, sum(weight) AS tokens
+      FROM bins WHERE rn > 0 GROUP BY 1, 2) t
+JOIN (SELECT group_id, count(*)::BIGINT AS n_ques, string_agg(ques_id::VARCHAR, ',' ORDER BY ques_id) AS ques
+      FROM gq GROUP BY 1) qn USING (group_id)
+JOIN (SELECT group_id, count(*)::BIGINT AS n_demo, string_agg(demo_id::VARCHAR, ',' ORDER BY demo_id) AS demo
+      FROM gall GROUP BY 1) dn USING (group_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     e1, e2 = _ent("n1", "b1", "t1"), _ent("n2", "b2", "t2")
     q: dict[str, str] = {}
@@ -498,6 +553,7 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
     q["plan_groups"] = _plan_groups_sql()
     q["corr_cluster"] = _corr_cluster_sql()
     q["group_extra_demos"] = _group_extra_demos_sql()
+    q["plan_groups_corr"] = _plan_groups_corr_sql()
     q["assign_last"] = _with(VEC) + "SELECT cluster_id, ques_id, max(demo_id) AS demo_id FROM cc GROUP BY 1, 2"
     q["assign_random"] = _with(VEC) + f"""SELECT cluster_id, ques_id, arg_min(demo_id, md5('{SEED}:' || demo_id::VARCHAR) || lpad(demo_id::VARCHAR, 20, '0')) AS demo_id
 FROM cc GROUP BY 1, 2"""
