@@ -309,3 +309,32 @@ def test_running_sums_per_key(spark):
         w = (W.partitionBy(*keys) if keys else W).orderBy("g").rowsBetween(W.unboundedPreceding, 0)
         want = {(r["t"], r["g"]): r["c"] for r in df.withColumn("c", F.sum("x").over(w)).collect()}
         assert got == want
+
+
+def test_thirty_attempt_limit(spark):
+    from quire.operators import evaluate
+    prompts = spark.createDataFrame([(1, ["1", "0"]), (2, ["0"])], "group_id long, answers array<string>")
+    bad = [(1, a, "garbage") for a in range(1, 31)]
+    rows = bad + [(1, 31, "Yes\nNo"), (2, 30, "No")]
+    resp = spark.createDataFrame(rows, "group_id long, attempt int, text string")
+    first = {r["group_id"]: r["attempt"] for r in evaluate.first_valid_reply(prompts, resp).collect()}
+    assert first == {2: 30}          # the 31st attempt of prompt 1 is past the limit
+    m = evaluate.eval_er(prompts, resp).first()
+    assert (m["tp"], m["fp"], m["tn"], m["fn"], m["unanswered"]) == (0, 0, 1, 0, 1)
+
+
+def test_set_cover_ties_and_zero_cost(spark):
+    # equal scores pick the lowest id first; a zero cost counts as 1
+    e = spark.createDataFrame([(0, 5, 1), (0, 3, 2), (0, 9, 3), (0, 9, 4)],
+                              "cluster_id long, demo_id long, ques_id long")
+    k = spark.createDataFrame([(0, 5, 1), (0, 3, 1), (0, 9, 0)], "cluster_id long, demo_id long, set_cost long")
+    got = [r["demo_id"] for r in sorted(setcover.with_pick_no(setcover.set_cover(e, k)).collect(),
+                                       key=lambda r: r["pick_no"])]
+    assert got == [9, 3, 5]
+
+
+def test_packing_exact_fill_and_equal_weights(spark):
+    items = [(0, i, 25) for i in range(4)] + [(0, 10, 50)]
+    df = spark.createDataFrame(items, "cluster_id long, demo_id long, weight long")
+    got = {r["demo_id"]: r["bin_no"] for r in packing.pack_groups(df, 50.0).collect()}
+    assert got == {10: 0, 0: 1, 1: 1, 2: 2, 3: 2}
