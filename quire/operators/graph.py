@@ -92,13 +92,6 @@ def cluster_similar(points: DataFrame, eps: float, metric: str, id_col: str = "i
     return connected_components(p.select("id"), e.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
 
 
-def _farthest(df: DataFrame, origin: list[float]) -> tuple[list[float], float]:
-    lit = F.array(*[F.lit(float(x)) for x in origin])
-    row = df.select(F.max_by(F.struct("vec", "id"), F.struct(euclid(F.col("vec"), lit), F.col("id"))).alias("p"),
-                    F.max(euclid(F.col("vec"), lit)).alias("d")).first()
-    return list(row["p"]["vec"]), float(row["d"])
-
-
 def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: str = "vec",
                     n_pivots: int = 2, max_rounds: int = 10000) -> DataFrame:
     """Components of the graph "far or identical": ``if(d = 0, 0, 1/d) <= k0``.
@@ -128,15 +121,22 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
 
     if n <= 1:
         return finish(P.select("id", F.col("id").alias("cluster_id")))
-    start = P.select(F.min_by("vec", F.struct(F.xxhash64("id"), F.col("id"))).alias("v")).first()["v"]
-    a, _ = _farthest(P, list(start))
-    _, dab = _farthest(P, a)
+    first = P.select(F.min_by("vec", F.struct(F.xxhash64("id"), F.col("id"))).alias("v"),
+                     F.min("id").alias("lowest")).first()
+    start, lowest = list(first["v"]), first["lowest"]
+    dim = len(start)
+    # pass 1: farthest point from the start, and the centroid (one aggregate)
+    slit = F.array(*[F.lit(float(x)) for x in start])
+    row = P.select(F.max_by("vec", F.struct(euclid(F.col("vec"), slit), F.col("id"))).alias("a"),
+                   F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)]).alias("c")).first()
+    a, centroid = list(row["a"]), list(row["c"])
+    # pass 2: farthest distance from a, and the radius around the centroid (one aggregate)
+    alit = F.array(*[F.lit(float(x)) for x in a])
+    clit = F.array(*[F.lit(float(x)) for x in centroid])
+    row = P.select(F.max(euclid(F.col("vec"), alit)).alias("dab"), F.max(euclid(F.col("vec"), clit)).alias("rho")).first()
+    dab, rho = float(row["dab"]), float(row["rho"])
     if dab >= 2.0 * r * (1 + 1e-9):
-        lowest = P.agg(F.min("id").alias("m")).first()["m"]
         return finish(P.select("id", F.lit(lowest).cast("long").alias("cluster_id")))
-    dim = len(start)
-    centroid = P.select(F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)]).alias("c")).first()["c"]
-    _, rho = _farthest(P, list(centroid))
     if 2.0 * rho < r * (1 - 1e-9):
         return finish(P.select("id", F.col("id").alias("cluster_id")))
     # 4a. far pairs directly: with x~ = x - centroid and |x~| <= rho, a far pair

@@ -74,10 +74,9 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
     q_f, d_f = simjoin.filter_candidates(q, d, knn)
     unasked.append(coverage.uncovered_questions(q, knn, "no_near_demo"))
     if cfg.task == "er":
-        cover = knn.select("ques_id", "demo_id", "dist")
+        cover = knn.select("ques_id", "demo_id", "dist")          # already materialised
     else:
-        cover = simjoin.pair_distances(q_f, d_f, cfg.k1, cfg.metric, n_pivots=cfg.n_pivots)
-    cover = cut_lineage(cover)
+        cover = cut_lineage(simjoin.pair_distances(q_f, d_f, cfg.k1, cfg.metric, n_pivots=cfg.n_pivots))
     q_f = cut_lineage(q_f)
 
     clusters = cut_lineage(_cluster(q_f, cfg))
@@ -87,7 +86,7 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
     if cfg.is_dominated:
         dom = coverage.dominated_demos(ccover, dcost)
         ccover = cut_lineage(ccover.join(dom, ["cluster_id", "demo_id"], "left_anti"))
-    costs = cut_lineage(coverage.set_costs(ccover, qcost, dcost, legacy=cfg.legacy_cost))
+    costs = coverage.set_costs(ccover, qcost, dcost, legacy=cfg.legacy_cost)   # materialised by set_cover
     universe = clusters.select("cluster_id", F.col("id").alias("ques_id"))
     picks = setcover.set_cover(ccover, costs, universe=universe, max_rounds=cfg.max_rounds)
     picks = cut_lineage(picks)
