@@ -422,6 +422,30 @@ JOIN (SELECT group_id, count(*)::BIGINT AS n_demo, string_agg(demo_id::VARCHAR,
       FROM gall GROUP BY 1) dn USING (group_id)"""
 
 
+def _assign_balanced_sql() -> str:
+    """``catalog.assign_balanced``: holders of the greedy picks; each round, a set above its
+    cluster's average releases shared questions it holds as their earliest holder (most
+    holders first, then id) down to the average; then the latest holder keeps each question."""
+    return _with(VEC, GREEDY,
+                 "hold AS (SELECT cc.cluster_id, cc.demo_id, cc.ques_id, p.step FROM cc JOIN picks p USING (cluster_id, demo_id))",
+                 """avgc AS (SELECT cluster_id, floor(count(DISTINCT ques_id) / count(DISTINCT demo_id)) AS av
+        FROM hold GROUP BY 1)""",
+                 """hb(cluster_id, demo_id, ques_id, step, alive) USING KEY (cluster_id, demo_id, ques_id) AS (
+  SELECT cluster_id, demo_id, ques_id, step, true FROM hold
+  UNION
+  SELECT x.cluster_id, x.demo_id, x.ques_id, x.step, false FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY c.cluster_id, c.demo_id ORDER BY c.mult DESC, c.ques_id) AS r
+    FROM (SELECT h.*, count(*) OVER (PARTITION BY h.cluster_id, h.ques_id) AS mult,
+                 count(*) OVER (PARTITION BY h.cluster_id, h.demo_id) AS size,
+                 min(h.step) OVER (PARTITION BY h.cluster_id, h.ques_id) AS first_step
+          FROM recurring.hb h WHERE h.alive) c
+    JOIN avgc a USING (cluster_id)
+    WHERE c.size > a.av AND c.mult > 1 AND c.step = c.first_step) x
+  JOIN avgc a2 USING (cluster_id)
+  WHERE x.r <= x.size - a2.av AND EXISTS (SELECT 1 FROM hb))""", recursive=True) + """
+SELECT cluster_id, ques_id, arg_max(demo_id, step) AS demo_id FROM hb WHERE alive GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     e1, e2 = _ent("n1", "b1", "t1"), _ent("n2", "b2", "t2")
     q: dict[str, str] = {}
@@ -554,6 +578,7 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
     q["corr_cluster"] = _corr_cluster_sql()
     q["group_extra_demos"] = _group_extra_demos_sql()
     q["plan_groups_corr"] = _plan_groups_corr_sql()
+    q["assign_balanced"] = _assign_balanced_sql()
     q["assign_last"] = _with(VEC) + "SELECT cluster_id, ques_id, max(demo_id) AS demo_id FROM cc GROUP BY 1, 2"
     q["assign_random"] = _with(VEC) + f"""SELECT cluster_id, ques_id, arg_min(demo_id, md5('{SEED}:' || demo_id::VARCHAR) || lpad(demo_id::VARCHAR, 20, '0')) AS demo_id
 FROM cc GROUP BY 1, 2"""
