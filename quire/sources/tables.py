@@ -89,9 +89,24 @@ def with_cost(df: DataFrame, task: str) -> DataFrame:
     return df.withColumn("cost", cost)
 
 
-def write_groups(groups: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per group; the plan's settings can ride along as columns."""
-    groups.write.mode(mode).json(path)
+def with_settings(df: DataFrame, cfg) -> DataFrame:
+    """S3: attach the plan's settings as columns (the reference puts them in the file name);
+    write with ``partition_by=SETTING_COLUMNS`` to get one folder per setting."""
+    return df.select("*", F.lit(cfg.batch_type).alias("batch_type"), F.lit(cfg.metric).alias("metric"),
+                     F.lit(float(cfg.k0)).alias("k0"), F.lit(float(cfg.k1)).alias("k1"),
+                     F.lit(int(cfg.k2)).alias("k2"), F.lit(int(cfg.upper_ques)).alias("upper_ques"),
+                     F.lit(int(cfg.set_cover_num)).alias("set_cover_num"))
+
+
+SETTING_COLUMNS = ["batch_type", "metric", "k0", "k1", "k2", "upper_ques", "set_cover_num"]
+
+
+def write_groups(groups: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+    """One JSON object per group (optionally one folder per setting)."""
+    w = groups.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.json(path)
 
 
 def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import functions as F
 
 from quire.functions import entity_text
-from quire.sources.tables import read_groups, read_prompts, read_records, task_of, write_groups, write_prompts
+from quire import PlanConfig
+from quire.sources.tables import (SETTING_COLUMNS, read_groups, read_prompts, read_records, task_of, with_settings,
+                                  write_groups, write_prompts)
 
 
 def _write_lines(rows):
@@ -53,3 +55,13 @@ def test_groups_and_prompts_round_trip(spark):
     p = spark.createDataFrame([("0-0-0", "prompt text", ["1", "0"])], "group_id string, prompt string, answers array<string>")
     write_prompts(p, f"{d}/prompts")
     assert read_prompts(spark, f"{d}/prompts").first()["answers"] == ["1", "0"]
+
+
+def test_groups_written_per_setting(spark):
+    d = tempfile.mkdtemp(prefix="quire-out-")
+    g = spark.createDataFrame([(0, "0-0-0", [1, 2], [5], 40, False)],
+                              "cluster_id long, group_id string, ques array<long>, demo array<long>, tokens long, "
+                              "over_budget boolean")
+    write_groups(with_settings(g, PlanConfig(k0=1.9, k1=0.13)), f"{d}/groups", partition_by=SETTING_COLUMNS)
+    assert any("k0=1.9" in root for root, _dirs, _files in os.walk(f"{d}/groups"))
+    assert read_groups(spark, f"{d}/groups").first()["group_id"] == "0-0-0"
