@@ -238,33 +238,36 @@ def _range_join_blocks(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str
                        metric: str, radius: float, width: float, self_join: bool, strict: bool,
                        block_rows: int) -> DataFrame:
     """Cell join executed as numpy blocks: ``cogroup`` on (cell vector, left salt,
-    right salt).  Each cell gets its own salt count from its population (a
-    cell-size aggregate joined back on the cell key), so a cell holding most of the
-    rows is cut into blocks of about ``block_rows`` x ``block_rows`` while ordinary
-    cells are not replicated, and no task holds an unbounded group."""
+    right salt).
+
+    Salt counts are per cell and per side: the left rows that reach a cell (after the
+    neighbour explosion) are split into ``sL = ceil(nL / block_rows)`` parts and the
+    right rows of the cell into ``sR = ceil(nR / block_rows)`` parts; each left part
+    meets each right part once.  Every block is at most about ``block_rows`` x
+    ``block_rows``, a lopsided cell replicates only its small side, and ordinary cells
+    are not replicated at all."""
     keys = [f"_k{i}" for i in range(m)]
-    cells = [f"_c{i}" for i in range(m)]
-    sizes = lc.select(F.lit(0).alias("_side"), *cells).unionByName(rc.select(F.lit(1).alias("_side"), *cells)) \
-        .groupBy("_side", *cells).agg(F.count("*").alias("n"))
-    salt_of = sizes.groupBy(*cells).agg(
-        F.greatest(F.lit(1), F.ceil(F.max("n") / F.lit(block_rows))).cast("int").alias("_s")) \
-        .select(*[F.col(c).alias(k) for c, k in zip(cells, keys)], "_s")
-    L = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *[f"_pd{i}" for i in range(m)], *cells,
-                  F.explode(off_arr).alias("_off"))
-    L = L.select("_lid", "_v", "_n", *[f"_pd{i}" for i in range(m)],
-                 *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)])
-    # neighbour cells with no right rows have no salt entry and drop out here
-    L = L.join(salt_of, keys).select(
-        "_lid", "_v", "_n", *[f"_pd{i}" for i in range(m)], *keys,
-        F.pmod(F.xxhash64("_lid"), F.col("_s")).cast("int").alias("_ls"),
-        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_rs"))
-    Rr = rc.select(F.col(right_id).alias("_rid"), "_v", "_n", *[f"_pd{i}" for i in range(m)],
-                   *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)]).join(salt_of, keys)
-    Rr = Rr.select("_rid", "_v", "_n", *[f"_pd{i}" for i in range(m)], *keys,
-                   F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_ls"),
-                   F.pmod(F.xxhash64("_rid"), F.col("_s")).cast("int").alias("_rs"))
+    pds = [f"_pd{i}" for i in range(m)]
+    Lx = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *pds, *[f"_c{i}" for i in range(m)],
+                   F.explode(off_arr).alias("_off"))
+    Lx = Lx.select("_lid", "_v", "_n", *pds, *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)])
+    Rx = rc.select(F.col(right_id).alias("_rid"), "_v", "_n", *pds, *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)])
+    n_left = Lx.groupBy(*keys).agg(F.count("*").alias("_nl"))
+    n_right = Rx.groupBy(*keys).agg(F.count("*").alias("_nr"))
+    # cells reached from both sides only; one row per cell
+    salt_of = n_left.join(n_right, keys).select(
+        *keys, F.ceil(F.col("_nl") / F.lit(block_rows)).cast("int").alias("_sl"),
+        F.ceil(F.col("_nr") / F.lit(block_rows)).cast("int").alias("_sr"))
+    L = Lx.join(salt_of, keys).select(
+        "_lid", "_v", "_n", *pds, *keys,
+        F.pmod(F.xxhash64("_lid"), F.col("_sl")).cast("int").alias("_ls"),
+        F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rs"))
+    R = Rx.join(salt_of, keys).select(
+        "_rid", "_v", "_n", *pds, *keys,
+        F.explode(F.sequence(F.lit(0), F.col("_sl") - 1)).alias("_ls"),
+        F.pmod(F.xxhash64("_rid"), F.col("_sr")).cast("int").alias("_rs"))
     gk = keys + ["_ls", "_rs"]
-    out = L.groupBy(*gk).cogroup(Rr.groupBy(*gk)).applyInPandas(
+    out = L.groupBy(*gk).cogroup(R.groupBy(*gk)).applyInPandas(
         _block_fn(metric, radius, width, m, self_join, strict), "_lid long, _rid long, dist double")
     return out.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "dist")
 

@@ -338,3 +338,30 @@ def test_packing_exact_fill_and_equal_weights(spark):
     df = spark.createDataFrame(items, "cluster_id long, demo_id long, weight long")
     got = {r["demo_id"]: r["bin_no"] for r in packing.pack_groups(df, 50.0).collect()}
     assert got == {10: 0, 0: 1, 1: 1, 2: 2, 3: 2}
+
+
+def test_block_join_lopsided_and_neighbour_hot_cells(spark):
+    # a hot cluster of left rows next to a sparse right cell, plus the reverse
+    rng = random.Random(21)
+    base = [rng.gauss(0, 1) for _ in range(20)]
+    left = [(i, [x + rng.gauss(0, 0.01) for x in base]) for i in range(150)] + \
+        [(1000 + i, [rng.gauss(0, 1) for _ in range(20)]) for i in range(20)]
+    right = [(5000 + i, [x + rng.gauss(0, 0.3) for x in base]) for i in range(6)] + \
+        [(6000 + i, [rng.gauss(0, 1) for _ in range(20)]) for i in range(40)]
+    L = spark.createDataFrame(left, "lid long, vec array<double>")
+    R = spark.createDataFrame(right, "rid long, vec array<double>")
+    for metric, radius in (("euclid", 2.0), ("cosine", 0.3)):
+        got = {(r["lid"], r["rid"]) for r in simjoin.range_join(L, R, "lid", "rid", radius, metric=metric,
+                                                                 engine="block", block_rows=7).collect()}
+        want = set()
+        for i, a in left:
+            for j, b in right:
+                if metric == "euclid":
+                    d = sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+                else:
+                    na = sum(x * x for x in a) ** 0.5
+                    nb = sum(x * x for x in b) ** 0.5
+                    d = 1 - sum(x * y for x, y in zip(a, b)) / (na * nb)
+                if d <= radius:
+                    want.add((i, j))
+        assert got == want and len(got) > 100
