@@ -68,20 +68,39 @@ def uncovered_questions(questions: DataFrame, cover: DataFrame, reason: str = "n
         .withColumn("reason", F.lit(reason))
 
 
-def dominated_demos(ccover: DataFrame, demo_cost: DataFrame, symmetric: bool = False) -> DataFrame:
+def dominated_demos(ccover: DataFrame, demo_cost: DataFrame, symmetric: bool = False,
+                    max_subset_size: int = 8) -> DataFrame:
     """Demo *i* is dominated when a later demo *j* (``j > i``; any ``j != i`` with
     ``symmetric``) of the same cluster covers a superset and costs no more.
-
-    Candidate partners come only from the demos covering *i*'s rarest question (a
-    dominating set must hold it), so a question shared by many demos is not used as
-    the join key unless it is *i*'s rarest; containment is checked by counting
-    matched questions.  Output ``(cluster_id, demo_id)`` of dominated demos."""
+    Output ``(cluster_id, demo_id)`` of dominated demos.
+
+    Small sets (every set at most ``max_subset_size`` questions, as in a kNN cover):
+    each set lists its non-empty subsets (sorted arrays, at most 2^k per set) and a
+    left-semi equi-join on (cluster, subset) finds a superset -- no candidate pairs
+    are materialised and the semi join stops at the first match.  Larger sets: the
+    partners come from the demos holding *i*'s rarest question, and containment is
+    checked by counting matched questions."""
     e = ccover.select("cluster_id", "demo_id", "ques_id").distinct()
-    deg = e.groupBy("cluster_id", "ques_id").agg(F.count("*").alias("_deg"))
     size = e.groupBy("cluster_id", "demo_id").agg(F.count("*").alias("_size"))
+    top = size.agg(F.max("_size").alias("m")).first()["m"] or 0
+    cost = demo_cost.select("demo_id", F.col("cost").alias("_cost"))
+    if top <= max_subset_size:
+        # bounded collect: every set holds at most max_subset_size questions
+        sets = e.groupBy("cluster_id", "demo_id").agg(F.sort_array(F.collect_list("ques_id")).alias("qs"))
+        masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("qs")) - 1)
+        subsets = F.transform(masks, lambda m: F.filter(
+            F.col("qs"), lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+        j_side = sets.join(cost, "demo_id").select(
+            F.col("cluster_id").alias("_jc"), F.col("demo_id").alias("_j"), F.col("_cost").alias("_cj"),
+            F.explode(subsets).alias("_jqs"))
+        i_side = sets.join(cost, "demo_id").select("cluster_id", "demo_id", F.col("_cost").alias("_ci"), "qs")
+        order = (F.col("_j") != F.col("demo_id")) if symmetric else (F.col("_j") > F.col("demo_id"))
+        cond = (F.col("cluster_id") == F.col("_jc")) & (F.col("qs") == F.col("_jqs")) & order & \
+            (F.col("_cj") <= F.col("_ci"))
+        return i_side.join(j_side, cond, "left_semi").select("cluster_id", "demo_id")
+    deg = e.groupBy("cluster_id", "ques_id").agg(F.count("*").alias("_deg"))
     anchor = e.join(deg, ["cluster_id", "ques_id"]).groupBy("cluster_id", "demo_id").agg(
         F.min_by("ques_id", F.struct("_deg", "ques_id")).alias("_anchor"))
-    cost = demo_cost.select("demo_id", F.col("cost").alias("_cost"))
     i_side = anchor.join(size, ["cluster_id", "demo_id"]).join(cost, "demo_id") \
         .select("cluster_id", F.col("demo_id").alias("i"), F.col("_anchor").alias("ques_id"),
                 F.col("_size").alias("_si"), F.col("_cost").alias("_ci"))

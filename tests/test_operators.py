@@ -365,3 +365,28 @@ def test_block_join_lopsided_and_neighbour_hot_cells(spark):
                 if d <= radius:
                     want.add((i, j))
         assert got == want and len(got) > 100
+
+
+def test_dominated_demos_both_paths(spark):
+    from quire.operators.coverage import dominated_demos
+    rng = random.Random(31)
+    edges, costs = [], []
+    for d in range(40):
+        qs = rng.sample(range(12), rng.randint(1, 4))
+        edges += [(0, d, q) for q in qs]
+        costs.append((d, rng.randint(1, 5)))
+    # a second cluster holding the same question ids: supersets there must not count
+    edges += [(1, 100 + d, q) for d in range(3) for q in range(12)]
+    costs += [(100 + d, 0) for d in range(3)]
+    e = spark.createDataFrame(edges, "cluster_id long, demo_id long, ques_id long")
+    c = spark.createDataFrame(costs, "demo_id long, cost int")
+    sets, clus = {}, {}
+    for c_, d, q in edges:
+        sets.setdefault(d, set()).add(q)
+        clus[d] = c_
+    cost = dict(costs)
+    want = {d for d in sets if any(j > d and clus[j] == clus[d] and sets[d] <= sets[j] and cost[j] <= cost[d]
+                                   for j in sets)}
+    for limit in (12, 2):   # subset path, anchor path
+        got = {r["demo_id"] for r in dominated_demos(e, c, max_subset_size=limit).collect()}
+        assert got == want and want
