@@ -67,19 +67,31 @@ def read_records(spark: SparkSession, path: str, task: str, id_col: str = "ques_
     The key is the line position in the file; entity maps keep file order."""
     raw = _with_line_ids(spark, path, id_col)
     schema = {"er": ER_SCHEMA, "code": CODE_SCHEMA, "qa": TEXT_SCHEMA, "jd": JD_SCHEMA}[task]
-    parsed = raw.select(id_col, F.from_json("value", schema).alias("r"))
+    parsed = raw.select(id_col, F.from_json("value", schema).alias("r")).select(id_col, "r.*")
+    return normalize_records(parsed, task, id_col, dataset)
+
+
+def read_records_parquet(spark: SparkSession, path: str, task: str, key: str, id_col: str = "ques_id",
+                         dataset: str | None = None) -> DataFrame:
+    """S1/S2 for columnar files: same record layout as the JSON lines; ``key`` names the
+    column that identifies a record (a file has no line positions to use)."""
+    return normalize_records(spark.read.parquet(path).withColumnRenamed(key, id_col), task, id_col, dataset)
+
+
+def normalize_records(df: DataFrame, task: str, id_col: str = "ques_id", dataset: str | None = None) -> DataFrame:
+    """Common record shape ``id_col, e1, e2, text, answer, table_name, task, dataset, cost``
+    from the task's record layout (``question.entity1/entity2`` for ER, ``total`` for
+    code, ``question`` otherwise, ``table_name`` for jd; ``answer`` read as text)."""
     if task == "er":
-        out = parsed.select(id_col, F.col("r.question.entity1").alias("e1"),
-                            F.col("r.question.entity2").alias("e2"),
-                            F.lit(None).cast("string").alias("text"), F.col("r.answer").alias("answer"),
-                            F.lit(None).cast("string").alias("table_name"))
+        out = df.select(id_col, F.col("question.entity1").alias("e1"), F.col("question.entity2").alias("e2"),
+                        F.lit(None).cast("string").alias("text"), F.col("answer").cast("string").alias("answer"),
+                        F.lit(None).cast("string").alias("table_name"))
     else:
-        text = F.col("r.total") if task == "code" else F.col("r.question")
-        out = parsed.select(id_col, F.lit(None).cast("map<string,string>").alias("e1"),
-                            F.lit(None).cast("map<string,string>").alias("e2"),
-                            text.alias("text"), F.col("r.answer").alias("answer"),
-                            (F.col("r.table_name") if task == "jd" else F.lit(None).cast("string"))
-                            .alias("table_name"))
+        text = F.col("total") if task == "code" else F.col("question")
+        out = df.select(id_col, F.lit(None).cast("map<string,string>").alias("e1"),
+                        F.lit(None).cast("map<string,string>").alias("e2"),
+                        text.alias("text"), F.col("answer").cast("string").alias("answer"),
+                        (F.col("table_name") if task == "jd" else F.lit(None).cast("string")).alias("table_name"))
     return with_cost(out.withColumn("task", F.lit(task)).withColumn("dataset", F.lit(dataset)), task)
 
 

@@ -65,3 +65,17 @@ def test_groups_written_per_setting(spark):
     write_groups(with_settings(g, PlanConfig(k0=1.9, k1=0.13)), f"{d}/groups", partition_by=SETTING_COLUMNS)
     assert any("k0=1.9" in root for root, _dirs, _files in os.walk(f"{d}/groups"))
     assert read_groups(spark, f"{d}/groups").first()["group_id"] == "0-0-0"
+
+
+def test_parquet_records_same_as_jsonl(spark):
+    from quire.sources.tables import read_records_parquet
+    rows = [{"question": {"entity1": {"Zeta": "Pale Ale", "Alpha": "Brew Co"},
+                          "entity2": {"Zeta": "Pale", "Alpha": "Brew"}}, "answer": "1"}]
+    d, path = _write_lines(rows)
+    j = read_records(spark, path, "er")
+    j.select(F.col("ques_id").alias("rid"), F.struct(F.col("e1").alias("entity1"), F.col("e2").alias("entity2"))
+             .alias("question"), "answer").write.mode("overwrite").parquet(f"{d}/pq")
+    p = read_records_parquet(spark, f"{d}/pq", "er", key="rid")
+    a = j.select("ques_id", entity_text(F.col("e1")).alias("t"), "cost").collect()
+    b = p.select("ques_id", entity_text(F.col("e1")).alias("t"), "cost").collect()
+    assert a == b
