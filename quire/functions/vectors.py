@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_double_array(v: Column) -> Column:
-    return v.cast("array<double>")
-
-
 def sq_euclid(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -37,11 +33,6 @@ def cosine_dist(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
 
 
-def cosine_dist_unit(a: Column, b: Column) -> Column:
-    """``1 - a.b`` for vectors already of unit length."""
-    return F.lit(1.0) - dot(a, b)
-
-
 def reciprocal(d: Column) -> Column:
     """Diverse-clustering metric: ``1/d``, and 0 for identical points."""
     return F.when(d == 0, F.lit(0.0)).otherwise(F.lit(1.0) / d)

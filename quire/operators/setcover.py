@@ -78,11 +78,6 @@ def with_pick_no(picks: DataFrame, key: str = "cluster_id") -> DataFrame:
     return row_number_within(picks, [key], [F.col("score").desc(), F.col("demo_id")], "pick_no")
 
 
-def pick_order(score: str = "score", demo: str = "demo_id") -> F.Column:
-    """Sortable key of the greedy order: ascending = picked earlier."""
-    return F.struct((-F.col(score)).alias("s"), F.col(demo).alias("d"))
-
-
 def set_cover_local(universe: set, subsets: list[set], costs: list[float]) -> list[int]:
     """Plain sequential greedy (test oracle); returns chosen indexes in pick order."""
     elements = set().union(*subsets) if subsets else set()

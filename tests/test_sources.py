@@ -79,3 +79,11 @@ def test_parquet_records_same_as_jsonl(spark):
     a = j.select("ques_id", entity_text(F.col("e1")).alias("t"), "cost").collect()
     b = p.select("ques_id", entity_text(F.col("e1")).alias("t"), "cost").collect()
     assert a == b
+
+
+def test_dataset_dimension_and_loss_registry(spark):
+    from quire.operators.graph import loss_by_name, loss_linear
+    from quire.sources.tables import dataset_tasks
+    dims = {r["dataset"]: r["task"] for r in dataset_tasks(spark).collect()}
+    assert dims["Beer"] == "er" and dims["DXF"] == "jd" and len(dims) == 18
+    assert loss_by_name("linear_loss") is loss_linear
