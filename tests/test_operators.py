@@ -390,3 +390,27 @@ def test_dominated_demos_both_paths(spark):
     for limit in (12, 2):   # subset path, anchor path
         got = {r["demo_id"] for r in dominated_demos(e, c, max_subset_size=limit).collect()}
         assert got == want and want
+
+
+def test_plan_violations_all_checks(spark):
+    from quire.plans.reports import plan_violations
+    gq = spark.createDataFrame([("g1", 1), ("g1", 2), ("g2", 2), ("g3", 4)], "group_id string, ques_id long")
+    gd = spark.createDataFrame([("g1", 10), ("g2", 11), ("g4", 12)], "group_id string, demo_id long")
+    q = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, 5)], "ques_id long, cost int")
+    d = spark.createDataFrame([(10, 50), (11, 1), (12, 1)], "demo_id long, cost int")
+    cover = spark.createDataFrame([(1, 10), (2, 10), (2, 11)], "ques_id long, demo_id long")
+    forbidden = spark.createDataFrame([(1, 2)], "q1 long, q2 long")
+    v = {r["check"]: r["n"] for r in plan_violations(gq, gd, q, d, k2=40, t_cost=0, cover=cover, cover_cnt=1,
+                                                     forbidden=forbidden).collect()}
+    assert v == {"question_repeated": 1, "question_unassigned": 1, "under_covered": 1, "over_budget": 1,
+                 "forbidden_pair": 1, "empty_group": 2}
+
+
+def test_affinity_modes(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.2), (1, 3, 0.9)], "src long, dst long, dist double")
+    def w(mode, kind):
+        return [r["weight"] for r in graph.affinity_edges(pairs, 0.5, mode=mode, kind=kind).orderBy("dst").collect()]
+    assert w("binary", "diverse") == [0.0, 1.0]
+    assert w("sign", "similar") == [1.0, -1.0]
+    assert w("weight", "diverse") == [0.0, 0.9]
+    assert [round(x, 6) for x in w("weight", "similar")] == [0.8, 0.0]
