@@ -551,6 +551,15 @@ def eval_running(spark, sf):
     return r.select("group_id", "cum_right", "cum_seen", _r(F.col("running_accuracy")).alias("running_accuracy"))
 
 
+def eval_running_tables(spark, sf):
+    """W3 per table: running exact-match accuracy inside each table, in group order."""
+    pr = fx.eval_json_prompts(spark, sf)
+    m = evaluate.exact_matches(pr, evaluate.first_valid_reply(pr, fx.eval_json_responses(spark, sf), "json"), "code")
+    r = evaluate.eval_running(m, kind="exact", by=["table_name"])
+    return r.select("table_name", "group_id", "cum_right", "cum_seen",
+                    _r(F.col("running_accuracy")).alias("running_accuracy"))
+
+
 _QUERIES: dict[str, Query] = {
     "scan_pairs": scan_pairs, "render_entity": render_entity, "token_cost": token_cost,
     "field_similarity": field_similarity, "pair_features": pair_features,
@@ -575,6 +584,7 @@ _QUERIES: dict[str, Query] = {
     "render_prompt_text": render_prompt_text, "parse_yes_no": parse_yes_no_q,
     "parse_json_reply": parse_json_reply_q, "first_valid_reply": first_valid_reply_q, "eval_er": eval_er,
     "eval_exact": eval_exact, "eval_rollup": eval_rollup, "eval_running": eval_running,
+    "eval_running_tables": eval_running_tables,
 }
 
 

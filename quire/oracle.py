@@ -627,6 +627,11 @@ SELECT tp, fp, tn, fn,
   coalesce(sum(total), 0)::BIGINT AS total,
   round(CASE WHEN coalesce(sum(total), 0) <> 0 THEN sum(correct) / sum(total) ELSE 0 END, 6) AS accuracy
 FROM jmatch GROUP BY ROLLUP (table_name)"""
+    q["eval_running_tables"] = _with(EJSON) + """SELECT table_name, group_id,
+  CAST(sum(coalesce(correct, 0)) OVER w AS BIGINT) AS cum_right, CAST(sum(coalesce(total, 0)) OVER w AS BIGINT) AS cum_seen,
+  round(CASE WHEN sum(coalesce(total, 0)) OVER w <> 0
+             THEN (sum(coalesce(correct, 0)) OVER w) / (sum(coalesce(total, 0)) OVER w) ELSE 0 END, 6) AS running_accuracy
+FROM jmatch WINDOW w AS (PARTITION BY table_name ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
     q["eval_running"] = _with(EVAL) + """SELECT group_id,
   CAST(sum(tp + tn) OVER w AS BIGINT) AS cum_right, CAST(sum(tp + fp + tn + fn) OVER w AS BIGINT) AS cum_seen,
   round(CASE WHEN sum(tp + fp + tn + fn) OVER w <> 0 THEN (sum(tp + tn) OVER w) / (sum(tp + fp + tn + fn) OVER w) ELSE 0 END, 6)
