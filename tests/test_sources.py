@@ -87,3 +87,12 @@ def test_dataset_dimension_and_loss_registry(spark):
     dims = {r["dataset"]: r["task"] for r in dataset_tasks(spark).collect()}
     assert dims["Beer"] == "er" and dims["DXF"] == "jd" and len(dims) == 18
     assert loss_by_name("linear_loss") is loss_linear
+
+
+def test_code_and_jd_record_layouts(spark):
+    _, path = _write_lines([{"total": "void f() { g(); }", "answer": "assertTrue(x);"}])
+    code = read_records(spark, path, "code").first()
+    assert code["text"] == "void f() { g(); }" and code["answer"] == "assertTrue(x);" and code["cost"] == 10
+    _, path = _write_lines([{"table_name": "t1", "question": "a,b", "answer": "b,a"}])
+    jd = read_records(spark, path, "jd").first()
+    assert (jd["table_name"], jd["text"], jd["answer"], jd["task"]) == ("t1", "a,b", "b,a", "jd")
