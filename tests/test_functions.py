@@ -98,3 +98,15 @@ def test_legacy_set_cost(spark):
     old = {r["demo_id"]: r["set_cost"] for r in set_costs(cc, qc, dc, legacy=True).collect()}
     assert now == {7: 3 + 5 + 9, 8: 4 + 9}
     assert old == {7: 3 + 2 * 5, 8: 4 + 5}   # every question charged the first question's cost
+
+
+def test_ratio_hypothesis_unicode():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(max_size=70), st.text(max_size=70))
+    def check(a, b):
+        assert abs(lcs_ratio_py(a, b) - _dp_ratio(a, b)) < 1e-12
+
+    check()
