@@ -104,6 +104,18 @@ LABELLED = """
 12 0.20 35 0.00 28 0.05 0 0 0 1
 40 0.30 50 0.10 60 0.05 0 0 0 1
 28 0.00 25 0.00 5 0.80 0 0 0 1
+40 0.00 50 0.00 3 1.00 0 0 1 1
+15 0.00 20 0.00 2 1.00 0 0 1 1
+2 0.00 10 0.00 2 1.00 0 0 1 1
+1 0.00 1 0.00 1 1.00 0 0 1 1
+6 0.10 30 0.00 5 0.90 0 0 1 1
+60 0.00 45 0.00 2 1.00 0 0 0 1
+35 0.00 2 1.00 1 1.00 0 0 0 1
+22 0.05 40 0.00 3 1.00 0 0 0 1
+8 0.90 40 0.00 50 0.00 0 0 1 1
+4 1.00 9 0.00 30 0.10 0 0 1 1
+2 0.00 1 1.00 3 1.00 0 0 0 0
+4 0.10 60 0.00 2 1.00 0 0 0 0
 """
 
 
