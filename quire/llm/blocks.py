@@ -231,14 +231,15 @@ def blocked(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str
         F.pmod(F.hash("key"), F.lit(blocks)).alias("block"), "key", "doc_id", "text")
 
 
-def requests(block: int, hashes: np.ndarray, shards: int, *extra: np.ndarray) -> pa.Table:
-    """One payload per shard of a block's sorted distinct hashes and the columns that belong to them."""
+def requests(block: int, hashes: np.ndarray, shards: int, *extra: np.ndarray, base: int = 0) -> pa.Table:
+    """One payload per shard (base, base + 1, ...) of a block's sorted distinct hashes and the columns
+    that belong to them."""
     cut = shard_cuts(hashes, shards)
     to, out = [], []
     for s in range(shards):
         a, b = cut[s], cut[s + 1]
         if b > a:
-            to.append(s)
+            to.append(base + s)
             out.append(pack(gaps(hashes[a:b]), *(smallest(e[a:b]) for e in extra)))
     return pa.table({"shard": pa.array(to, pa.int32()), "block": pa.array([block] * len(to), pa.int32()),
                      "payload": pa.array(out, pa.binary())})
@@ -248,37 +249,49 @@ REQUEST = "shard int, block int, payload binary"
 
 
 def answer_all(table: pa.Table, answer: Callable) -> pa.Table:
-    """A shard's answers: ``answer(hashes, group, which, extras)`` gets all requested hashes (sorted
-    per block), the number of the distinct hash of each, and which request it came from; it returns an
-    array for every requested hash."""
-    parts = [unpack(x) for x in table.column("payload").to_pylist()]
-    if not parts:
-        return pa.table({"block": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()),
-                         "payload": pa.array([], pa.binary())})
+    """A shard's answers: ``answer(group, n, first, extras)`` gets, for every requested hash, the number
+    of its distinct hash (of n), whether its block is the lowest that asks for it, and the columns that
+    came with it; it returns a number for every requested hash."""
+    blocks = table.column("block").to_numpy()
+    order = np.argsort(blocks, kind="stable")
+    payloads = table.column("payload").to_pylist()
+    parts = [unpack(payloads[i]) for i in order]
     sizes = np.array([len(p[0]) for p in parts])
     hashes = np.concatenate([ungaps(p[0]) for p in parts])
     extras = [np.concatenate([p[i].astype(np.int64) for p in parts]) for i in range(1, len(parts[0]))]
-    order = np.argsort(hashes)
-    s = hashes[order]
+    by = np.argsort(hashes, kind="stable")
+    s = hashes[by]
     new = np.ones(len(s), dtype=bool)
     new[1:] = s[1:] != s[:-1]
     group = np.empty(len(s), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    out = answer(group, int(new.sum()), extras)
+    group[by] = np.cumsum(new) - 1
+    first = np.zeros(len(s), dtype=bool)
+    first[by[new]] = True
+    out = answer(group, int(new.sum()), first, extras)
     cut = np.append(0, np.cumsum(sizes))
-    return pa.table({"block": table.column("block").combine_chunks().cast(pa.int32()),
-                     "shard": table.column("shard").combine_chunks().cast(pa.int32()),
+    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(parts), pa.int32()),
+                     "block": pa.array(blocks[order], pa.int32()),
                      "payload": pa.array([pack(smallest(out[cut[i]:cut[i + 1]])) for i in range(len(parts))], pa.binary())})
 
 
-def answers_of(table: pa.Table) -> np.ndarray:
-    """A block's answers in the order of its sorted distinct hashes."""
+def answers_of(table: pa.Table, low: int = 0, high: int = 1 << 30) -> np.ndarray:
+    """A block's answers, from the shards low..high, in the order of its sorted distinct hashes."""
     rows = sorted(zip(table.column("shard").to_pylist(), table.column("payload").to_pylist()))
-    if not rows:
-        return np.zeros(0, np.int64)
-    return np.concatenate([unpack(x)[0].astype(np.int64) for _, x in rows])
+    parts = [unpack(x)[0].astype(np.int64) for shard, x in rows if low <= shard < high]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def total_counts(group: np.ndarray, n: int, extras: list[np.ndarray]) -> np.ndarray:
-    """Answer: the sum of the requested counts of each hash."""
-    return np.bincount(group, weights=extras[0], minlength=n).astype(np.int64)[group]
+def total_counts(group: np.ndarray, n: int, first: np.ndarray, extras: list[np.ndarray]) -> np.ndarray:
+    """Answer: twice the sum of the requested counts of each hash, and one more in the block that
+    counts the hash as distinct (the lowest that asks for it)."""
+    total = np.bincount(group, weights=extras[0], minlength=n).astype(np.int64)[group]
+    return total * 2 + first
+
+
+def count_join(blocks: DataFrame, request: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+    """``finish(block's rows, its answers)`` for every block.  The rows are dealt to their blocks by one
+    shuffle, which both uses share; what else moves are sorted distinct hashes and numbers."""
+    asked = blocks.groupBy("block").applyInArrow(lambda key, rows: request(key[0].as_py(), rows), REQUEST)
+    told = asked.groupBy("shard").applyInArrow(lambda key, rows: answer_all(rows, answer), REQUEST)
+    return (blocks.groupBy("block").cogroup(told.groupBy("block"))
+            .applyInArrow(lambda key, rows, answers: finish(rows, answers), schema))

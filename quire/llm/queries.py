@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
-from quire.llm import decontam, fingerprints, html_text, packing
+from quire.llm import decontam, fingerprints, html_text, lm_deleted, packing
 from quire.session import prepare
 
 
@@ -34,6 +34,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    groups = bl.group_count(spark, bl.extent(docs, "text")[1])
+    return lm_deleted.score(docs, groups, groups).drop("key")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -46,7 +52,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op3_decontamination": op3_decontamination, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+    return {"op1_html_text": op1_html_text, "op3_decontamination": op3_decontamination, "op5_lm_scoring": op5_lm_scoring, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
