@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
-from quire.llm import decontam, fingerprints, html_text, lm_deleted, packing
+from quire.llm import decontam, fingerprints, html_text, lm_deleted, ngram_join, packing
 from quire.session import prepare
 
 
@@ -34,6 +34,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return ngram_join.near_copies(docs, bl.group_count(spark, bl.extent(docs, "text")[1])).drop("key")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     groups = bl.group_count(spark, bl.extent(docs, "text")[1])
@@ -52,7 +57,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op3_decontamination": op3_decontamination, "op5_lm_scoring": op5_lm_scoring, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+    return {"op1_html_text": op1_html_text, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
