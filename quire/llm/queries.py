@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
-from quire.llm import decontam, fingerprints, html_text, lm_deleted, ngram_join, packing
+from quire.llm import decontam, fingerprints, html_text, lm_deleted, ngram_join, packing, quality_kn
 from quire.session import prepare
 
 
@@ -28,6 +28,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_kn.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("key")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -57,7 +61,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
