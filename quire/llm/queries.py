@@ -51,7 +51,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    cut = suffix_dedup.remove_repeats(docs, bl.group_count(spark, bl.extent(docs, "text")[1]))
+    cut = suffix_dedup.remove_repeats(docs, bl.group_count(spark, bl.extent(docs, "text")[1], 3 << 20))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -291,7 +291,9 @@ def remove_repeats(docs: DataFrame, groups: int, id_col: str = "doc_id", text_co
         place = np.argsort(order, kind="stable")               # run by run, in the runs' own order
         source = np.empty(len(order), np.int64)
         source[place] = np.arange(len(order))
+        del runs
         rows, doc = np.concatenate(parts)[source], np.concatenate(ids)[source]
+        del parts
         far_l, far_r = reach(rows, known, doc)
         back_l, back_r = far_l[place], far_r[place]
         cut = np.append(0, np.cumsum([len(i) for i in ids]))
