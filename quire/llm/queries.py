@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
-from quire.llm import decontam, fingerprints, html_text, lm_deleted, ngram_join, packing, quality_kn, suffix_dedup
+from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, ngram_join, packing, quality_kn, suffix_dedup
 from quire.session import prepare
 
 
@@ -49,6 +49,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_deleted.score(docs, groups, groups).drop("key")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     cut = suffix_dedup.remove_repeats(docs, bl.group_count(spark, bl.extent(docs, "text")[1], 3 << 20))
@@ -67,7 +71,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
