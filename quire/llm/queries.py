@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
-from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, ngram_join, packing, quality_kn, suffix_dedup
+from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, ngram_join, packing, pii, quality_kn, suffix_dedup
 from quire.session import prepare
 
 
@@ -70,8 +70,16 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_next(docs, bl.group_count(spark, n_bytes, 12 << 20))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(_read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in pii.KINDS}
+    return found.withColumns(count).select("doc_id", *count, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+                                           pii.joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
