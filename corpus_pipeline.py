@@ -24,12 +24,14 @@ def _without(docs: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity is beyond their language's threshold."""
+    prepare(spark)
     judged = quality_kn.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, judged.filter(~F.col("keep")), "doc_id", "text", "lang")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of every group of near copies (five words, 80 %)."""
+    prepare(spark)
     groups = bl.group_count(spark, bl.extent(docs, "text")[1])
     found = cut_lineage(ngram_join.near_copies(docs, groups, shingle=5, percent=80))
     linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
@@ -41,18 +43,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a window of a benchmark item."""
+    prepare(spark)
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.filter("n_hit > 0"), "doc_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind, and counts the characters anew."""
+    prepare(spark)
     clean = pii.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids."""
+    prepare(spark)
     pieces = packing.pack_documents(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
