@@ -65,7 +65,7 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     room[LEFT: LEFT + len(least)] = least
     best = _sliding(room, LEFT + 1, np.maximum)[: len(h)]
     at = np.flatnonzero(best == h)
-    return at, h[at]
+    return at, bl.mix(h[at])                                # least hashes are small: spread them for the shards
 
 
 def surroundings(buf: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
