@@ -129,6 +129,16 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[
     return span_hashes(buf, starts, ends), at
 
 
+def all_word_hashes(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same over many documents, a small run of them at a time."""
+    words, at = [], [np.zeros(1, np.int64)]
+    for lo, hi in doc_runs(off):
+        h, a = word_hashes(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], is_word)
+        words.append(h)
+        at.append(a[1:] + at[-1][-1])
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.concatenate(at)
+
+
 def combine(*parts: np.ndarray) -> np.ndarray:
     """Hash of a sequence of hashes, place by place."""
     out = np.zeros(len(parts[0]), dtype=np.uint64)

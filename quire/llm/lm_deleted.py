@@ -33,13 +33,7 @@ ROUNDS = 60
 def _tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every token (words and an end for each document), that of its context, and the n+1 offsets."""
     buf, off = bl.text_bytes(rows.column("text"))
-    words, at = [], [np.zeros(1, np.int64)]
-    for lo, hi in bl.doc_runs(off):
-        h, a = bl.word_hashes(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], bl.SPACED)
-        words.append(h)
-        at.append(a[1:] + at[-1][-1])
-    h = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    at = np.concatenate(at)
+    h, at = bl.all_word_hashes(buf, off, bl.SPACED)
     n = len(at) - 1
     stop = at[1:] + np.arange(1, n + 1)                       # with the ends
     token = np.full(len(h) + n, END, np.uint64)
