@@ -21,61 +21,103 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import blocks as bl
 from quire.session import cut_lineage
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-MAX_CACHED_WORDS = 300_000      # words whose ids a Python worker keeps
+MAX_CACHED_WORDS = 3_000_000    # distinct words whose ids a Python worker keeps
+RUN_BYTES = 8 << 20             # text bytes encoded at once
+TRAILING = '.,;:!?%&$#*|()"-'   # punctuation that is one piece of its own after letters
 _cache: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of white-space separated words.  This tokenizer drops white space and never joins
-    across it, so a text's ids are its words' ids; each distinct word is encoded once."""
+    """Ids of white-space separated words.  This tokenizer lowers case, drops white space and never joins
+    across it, so a text's ids are its words' ids; words are told apart by 64-bit hashes and each distinct
+    one is encoded once.  A word of letters, or of letters and punctuation after them, is one or two pieces;
+    distinct letter runs are encoded many at a time, and parted by the tokens that end a piece."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
-        self.number, self.begin, self.size = {}, np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.flat = np.array([self.end_id], np.uint32)      # word 0 is the end of a document
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.array([self.end_id], np.uint32)      # place 0 is the end of a document
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(runs), 20_000):
+            some = runs[lo: lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some):                      # one piece each
+                raw, at = ids.tobytes(), [0, *(stop * 4).tolist()]
+                out.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:]))))
+            else:
+                out.update(zip(some, self._each(some)))
+        return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n+1 offsets of the texts in them."""
-        words = [self._split(t) for t in texts]
-        if len(self.number) > MAX_CACHED_WORDS:
+    def _ids(self, words: list[str]) -> list[bytes]:
+        heads = [w.rstrip(TRAILING) for w in words]
+        plain = [h.isalpha() for h in heads]
+        runs = self._runs(list({x for p, h, w in zip(plain, heads, words) if p for x in (h, w[len(h):]) if x}))
+        rest = iter(self._each([w for w, p in zip(words, plain) if not p]))
+        return [(runs[h] + runs[w[len(h):]] if len(h) < len(w) else runs[h]) if p else next(rest)
+                for p, h, w in zip(plain, heads, words)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = self._ids(words)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, place, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), np.uint32))
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes and their offsets), and the n+1 offsets of the texts in them."""
+        n = len(off) - 1
+        # a special token's string counts only as it is written
+        low = buf if b"<|" in buf.tobytes() else bl.LOWER[buf]
+        begin, stop, hashes, count = [], [], [], np.zeros(n, np.int64)
+        for lo, hi in bl.doc_runs(off):
+            part = low[off[lo]:off[hi]]
+            a, b, at = bl.word_bounds(part, off[lo:hi + 1] - off[lo], bl.SPACED)
+            begin.append(a + off[lo])
+            stop.append(b + off[lo])
+            hashes.append(bl.span_hashes(part, a, b))
+            count[lo:hi] = np.diff(at)
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        u, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > MAX_CACHED_WORDS:
             self.clear()
-        new = list(set().union(*words).difference(self.number))
-        for lo in range(0, len(new), 50_000):
-            some = new[lo: lo + 50_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = len(self.size)
-            self.number.update(zip(some, range(first, first + len(some))))
-            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(sizes) - sizes)
-            self.size = np.append(self.size, sizes)
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())))
-        get = self.number.__getitem__
-        count = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.zeros(int(count.sum()) + len(words), np.int64)
+        at = np.searchsorted(self.hashes, u)
+        known = np.zeros(len(u), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == u[inside]
+        if not known.all():
+            a, b = np.concatenate(begin)[first[~known]], np.concatenate(stop)[first[~known]]
+            raw = low.tobytes()
+            self._learn(u[~known], [raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist())])
+            at = np.searchsorted(self.hashes, u)
         ends = np.cumsum(count + 1) - 1
-        inner = np.ones(len(at), bool)
+        inner = np.ones(len(h) + n, bool)
         inner[ends] = False
-        at[inner] = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(count.sum()))
-        size = self.size[at]
-        stop = np.cumsum(size)
-        out = self.flat[np.repeat(self.begin[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        return out, np.append(0, stop[ends])
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        for c in "\x1c\x1d\x1e\x1f":        # str.split drops these four, the tokenizer does not
-            if c in text:
-                return [w for x in text.split("\n") for y in x.split("\t") for w in y.split(" ") if w]
-        return text.split()
+        size, start = np.ones(len(inner), np.int64), np.zeros(len(inner), np.int64)
+        size[inner], start[inner] = self.size[at][which], self.begin[at][which]
+        upto = np.cumsum(size)
+        out = self.flat[np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        return out, np.append(0, upto[ends])
 
 
 def word_ids(path: str, end_id: int) -> WordIds:
@@ -140,19 +182,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     """One row per piece with its ids (little-endian unsigned 32-bit) and its place."""
 
     def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        lo = 0
-        while lo < len(texts):
-            hi, n = lo, 0
-            while hi < len(texts) and n < 1 << 22:
-                n += len(texts[hi] or "") + 1
-                hi += 1
-            flat, off = word_ids(tokenizer, end_id).encode([t or "" for t in texts[lo:hi]])
+        ids, (buf, off) = batch.column(0).to_pylist(), bl.text_bytes(batch.column(1))
+        for lo, hi in bl.doc_runs(off, RUN_BYTES):
+            flat, cut = word_ids(tokenizer, end_id).encode(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
             for i in range(hi - lo):
-                a, b = int(off[i]), int(off[i + 1])
+                a, b = int(cut[i]), int(cut[i + 1])
                 for p in range(a, b, length):
                     yield ids[lo + i], p - a, flat[p: min(p + length, b)].tobytes(), b - a
-            lo = hi
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
