@@ -26,8 +26,10 @@ def parse_yes_no(text: Column, strict: bool = False) -> Column:
 
 
 def parse_json_reply(text: Column) -> Column:
-    """JSON object -> map<string,string>; numbers become their text; bad JSON -> NULL."""
-    return F.from_json(text, "map<string,string>")
+    """JSON object -> map<string,string>; numbers become their text; anything that is not one JSON
+    object (single quotes, text after the object) -> NULL."""
+    whole = F.rtrim(F.regexp_replace(text, r"\s+$", "")).endswith("}")
+    return F.when(whole, F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"}))
 
 
 def reply_answer(reply: Column, pos: Column) -> Column:

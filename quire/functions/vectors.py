@@ -29,8 +29,8 @@ def unit(a: Column) -> Column:
 
 
 def cosine_dist(a: Column, b: Column) -> Column:
-    """``1 - cos(a, b)``."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """``1 - cos(a, b)``; 1 if either is the zero vector."""
+    return F.lit(1.0) - F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def reciprocal(d: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.replies import parse_json_reply, parse_yes_no
 from quire.functions.strings import normalise_gold, normalise_reply
+from quire.session import cut_lineage
 
 MAX_ATTEMPTS = 30  # fixed value: tries per prompt
 
@@ -130,7 +131,8 @@ def running_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str], n_pa
     keys = keys or []
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # materialised once: two plans of the same range exchange would each sample their own boundaries
+    parted = cut_lineage(df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id()))
     totals = parted.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wp = (W.partitionBy(*keys) if keys else W).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     # one row per (partition, key) slice: bounded by the slices, not by the rows

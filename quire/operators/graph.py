@@ -222,16 +222,15 @@ def affinity_edges(pairs: DataFrame, k0: float, mode: str = "sign", kind: str =
     """Threshold affinity over ``pairs(src, dst, dist)``.
 
     diverse: ``dist >= k0`` is affine; similar: ``dist <= k0``.  ``mode``: ``binary``
-    (1/0), ``sign`` (+1/-1) or ``weight`` (``dist`` for diverse, ``1 - dist`` for similar,
-    0 when not affine)."""
+    (1/0), ``sign`` (+1/-1) or ``weight`` (``1 - dist`` for diverse, ``dist`` for similar, for
+    every pair)."""
     ok = F.col("dist") >= k0 if kind == "diverse" else F.col("dist") <= k0
     if mode == "binary":
         w = F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
     elif mode == "sign":
         w = F.when(ok, F.lit(1.0)).otherwise(F.lit(-1.0))
     elif mode == "weight":
-        raw = F.col("dist") if kind == "diverse" else F.lit(1.0) - F.col("dist")
-        w = F.when(ok, raw).otherwise(F.lit(0.0))
+        w = F.lit(1.0) - F.col("dist") if kind == "diverse" else F.col("dist")
     else:
         raise ValueError(f"unknown affinity mode {mode!r}")
     return pairs.select("src", "dst", w.alias("weight"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 
 def row_number_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "row_no",
                       n_parts: int | None = None) -> DataFrame:
@@ -18,7 +20,8 @@ def row_number_within(df: DataFrame, keys: list[str], order: list[Column], out:
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [F.col(k) for k in keys] + order
-    parted = df.repartitionByRange(n, *ordered).withColumn("_pid", F.spark_partition_id())
+    # materialised once: two plans of the same range exchange would each sample their own boundaries
+    parted = cut_lineage(df.repartitionByRange(n, *ordered).withColumn("_pid", F.spark_partition_id()))
     tot = parted.groupBy("_pid", *keys).agg(F.count("*").alias("_cnt"))
     before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))

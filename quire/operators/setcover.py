@@ -37,8 +37,10 @@ def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
         e = e.join(bad, key, "left_anti")
     # loop invariant: materialised once, so no round recomputes the upstream plan
     c = cut_lineage(costs.select(key, "demo_id",
-                                 F.greatest(F.col("set_cost").cast("double"), F.lit(1.0)).alias("_cost")))
+                                 F.when(F.col("set_cost").isNotNull(), F.greatest(F.col("set_cost").cast("double"), F.lit(1.0))).alias("_cost")))
     live = cut_lineage(e)
+    if not live.join(c.where(F.col("_cost").isNotNull()), [key, "demo_id"], "left_anti").isEmpty():
+        raise ValueError("set_cover: a set has no cost, or a null one")
     picks = []
     rnd = 0
     while True:
@@ -78,26 +80,6 @@ def with_pick_no(picks: DataFrame, key: str = "cluster_id") -> DataFrame:
     return row_number_within(picks, [key], [F.col("score").desc(), F.col("demo_id")], "pick_no")
 
 
-def set_cover_local(universe: set, subsets: list[set], costs: list[float]) -> list[int]:
-    """Plain sequential greedy (test oracle); returns chosen indexes in pick order."""
-    elements = set().union(*subsets) if subsets else set()
-    if not universe.issubset(elements):
-        return []
-    covered: set = set()
-    chosen = []
-    while covered != elements:
-        best, best_score = None, 0.0
-        for i, s in enumerate(subsets):
-            sc = len(s - covered) / costs[i]
-            if sc > best_score:
-                best, best_score = i, sc
-        if best is None:
-            return []
-        chosen.append(best)
-        covered |= subsets[best]
-    return chosen
-
-
 def group_extra_demos(groups_long: DataFrame, ccover: DataFrame, costs: DataFrame, set_cover_num: int,
                       max_rounds: int = 10000) -> DataFrame:
     """C4 (code / QA): give each group up to ``set_cover_num`` further covers of its own

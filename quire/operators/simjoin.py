@@ -88,7 +88,7 @@ def _pivot_dist(metric: str, pivot: list[float]) -> F.Column:
             d = _sum_terms([F.col("_v").getItem(i) * F.lit(float(x)) for i, x in enumerate(pivot)])
         else:
             d = dot_expr(F.col("_v"), _lit_vec(pivot), None)
-        cos = d / (F.col("_n") * F.lit(pn))
+        cos = F.coalesce(F.try_divide(d, F.col("_n") * F.lit(pn)), F.lit(0.0))   # zero vector: similarity 0
         return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) * (F.lit(1.0) - cos)))
     raise ValueError(f"unknown metric {metric!r} (euclid | cosine)")
 
@@ -155,7 +155,8 @@ def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool,
             acc = L[:, 0, None] * R[None, :, 0]
             for j in range(1, L.shape[1]):
                 acc += L[:, j, None] * R[None, :, j]
-            d = 1.0 - acc / (lpdf["_n"].to_numpy()[:, None] * rpdf["_n"].to_numpy()[None, :])
+            norms = lpdf["_n"].to_numpy()[:, None] * rpdf["_n"].to_numpy()[None, :]
+            d = 1.0 - np.divide(acc, norms, out=np.zeros_like(acc), where=norms > 0)
         else:
             t = L[:, 0, None] - R[None, :, 0]
             acc = t * t
@@ -218,7 +219,7 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     cand = cand.where(band)
     # exact distance in the caller's metric, on the original vectors
     if metric == "cosine":
-        d = F.lit(1.0) - dot_expr(F.col("_lv"), F.col("_rv"), dim) / (F.col("_ln") * F.col("_rn"))
+        d = F.lit(1.0) - F.coalesce(F.try_divide(dot_expr(F.col("_lv"), F.col("_rv"), dim), F.col("_ln") * F.col("_rn")), F.lit(0.0))
     else:
         d = F.sqrt(sqdist_expr(F.col("_lv"), F.col("_rv"), dim))
     out = cand.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), d.alias("dist"))

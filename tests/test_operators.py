@@ -2,11 +2,24 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quire.operators import assign, graph, packing, setcover, simjoin
 from quire.operators.packing import best_fit_decreasing
-from quire.operators.setcover import set_cover_local
+
+
+def ranked_cover(sets, costs):
+    """The rule by definition: rank all sets anew for each pick (new elements per cost, then id)."""
+    left, order = set().union(*sets.values()), []
+    while left:
+        ratio, pick = min((-len(s & left) / costs[d], d) for d, s in sets.items())
+        if not ratio:
+            return []
+        order.append(pick)
+        left = left - sets[pick]
+    return order
 
 
 def _instances(seed, n_inst=12):
@@ -38,8 +51,7 @@ def test_set_cover_equals_sequential(spark):
         got.setdefault(r["cluster_id"], []).append((r["pick_no"], r["demo_id"]))
     for c, sets, cs in inst:
         ids = sorted(sets)
-        want = [ids[i] for i in set_cover_local(set().union(*sets.values()), [sets[d] for d in ids],
-                                                [float(cs[d]) for d in ids])]
+        want = ranked_cover({d: sets[d] for d in ids}, cs)
         assert [d for _, d in sorted(got.get(c, []))] == want
 
 
@@ -260,10 +272,9 @@ def test_skew_one_demo_covers_everything(spark):
     e = spark.createDataFrame(edges, "cluster_id long, demo_id long, ques_id long")
     k = spark.createDataFrame(costs, "cluster_id long, demo_id long, set_cost long")
     picks = setcover.with_pick_no(setcover.set_cover(e, k)).collect()
-    want = set_cover_local(set(range(300)), [{q for _, d, q in edges if d == x} for x in list(range(30)) + [99]],
-                           [2.0] * 30 + [500.0])
     ids = list(range(30)) + [99]
-    assert [r["demo_id"] for r in sorted(picks, key=lambda r: r["pick_no"])] == [ids[i] for i in want]
+    want = ranked_cover({x: {q for _, d, q in edges if d == x} for x in ids}, {x: 500.0 if x == 99 else 2.0 for x in ids})
+    assert [r["demo_id"] for r in sorted(picks, key=lambda r: r["pick_no"])] == want
     a = assign.assign_last(setcover.set_cover(e, k), e).collect()
     assert len(a) == 300
 
@@ -412,5 +423,38 @@ def test_affinity_modes(spark):
         return [r["weight"] for r in graph.affinity_edges(pairs, 0.5, mode=mode, kind=kind).orderBy("dst").collect()]
     assert w("binary", "diverse") == [0.0, 1.0]
     assert w("sign", "similar") == [1.0, -1.0]
-    assert w("weight", "diverse") == [0.0, 0.9]
-    assert [round(x, 6) for x in w("weight", "similar")] == [0.8, 0.0]
+    assert [round(x, 6) for x in w("weight", "diverse")] == [0.8, 0.1]
+    assert w("weight", "similar") == [0.2, 0.9]
+
+
+def test_numbering_keeps_every_row_of_large_keys(spark):
+    from quire.operators.evaluate import running_sums
+    from quire.operators.ordering import row_number_within
+    rows = spark.range(600_000).select((F.col("id") % 3).alias("k"), F.hash("id").alias("v"), "id", F.lit(1).alias("one"), F.lit("x").alias("unused"))
+    out = row_number_within(rows, ["k"], [F.col("v"), F.col("id")], n_parts=16)
+    got = out.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("row_no").alias("d"), F.max("row_no").alias("m")).collect()
+    assert [(r["n"], r["d"], r["m"]) for r in got] == [(200_000,) * 3] * 3
+    sums = running_sums(rows, ["id"], ["one"], n_parts=16)
+    r = sums.agg(F.count("*").alias("n"), F.max("cum_one").alias("m"), F.count_distinct("cum_one").alias("d")).first()
+    assert (r["n"], r["m"], r["d"]) == (600_000,) * 3
+
+
+def test_zero_vector_cosine(spark):
+    for dim in (3, 64):
+        v = spark.createDataFrame([(1, [0.0] * dim), (2, [1.0] * dim)], "id long, vec array<double>")
+        got = simjoin.range_join(v.withColumnRenamed("id", "l"), v.withColumnRenamed("id", "r"), "l", "r", 1.0, "cosine").collect()
+        assert {(x["l"], x["r"]): round(x["dist"], 6) for x in got} == {(1, 1): 1.0, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 0.0}
+
+
+def test_set_cover_needs_costs(spark):
+    e = spark.createDataFrame([(0, 1, 10), (0, 2, 11)], "cluster_id long, demo_id long, ques_id long")
+    for rows in ([(0, 1, 3)], [(0, 1, 3), (0, 2, None)]):
+        with pytest.raises(ValueError, match="no cost"):
+            setcover.set_cover(e, spark.createDataFrame(rows, "cluster_id long, demo_id long, set_cost long"))
+
+
+def test_json_reply_is_strict(spark):
+    from quire.functions.replies import parse_json_reply
+    texts = ['{"Question1": "yes"} ', '{"Question1":"yes"} Hope this helps', "{'Question1':'yes'}", '{"Question1": ']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(parse_json_reply(F.col("t"))).collect()]
+    assert got == [{"Question1": "yes"}, None, None, None]
