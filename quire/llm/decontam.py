@@ -134,6 +134,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, shingle: i
                   F.min(F.struct(F.coalesce("n", F.lit(0)), "token", "offset", "length")).alias("t"),
                   F.collect_set("item").alias("items")))
     prefix = cut_lineage(rarest.select(F.col("t.token").alias("token"), F.col("t.offset").alias("offset"), "words", "size", "items"))
+    shared.destroy()                                          # what used it is written
     p_log, p_bits = bit_table(prefix, prefix.select(F.approx_count_distinct("token")).first()[0] or 1)
     wanted = spark.sparkContext.broadcast(p_bits)
 
@@ -164,6 +165,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, shingle: i
                     names=["key", "doc_id", "n_words", "token", "at", "before", "around"])
 
     finds = cut_lineage(keyed.mapInArrow(find, find_schema))
+    wanted.destroy()
 
     nth = F.row_number().over(Window.partitionBy("token").orderBy("words"))
     side = (prefix.withColumn("chunk", F.floor((nth - 1) / ENTRIES))
