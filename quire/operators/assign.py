@@ -43,14 +43,14 @@ def assign_random(picks: DataFrame, ccover: DataFrame, seed: int = 0, key: str =
         .select(key, "ques_id", "demo_id")
 
 
-def assign_balanced(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id", max_rounds: int = 50) -> DataFrame:
+def assign_balanced(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Trim sets above the cluster average (floor(distinct questions / sets)), then W4."""
     from quire.session import cut_lineage
 
     h = _holders(picks, ccover, key).select(key, "demo_id", "ques_id", F.col("_ord").alias("pick_no"))
     avg = h.groupBy(key).agg(F.floor(F.countDistinct("ques_id") / F.countDistinct("demo_id")).alias("_avg"))
     h = cut_lineage(h)
-    for _ in range(max_rounds):
+    while True:                                # every round drops a row, so it ends
         mult = h.groupBy(key, "ques_id").agg(F.count("*").alias("_mult"))
         size = h.groupBy(key, "demo_id").agg(F.count("*").alias("_size"))
         x = h.join(mult, [key, "ques_id"]).join(size, [key, "demo_id"]).join(avg, key)
