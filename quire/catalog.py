@@ -19,7 +19,7 @@ from quire.functions.vectors import reciprocal
 from quire.operators import assign, coverage, evaluate, graph, packing, setcover, simjoin
 from quire.operators.features import feature_vector, max_value_length
 from quire.plans import grouping, reports
-from quire.session import prepare
+from quire.session import cut_lineage, prepare
 from quire.sources import fixtures as fx
 
 # Parameters of the registered queries (fixed for the oracle comparison).
@@ -354,7 +354,7 @@ def corr_cluster(spark, sf):
 
 def _picks(spark, sf):
     qc, dc = _vcost(spark, sf)
-    cc = _ccover(spark, sf)
+    cc = cut_lineage(_ccover(spark, sf))     # read by the costs, the cover and the assignment
     costs = coverage.set_costs(cc, qc, dc)
     return setcover.set_cover(cc, costs), cc, costs
 
@@ -439,7 +439,7 @@ def plan_groups(spark, sf):
 def plan_groups_corr(spark, sf):
     q = fx.vec_costs(_vq(spark, sf), "ques_id")
     d = fx.vec_costs(_vd(spark, sf), "demo_id")
-    cfg = PlanConfig(k0=EPS_SIM, k1=VEC_K1, k2=80, upper_ques=UPPER, batch_type="correlation", metric="cosine",
+    cfg = PlanConfig(k0=EPS_SIM, k1=VEC_K1, k2=140, upper_ques=UPPER, batch_type="correlation", metric="cosine",
                      task="qa", set_cover_num=2)
     return _groups_out(grouping.plan_groups(q, d, cfg, render_prompts=False).groups)
 

@@ -3,9 +3,10 @@
 Default (W4): among the chosen sets that hold a question, the LAST one in pick
 order keeps it -- an aggregate ``max_by`` per question, no per-cluster task.
 ``assign_random`` (W5): the first holder in a seeded hash order.
-``assign_balanced``: sets above the cluster's average size release shared
-questions (most alternative holders first, then id) down to the average, never
-releasing a question's last holder; then W4 settles what is still shared.
+``assign_balanced`` (the plan's default): in pick order, each set above the cluster's
+average size releases questions that another set still holds (lowest id first) down to
+the average; a cluster whose first set releases nothing is left as it is; then W4
+settles what is still shared.
 """
 
 from __future__ import annotations
@@ -44,31 +45,41 @@ def assign_random(picks: DataFrame, ccover: DataFrame, seed: int = 0, key: str =
 
 
 def assign_balanced(picks: DataFrame, ccover: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Trim sets above the cluster average (floor(distinct questions / sets)), then W4."""
+    """Trim sets above the cluster average (floor(distinct questions / sets)) in pick order, then W4.
+
+    Rounds instead of a pass over a cluster: a set is settled once no unsettled set before it
+    holds one of its shared questions.  Then the holders of its questions are the very ones the
+    pass in pick order would see, so the result is equal; every round settles at least the first
+    unsettled set of each cluster."""
     from quire.session import cut_lineage
 
-    h = _holders(picks, ccover, key).select(key, "demo_id", "ques_id", F.col("_ord").alias("pick_no"))
+    h = cut_lineage(_holders(picks, ccover, key))
+    size = h.groupBy(key, "demo_id", "_ord").agg(F.count("*").alias("_size"))
     avg = h.groupBy(key).agg(F.floor(F.countDistinct("ques_id") / F.countDistinct("demo_id")).alias("_avg"))
-    h = cut_lineage(h)
-    while True:                                # every round drops a row, so it ends
-        mult = h.groupBy(key, "ques_id").agg(F.count("*").alias("_mult"))
-        size = h.groupBy(key, "demo_id").agg(F.count("*").alias("_size"))
-        x = h.join(mult, [key, "ques_id"]).join(size, [key, "demo_id"]).join(avg, key)
-        # each shared question may leave only its least-preferred holder in a round
-        # a shared question may leave only its earliest holder in a round (the latest keeps it)
-        first = h.groupBy(key, "ques_id").agg(F.min("pick_no").alias("_first"))
-        x = x.join(first, [key, "ques_id"]).withColumn("_first_holder", F.col("pick_no") == F.col("_first"))
-        cand = x.where((F.col("_size") > F.col("_avg")) & (F.col("_mult") > 1) & F.col("_first_holder"))
-        # per set, release shared questions (most alternatives first, then id) down to the average;
+    open_sets = size.join(avg, key).where(F.col("_size") > F.col("_avg")) \
+        .select(key, "demo_id", "_ord", (F.col("_size") - F.col("_avg")).alias("_excess"))
+    shared = h.groupBy(key, "ques_id").agg(F.count("*").alias("_mult")).where(F.col("_mult") > 1)
+    # the first set of a cluster must release something, or the cluster stays as it is
+    first = size.groupBy(key).agg(F.min_by("demo_id", "_ord").alias("demo_id"))
+    trimmed = open_sets.join(first, [key, "demo_id"], "left_semi") \
+        .join(h.join(shared, [key, "ques_id"], "left_semi"), [key, "demo_id"], "left_semi").select(key)
+    open_sets = cut_lineage(open_sets.join(trimmed, key, "left_semi"))
+    while not open_sets.isEmpty():
+        mult = h.groupBy(key, "ques_id").agg(F.count("*").alias("_mult")).where(F.col("_mult") > 1)
+        cand = h.join(open_sets.select(key, "demo_id", "_excess"), [key, "demo_id"]).join(mult.select(key, "ques_id"), [key, "ques_id"])
+        cand = cut_lineage(cand)
+        lead = cand.groupBy(key, "ques_id").agg(F.min("_ord").alias("_lead"))
+        ready = cand.join(lead, [key, "ques_id"]).groupBy(key, "demo_id").agg(
+            F.bool_and(F.col("_ord") == F.col("_lead")).alias("_ready")).where("_ready").select(key, "demo_id")
         # the window runs over one set's own questions only
-        rel = W.partitionBy(key, "demo_id").orderBy(F.col("_mult").desc(), F.col("ques_id"))
-        drop = cand.withColumn("_r", F.row_number().over(rel)) \
-            .where(F.col("_r") <= F.col("_size") - F.col("_avg")).select(key, "demo_id", "ques_id")
-        if drop.isEmpty():
-            break
+        rel = W.partitionBy(key, "demo_id").orderBy("ques_id")
+        drop = cand.join(ready, [key, "demo_id"], "left_semi").withColumn("_r", F.row_number().over(rel)) \
+            .where(F.col("_r") <= F.col("_excess")).select(key, "demo_id", "ques_id")
         h = cut_lineage(h.join(drop, [key, "demo_id", "ques_id"], "left_anti"))
-    picks2 = h.select(key, "demo_id", "pick_no").distinct()
-    return assign_last(picks2, h, key)
+        # sets that share nothing any more have nothing to release
+        open_sets = cut_lineage(open_sets.join(cand.select(key, "demo_id"), [key, "demo_id"], "left_semi")
+                                .join(ready, [key, "demo_id"], "left_anti"))
+    return h.groupBy(key, "ques_id").agg(F.max_by("demo_id", "_ord").alias("demo_id")).select(key, "ques_id", "demo_id")
 
 
 def assign_cost(picks: DataFrame, assignment: DataFrame, ques_cost: DataFrame, demo_cost: DataFrame,

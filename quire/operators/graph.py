@@ -302,6 +302,8 @@ def pivot_clusters(nodes: DataFrame, edges: DataFrame, seeds: list[int], max_rou
     for x in pivots[1:]:
         P = P.unionByName(x)
     P = cut_lineage(P)
+    for x in pivots:
+        x.unpersist()
     attach = E.join(P.select("seed", F.col("id").alias("v"), F.col("p").alias("pp")), "v") \
         .join(P.select("seed", F.col("id").alias("u")), ["seed", "u"], "left_anti") \
         .groupBy("seed", "u").agg(F.min_by("v", "pp").alias("pivot"))
@@ -382,10 +384,25 @@ def best_state(losses: DataFrame) -> DataFrame:
     return losses.orderBy(F.col("loss"), F.col("seed")).limit(1)
 
 
-def correlation_clustering(nodes: DataFrame, edges: DataFrame, seeds: list[int]) -> DataFrame:
+def _loss_of_absent(edges: DataFrame, runs: DataFrame, weight: float) -> DataFrame:
+    """Loss per seed of the pairs that are not listed, all of weight ``weight`` < 0: the pairs
+    inside clusters, counted from the cluster sizes, without the listed ones."""
+    size = runs.groupBy("seed", "cluster_id").agg(F.count("*").alias("n"))
+    inside = size.groupBy("seed").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("all_in"))
+    listed = _edge_states(edges, runs, ["seed"]).groupBy("seed").agg(
+        F.count_if(F.col("cs") == F.col("cd")).alias("listed_in"))
+    return inside.join(listed, "seed", "left").select(
+        "seed", ((F.col("all_in") - F.coalesce("listed_in", F.lit(0))) * F.lit(abs(weight))).alias("absent_loss"))
+
+
+def correlation_clustering(nodes: DataFrame, edges: DataFrame, seeds: list[int],
+                           absent_weight: float = 0.0) -> DataFrame:
     """G5 end to end: pivot runs for each seed plus the component clustering the
     reference starts from; keep the smallest linear loss; split non-positive parts.
-    Output ``(id, cluster_id)``."""
+    Pairs that are not listed weigh ``absent_weight`` (at most 0): with -1 the graph is the
+    full signed one, and no table of all pairs is built.  Output ``(id, cluster_id)``."""
+    if absent_weight > 0:
+        raise ValueError("absent pairs cannot attract: list the positive ones")
     # read by the pivot rounds, the components, the losses and the split: materialise once
     edges = cut_lineage(edges.select("src", "dst", "weight"))
     runs = pivot_clusters(nodes, edges, seeds)
@@ -394,6 +411,9 @@ def correlation_clustering(nodes: DataFrame, edges: DataFrame, seeds: list[int])
     losses = loss_linear(edges, allruns, key=["seed"])
     seeds_df = allruns.select("seed").distinct()
     losses = seeds_df.join(losses, "seed", "left").select("seed", F.coalesce("loss", F.lit(0.0)).alias("loss"))
+    if absent_weight:
+        losses = losses.join(_loss_of_absent(edges, allruns, absent_weight), "seed").select(
+            "seed", (F.col("loss") + F.col("absent_loss")).alias("loss"))
     best = best_state(losses).first()["seed"]
     chosen = allruns.where(F.col("seed") == best).select("id", "cluster_id")
     return split_clusters(chosen, edges)

@@ -68,7 +68,10 @@ def set_cover(edges: DataFrame, costs: DataFrame, key: str = "cluster_id",
     out = picks[0]
     for p in picks[1:]:
         out = out.unionByName(p)
-    return out.select(key, "demo_id", "score", "round")
+    out = cut_lineage(out.select(key, "demo_id", "score", "round"))
+    for p in picks:
+        p.unpersist()
+    return out
 
 
 def with_pick_no(picks: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -112,9 +115,12 @@ def group_extra_demos(groups_long: DataFrame, ccover: DataFrame, costs: DataFram
             .join(ccover.select("cluster_id", "demo_id", "ques_id"), ["cluster_id", "ques_id"]) \
             .join(have.select("group_id", "demo_id"), ["group_id", "demo_id"], "left_anti") \
             .select("group_id", "demo_id", "ques_id")
+        edges = cut_lineage(edges)
         if edges.isEmpty():
             break
-        gcost = open_groups.select("group_id", "cluster_id").join(costs, "cluster_id") \
+        # costs of the demos in question only, never groups x demos of a cluster
+        gcost = edges.select("group_id", "demo_id").distinct() \
+            .join(open_groups.select("group_id", "cluster_id"), "group_id").join(costs, ["cluster_id", "demo_id"]) \
             .select("group_id", "demo_id", "set_cost")
         uni = gq.join(open_groups.select("group_id"), "group_id").select("group_id", "ques_id")
         # groups are bounded by the token budget, so numbering per group is bounded too

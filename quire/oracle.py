@@ -182,6 +182,30 @@ SELECT q.group_id, {_lit(CODE_TASK_TEXT)} || d.demo_txt || {_lit(CODE_QUESTIONS_
 FROM qtx q JOIN dtx d USING (group_id)"""
 
 
+def balanced(cc: str, picks: str) -> str:
+    """The balancing pass over the holders of the picks, one set after the other in pick order:
+    a set above floor(questions / sets) of its cluster releases questions with another holder
+    left, lowest id first, down to that average; nothing happens to a cluster whose first set
+    releases nothing.  ``kept(cluster_id, step, demo_id, ques_id)`` is what the sets still hold."""
+    return f"""hold AS (SELECT c.cluster_id, c.demo_id, c.ques_id, p.step FROM {cc} c JOIN {picks} p USING (cluster_id, demo_id)),
+hm AS (SELECT *, count(*) OVER (PARTITION BY cluster_id, ques_id) AS m FROM hold),
+hav AS (SELECT cluster_id, (count(DISTINCT ques_id) // count(DISTINCT demo_id))::BIGINT AS av FROM hold GROUP BY 1),
+hs AS (SELECT cluster_id, step, any_value(av) AS av, list({{'q': ques_id, 'm': m}} ORDER BY ques_id) AS it
+       FROM hm JOIN hav USING (cluster_id) GROUP BY 1, 2),
+bal(cluster_id, step, gone, rel) AS (
+  SELECT DISTINCT cluster_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM hs
+  UNION ALL
+  SELECT x.cluster_id, x.step, list_concat(x.gone, x.rel), x.rel FROM (
+    SELECT s.cluster_id, s.step::BIGINT AS step, b.gone,
+           list_transform(list_filter(s.it, lambda t: t.m - len(list_filter(b.gone, lambda y: y = t.q)) > 1),
+                          lambda t: t.q)[1:greatest(len(s.it) - s.av, 0)] AS rel
+    FROM bal b JOIN hs s ON s.cluster_id = b.cluster_id AND s.step = b.step + 1
+    WHERE NOT (b.step = 1 AND len(b.rel) = 0)) x),
+brel AS (SELECT cluster_id, step, unnest(rel) AS ques_id FROM bal),
+kept AS (SELECT h.* FROM hold h WHERE NOT EXISTS (SELECT 1 FROM brel r WHERE r.cluster_id = h.cluster_id
+         AND r.step = h.step AND r.ques_id = h.ques_id))"""
+
+
 # Sequential greedy set cover over the VEC cover with label clusters: one pick per step,
 # best newly-covered / cost, ties to the lowest demo id (a recursive CTE with a LATERAL top-1).
 GREEDY_T = """sc AS (SELECT cc.cluster_id, cc.demo_id, list(cc.ques_id) AS qs,
@@ -196,8 +220,7 @@ g(cluster_id, step, covered, pick, score) AS (
                    FROM sc s WHERE s.cluster_id = g.cluster_id ORDER BY score DESC, s.demo_id LIMIT 1) b
   WHERE b.score > 0),
 picks AS (SELECT cluster_id, pick AS demo_id, score, step FROM g WHERE step > 0),
-owner AS (SELECT cc.cluster_id, cc.ques_id, arg_max(p.demo_id, p.step) AS demo_id
-          FROM cc JOIN picks p USING (cluster_id, demo_id) GROUP BY 1, 2),
+{owner},
 wt AS (SELECT o.cluster_id, o.demo_id, 10 + any_value(d.label) + sum(10 + q.label) AS weight
        FROM owner o JOIN vq q USING (ques_id) JOIN vd d USING (demo_id) GROUP BY 1, 2),
 items AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, demo_id) AS rn FROM wt),
@@ -214,10 +237,16 @@ bins(cluster_id, rn, loads, demo_id, weight, bin_no) AS (
            lambda j: CASE WHEN b.loads[j] + i.weight <= {cap} THEN b.loads[j] END) AS fl)) f)"""
 
 
-def greedy(cap: float) -> str:
-    """Sequential greedy cover, last-holder owner, item weights and best-fit-decreasing
+OWNER_LAST = """owner AS (SELECT cc.cluster_id, cc.ques_id, arg_max(p.demo_id, p.step) AS demo_id
+          FROM cc JOIN picks p USING (cluster_id, demo_id) GROUP BY 1, 2)"""
+OWNER_BALANCED = balanced("cc", "picks") + """,
+owner AS (SELECT cluster_id, ques_id, arg_max(demo_id, step) AS demo_id FROM kept GROUP BY 1, 2)"""
+
+
+def greedy(cap: float, owner: str = OWNER_LAST) -> str:
+    """Sequential greedy cover, one owner per question, item weights and best-fit-decreasing
     packing over the CTE ``cc(cluster_id, demo_id, ques_id)`` with VEC costs."""
-    return GREEDY_T.replace("{cap}", repr(float(cap)))
+    return GREEDY_T.replace("{owner}", owner).replace("{cap}", repr(float(cap)))
 
 
 GREEDY = greedy(60.0)
@@ -262,8 +291,8 @@ def _plan_groups_sql() -> str:
                    FROM psc s WHERE s.cluster_id = g.cluster_id ORDER BY score DESC, s.demo_id LIMIT 1) b
   WHERE b.score > 0)""",
                  "pp AS (SELECT cluster_id, pick AS demo_id, step FROM pg WHERE step > 0)",
-                 """po AS (SELECT c.cluster_id, c.ques_id, arg_max(p.demo_id, p.step) AS demo_id
-        FROM pcc c JOIN pp p USING (cluster_id, demo_id) GROUP BY 1, 2)""",
+                 balanced("pcc", "pp"),
+                 "po AS (SELECT cluster_id, ques_id, arg_max(demo_id, step) AS demo_id FROM kept GROUP BY 1, 2)",
                  """pw AS (SELECT o.cluster_id, o.demo_id, any_value(d.cost) + sum(q.cost) AS weight
         FROM po o JOIN eq q USING (ques_id) JOIN ed d USING (demo_id) GROUP BY 1, 2)""",
                  "pi AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, demo_id) AS rn FROM pw)",
@@ -284,7 +313,7 @@ def _plan_groups_sql() -> str:
                  """gd AS (SELECT cluster_id, bin_no, count(*) AS n_demo,
                string_agg(demo_id::VARCHAR, ',' ORDER BY demo_id) AS demo, sum(weight) AS tokens
         FROM pb WHERE rn > 0 GROUP BY 1, 2)""", recursive=True) + f"""
-SELECT gd.cluster_id, gd.cluster_id::VARCHAR || '-0-' || gd.bin_no::VARCHAR AS group_id,
+SELECT gd.cluster_id, gd.cluster_id::VARCHAR || '-' || gd.bin_no::VARCHAR AS group_id,
        count(gq.ques_id)::BIGINT AS n_ques, any_value(gd.n_demo)::BIGINT AS n_demo,
        string_agg(gq.ques_id::VARCHAR, ',' ORDER BY gq.ques_id) AS ques, any_value(gd.demo) AS demo,
        any_value(gd.tokens)::BIGINT AS tokens, any_value(gd.tokens) > {cap} AS over_budget
@@ -369,7 +398,7 @@ def _extra_round(r: int, prev_demos: str) -> list[str]:
 
 def _group_extra_demos_sql() -> str:
     return _with(VEC, GREEDY,
-                 """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-0-' || bin_no::VARCHAR AS group_id, demo_id
+                 """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-' || bin_no::VARCHAR AS group_id, demo_id
         FROM bins WHERE rn > 0)""",
                  "gq AS (SELECT g0.cluster_id, g0.group_id, o.ques_id FROM g0 JOIN owner o USING (cluster_id, demo_id))",
                  "gnq AS (SELECT group_id, count(*) AS nq FROM gq GROUP BY 1)",
@@ -385,22 +414,22 @@ UNION ALL SELECT group_id, demo_id, extra_round::INTEGER, pick_no::INTEGER FROM
 
 def _plan_groups_corr_sql() -> str:
     """``catalog.plan_groups_corr``: QA task on VEC -- kNN filter, threshold cover among the
-    kept rows, correlation clustering of the eps graph, sequential greedy per cluster,
-    last holder, best-fit-decreasing, two rounds of extra covers, groups."""
+    kept rows, correlation clustering of the full signed graph (+1 near, -1 beyond eps),
+    sequential greedy per cluster, balancing pass, last holder, best-fit-decreasing, two rounds of extra covers, groups."""
     from quire.functions.prompts import task_text_cost
-    cap = float(80 - task_text_cost("qa"))
+    cap = float(140 - task_text_cost("qa"))
     return _with(VEC_BASE,
                  "fq AS (SELECT DISTINCT ques_id FROM knn)",
                  "fd AS (SELECT DISTINCT demo_id FROM knn)",
                  f"""cov AS (SELECT ques_id, demo_id FROM vp WHERE cdist <= {VEC_K1}
         AND ques_id IN (SELECT ques_id FROM fq) AND demo_id IN (SELECT demo_id FROM fd))""",
                  "gv AS (SELECT ques_id AS id, v FROM vq WHERE ques_id IN (SELECT ques_id FROM fq))",
-                 f"""ge AS (SELECT a.id AS src, b.id AS dst, 1.0 AS weight FROM gv a JOIN gv b ON a.id < b.id
-        WHERE {cos('a.v', 'b.v')} <= {EPS_SIM})""",
+                 f"""ge AS (SELECT a.id AS src, b.id AS dst, CASE WHEN {cos('a.v', 'b.v')} <= {EPS_SIM} THEN 1.0 ELSE -1.0 END AS weight
+        FROM gv a JOIN gv b ON a.id < b.id)""",
                  *_corr_parts(),
                  "cc AS (SELECT sp.l AS cluster_id, cov.demo_id, cov.ques_id FROM cov JOIN sp ON sp.id = cov.ques_id)",
-                 greedy(cap),
-                 """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-0-' || bin_no::VARCHAR AS group_id, demo_id
+                 greedy(cap, OWNER_BALANCED),
+                 """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-' || bin_no::VARCHAR AS group_id, demo_id
         FROM bins WHERE rn > 0)""",
                  "gq AS (SELECT g0.cluster_id, g0.group_id, o.ques_id FROM g0 JOIN owner o USING (cluster_id, demo_id))",
                  "gnq AS (SELECT group_id, count(*) AS nq FROM gq GROUP BY 1)",
@@ -414,7 +443,7 @@ def _plan_groups_corr_sql() -> str:
         UNION ALL SELECT group_id, demo_id FROM a2))""", recursive=True) + f"""
 SELECT t.cluster_id, t.group_id, qn.n_ques, dn.n_demo, qn.ques, dn.demo, t.tokens::BIGINT AS tokens,
        t.tokens > {cap} AS over_budget
-FROM (SELECT cluster_id, cluster_id::VARCHAR || '-0-' || bin_no::VARCHAR AS group_id, sum(weight) AS tokens
+FROM (SELECT cluster_id, cluster_id::VARCHAR || '-' || bin_no::VARCHAR AS group_id, sum(weight) AS tokens
       FROM bins WHERE rn > 0 GROUP BY 1, 2) t
 JOIN (SELECT group_id, count(*)::BIGINT AS n_ques, string_agg(ques_id::VARCHAR, ',' ORDER BY ques_id) AS ques
       FROM gq GROUP BY 1) qn USING (group_id)
@@ -423,27 +452,8 @@ JOIN (SELECT group_id, count(*)::BIGINT AS n_demo, string_agg(demo_id::VARCHAR,
 
 
 def _assign_balanced_sql() -> str:
-    """``catalog.assign_balanced``: holders of the greedy picks; each round, a set above its
-    cluster's average releases shared questions it holds as their earliest holder (most
-    holders first, then id) down to the average; then the latest holder keeps each question."""
-    return _with(VEC, GREEDY,
-                 "hold AS (SELECT cc.cluster_id, cc.demo_id, cc.ques_id, p.step FROM cc JOIN picks p USING (cluster_id, demo_id))",
-                 """avgc AS (SELECT cluster_id, floor(count(DISTINCT ques_id) / count(DISTINCT demo_id)) AS av
-        FROM hold GROUP BY 1)""",
-                 """hb(cluster_id, demo_id, ques_id, step, alive) USING KEY (cluster_id, demo_id, ques_id) AS (
-  SELECT cluster_id, demo_id, ques_id, step, true FROM hold
-  UNION
-  SELECT x.cluster_id, x.demo_id, x.ques_id, x.step, false FROM (
-    SELECT c.*, row_number() OVER (PARTITION BY c.cluster_id, c.demo_id ORDER BY c.mult DESC, c.ques_id) AS r
-    FROM (SELECT h.*, count(*) OVER (PARTITION BY h.cluster_id, h.ques_id) AS mult,
-                 count(*) OVER (PARTITION BY h.cluster_id, h.demo_id) AS size,
-                 min(h.step) OVER (PARTITION BY h.cluster_id, h.ques_id) AS first_step
-          FROM recurring.hb h WHERE h.alive) c
-    JOIN avgc a USING (cluster_id)
-    WHERE c.size > a.av AND c.mult > 1 AND c.step = c.first_step) x
-  JOIN avgc a2 USING (cluster_id)
-  WHERE x.r <= x.size - a2.av AND EXISTS (SELECT 1 FROM hb))""", recursive=True) + """
-SELECT cluster_id, ques_id, arg_max(demo_id, step) AS demo_id FROM hb WHERE alive GROUP BY 1, 2"""
+    """``catalog.assign_balanced``: the balancing pass over the greedy picks, then the latest holder."""
+    return _with(VEC, greedy(60.0, OWNER_BALANCED), recursive=True) + "SELECT cluster_id, ques_id, demo_id FROM owner"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -570,9 +580,9 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
 
     q["set_cover"] = _with(VEC, GREEDY, recursive=True) + \
         "SELECT cluster_id, demo_id, round(score, 6) AS score, step::INTEGER AS pick_no FROM picks"
-    q["pack_groups"] = _with(VEC, GREEDY, recursive=True) + """SELECT cluster_id, 0::INTEGER AS shard, demo_id, weight::BIGINT AS weight,
+    q["pack_groups"] = _with(VEC, GREEDY, recursive=True) + """SELECT cluster_id, demo_id, weight::BIGINT AS weight,
   bin_no FROM bins WHERE rn > 0"""
-    q["groups_long"] = _with(VEC, GREEDY, recursive=True) + """SELECT b.cluster_id, b.cluster_id::VARCHAR || '-0-' || b.bin_no::VARCHAR AS group_id,
+    q["groups_long"] = _with(VEC, GREEDY, recursive=True) + """SELECT b.cluster_id, b.cluster_id::VARCHAR || '-' || b.bin_no::VARCHAR AS group_id,
   b.demo_id, o.ques_id FROM bins b JOIN owner o USING (cluster_id, demo_id) WHERE b.rn > 0"""
     q["plan_groups"] = _plan_groups_sql()
     q["corr_cluster"] = _corr_cluster_sql()

@@ -3,7 +3,7 @@
 ``plan_groups(questions, demos, cfg)`` runs
 candidate kNN cover (J3) -> filter (P3) -> cover (J3 / P13) -> clustering
 (G1 / G2 / G5 / G10) -> [dominated filter P8] -> set costs (A6) -> greedy cover
-rounds (C1) -> one owner per question (W4) -> item weights (A7) -> bin packing
+rounds (C1) -> one owner per question (C2, W4 or W5) -> item weights (A7) -> bin packing
 (C3) -> [extra covers C4] -> groups (C7) -> prompts.
 
 Inputs: ``questions(ques_id, vec, cost, ...)`` and ``demos(demo_id, vec, cost, ...)``;
@@ -48,7 +48,8 @@ def _cluster(questions: DataFrame, cfg: PlanConfig) -> DataFrame:
                                    metric=cfg.metric, self_join=True, n_pivots=cfg.n_pivots)
         edges = graph.affinity_edges(pairs.select(F.col("id").alias("src"), F.col("id2").alias("dst"), "dist"),
                                      cfg.k0, mode="sign", kind="similar")
-        return graph.correlation_clustering(pts.select("id"), edges, seeds=[0, 1, 2])
+        # every pair beyond k0 has sign -1: implied, not listed
+        return graph.correlation_clustering(pts.select("id"), edges, seeds=[0, 1, 2], absent_weight=-1.0)
     raise ValueError(f"unknown batch_type {cfg.batch_type!r}")
 
 
@@ -93,12 +94,13 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
     covered_clusters = picks.select("cluster_id").distinct()
     unasked.append(universe.join(covered_clusters, "cluster_id", "left_anti").select(
         "ques_id", F.lit("uncoverable").alias("reason")))
-    assignment = cut_lineage(assign.assign_last(picks, ccover))
+    owner = {"balanced": assign.assign_balanced, "last": assign.assign_last, "random": assign.assign_random}[cfg.assign]
+    assignment = cut_lineage(owner(picks, ccover))
     items = assign.assign_cost(picks, assignment, qcost, dcost, keep_empty=cfg.keep_empty)
     from quire.functions.prompts import task_text_cost
     t_cost = task_text_cost(cfg.task) if cfg.t_cost is None else cfg.t_cost
     cap = float(cfg.k2 - t_cost)
-    bins = cut_lineage(packing.pack_groups(items, cap, cfg.max_pack_items))
+    bins = cut_lineage(packing.pack_groups(items, cap))
     extra = None
     if cfg.task in ("code", "qa") and cfg.set_cover_num > 0:
         gl = packing.groups_long(bins, assignment)

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import assign, graph, packing, setcover, simjoin
-from quire.operators.packing import best_fit_decreasing
 
 
 def ranked_cover(sets, costs):
@@ -80,6 +79,67 @@ def test_assignment_is_partition(spark):
             assert (c, d) in picked and (c, d, q) in set(edges)
 
 
+def best_fit_decreasing(ids, weights, capacity):
+    """Bin number per item, one item after the other."""
+    loads, out = [], {}
+    for w, i in sorted(zip([-w for w in weights], ids)):
+        fits = [b for b, load in enumerate(loads) if load - w <= capacity]
+        if fits:
+            b = max(fits, key=lambda b: (loads[b], -b))
+        else:
+            b = len(loads)
+            loads.append(0)
+        loads[b] -= w
+        out[i] = b
+    return [out[i] for i in ids]
+
+
+def test_balanced_assignment_is_the_pass_in_pick_order(spark):
+    sets = {1: [1, 2, 6, 7], 2: [5], 3: [1, 5, 8, 9, 10]}
+    e = spark.createDataFrame([(0, d, q) for d, qs in sets.items() for q in qs], "cluster_id long, demo_id long, ques_id long")
+    p = spark.createDataFrame([(0, d, d) for d in sets], "cluster_id long, demo_id long, pick_no long")
+    got = {}
+    for r in assign.assign_balanced(p, e).collect():
+        got.setdefault(r["demo_id"], set()).add(r["ques_id"])
+    assert got == {1: {2, 6, 7}, 2: {5}, 3: {1, 8, 9, 10}}
+
+    rng = random.Random(5)
+    cover = {c: [sorted(rng.sample(range(14), rng.randint(1, 8))) for _ in range(rng.randint(1, 7))] for c in range(25)}
+    rows = [(c, d, q) for c, ss in cover.items() for d, qs in enumerate(ss) for q in qs]
+    e = spark.createDataFrame(rows, "cluster_id long, demo_id long, ques_id long")
+    p = spark.createDataFrame(sorted({(c, d, d) for c, d, _ in rows}), "cluster_id long, demo_id long, pick_no long")
+    want = {}
+    for c, ss in cover.items():
+        left = [set(x) for x in ss]
+        avg = len(set().union(*left)) // len(left)
+        for at, s in enumerate(left):
+            free = [q for q in sorted(s) if sum(q in t for t in left) > 1][:max(len(s) - avg, 0)]
+            s -= set(free)
+            if at == 0 and not free:
+                break
+        for d, s in enumerate(left):
+            want |= {(c, q): d for q in s}
+    assert {(r["cluster_id"], r["ques_id"]): r["demo_id"] for r in assign.assign_balanced(p, e).collect()} == want
+
+
+def test_correlation_of_the_full_signed_graph(spark):
+    # a chain is one component, but its ends repel: the pieces lose less
+    n = 12
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "src long, dst long, weight double")
+    nodes = spark.range(n).select("id")
+    lab = {r["id"]: r["cluster_id"] for r in graph.correlation_clustering(nodes, edges, [0, 1, 2], absent_weight=-1.0).collect()}
+    assert len(set(lab.values())) > 1
+
+    def loss(x):
+        return sum((abs(i - j) == 1) != (x[i] == x[j]) for i in range(n) for j in range(i))
+    runs = {}
+    for r in graph.pivot_clusters(nodes, edges, [0, 1, 2]).collect():
+        runs.setdefault(r["seed"], {})[r["id"]] = r["cluster_id"]
+    assert loss(lab) <= min([loss(x) for x in runs.values()] + [loss([0] * n)])
+    one = {r["cluster_id"] for r in graph.correlation_clustering(nodes, edges, [0, 1, 2]).collect()}
+    assert one == {0}
+
+
 def test_packing_rule_and_budget(spark):
     rng = random.Random(1)
     items = [(0, i, rng.choice([5, 10, 10, 20, 35, 70])) for i in range(60)]
@@ -94,15 +154,15 @@ def test_packing_rule_and_budget(spark):
         assert sum(ws) <= 50 or len(ws) == 1
 
 
-def test_packing_sharded(spark):
-    items = [(0, i, 10) for i in range(100)]
+def test_packing_is_the_sequential_rule_at_any_size(spark):
+    rng = random.Random(2)
+    items = [(c, i, rng.randint(0, 130) if c else rng.choice([7, 11, 30])) for c in range(3) for i in range(2000)]
     df = spark.createDataFrame(items, "cluster_id long, demo_id long, weight long")
-    out = packing.pack_groups(df, 35.0, max_items=30).collect()
-    assert len(out) == 100 and len({r["shard"] for r in out}) > 1
-    loads = {}
-    for r in out:
-        loads[(r["shard"], r["bin_no"])] = loads.get((r["shard"], r["bin_no"]), 0) + r["weight"]
-    assert max(loads.values()) <= 35
+    got = {(r["cluster_id"], r["demo_id"]): r["bin_no"] for r in packing.pack_groups(df.repartition(7), 100.0).collect()}
+    for c in range(3):
+        mine = [(i, w) for k, i, w in items if k == c]
+        want = best_fit_decreasing([i for i, _ in mine], [w for _, w in mine], 100)
+        assert [got[(c, i)] for i, _ in mine] == want
 
 
 def _union_find(n, edges):
