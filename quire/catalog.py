@@ -40,6 +40,10 @@ K2_REPORT = 20000     # budget of the report queries
 T_COST = 50           # task text tokens of the report queries
 SEED = 7              # seed of the random assignment
 ER_CFG = PlanConfig(k0=1.9, k1=0.13, k2=300, upper_ques=5, batch_type="diverse", metric="euclid", task="er")
+ER_SIMILAR = ER_CFG.with_(batch_type="similar", k0=0.02)
+ER_RANDOM = ER_CFG.with_(batch_type="random")
+WEAK_EDGE = 0.05      # weights below it are no values in components_non_value
+PROMPT_DEMOS = 4      # demos of a QA / transform prompt: items 4 g .. 4 g + 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -302,18 +306,33 @@ def affinity_edges(spark, sf):
     return e.select("src", "dst", F.col("weight").cast("double"))
 
 
+def components_non_value(spark, sf):
+    """Components where a caller's rule says which weights are no values (here: weak ones)."""
+    return graph.components(fx.graph_nodes(spark, sf), fx.graph_edges(spark, sf), is_non_value=F.col("weight") < WEAK_EDGE)
+
+
 def edge_transform(spark, sf):
     e = graph.edge_transform(fx.graph_edges(spark, sf), lambda w: F.abs(w) * 10)
     return e.select("src", "dst", _r(F.col("weight")).alias("weight"))
 
 
-def label_nodes(spark, sf):
+def _noisy_labels(spark, sf):
     e = fx.graph_edges(spark, sf).where(F.col("weight") >= 0)
     touched = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     labels = graph.connected_components(touched, e)
     return graph.label_nodes(fx.graph_nodes(spark, sf), labels)
 
 
+def label_nodes(spark, sf):
+    return _noisy_labels(spark, sf)
+
+
+def clusters_without_noise(spark, sf):
+    """Clusters by size where nodes without a label do not count."""
+    c = graph.clusters_by_size(_noisy_labels(spark, sf), keep_noise=False)
+    return c.select("cluster_id", F.col("size").cast("long"), "min_member")
+
+
 def _label_clusters(spark, sf):
     return fx.graph_nodes(spark, sf).select("id", F.col("label").cast("long").alias("cluster_id"))
 
@@ -323,16 +342,16 @@ def split_clusters(spark, sf):
 
 
 def corr_loss_linear(spark, sf):
-    return graph.loss_linear(fx.graph_edges(spark, sf), _label_clusters(spark, sf)).select(_r(F.col("loss")).alias("loss"))
+    return graph.loss_by_name("linear_loss")(fx.graph_edges(spark, sf), _label_clusters(spark, sf)).select(_r(F.col("loss")).alias("loss"))
 
 
 def corr_loss_binary(spark, sf):
-    return graph.loss_binary(fx.graph_edges(spark, sf), _label_clusters(spark, sf)).select(_r(F.col("loss")).alias("loss"))
+    return graph.loss_by_name("binary_loss")(fx.graph_edges(spark, sf), _label_clusters(spark, sf)).select(_r(F.col("loss")).alias("loss"))
 
 
 def corr_loss_poles(spark, sf):
     e = fx.graph_edges(spark, sf).withColumn("kind", F.when(F.col("weight") < 0, F.lit("min")).otherwise(F.lit("max")))
-    return graph.loss_poles(e, _label_clusters(spark, sf)).select(_r(F.col("loss")).alias("loss"))
+    return graph.loss_by_name("binary_loss_poles")(e, _label_clusters(spark, sf)).select(_r(F.col("loss")).alias("loss"))
 
 
 def corr_best(spark, sf):
@@ -429,13 +448,23 @@ def _groups_out(g: DataFrame) -> DataFrame:
 
 
 def plan_groups(spark, sf):
+    return _er_plan(spark, sf, ER_CFG)
+
+
+def _er_plan(spark, sf, cfg):
     from quire.operators.features import pair_features as feats
-    q = feats(fx.er_questions(spark, sf))
-    d = feats(fx.er_demos(spark, sf))
-    plan = grouping.plan_groups(q, d, ER_CFG, render_prompts=False)
+    plan = grouping.plan_groups(feats(fx.er_questions(spark, sf)), feats(fx.er_demos(spark, sf)), cfg, render_prompts=False)
     return _groups_out(plan.groups)
 
 
+def plan_groups_similar(spark, sf):
+    return _er_plan(spark, sf, ER_SIMILAR)
+
+
+def plan_groups_random(spark, sf):
+    return _er_plan(spark, sf, ER_RANDOM)
+
+
 def plan_groups_corr(spark, sf):
     q = fx.vec_costs(_vq(spark, sf), "ques_id")
     d = fx.vec_costs(_vd(spark, sf), "demo_id")
@@ -505,6 +534,27 @@ def render_prompt_text(spark, sf):
                      F.col("tokens").cast("int").alias("tokens"))
 
 
+def _task_prompts(spark, sf, task):
+    q, d = fx.txt_questions(spark, sf), fx.txt_demos(spark, sf)
+    qs = q.groupBy(F.floor(F.col("ques_id") / TXT_GROUP).cast("long").alias("group_id")) \
+        .agg(F.sort_array(F.collect_list("ques_id")).alias("ques"))
+    ds = d.groupBy(F.floor(F.col("demo_id") / PROMPT_DEMOS).cast("long").alias("group_id")) \
+        .agg(F.sort_array(F.collect_list("demo_id")).alias("demo"))
+    pr = grouping.render_prompts_for(qs.join(ds, "group_id"), q, d, task)
+    return pr.select("group_id", "prompt", F.array_join("answers", ",").alias("answers"),
+                     F.col("tokens").cast("int").alias("tokens"))
+
+
+def render_prompt_qa(spark, sf):
+    """F8: prompts of true/false questions."""
+    return _task_prompts(spark, sf, "qa")
+
+
+def render_prompt_jd(spark, sf):
+    """prompts of transformations."""
+    return _task_prompts(spark, sf, "jd")
+
+
 # ---------------------------------------------------------------------------
 # Evaluation (EVAL fixture)
 # ---------------------------------------------------------------------------
@@ -537,6 +587,14 @@ def eval_exact(spark, sf):
     return m.select("correct", "total", _r(F.col("accuracy")).alias("accuracy"), F.col("unanswered").cast("long"))
 
 
+def eval_exact_qa(spark, sf):
+    """A11/F13 with boolean gold: True / false read as yes / no."""
+    pr = fx.eval_json_prompts(spark, sf).withColumn("answers", F.transform(
+        "answers", lambda a: F.when(a == "yes", F.lit("True")).otherwise(F.lit("false"))))
+    m = evaluate.eval_exact(pr, fx.eval_json_responses(spark, sf), task="qa")
+    return m.select("correct", "total", _r(F.col("accuracy")).alias("accuracy"), F.col("unanswered").cast("long"))
+
+
 def eval_rollup(spark, sf):
     pr = fx.eval_json_prompts(spark, sf)
     rep = evaluate.first_valid_reply(pr, fx.eval_json_responses(spark, sf), "json")
@@ -584,7 +642,10 @@ _QUERIES: dict[str, Query] = {
     "render_prompt_text": render_prompt_text, "parse_yes_no": parse_yes_no_q,
     "parse_json_reply": parse_json_reply_q, "first_valid_reply": first_valid_reply_q, "eval_er": eval_er,
     "eval_exact": eval_exact, "eval_rollup": eval_rollup, "eval_running": eval_running,
-    "eval_running_tables": eval_running_tables,
+    "eval_running_tables": eval_running_tables, "components_non_value": components_non_value,
+    "clusters_without_noise": clusters_without_noise, "plan_groups_similar": plan_groups_similar,
+    "plan_groups_random": plan_groups_random, "render_prompt_qa": render_prompt_qa,
+    "render_prompt_jd": render_prompt_jd, "eval_exact_qa": eval_exact_qa,
 }
 
 

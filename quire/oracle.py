@@ -6,9 +6,10 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 
 from __future__ import annotations
 
-from quire.catalog import (AFF_R, COVER_CNT, ER_GROUP, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, PCT,
-                           PIVOT_R, SEED, T_COST, TXT_DEMO_MOD, TXT_GROUP, UPPER, VEC_K1)
-from quire.functions.prompts import CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT
+from quire.catalog import (AFF_R, COVER_CNT, ER_CFG, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, PCT,
+                           PIVOT_R, PROMPT_DEMOS, SEED, T_COST, TXT_DEMO_MOD, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
+from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
+                                     JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
 from quire.functions.strings import TOKEN_PATTERN
 from quire.sources.fixtures import EVAL_GROUP, EVAL_JSON_SPAN, GRAPH_RADIUS, GRAPH_SHIFT
 
@@ -206,6 +207,17 @@ kept AS (SELECT h.* FROM hold h WHERE NOT EXISTS (SELECT 1 FROM brel r WHERE r.c
          AND r.step = h.step AND r.ques_id = h.ques_id))"""
 
 
+def _task_prompt_sql(task: str, header: str, demo: str) -> str:
+    """Prompts of ``catalog._task_prompts``: ``demo`` is the text of one demo ``d`` as an SQL expression."""
+    whole = f"{_lit(task)} || dtx.demo_txt || {_lit(header)} || qtx.q_txt"
+    return _with(TXT, "qn AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ques_id) AS rn FROM tq)",
+                 f"""dtx AS (SELECT d.demo_id // {PROMPT_DEMOS} AS group_id, string_agg({demo}, '' ORDER BY d.demo_id) AS demo_txt
+        FROM td d GROUP BY 1)""",
+                 """qtx AS (SELECT group_id, string_agg('Question' || rn || ':' || chr(10) || text || chr(10), '' ORDER BY ques_id) AS q_txt,
+          string_agg(answer, ',' ORDER BY ques_id) AS answers FROM qn GROUP BY group_id)""") + f"""
+SELECT qtx.group_id, {whole} AS prompt, qtx.answers, {tok(whole)}::INTEGER AS tokens FROM qtx JOIN dtx USING (group_id)"""
+
+
 # Sequential greedy set cover over the VEC cover with label clusters: one pick per step,
 # best newly-covered / cost, ties to the lowest demo id (a recursive CTE with a LATERAL top-1).
 GREEDY_T = """sc AS (SELECT cc.cluster_id, cc.demo_id, list(cc.ques_id) AS qs,
@@ -252,16 +264,18 @@ def greedy(cap: float, owner: str = OWNER_LAST) -> str:
 GREEDY = greedy(60.0)
 
 
-def _plan_groups_sql() -> str:
-    """The whole ER plan of ``catalog.plan_groups`` by brute force: LCS features, all
-    question-demo distances, top-k per demo, the far/identical graph labelled by
-    min-label propagation, the sequential greedy cover, last-holder assignment, item
+def _plan_groups_sql(cfg) -> str:
+    """The whole ER plan of ``cfg`` by brute force: LCS features, all question-demo
+    distances, top-k per demo, the clusters (far or identical / near / one) labelled by
+    min-label propagation, the sequential greedy cover, the balancing pass, item
     weights and best-fit-decreasing packing."""
-    from quire.catalog import ER_CFG
     from quire.functions.prompts import task_text_cost
-    cap = float(ER_CFG.k2 - task_text_cost("er"))
-    k0, k1, k = ER_CFG.k0, ER_CFG.k1, ER_CFG.upper_ques
+    cap = float(cfg.k2 - task_text_cost("er"))
+    k0, k1, k = cfg.k0, cfg.k1, cfg.upper_ques
     d3 = "sqrt(({a}.f1 - {b}.f1) * ({a}.f1 - {b}.f1) + ({a}.f2 - {b}.f2) * ({a}.f2 - {b}.f2) + ({a}.f3 - {b}.f3) * ({a}.f3 - {b}.f3))"
+    linked = {"diverse": f"{d3.format(a='a', b='b')} = 0 OR 1.0 / {d3.format(a='a', b='b')} <= {k0}",
+              "similar": f"{d3.format(a='a', b='b')} <= {k0}", "random": "true"}[cfg.batch_type]
+    label = "0" if cfg.batch_type == "random" else "lab.l"
     return _with(ER, f"""feat AS (SELECT id, is_demo, {lcs_ratio('n1', 'n2')} AS f1, {lcs_ratio('b1', 'b2')} AS f2,
         {lcs_ratio('t1', 't2')} AS f3,
         {tok('n1')} + {tok('b1')} + {tok('t1')} + {tok('n2')} + {tok('b2')} + {tok('t2')} AS cost FROM er)""",
@@ -273,13 +287,13 @@ def _plan_groups_sql() -> str:
         WHERE rk <= {k})""",
                  "fq AS (SELECT q.* FROM eq q WHERE q.ques_id IN (SELECT ques_id FROM kn))",
                  f"""far AS (SELECT a.ques_id AS a, b.ques_id AS b FROM fq a JOIN fq b ON a.ques_id <> b.ques_id
-        WHERE {d3.format(a='a', b='b')} = 0 OR 1.0 / {d3.format(a='a', b='b')} <= {k0})""",
+        WHERE {linked})""",
                  """lab(id, l) USING KEY (id) AS (
   SELECT ques_id, ques_id FROM fq
   UNION
   SELECT far.b, min(lab.l) FROM lab JOIN far ON far.a = lab.id GROUP BY far.b
   HAVING min(lab.l) < (SELECT x.l FROM recurring.lab x WHERE x.id = far.b))""",
-                 "pcc AS (SELECT lab.l AS cluster_id, kn.demo_id, kn.ques_id FROM kn JOIN lab ON lab.id = kn.ques_id)",
+                 f"pcc AS (SELECT {label}::BIGINT AS cluster_id, kn.demo_id, kn.ques_id FROM kn JOIN lab ON lab.id = kn.ques_id)",
                  """psc AS (SELECT c.cluster_id, c.demo_id, list(c.ques_id) AS qs, min(d.cost) + sum(q.cost) AS cost
         FROM pcc c JOIN eq q USING (ques_id) JOIN ed d USING (demo_id) GROUP BY 1, 2)""",
                  """pg(cluster_id, step, covered, pick, score) AS (
@@ -559,6 +573,14 @@ FROM vq a JOIN vq b ON a.ques_id < b.ques_id WHERE list_distance(a.v, b.v) <= {A
                              "touched AS (SELECT DISTINCT a AS id FROM und)", reach("touched", "und"),
                              recursive=True) + """SELECT gv.id, coalesce(l.c, -1)::BIGINT AS cluster_id FROM gv
 LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
+    q["clusters_without_noise"] = _with(GRAPH, "pe AS (SELECT src, dst FROM ge WHERE weight >= 0)",
+                                        "und AS (SELECT src AS a, dst AS b FROM pe UNION ALL SELECT dst, src FROM pe)",
+                                        "tn AS (SELECT DISTINCT a AS id FROM und)", reach("tn", "und"),
+                                        "lab AS (SELECT id, min(r) AS c FROM reach GROUP BY id)", recursive=True) + \
+        "SELECT c AS cluster_id, count(*)::BIGINT AS size, min(id) AS min_member FROM lab GROUP BY c"
+    q["components_non_value"] = _with(GRAPH, f"pe AS (SELECT src, dst FROM ge WHERE weight >= 0 AND NOT weight < {WEAK_EDGE})",
+                                      "und AS (SELECT src AS a, dst AS b FROM pe UNION ALL SELECT dst, src FROM pe)",
+                                      reach("gv", "und"), recursive=True) + "SELECT id, min(r) AS cluster_id FROM reach GROUP BY id"
     q["split_clusters"] = _with(GRAPH, """pe AS (SELECT ge.src, ge.dst FROM ge JOIN gv a ON a.id = ge.src JOIN gv b ON b.id = ge.dst
         WHERE ge.weight >= 0 AND a.label = b.label)""",
                                 "und AS (SELECT src AS a, dst AS b FROM pe UNION ALL SELECT dst, src FROM pe)",
@@ -584,7 +606,9 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
   bin_no FROM bins WHERE rn > 0"""
     q["groups_long"] = _with(VEC, GREEDY, recursive=True) + """SELECT b.cluster_id, b.cluster_id::VARCHAR || '-' || b.bin_no::VARCHAR AS group_id,
   b.demo_id, o.ques_id FROM bins b JOIN owner o USING (cluster_id, demo_id) WHERE b.rn > 0"""
-    q["plan_groups"] = _plan_groups_sql()
+    q["plan_groups"] = _plan_groups_sql(ER_CFG)
+    q["plan_groups_similar"] = _plan_groups_sql(ER_SIMILAR)
+    q["plan_groups_random"] = _plan_groups_sql(ER_RANDOM)
     q["corr_cluster"] = _corr_cluster_sql()
     q["group_extra_demos"] = _group_extra_demos_sql()
     q["plan_groups_corr"] = _plan_groups_corr_sql()
@@ -615,6 +639,10 @@ UNION ALL SELECT 'empty_group', (SELECT count(*) FROM tt WHERE nq = 0 OR nd = 0)
 
     q["render_prompt_er"] = _er_prompt_sql()
     q["render_prompt_text"] = _text_prompt_sql()
+    q["render_prompt_qa"] = _task_prompt_sql(QA_TASK_TEXT, QA_QUESTIONS_HEADER, "'Question:' || d.text || chr(10) || 'Answer:' || "
+                                             "CASE WHEN d.answer = 'true' THEN 'yes' ELSE 'no' END || chr(10)")
+    q["render_prompt_jd"] = _task_prompt_sql(JD_TASK_TEXT, JD_QUESTIONS_HEADER, "'Question:' || chr(10) || d.text || chr(10) || "
+                                             "'After transformation:' || chr(10) || d.answer || chr(10) || chr(10)")
 
     q["parse_yes_no"] = _with(EVAL) + """SELECT group_id, attempt, len(v)::BIGINT AS n_verdicts,
   array_to_string(v, ',') AS verdicts FROM yn"""
@@ -633,6 +661,7 @@ SELECT tp, fp, tn, fn,
   coalesce(sum(total), 0)::BIGINT AS total,
   round(CASE WHEN coalesce(sum(total), 0) <> 0 THEN sum(correct) / sum(total) ELSE 0 END, 6) AS accuracy,
   count(*) FILTER (WHERE total IS NULL)::BIGINT AS unanswered FROM jmatch"""
+    q["eval_exact_qa"] = q["eval_exact"]     # boolean gold is a matter of spelling
     q["eval_rollup"] = _with(EJSON) + """SELECT table_name, coalesce(sum(correct), 0)::BIGINT AS correct,
   coalesce(sum(total), 0)::BIGINT AS total,
   round(CASE WHEN coalesce(sum(total), 0) <> 0 THEN sum(correct) / sum(total) ELSE 0 END, 6) AS accuracy
