@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import PlanConfig
+from quire.functions.prompts import task_text_cost
 from quire.functions.replies import parse_json_reply, parse_yes_no
 from quire.functions.strings import entity_text, lcs_ratio
 from quire.functions.vectors import reciprocal
@@ -42,6 +43,7 @@ SEED = 7              # seed of the random assignment
 ER_CFG = PlanConfig(k0=1.9, k1=0.13, k2=300, upper_ques=5, batch_type="diverse", metric="euclid", task="er")
 ER_SIMILAR = ER_CFG.with_(batch_type="similar", k0=0.02)
 ER_RANDOM = ER_CFG.with_(batch_type="random")
+ER_DOMINATED = ER_SIMILAR.with_(is_dominated=True)
 WEAK_EDGE = 0.05      # weights below it are no values in components_non_value
 PROMPT_DEMOS = 4      # demos of a QA / transform prompt: items 4 g .. 4 g + 3
 
@@ -451,10 +453,13 @@ def plan_groups(spark, sf):
     return _er_plan(spark, sf, ER_CFG)
 
 
-def _er_plan(spark, sf, cfg):
+def _er_inputs(spark, sf):
     from quire.operators.features import pair_features as feats
-    plan = grouping.plan_groups(feats(fx.er_questions(spark, sf)), feats(fx.er_demos(spark, sf)), cfg, render_prompts=False)
-    return _groups_out(plan.groups)
+    return feats(fx.er_questions(spark, sf)), feats(fx.er_demos(spark, sf))
+
+
+def _er_plan(spark, sf, cfg):
+    return _groups_out(grouping.plan_groups(*_er_inputs(spark, sf), cfg, render_prompts=False).groups)
 
 
 def plan_groups_similar(spark, sf):
@@ -465,6 +470,11 @@ def plan_groups_random(spark, sf):
     return _er_plan(spark, sf, ER_RANDOM)
 
 
+def plan_groups_dominated(spark, sf):
+    """X1 with the dominated filter (P8) inside the plan."""
+    return _er_plan(spark, sf, ER_DOMINATED)
+
+
 def plan_groups_corr(spark, sf):
     q = fx.vec_costs(_vq(spark, sf), "ques_id")
     d = fx.vec_costs(_vd(spark, sf), "demo_id")
@@ -510,6 +520,30 @@ def plan_violations(spark, sf):
     return reports.plan_violations(gq, gd, fx.txt_questions(spark, sf), fx.txt_demos(spark, sf), K2_REPORT, T_COST)
 
 
+def _er_report(spark, sf):
+    """Questions, demos, plan and its groups in long form, of the flagship plan."""
+    q, d = _er_inputs(spark, sf)
+    plan = grouping.plan_groups(q, d, ER_CFG, render_prompts=False)
+    gq = plan.groups.select("group_id", F.explode("ques").alias("ques_id"))
+    gd = plan.groups.select("group_id", F.explode("demo").alias("demo_id"))
+    return q, d, plan, gq, gd
+
+
+def plan_objective_er(spark, sf):
+    """A18 over the flagship plan."""
+    q, d, _, gq, gd = _er_report(spark, sf)
+    return reports.plan_objective(gq, gd, q, d, task_text_cost("er"))
+
+
+def plan_violations_er(spark, sf):
+    """A19 over the flagship plan with its cover; neighbours by id whose answers differ are to be kept apart."""
+    q, d, plan, gq, gd = _er_report(spark, sf)
+    nxt = q.select((F.col("ques_id") - 1).alias("q1"), F.col("ques_id").alias("q2"), F.col("answer").alias("_a"))
+    apart = q.select(F.col("ques_id").alias("q1"), "answer").join(nxt, "q1").where(F.col("answer") != F.col("_a")) \
+        .select("q1", "q2")
+    return reports.plan_violations(gq, gd, q, d, ER_CFG.k2, task_text_cost("er"), cover=plan.cover, forbidden=apart)
+
+
 # ---------------------------------------------------------------------------
 # Rendering
 # ---------------------------------------------------------------------------
@@ -638,7 +672,8 @@ _QUERIES: dict[str, Query] = {
     "assign_balanced": assign_balanced, "pack_groups": pack_groups, "groups_long": groups_long,
     "plan_groups": plan_groups, "plan_groups_corr": plan_groups_corr, "ilp_inputs": ilp_inputs,
     "plan_tokens": plan_tokens, "plan_stats": plan_stats, "plan_objective": plan_objective,
-    "plan_violations": plan_violations, "render_prompt_er": render_prompt_er,
+    "plan_violations": plan_violations, "plan_objective_er": plan_objective_er, "plan_violations_er": plan_violations_er,
+    "plan_groups_dominated": plan_groups_dominated, "render_prompt_er": render_prompt_er,
     "render_prompt_text": render_prompt_text, "parse_yes_no": parse_yes_no_q,
     "parse_json_reply": parse_json_reply_q, "first_valid_reply": first_valid_reply_q, "eval_er": eval_er,
     "eval_exact": eval_exact, "eval_rollup": eval_rollup, "eval_running": eval_running,

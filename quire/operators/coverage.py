@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 
 def cluster_cover(cover: DataFrame, clusters: DataFrame) -> DataFrame:
     """Restrict each demo's questions to the question's cluster:
@@ -74,45 +76,41 @@ def dominated_demos(ccover: DataFrame, demo_cost: DataFrame, symmetric: bool = F
     ``symmetric``) of the same cluster covers a superset and costs no more.
     Output ``(cluster_id, demo_id)`` of dominated demos.
 
-    Small sets (every set at most ``max_subset_size`` questions, as in a kNN cover):
-    each set lists its non-empty subsets (sorted arrays, at most 2^k per set) and a
-    left-semi equi-join on (cluster, subset) finds a superset -- no candidate pairs
-    are materialised and the semi join stops at the first match.  Larger sets: the
-    partners come from the demos holding *i*'s rarest question, and containment is
-    checked by counting matched questions."""
-    e = ccover.select("cluster_id", "demo_id", "ques_id").distinct()
-    size = e.groupBy("cluster_id", "demo_id").agg(F.count("*").alias("_size"))
-    top = size.agg(F.max("_size").alias("m")).first()["m"] or 0
+    Each covering set is treated by its own size.  One of at most ``max_subset_size``
+    questions (any set of a kNN cover) lists its non-empty subsets, and a left-semi
+    equi-join on (cluster, subset) finds what it covers: no candidate pairs are
+    materialised.  A larger one is looked up through the question of *i* that the
+    fewest large sets hold, and containment is checked by counting matched questions."""
+    e = cut_lineage(ccover.select("cluster_id", "demo_id", "ques_id").distinct())
+    key = ["cluster_id", "demo_id"]
+    size = e.groupBy(*key).agg(F.count("*").alias("_size"))
     cost = demo_cost.select("demo_id", F.col("cost").alias("_cost"))
-    if top <= max_subset_size:
-        # bounded collect: every set holds at most max_subset_size questions
-        sets = e.groupBy("cluster_id", "demo_id").agg(F.sort_array(F.collect_list("ques_id")).alias("qs"))
-        masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("qs")) - 1)
-        subsets = F.transform(masks, lambda m: F.filter(
-            F.col("qs"), lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
-        j_side = sets.join(cost, "demo_id").select(
-            F.col("cluster_id").alias("_jc"), F.col("demo_id").alias("_j"), F.col("_cost").alias("_cj"),
-            F.explode(subsets).alias("_jqs"))
-        i_side = sets.join(cost, "demo_id").select("cluster_id", "demo_id", F.col("_cost").alias("_ci"), "qs")
-        order = (F.col("_j") != F.col("demo_id")) if symmetric else (F.col("_j") > F.col("demo_id"))
-        cond = (F.col("cluster_id") == F.col("_jc")) & (F.col("qs") == F.col("_jqs")) & order & \
-            (F.col("_cj") <= F.col("_ci"))
-        return i_side.join(j_side, cond, "left_semi").select("cluster_id", "demo_id")
-    deg = e.groupBy("cluster_id", "ques_id").agg(F.count("*").alias("_deg"))
-    anchor = e.join(deg, ["cluster_id", "ques_id"]).groupBy("cluster_id", "demo_id").agg(
-        F.min_by("ques_id", F.struct("_deg", "ques_id")).alias("_anchor"))
-    i_side = anchor.join(size, ["cluster_id", "demo_id"]).join(cost, "demo_id") \
-        .select("cluster_id", F.col("demo_id").alias("i"), F.col("_anchor").alias("ques_id"),
-                F.col("_size").alias("_si"), F.col("_cost").alias("_ci"))
-    j_side = e.join(size, ["cluster_id", "demo_id"]).join(cost, "demo_id") \
-        .select("cluster_id", F.col("demo_id").alias("j"), "ques_id", F.col("_size").alias("_sj"),
-                F.col("_cost").alias("_cj"))
-    order = (F.col("j") != F.col("i")) if symmetric else (F.col("j") > F.col("i"))
-    cand = i_side.join(j_side, ["cluster_id", "ques_id"]).where(
-        order & (F.col("_cj") <= F.col("_ci")) & (F.col("_sj") >= F.col("_si"))) \
-        .select("cluster_id", "i", "j", "_si")
-    members = e.select("cluster_id", F.col("demo_id").alias("i"), "ques_id")
-    held = e.select("cluster_id", F.col("demo_id").alias("j"), "ques_id")
-    matched = cand.join(members, ["cluster_id", "i"]).join(held, ["cluster_id", "j", "ques_id"]) \
-        .groupBy("cluster_id", "i", "j", "_si").agg(F.count("*").alias("_m"))
-    return matched.where(F.col("_m") == F.col("_si")).select("cluster_id", F.col("i").alias("demo_id")).distinct()
+    order = (F.col("_j") != F.col("demo_id")) if symmetric else (F.col("_j") > F.col("demo_id"))
+    cheaper = order & (F.col("_cj") <= F.col("_ci"))
+
+    # bounded collect: these sets hold at most max_subset_size questions
+    sets = e.join(size.where(F.col("_size") <= max_subset_size), key).groupBy(*key).agg(
+        F.sort_array(F.collect_list("ques_id")).alias("qs")).join(cost, "demo_id")
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("qs")) - 1)
+    subsets = F.transform(masks, lambda m: F.filter(
+        F.col("qs"), lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+    covering = sets.select(F.col("cluster_id").alias("_jc"), F.col("demo_id").alias("_j"), F.col("_cost").alias("_cj"),
+                           F.explode(subsets).alias("_jqs"))
+    by_small = sets.withColumnRenamed("_cost", "_ci").join(
+        covering, (F.col("cluster_id") == F.col("_jc")) & (F.col("qs") == F.col("_jqs")) & cheaper, "left_semi").select(*key)
+
+    large = e.join(size.where(F.col("_size") > max_subset_size), key)
+    held = large.groupBy("cluster_id", "ques_id").agg(F.count("*").alias("_deg"))
+    # only a demo all of whose questions some large set holds can be covered by one
+    covered = e.join(held, ["cluster_id", "ques_id"]).groupBy(*key).agg(
+        F.min_by("ques_id", F.struct("_deg", "ques_id")).alias("ques_id"), F.count("*").alias("_n")) \
+        .join(size, key).where(F.col("_n") == F.col("_size")).join(cost, "demo_id") \
+        .select(*key, "ques_id", F.col("_size").alias("_si"), F.col("_cost").alias("_ci"))
+    partners = large.join(cost, "demo_id").select("cluster_id", F.col("demo_id").alias("_j"), "ques_id",
+                                                  F.col("_size").alias("_sj"), F.col("_cost").alias("_cj"))
+    cand = covered.join(partners, ["cluster_id", "ques_id"]).where(cheaper & (F.col("_sj") >= F.col("_si"))) \
+        .select(*key, "_j", "_si")
+    by_large = cand.join(e, key).join(large.select("cluster_id", F.col("demo_id").alias("_j"), "ques_id"),
+                                      ["cluster_id", "_j", "ques_id"]) \
+        .groupBy(*key, "_j", "_si").agg(F.count("*").alias("_m")).where(F.col("_m") == F.col("_si")).select(*key)
+    return by_small.unionByName(by_large).distinct()

@@ -6,7 +6,7 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 
 from __future__ import annotations
 
-from quire.catalog import (AFF_R, COVER_CNT, ER_CFG, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, PCT,
+from quire.catalog import (AFF_R, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, PCT,
                            PIVOT_R, PROMPT_DEMOS, SEED, T_COST, TXT_DEMO_MOD, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
 from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
                                      JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
@@ -264,7 +264,7 @@ def greedy(cap: float, owner: str = OWNER_LAST) -> str:
 GREEDY = greedy(60.0)
 
 
-def _plan_groups_sql(cfg) -> str:
+def _plan_ctes(cfg) -> str:
     """The whole ER plan of ``cfg`` by brute force: LCS features, all question-demo
     distances, top-k per demo, the clusters (far or identical / near / one) labelled by
     min-label propagation, the sequential greedy cover, the balancing pass, item
@@ -293,7 +293,12 @@ def _plan_groups_sql(cfg) -> str:
   UNION
   SELECT far.b, min(lab.l) FROM lab JOIN far ON far.a = lab.id GROUP BY far.b
   HAVING min(lab.l) < (SELECT x.l FROM recurring.lab x WHERE x.id = far.b))""",
-                 f"pcc AS (SELECT {label}::BIGINT AS cluster_id, kn.demo_id, kn.ques_id FROM kn JOIN lab ON lab.id = kn.ques_id)",
+                 f"pall AS (SELECT {label}::BIGINT AS cluster_id, kn.demo_id, kn.ques_id FROM kn JOIN lab ON lab.id = kn.ques_id)",
+                 """pset AS (SELECT p.cluster_id, p.demo_id, list(p.ques_id) AS qs, any_value(d.cost) AS cost
+        FROM pall p JOIN ed d USING (demo_id) GROUP BY 1, 2)""",
+                 f"""pdom AS (SELECT DISTINCT i.cluster_id, i.demo_id FROM pset i JOIN pset j ON j.cluster_id = i.cluster_id
+        AND j.demo_id > i.demo_id AND j.cost <= i.cost AND list_has_all(j.qs, i.qs) WHERE {str(cfg.is_dominated).lower()})""",
+                 "pcc AS (SELECT p.* FROM pall p ANTI JOIN pdom USING (cluster_id, demo_id))",
                  """psc AS (SELECT c.cluster_id, c.demo_id, list(c.ques_id) AS qs, min(d.cost) + sum(q.cost) AS cost
         FROM pcc c JOIN eq q USING (ques_id) JOIN ed d USING (demo_id) GROUP BY 1, 2)""",
                  """pg(cluster_id, step, covered, pick, score) AS (
@@ -326,14 +331,45 @@ def _plan_groups_sql(cfg) -> str:
         WHERE b.rn > 0)""",
                  """gd AS (SELECT cluster_id, bin_no, count(*) AS n_demo,
                string_agg(demo_id::VARCHAR, ',' ORDER BY demo_id) AS demo, sum(weight) AS tokens
-        FROM pb WHERE rn > 0 GROUP BY 1, 2)""", recursive=True) + f"""
+        FROM pb WHERE rn > 0 GROUP BY 1, 2)""", recursive=True)
+
+
+def _plan_groups_sql(cfg) -> str:
+    """The groups of the plan."""
+    from quire.functions.prompts import task_text_cost
+    return _plan_ctes(cfg) + f"""
 SELECT gd.cluster_id, gd.cluster_id::VARCHAR || '-' || gd.bin_no::VARCHAR AS group_id,
        count(gq.ques_id)::BIGINT AS n_ques, any_value(gd.n_demo)::BIGINT AS n_demo,
        string_agg(gq.ques_id::VARCHAR, ',' ORDER BY gq.ques_id) AS ques, any_value(gd.demo) AS demo,
-       any_value(gd.tokens)::BIGINT AS tokens, any_value(gd.tokens) > {cap} AS over_budget
+       any_value(gd.tokens)::BIGINT AS tokens, any_value(gd.tokens) > {float(cfg.k2 - task_text_cost("er"))} AS over_budget
 FROM gd JOIN gq USING (cluster_id, bin_no) GROUP BY gd.cluster_id, gd.bin_no"""
 
 
+def _plan_objective_sql(cfg) -> str:
+    """Tokens of the plan, counted from its questions and demos."""
+    from quire.functions.prompts import task_text_cost
+    t = task_text_cost("er")
+    return _plan_ctes(cfg) + f"""
+SELECT qt AS ques_tokens, dt AS demo_tokens, n * {t} AS task_tokens, (qt + dt + n * {t})::BIGINT AS objective
+FROM (SELECT (SELECT sum(cost) FROM gq JOIN eq USING (ques_id))::BIGINT AS qt,
+             (SELECT sum(cost) FROM pb JOIN ed USING (demo_id) WHERE rn > 0)::BIGINT AS dt,
+             (SELECT count(*) FROM gd)::BIGINT AS n)"""
+
+
+def _plan_violations_sql(cfg) -> str:
+    """Every constraint on the plan, with its cover; neighbours by id whose answers differ are kept apart."""
+    from quire.functions.prompts import task_text_cost
+    return _plan_ctes(cfg) + f"""
+SELECT 'question_repeated' AS "check", (SELECT count(*) FROM (SELECT ques_id FROM gq GROUP BY 1 HAVING count(*) > 1))::BIGINT AS n
+UNION ALL SELECT 'question_unassigned', (SELECT count(*) FROM eq ANTI JOIN gq USING (ques_id))::BIGINT
+UNION ALL SELECT 'under_covered', (SELECT count(*) FROM gq g WHERE NOT EXISTS (SELECT 1 FROM pb b JOIN pcc c
+  ON c.demo_id = b.demo_id WHERE b.rn > 0 AND b.cluster_id = g.cluster_id AND b.bin_no = g.bin_no AND c.ques_id = g.ques_id))::BIGINT
+UNION ALL SELECT 'over_budget', (SELECT count(*) FROM gd WHERE tokens + {task_text_cost("er")} > {cfg.k2})::BIGINT
+UNION ALL SELECT 'forbidden_pair', (SELECT count(*) FROM gq a JOIN gq b ON b.cluster_id = a.cluster_id AND b.bin_no = a.bin_no
+  AND b.ques_id = a.ques_id + 1 JOIN er x ON x.id = a.ques_id JOIN er y ON y.id = b.ques_id WHERE x.answer <> y.answer)::BIGINT
+UNION ALL SELECT 'empty_group', (SELECT count(*) FROM gd ANTI JOIN gq USING (cluster_id, bin_no))::BIGINT"""
+
+
 def _corr_parts() -> list[str]:
     """CTEs of the correlation clustering over node table ``gv(id)`` and edge table
     ``ge(src, dst, weight)``; the labels end in ``sp(id, l)``."""
@@ -609,6 +645,9 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
     q["plan_groups"] = _plan_groups_sql(ER_CFG)
     q["plan_groups_similar"] = _plan_groups_sql(ER_SIMILAR)
     q["plan_groups_random"] = _plan_groups_sql(ER_RANDOM)
+    q["plan_groups_dominated"] = _plan_groups_sql(ER_DOMINATED)
+    q["plan_objective_er"] = _plan_objective_sql(ER_CFG)
+    q["plan_violations_er"] = _plan_violations_sql(ER_CFG)
     q["corr_cluster"] = _corr_cluster_sql()
     q["group_extra_demos"] = _group_extra_demos_sql()
     q["plan_groups_corr"] = _plan_groups_corr_sql()

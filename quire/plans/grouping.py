@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import PlanConfig
-from quire.functions.prompts import render
+from quire.functions.prompts import item_word, render, task_text_cost
 from quire.functions.strings import token_count
 from quire.operators import assign, coverage, graph, packing, setcover, simjoin
 from quire.session import cut_lineage, prepare
@@ -97,7 +97,6 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
     owner = {"balanced": assign.assign_balanced, "last": assign.assign_last, "random": assign.assign_random}[cfg.assign]
     assignment = cut_lineage(owner(picks, ccover))
     items = assign.assign_cost(picks, assignment, qcost, dcost, keep_empty=cfg.keep_empty)
-    from quire.functions.prompts import task_text_cost
     t_cost = task_text_cost(cfg.task) if cfg.t_cost is None else cfg.t_cost
     cap = float(cfg.k2 - t_cost)
     bins = cut_lineage(packing.pack_groups(items, cap))
@@ -109,7 +108,8 @@ def plan_groups(questions: DataFrame, demos: DataFrame, cfg: PlanConfig, render_
     un = unasked[0]
     for u in unasked[1:]:
         un = un.unionByName(u)
-    prompts = render_prompts_for(groups, questions, demos, cfg.task, cfg.item_word) if render_prompts else None
+    prompts = render_prompts_for(groups, questions, demos, cfg.task, cfg.item_word or item_word(cfg.dataset)) \
+        if render_prompts else None
     return Plan(groups=groups, prompts=prompts, clusters=clusters, picks=picks, assignment=assignment,
                 unasked=un, cover=ccover)
 
@@ -125,7 +125,7 @@ def _ordered(groups: DataFrame, col: str, records: DataFrame, id_col: str, field
 
 
 def render_prompts_for(groups: DataFrame, questions: DataFrame, demos: DataFrame, task: str,
-                       item_word: str = "Product") -> DataFrame:
+                       item: str = "Product") -> DataFrame:
     """``prompts(group_id, prompt, answers, tokens)``; lists are bounded by the budget."""
     if task == "er":
         qf, df_ = ["e1", "e2", "answer"], ["e1", "e2", "answer"]
@@ -134,7 +134,7 @@ def render_prompts_for(groups: DataFrame, questions: DataFrame, demos: DataFrame
     qa = _ordered(groups, "ques", questions, "ques_id", qf)
     da = _ordered(groups, "demo", demos, "demo_id", df_)
     g = groups.select("group_id").join(qa, "group_id").join(da, "group_id")
-    prompt = render(task, F.col("demo"), F.col("ques"), item_word)
+    prompt = render(task, F.col("demo"), F.col("ques"), item)
     return g.select("group_id", prompt.alias("prompt"),
                     F.transform("ques", lambda x: x["answer"]).alias("answers")) \
         .withColumn("tokens", token_count(F.col("prompt")))

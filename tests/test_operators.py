@@ -458,7 +458,7 @@ def test_dominated_demos_both_paths(spark):
     cost = dict(costs)
     want = {d for d in sets if any(j > d and clus[j] == clus[d] and sets[d] <= sets[j] and cost[j] <= cost[d]
                                    for j in sets)}
-    for limit in (12, 2):   # subset path, anchor path
+    for limit in (12, 2, 0):   # by subsets, by the size of each set, by the anchor question
         got = {r["demo_id"] for r in dominated_demos(e, c, max_subset_size=limit).collect()}
         assert got == want and want
 

@@ -65,3 +65,14 @@ def test_render_text_tasks(spark):
 
 def test_task_text_cost_positive():
     assert all(task_text_cost(t) > 10 for t in ("er", "code", "qa", "jd"))
+
+
+def test_item_word_by_dataset():
+    from quire.functions.prompts import item_word
+    assert [item_word(d) for d in ("Beer", "DblpAcm", "unlisted", None)] == ["Beer", "Paper", "Product", "Product"]
+
+
+def test_code_budget_text_differs_in_one_word():
+    from quire.functions.prompts import CODE_TASK_TEXT, budget_text, task_text_cost
+    assert budget_text("code").split("focal") == CODE_TASK_TEXT.split("total")
+    assert task_text_cost("code") > 0
