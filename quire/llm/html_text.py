@@ -169,6 +169,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, heading, chrome, article) of each text block in page order."""
     out: list[tuple] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]      # open sectioning element, chrome, article
+    is_open = dict.fromkeys(_SECTION, 0)                  # how many of each are on the stack
     text: list[str] = []
     linked: list[str] = []
     link, heading = 0, 0
@@ -205,11 +206,13 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 if not m[2]:
                     if not m[4].endswith("/"):
                         article = stack[-1][2] or int(tag in ("article", "main"))
+                        is_open[tag] += 1
                         stack.append((tag, int(stack[-1][1] or _is_chrome(tag, m[4], bool(stack[-1][2]))), article))
                 else:
-                    for i in range(len(stack) - 1, max(0, len(stack) - 60), -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
+                    while is_open[tag]:
+                        last = stack.pop()[0]
+                        is_open[last] -= 1
+                        if last == tag:
                             break
     end()
     return out
