@@ -112,6 +112,14 @@ def _sums(df: DataFrame, keys: list[str], k: int, name: str) -> DataFrame:
     return df.groupBy(*keys).agg(*each).select(*keys, F.array(*[F.col(f"s{i}") for i in range(k)]).alias(name))
 
 
+def declared_language(html: Column) -> Column:
+    """The language that the first html tag with one declares, wherever it stands; each character is read once."""
+    tags = F.split(F.coalesce(html, F.lit("")), "(?i)<html")
+    inside = F.transform(F.slice(tags, F.lit(2), F.size(tags)), lambda t: F.substring_index(t, ">", 1))
+    values = F.transform(inside, lambda t: F.regexp_extract(t, r"(?i)\slang\s*=\s*[\"']?([a-z]+)", 1))
+    return F.lower(F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit("")))
+
+
 def identify(pages: DataFrame, docs: DataFrame, max_train: int = 2000, id_col: str = "page_id", url_col: str = "url",
              html_col: str = "html") -> DataFrame:
     """``page_id, url, host, declared, lang, confidence, posterior`` of every page."""
@@ -121,7 +129,7 @@ def identify(pages: DataFrame, docs: DataFrame, max_train: int = 2000, id_col: s
     labels = F.split("host", r"\.")
     base = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"),
-        F.lower(F.regexp_extract(F.coalesce(F.substring(html_col, 1, 2000), F.lit("")), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1)).alias("declared"),
+        declared_language(F.col(html_col)).alias("declared"),
         F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#-]|$)", 1)).alias("segment"))
     base = (base.withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
             .withColumn("suffix", F.concat_ws("/", F.element_at(labels, -1), "segment")))
