@@ -194,7 +194,7 @@ def reach(rows: np.ndarray, known: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
             right = SPAN - l
             if l:
                 left = bl.mix(left * np.uint64(0x100000001B3) + r[:, SPAN + l - 1].astype(np.uint64) + np.uint64(1))
-            key = bl.mix(left + bl.mix(np.cumsum(kn < right).astype(np.uint64)))
+            key = bl.combine(left, np.cumsum(kn < right).astype(np.uint64))   # order of the two matters
             _, which = np.unique(key, return_inverse=True)
             first = np.full(int(which.max()) + 1, NO_ID)
             np.minimum.at(first, which, d)
