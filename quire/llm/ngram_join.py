@@ -84,7 +84,7 @@ def links_between(left: tuple, right: tuple | None, percent: int) -> tuple[np.nd
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-    shared = np.zeros((n, n), np.uint16)
+    shared = np.zeros((n, n), np.uint32)
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b - a > 1:
             who = owner[a:b]
@@ -117,7 +117,8 @@ def links_between(left: tuple, right: tuple | None, percent: int) -> tuple[np.nd
 
 def near_copies(docs: DataFrame, groups: int, shingle: int = 3, percent: int = 90, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """``key, doc_id, n_shingles, component_id`` of every row; component: the smallest reachable id."""
+    """``key, doc_id, n_shingles, component_id, cluster`` of every row; component: the smallest reachable id;
+    cluster: a key that all rows linked with each other share, whatever their ids (its own key, if alone)."""
     dealt = bl.blocked(docs, groups, id_col, text_col)
 
     def own_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -167,9 +168,10 @@ def near_copies(docs: DataFrame, groups: int, shingle: int = 3, percent: int = 9
     least = (classes.join(labels.withColumnRenamed("id", "rep"), "rep")
              .groupBy("cluster_id").agg(F.min("least").alias("component_id")))
     known = (classes.join(labels.withColumnRenamed("id", "rep"), "rep").join(least, "cluster_id")
-             .select(*same, "component_id"))
+             .select(*same, "component_id", F.col("cluster_id").alias("cluster")))
     return (profiles.select("key", "doc_id", *same).join(known, same, "left")
-            .select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                    F.coalesce("cluster", "key").alias("cluster")))
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

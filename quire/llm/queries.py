@@ -40,7 +40,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return ngram_join.near_copies(docs, bl.group_count(spark, bl.extent(docs, "text")[1])).drop("key")
+    return ngram_join.near_copies(docs, bl.group_count(spark, bl.extent(docs, "text")[1])).drop("key", "cluster")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
