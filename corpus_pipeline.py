@@ -30,13 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of every group of near copies (five words, 80 %)."""
+    """Keeps the document of the smallest id of every group of near copies (five words, 80 %; rows without an id last)."""
     prepare(spark)
     groups = bl.group_count(spark, bl.extent(docs, "text")[1])
     found = cut_lineage(ngram_join.near_copies(docs, groups, shingle=5, percent=80))
-    linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
-    first = found.filter(linked).groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
-    others = found.filter(linked).select("key").distinct().join(first, "key", "left_anti")
+    first = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
+    others = found.select("key").distinct().join(first, "key", "left_anti")
     kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(others.withColumnRenamed("key", "_key"), "_key", "left_anti")
     return kept.dropDuplicates(["_key"]).select(*docs.columns)
 
