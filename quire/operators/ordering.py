@@ -10,7 +10,7 @@ from quire.session import cut_lineage
 
 
 def row_number_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "row_no",
-                      n_parts: int | None = None) -> DataFrame:
+                      n_parts: int | None = None, kind: str = "int") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` for keys of any size.
 
     Range-partition by (keys, order); number rows inside each (partition, key)
@@ -27,4 +27,4 @@ def row_number_within(df: DataFrame, keys: list[str], order: list[Column], out:
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     local = W.partitionBy("_pid", *keys).orderBy(*order)
     return parted.withColumn("_local", F.row_number().over(local)).join(off, ["_pid", *keys]) \
-        .withColumn(out, (F.col("_local") + F.col("_off")).cast("int")).drop("_pid", "_local", "_off")
+        .withColumn(out, (F.col("_local") + F.col("_off")).cast(kind)).drop("_pid", "_local", "_off")
