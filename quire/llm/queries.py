@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
-from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, ngram_join, packing, pii, quality_kn, suffix_dedup
+from quire.llm import oracle
+from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, merkle, ngram_join, packing, pii, quality_kn, suffix_dedup
 from quire.session import prepare
 
 
@@ -78,9 +80,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", ascii_uppercase, ascii_lowercase))
+    rows = merkle.manifest(merkle.leaves(docs, changed={"text": tampered.otherwise(F.col("text"))}))
+    folded = merkle.folded(F.col("other"), F.col("path"))
+    return (rows.select(F.col("key").alias("doc_id"), *(merkle.text_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+                        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"), merkle.text_of(folded).alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_pii": op10_pii}
+    return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_pii": op10_pii,
+            "op11_merkle": op11_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle": oracle.OP11}
