@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
 from quire.llm import oracle
-from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, merkle, ngram_join, packing, pii, quality_kn, suffix_dedup
+from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, merkle, ngram_join, packing, periodic, pii, quality_kn, suffix_dedup
 from quire.session import prepare
 
 
@@ -90,9 +90,32 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("verified", F.col("folded_root") == F.col("root")))
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    # one document in ten repeats: its words from a on have period p
+    words, n, g = F.col("w"), F.size("w").cast("long"), F.expr("h div 10")
+    a, p = F.pmod(g, n), F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)")
+    repeated = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))))
+    plain = docs.filter("coalesce(h % 10 <> 0, true)").select("doc_id", "text")
+    tenth = (docs.filter("h % 10 = 0").select("doc_id", "h", _words("text").alias("w")).withColumn("a", F.when(n > 0, a)).withColumn("p", p)
+             .select("doc_id", F.when(F.size(words) > 0, F.concat_ws(" ", repeated)).alias("text")))
+    found = periodic.find_runs(plain.unionByName(tenth))
+    runs = F.col("runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    listed = F.concat_ws("", F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    return (found.withColumn("top", longest)
+            .select("doc_id", F.size(runs).cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.length"), (-F.col("top.q")).alias("period"),
+                    F.expr("1000 * top.length div -top.q").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_pii": op10_pii,
-            "op11_merkle": op11_merkle}
+            "op11_merkle": op11_merkle, "op12_periodic_runs": op12_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
