@@ -59,3 +59,58 @@ ends AS (SELECT rid, arg_max(here, step) AS folded_root FROM fold GROUP BY rid)
 SELECT p.doc_id, p.leaf, s.subroot, t.root, sha256(coalesce(q.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
 FROM placed p JOIN sub s USING (grp) JOIN top t ON true JOIN ends e USING (rid) LEFT JOIN proof q USING (rid)
 """
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _rule(name: str, over: str, under: str, slack: int, least_words: int = 0) -> str:
+    return (f"SELECT rid, lang_key, source_key, '{name}' AS rule, {slack} AS slack, 1000 * {over} // {under} AS value FROM measured "
+            f"WHERE {under} > 0 AND n_words >= {least_words}")
+
+
+def _quartiles(sketch: str, keys: str) -> str:
+    return (f"SELECT {keys}rule, docs, min(CASE WHEN 4 * upto >= docs THEN low END) AS q1, min(CASE WHEN 4 * upto >= 3 * docs THEN high END) AS q3 "
+            f"FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS docs "
+            f"FROM (SELECT {keys}rule, low, high, sum(n) AS n FROM {sketch} GROUP BY {keys}rule, low, high)) GROUP BY {keys}rule, docs")
+
+
+#: figures by splitting and counting; limits from buckets of 128 a doubling, 200 documents a group, 8 quartile distances
+OP13 = f"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang_key, coalesce('=' || source, '') AS source_key, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS ls
+  FROM documents),
+word AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM base),
+five AS (
+  SELECT rid, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS x
+  FROM word WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS k FROM five WHERE x IS NOT NULL),
+repeated AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(5) AS r(j) WHERE k > 1 GROUP BY rid),
+measured AS (
+  SELECT b.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM base b LEFT JOIN repeated r USING (rid)),
+figure AS (
+  {_rule("word_length", "word_chars", "n_words", 1500, 50)} UNION ALL {_rule("symbols", "n_symbols", "n_words", 250)} UNION ALL
+  {_rule("same_lines", "n_dup_lines", "n_lines", 400)} UNION ALL {_rule("repetition", "n_repeat_words", "n_words", 150)}),
+bucket AS (SELECT *, greatest(length(bin(value)) - 8, 0)::INTEGER AS shift FROM figure),
+sketch AS (
+  SELECT lang_key, source_key, rule, (value >> shift) << shift AS low, ((value >> shift) << shift) + (1::BIGINT << shift) - 1 AS high, count(*) AS n
+  FROM bucket GROUP BY ALL),
+by_source AS ({_quartiles("sketch", "lang_key, source_key, ")}),
+by_lang AS ({_quartiles("sketch", "lang_key, ")}),
+by_all AS ({_quartiles("sketch", "")}),
+chosen AS (
+  SELECT s.lang_key, s.source_key, s.rule, CASE WHEN s.docs >= 200 THEN s.q1 WHEN l.docs >= 200 THEN l.q1 ELSE a.q1 END AS q1,
+         CASE WHEN s.docs >= 200 THEN s.q3 WHEN l.docs >= 200 THEN l.q3 ELSE a.q3 END AS q3
+  FROM by_source s JOIN by_lang l USING (lang_key, rule) JOIN by_all a USING (rule)),
+failed AS (
+  SELECT DISTINCT rid FROM figure JOIN chosen USING (lang_key, source_key, rule)
+  WHERE value > q3 + greatest(8 * (q3 - q1), slack) OR (rule = 'word_length' AND value < q1 - greatest(8 * (q3 - q1), slack))),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.rid IS NULL AS kept
+FROM based LEFT JOIN failed f USING (rid)
+"""

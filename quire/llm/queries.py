@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import blocks as bl
 from quire.llm import oracle
-from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, merkle, ngram_join, packing, periodic, pii, quality_kn, suffix_dedup
+from quire.llm import decontam, fingerprints, html_text, langid, lm_deleted, merkle, ngram_join, packing, periodic, pii, quality_kn, quality_rules, suffix_dedup
 from quire.session import prepare
 
 
@@ -113,10 +113,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_html_text": op1_html_text, "op2_quality_kn": op2_quality_kn, "op3_decontamination": op3_decontamination, "op4_ngram_join": op4_ngram_join, "op5_lm_scoring": op5_lm_scoring, "op6_language_id": op6_language_id, "op7_suffix_dedup": op7_suffix_dedup, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_pii": op10_pii,
-            "op11_merkle": op11_merkle, "op12_periodic_runs": op12_periodic_runs}
+            "op11_merkle": op11_merkle, "op12_periodic_runs": op12_periodic_runs,
+            "op13_quality_rules": op13_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": oracle.OP11}
+    return {"op11_merkle": oracle.OP11, "op13_quality_rules": oracle.OP13}
