@@ -35,7 +35,7 @@ AFF_R = 1.25          # radius of the affinity pairs
 PCT = 0.00001         # per-question distance quantile (0.001 %)
 COVER_CNT = 2         # top-up target per question
 TXT_GROUP = 10        # documents per fixed group
-TXT_DEMO_MOD = 8      # benchmark item joins group g when item_id % 8 = g % 8
+TXT_DEMOS = 8         # demos of a group of the reports and code prompts
 ER_GROUP = 10         # ER pairs per fixed group (two demos, eight questions)
 K2_REPORT = 20000     # budget of the report queries
 T_COST = 50           # task text tokens of the report queries
@@ -45,7 +45,7 @@ ER_SIMILAR = ER_CFG.with_(batch_type="similar", k0=0.02)
 ER_RANDOM = ER_CFG.with_(batch_type="random")
 ER_DOMINATED = ER_SIMILAR.with_(is_dominated=True)
 WEAK_EDGE = 0.05      # weights below it are no values in components_non_value
-PROMPT_DEMOS = 4      # demos of a QA / transform prompt: items 4 g .. 4 g + 3
+PROMPT_DEMOS = 4      # demos of a QA / transform prompt
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -496,7 +496,7 @@ def ilp_inputs(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _txt_groups(spark, sf):
-    return reports.fixed_text_groups(fx.txt_questions(spark, sf), fx.txt_demos(spark, sf), TXT_GROUP, TXT_DEMO_MOD)
+    return reports.fixed_groups(fx.txt_questions(spark, sf), fx.txt_demos(spark, sf), TXT_GROUP, TXT_DEMOS)
 
 
 def plan_tokens(spark, sf):
@@ -558,35 +558,30 @@ def render_prompt_er(spark, sf):
                      F.size("answers").cast("long").alias("n_ques"))
 
 
-def render_prompt_text(spark, sf):
-    gq, gd = _txt_groups(spark, sf)
+def _task_prompts(spark, sf, task, demos_each):
+    """Prompts of all documents, in groups of TXT_GROUP."""
+    q, d = fx.txt_questions(spark, sf), fx.txt_demos(spark, sf)
+    gq, gd = reports.fixed_groups(q, d, TXT_GROUP, demos_each)
     qs = gq.groupBy("group_id").agg(F.sort_array(F.collect_list("ques_id")).alias("ques"))
     ds = gd.groupBy("group_id").agg(F.sort_array(F.collect_list("demo_id")).alias("demo"))
-    pr = grouping.render_prompts_for(qs.join(ds, "group_id"), fx.txt_questions(spark, sf), fx.txt_demos(spark, sf),
-                                     "code")
+    pr = grouping.render_prompts_for(qs.join(ds, "group_id"), q, d, task)
     return pr.select("group_id", "prompt", F.array_join("answers", ",").alias("answers"),
                      F.col("tokens").cast("int").alias("tokens"))
 
 
-def _task_prompts(spark, sf, task):
-    q, d = fx.txt_questions(spark, sf), fx.txt_demos(spark, sf)
-    qs = q.groupBy(F.floor(F.col("ques_id") / TXT_GROUP).cast("long").alias("group_id")) \
-        .agg(F.sort_array(F.collect_list("ques_id")).alias("ques"))
-    ds = d.groupBy(F.floor(F.col("demo_id") / PROMPT_DEMOS).cast("long").alias("group_id")) \
-        .agg(F.sort_array(F.collect_list("demo_id")).alias("demo"))
-    pr = grouping.render_prompts_for(qs.join(ds, "group_id"), q, d, task)
-    return pr.select("group_id", "prompt", F.array_join("answers", ",").alias("answers"),
-                     F.col("tokens").cast("int").alias("tokens"))
+def render_prompt_text(spark, sf):
+    """prompts of code questions."""
+    return _task_prompts(spark, sf, "code", TXT_DEMOS)
 
 
 def render_prompt_qa(spark, sf):
     """F8: prompts of true/false questions."""
-    return _task_prompts(spark, sf, "qa")
+    return _task_prompts(spark, sf, "qa", PROMPT_DEMOS)
 
 
 def render_prompt_jd(spark, sf):
     """prompts of transformations."""
-    return _task_prompts(spark, sf, "jd")
+    return _task_prompts(spark, sf, "jd", PROMPT_DEMOS)
 
 
 # ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 from __future__ import annotations
 
 from quire.catalog import (AFF_R, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, PCT,
-                           PIVOT_R, PROMPT_DEMOS, SEED, T_COST, TXT_DEMO_MOD, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
+                           PIVOT_R, PROMPT_DEMOS, SEED, T_COST, TXT_DEMOS, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
 from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
                                      JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
 from quire.functions.strings import TOKEN_PATTERN
@@ -74,12 +74,18 @@ def reach(nodes: str, und: str) -> str:
             f"SELECT u.b, reach.r FROM reach JOIN {und} u ON u.a = reach.id)")
 
 
+def _demo_sets(each: int, out: str = "tgd") -> str:
+    """Group g has demo set g modulo the number of sets of ``each`` consecutive demos."""
+    return (f"{out}s AS (SELECT demo_id, (row_number() OVER (ORDER BY demo_id) - 1) // {each} AS no FROM td),\n"
+            f"{out} AS (SELECT g.group_id, s.demo_id FROM tg g JOIN {out}s s ON s.no = g.group_id % (SELECT max(no) + 1 FROM {out}s))")
+
+
 TXT = f"""tq AS (SELECT doc_id AS ques_id, text, CASE WHEN n_chars > 1000 THEN 'true' ELSE 'false' END AS answer,
               {tok('text')} AS cost, doc_id // {TXT_GROUP} AS group_id FROM documents),
 td AS (SELECT item_id AS demo_id, text, CASE WHEN length(text) > 180 THEN 'true' ELSE 'false' END AS answer,
               {tok('text')} AS cost FROM benchmark),
 tg AS (SELECT DISTINCT group_id FROM tq),
-tgd AS (SELECT g.group_id, d.demo_id FROM tg g JOIN td d ON d.demo_id % {TXT_DEMO_MOD} = g.group_id % {TXT_DEMO_MOD}),
+{_demo_sets(TXT_DEMOS)},
 tt AS (SELECT g.group_id,
               coalesce((SELECT sum(cost) FROM tq WHERE tq.group_id = g.group_id), 0) AS qtok,
               coalesce((SELECT sum(d.cost) FROM tgd x JOIN td d USING (demo_id) WHERE x.group_id = g.group_id), 0) AS dtok,
@@ -211,8 +217,9 @@ def _task_prompt_sql(task: str, header: str, demo: str) -> str:
     """Prompts of ``catalog._task_prompts``: ``demo`` is the text of one demo ``d`` as an SQL expression."""
     whole = f"{_lit(task)} || dtx.demo_txt || {_lit(header)} || qtx.q_txt"
     return _with(TXT, "qn AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ques_id) AS rn FROM tq)",
-                 f"""dtx AS (SELECT d.demo_id // {PROMPT_DEMOS} AS group_id, string_agg({demo}, '' ORDER BY d.demo_id) AS demo_txt
-        FROM td d GROUP BY 1)""",
+                 _demo_sets(PROMPT_DEMOS, "pgd"),
+                 f"""dtx AS (SELECT x.group_id, string_agg({demo}, '' ORDER BY d.demo_id) AS demo_txt
+        FROM pgd x JOIN td d USING (demo_id) GROUP BY x.group_id)""",
                  """qtx AS (SELECT group_id, string_agg('Question' || rn || ':' || chr(10) || text || chr(10), '' ORDER BY ques_id) AS q_txt,
           string_agg(answer, ',' ORDER BY ques_id) AS answers FROM qn GROUP BY group_id)""") + f"""
 SELECT qtx.group_id, {whole} AS prompt, qtx.answers, {tok(whole)}::INTEGER AS tokens FROM qtx JOIN dtx USING (group_id)"""

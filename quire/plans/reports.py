@@ -10,15 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import row_number_within
 
-def fixed_text_groups(questions: DataFrame, demos: DataFrame, per_group: int, demo_mod: int):
-    """Documents in groups of ``per_group`` consecutive ids; a benchmark item joins
-    group g when ``item_id % demo_mod = g % demo_mod`` (an equi-join on the residue)."""
+
+def fixed_groups(questions: DataFrame, demos: DataFrame, per_group: int, demos_each: int):
+    """Questions in groups of ``per_group`` consecutive ids; the demos, in the order of their ids, in sets of
+    ``demos_each``; group g takes set g modulo the number of sets.
+
+    Every question is in one group and every group has demos (if there are any), so ``gd`` holds at most
+    ``demos_each`` rows a group, however many demos there are."""
     gq = questions.select(F.floor(F.col("ques_id") / per_group).cast("long").alias("group_id"), "ques_id")
-    groups = gq.select("group_id").distinct().withColumn("_r", F.pmod(F.col("group_id"), F.lit(demo_mod)))
-    dm = demos.select("demo_id", F.pmod(F.col("demo_id"), F.lit(demo_mod)).alias("_r"))
-    gd = groups.join(dm, "_r").select("group_id", "demo_id")
-    return gq, gd
+    n_sets = max(1, -(-demos.count() // demos_each))
+    numbered = row_number_within(demos.select("demo_id"), [], [F.col("demo_id")], "_no", kind="long")
+    sets = numbered.select("demo_id", F.expr(f"(_no - 1) div {demos_each}").alias("_set"))
+    groups = gq.select("group_id").distinct().withColumn("_set", F.pmod(F.col("group_id"), F.lit(n_sets).cast("long")))
+    return gq, groups.join(sets, "_set").select("group_id", "demo_id")
 
 
 def _group_tokens(gq, gd, questions, demos, t_cost) -> DataFrame:

@@ -76,3 +76,28 @@ def test_code_budget_text_differs_in_one_word():
     from quire.functions.prompts import CODE_TASK_TEXT, budget_text, task_text_cost
     assert budget_text("code").split("focal") == CODE_TASK_TEXT.split("total")
     assert task_text_cost("code") > 0
+
+
+def test_every_document_is_in_exactly_one_prompt(spark):
+    from quire import catalog
+    from quire.sources import fixtures as fx
+    sf = "/root/testdata/sf0.01"
+    n = fx.txt_questions(spark, sf).count()
+    for name in ("render_prompt_qa", "render_prompt_jd", "render_prompt_text"):
+        rows = catalog.queries()[name](spark, sf).collect()
+        assert sum(len(r["answers"].split(",")) for r in rows) == n
+        assert len({r["group_id"] for r in rows}) == len(rows) == n // catalog.TXT_GROUP
+
+
+def test_demo_sets_are_bounded_and_reach_every_group(spark):
+    from quire.plans.reports import fixed_groups
+    q = spark.range(95).selectExpr("id AS ques_id")
+    d = spark.createDataFrame([(i * i + 3,) for i in range(11)], "demo_id long")      # ids with gaps, a last set of three
+    gq, gd = fixed_groups(q, d, 10, 4)
+    sets = {}
+    for r in gd.collect():
+        sets.setdefault(r["group_id"], set()).add(r["demo_id"])
+    assert gq.count() == 95 and set(sets) == set(range(10))
+    ids = [i * i + 3 for i in range(11)]
+    assert all(sets[g] == set([ids[:4], ids[4:8], ids[8:]][g % 3]) for g in sets)
+    assert fixed_groups(q, d.limit(0), 10, 4)[1].count() == 0
