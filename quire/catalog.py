@@ -17,7 +17,7 @@ from quire.functions.prompts import task_text_cost
 from quire.functions.replies import parse_json_reply, parse_yes_no
 from quire.functions.strings import entity_text, lcs_ratio
 from quire.functions.vectors import reciprocal
-from quire.operators import assign, coverage, evaluate, graph, packing, setcover, simjoin
+from quire.operators import assign, bandcount, coverage, evaluate, graph, lsh, packing, setcover, simjoin
 from quire.operators.features import feature_vector, max_value_length
 from quire.plans import grouping, reports
 from quire.session import cut_lineage, prepare
@@ -33,6 +33,10 @@ K0_DIV = 0.6          # diverse clustering threshold on VEC (1/d <= k0)
 K0_AFF = 1.2          # affinity threshold
 AFF_R = 1.25          # radius of the affinity pairs
 PCT = 0.00001         # per-question distance quantile (0.001 %)
+QUARTER = 0.25        # the quartile, for the same reports
+BAND_K0, BAND_K1 = 0.1, 0.05   # bands of the pivot distances among questions, between questions and demos
+LSH_R = 0.55          # cosine radius of the approximate join
+LSH_RECALL = 0.97     # wanted share of the pairs at that radius
 COVER_CNT = 2         # top-up target per question
 TXT_GROUP = 10        # documents per fixed group
 TXT_DEMOS = 8         # demos of a group of the reports and code prompts
@@ -184,6 +188,30 @@ def pivot_join(spark, sf):
     return p.select("ques_id", "demo_id", _r(F.col("dist")).alias("dist"))
 
 
+def pair_dist_tree(spark, sf):
+    """J1 through the tree of centres, whether or not it prunes these vectors."""
+    p = simjoin.range_join(_vd(spark, sf), _vq(spark, sf), "demo_id", "ques_id", EUC_R, metric="euclid", engine="tree")
+    return p.select("ques_id", "demo_id", _r(F.col("dist")).alias("dist"))
+
+
+def pair_dist_cosine_lsh(spark, sf):
+    """J2, approximate and opt-in: most pairs within the radius (see ``lsh_recall``)."""
+    p = lsh.lsh_join(_vd(spark, sf), _vq(spark, sf), "demo_id", "ques_id", LSH_R, recall=LSH_RECALL)
+    return p.select("ques_id", "demo_id", _r(F.col("dist")).alias("dist"))
+
+
+def lsh_recall(spark, sf):
+    """The approximate join of all vectors against the exact one: exact pairs, found pairs that are not
+    among them, and whether nine tenths were found."""
+    v = fx.vectors(spark, sf)
+    other = v.withColumnRenamed("id", "id2")
+    exact = simjoin.range_join(v, other, "id", "id2", LSH_R, metric="cosine", self_join=True)
+    found = lsh.lsh_join(v, other, "id", "id2", LSH_R, recall=LSH_RECALL, self_join=True)
+    both = exact.select("id", "id2", F.col("dist").alias("_e")).join(found.select("id", "id2", F.col("dist").alias("_f")), ["id", "id2"], "full")
+    return both.agg(F.count("_e").alias("n_exact"), F.count_if(F.col("_e").isNull() | (F.col("_f") != F.col("_e"))).alias("n_outside"),
+                    F.coalesce(F.count("_f") >= 0.9 * F.count("_e"), F.lit(True)).alias("recall_ok"))
+
+
 def pivot_prune_stats(spark, sf):
     q, d = _vq(spark, sf), _vd(spark, sf)
     w = simjoin.range_join(d, q, "demo_id", "ques_id", PIVOT_R, metric="euclid", n_pivots=3)
@@ -191,8 +219,16 @@ def pivot_prune_stats(spark, sf):
         .unionByName(w.select(F.lit("w").alias("k")))
     c = tagged.groupBy().agg(*[F.count_if(F.col("k") == t).cast("long").alias(n)
                                for t, n in (("l", "n_left"), ("r", "n_right"), ("w", "n_within"))])
-    return c.select("n_left", "n_right", (F.col("n_left") * F.col("n_right")).cast("long").alias("n_full"),
-                    "n_within")
+    counts = bandcount.prune_counts(q, d, BAND_K0, BAND_K1)
+    both = c.select("n_left", "n_right", (F.col("n_left") * F.col("n_right")).cast("long").alias("n_full"), "n_within") \
+        .unionByName(counts, allowMissingColumns=True)
+    return both.agg(*[F.max(x).alias(x) for x in both.columns])          # two rows become one
+
+
+def dist_percentile_q25(spark, sf):
+    """A3 at the quartile, by counting."""
+    p = simjoin.dist_percentile(_vq(spark, sf), _vd(spark, sf), QUARTER, "cosine")
+    return p.select("ques_id", _r(F.col("pct")).alias("pct"))
 
 
 def eps_edges(spark, sf):
@@ -484,7 +520,16 @@ def plan_groups_corr(spark, sf):
 
 
 def ilp_inputs(spark, sf):
-    thr, pairs = simjoin.cover_percentile(_vq(spark, sf), _vd(spark, sf), PCT, "cosine")
+    return _ilp_inputs(spark, sf, PCT)
+
+
+def ilp_inputs_q25(spark, sf):
+    """X3's inputs with the quartile as threshold."""
+    return _ilp_inputs(spark, sf, QUARTER)
+
+
+def _ilp_inputs(spark, sf, p):
+    _, pairs = simjoin.cover_percentile(_vq(spark, sf), _vd(spark, sf), p, "cosine")
     qc, _ = _vcost(spark, sf)
     n = pairs.groupBy("ques_id").agg(F.count("*").alias("n_cover"))
     return qc.join(n, "ques_id", "left").select("ques_id", F.coalesce("n_cover", F.lit(0)).cast("long").alias("n_cover"),
@@ -676,6 +721,8 @@ _QUERIES: dict[str, Query] = {
     "clusters_without_noise": clusters_without_noise, "plan_groups_similar": plan_groups_similar,
     "plan_groups_random": plan_groups_random, "render_prompt_qa": render_prompt_qa,
     "render_prompt_jd": render_prompt_jd, "eval_exact_qa": eval_exact_qa,
+    "pair_dist_tree": pair_dist_tree, "pair_dist_cosine_lsh": pair_dist_cosine_lsh, "lsh_recall": lsh_recall,
+    "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
 }
 
 

@@ -128,6 +128,25 @@ def _with_cells(df: DataFrame, pivots: list[list[float]], width: float, metric:
     return df
 
 
+def block_distances(metric: str, L, ln, R, rn):
+    """All distances between the rows of two numpy blocks (``ln``, ``rn``: their norms), dimensions
+    summed left to right, as the SQL path does."""
+    import numpy as np
+
+    if metric == "cosine":
+        acc = L[:, 0, None] * R[None, :, 0]
+        for j in range(1, L.shape[1]):
+            acc += L[:, j, None] * R[None, :, j]
+        norms = ln[:, None] * rn[None, :]
+        return 1.0 - np.divide(acc, norms, out=np.zeros_like(acc), where=norms > 0)
+    t = L[:, 0, None] - R[None, :, 0]
+    acc = t * t
+    for j in range(1, L.shape[1]):
+        t = L[:, j, None] - R[None, :, j]
+        acc += t * t
+    return np.sqrt(acc)
+
+
 def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool, strict: bool):
     """Per (cell, salt) block: all left x right distances with numpy, summing the
     dimensions left to right so values equal the SQL-expression path bit for bit."""
@@ -150,20 +169,7 @@ def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool,
             ok &= lid[:, None] < rid[None, :]
         if not ok.any():
             return empty
-        # whole block, dimensions summed left to right (same order as the SQL path)
-        if metric == "cosine":
-            acc = L[:, 0, None] * R[None, :, 0]
-            for j in range(1, L.shape[1]):
-                acc += L[:, j, None] * R[None, :, j]
-            norms = lpdf["_n"].to_numpy()[:, None] * rpdf["_n"].to_numpy()[None, :]
-            d = 1.0 - np.divide(acc, norms, out=np.zeros_like(acc), where=norms > 0)
-        else:
-            t = L[:, 0, None] - R[None, :, 0]
-            acc = t * t
-            for j in range(1, L.shape[1]):
-                t = L[:, j, None] - R[None, :, j]
-                acc += t * t
-            d = np.sqrt(acc)
+        d = block_distances(metric, L, lpdf["_n"].to_numpy(), R, rpdf["_n"].to_numpy())
         ok &= (d < radius) if strict else (d <= radius)
         li, ri = np.nonzero(ok)
         return pd.DataFrame({"_lid": lid[li], "_rid": rid[ri], "dist": d[li, ri]})
@@ -177,13 +183,24 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
                strict: bool = False, engine: str = "auto", block_rows: int = 2048) -> DataFrame:
     """All pairs with ``dist <= radius`` (``< radius`` if ``strict``): ``(left_id, right_id, dist)``.
 
-    ``left`` is the side replicated over neighbour cells -- pass the smaller one.
+    ``left`` is the side replicated over neighbour cells -- pass the smaller one.  ``engine``:
+    ``grid`` (pivot cells, compiled arithmetic), ``block`` (pivot cells, numpy blocks), ``tree``
+    (partition by nearest centres, see ``centretree``), or ``auto``: the tree for dense vectors
+    where a sample shows that it prunes, else blocks for dense vectors and the grid for others.
     With ``self_join`` both inputs describe the same rows and only ``left_id < right_id``
     pairs are returned."""
     if metric not in ("euclid", "cosine"):
         raise ValueError(f"unknown metric {metric!r} (euclid | cosine)")
     R = _working_radius(metric, radius)
     width = max(R * (1 + _EPS), 1e-12)
+    if engine in ("auto", "tree") and pivots is None:
+        # imported here: the tree uses the block join below
+        from quire.operators.centretree import tree_join
+
+        out = tree_join(left, right, left_id, right_id, radius, metric, vec_col, self_join, strict,
+                        block_rows, always=engine == "tree")
+        if out is not None:
+            return out
     if pivots is None:
         pivots = choose_pivots(_prep(right, right_id, vec_col), right_id, n_pivots, metric)
         if not pivots:
@@ -226,44 +243,52 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     return out.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
-def _range_join_blocks(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str, off_arr, m: int,
-                       metric: str, radius: float, width: float, self_join: bool, strict: bool,
-                       block_rows: int) -> DataFrame:
-    """Cell join executed as numpy blocks: ``cogroup`` on (cell vector, left salt,
-    right salt).
-
-    Salt counts are per cell and per side: the left rows that reach a cell (after the
-    neighbour explosion) are split into ``sL = ceil(nL / block_rows)`` parts and the
-    right rows of the cell into ``sR = ceil(nR / block_rows)`` parts; each left part
-    meets each right part once.  Every block is at most about ``block_rows`` x
-    ``block_rows``, a lopsided cell replicates only its small side, and ordinary cells
-    are not replicated at all."""
-    keys = [f"_k{i}" for i in range(m)]
-    pds = [f"_pd{i}" for i in range(m)]
-    Lx = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *pds, *[f"_c{i}" for i in range(m)],
-                   F.explode(off_arr).alias("_off"))
-    Lx = Lx.select("_lid", "_v", "_n", *pds, *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)])
-    Rx = rc.select(F.col(right_id).alias("_rid"), "_v", "_n", *pds, *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)])
-    n_left = Lx.groupBy(*keys).agg(F.count("*").alias("_nl"))
-    n_right = Rx.groupBy(*keys).agg(F.count("*").alias("_nr"))
-    # cells reached from both sides only; one row per cell
+def block_join(lx: DataFrame, rx: DataFrame, keys: list[str], left_id: str, right_id: str, metric: str, radius: float,
+               n_bands: int = 0, width: float = 0.0, self_join: bool = False, strict: bool = False,
+               block_rows: int = 2048) -> DataFrame:
+    """Pairs within the radius among rows that meet on ``keys``, as numpy blocks: ``cogroup``
+    on (keys, left salt, right salt).
+
+    ``lx(_lid, _v, _n, _pd0.., keys)`` and ``rx(_rid, ...)`` hold a row for every key a vector is
+    found under.  Salt counts are per key and per side: the left rows of a key are split into
+    ``sL = ceil(nL / block_rows)`` parts and its right rows into ``sR = ceil(nR / block_rows)``
+    parts; each left part meets each right part once.  Every block is at most about
+    ``block_rows`` x ``block_rows``, a lopsided key replicates only its small side, and
+    ordinary keys are not replicated at all."""
+    pds = [f"_pd{i}" for i in range(n_bands)]
+    n_left = lx.groupBy(*keys).agg(F.count("*").alias("_nl"))
+    n_right = rx.groupBy(*keys).agg(F.count("*").alias("_nr"))
+    # keys reached from both sides only; one row per key
     salt_of = n_left.join(n_right, keys).select(
         *keys, F.ceil(F.col("_nl") / F.lit(block_rows)).cast("int").alias("_sl"),
         F.ceil(F.col("_nr") / F.lit(block_rows)).cast("int").alias("_sr"))
-    L = Lx.join(salt_of, keys).select(
+    L = lx.join(salt_of, keys).select(
         "_lid", "_v", "_n", *pds, *keys,
         F.pmod(F.xxhash64("_lid"), F.col("_sl")).cast("int").alias("_ls"),
         F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rs"))
-    R = Rx.join(salt_of, keys).select(
+    R = rx.join(salt_of, keys).select(
         "_rid", "_v", "_n", *pds, *keys,
         F.explode(F.sequence(F.lit(0), F.col("_sl") - 1)).alias("_ls"),
         F.pmod(F.xxhash64("_rid"), F.col("_sr")).cast("int").alias("_rs"))
     gk = keys + ["_ls", "_rs"]
     out = L.groupBy(*gk).cogroup(R.groupBy(*gk)).applyInPandas(
-        _block_fn(metric, radius, width, m, self_join, strict), "_lid long, _rid long, dist double")
+        _block_fn(metric, radius, width, n_bands, self_join, strict), "_lid long, _rid long, dist double")
     return out.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "dist")
 
 
+def _range_join_blocks(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str, off_arr, m: int,
+                       metric: str, radius: float, width: float, self_join: bool, strict: bool,
+                       block_rows: int) -> DataFrame:
+    """Join of the pivot-distance cells in blocks: the left rows go to their neighbour cells."""
+    keys = [f"_k{i}" for i in range(m)]
+    pds = [f"_pd{i}" for i in range(m)]
+    Lx = lc.select(F.col(left_id).alias("_lid"), "_v", "_n", *pds, *[f"_c{i}" for i in range(m)],
+                   F.explode(off_arr).alias("_off"))
+    Lx = Lx.select("_lid", "_v", "_n", *pds, *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_k{i}") for i in range(m)])
+    Rx = rc.select(F.col(right_id).alias("_rid"), "_v", "_n", *pds, *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(m)])
+    return block_join(Lx, Rx, keys, left_id, right_id, metric, radius, m, width, self_join, strict, block_rows)
+
+
 def max_distance_bound(df: DataFrame, metric: str, vec_col: str = "vec") -> float:
     """A proven upper bound of any pairwise distance among ``df`` rows."""
     if metric == "cosine":
@@ -427,21 +452,32 @@ def topup_cover(cover: DataFrame, questions: DataFrame, demos: DataFrame, cover_
 
 
 def dist_percentile(questions: DataFrame, demos: DataFrame, p: float, metric: str,
-                    vec_col: str = "vec") -> DataFrame:
-    """A3: per question the ``p`` quantile (linear interpolation) of its distances to
-    all demos.  Only the ``floor((n-1)p)+2`` nearest demos decide it, so an exact kNN
-    join replaces the full distance table.  Output ``(ques_id, pct)``."""
-    n = demos.count()
+                    vec_col: str = "vec", small_k: int = 64) -> DataFrame:
+    """A3: per question the ``p`` quantile (linear interpolation) of its distances to all demos.
+    Output ``(ques_id, pct)``.
+
+    The ``floor((n-1)p)+2`` nearest demos decide it: if these are at most ``small_k``, an exact
+    kNN join finds them; otherwise distances are only counted, in histograms that are refined
+    until they hold the two order statistics (``quantile.order_statistics``), so nothing that
+    grows with the demos is kept per question."""
+    from quire.operators.quantile import order_statistics
+
+    n = demos.where(F.col(vec_col).isNotNull()).count()
     if n == 0:
         return questions.sparkSession.createDataFrame([], "ques_id long, pct double")
     h = (n - 1) * p
     lo = int(math.floor(h))
     k = min(lo + 2, n)
-    near = knn_join(questions, demos, "ques_id", "demo_id", k, metric=metric, vec_col=vec_col)
     frac = h - lo
-    agg = near.groupBy("ques_id").agg(
-        F.max(F.when(F.col("rank") == lo + 1, F.col("dist"))).alias("_a"),
-        F.max(F.when(F.col("rank") == lo + 2, F.col("dist"))).alias("_b"))
+    if k <= small_k:
+        near = knn_join(questions, demos, "ques_id", "demo_id", k, metric=metric, vec_col=vec_col)
+        agg = near.groupBy("ques_id").agg(
+            F.max(F.when(F.col("rank") == lo + 1, F.col("dist"))).alias("_a"),
+            F.max(F.when(F.col("rank") == lo + 2, F.col("dist"))).alias("_b"))
+    else:
+        found = order_statistics(questions, demos, [lo + 1, k], metric, vec_col)
+        agg = found.groupBy("ques_id").agg(F.max(F.when(F.col("rank") == lo + 1, F.col("dist"))).alias("_a"),
+                                           F.max(F.when(F.col("rank") == lo + 2, F.col("dist"))).alias("_b"))
     pct = F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") + F.lit(frac) * (F.col("_b") - F.col("_a")))
     return agg.select("ques_id", pct.alias("pct"))
 

@@ -6,8 +6,8 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 
 from __future__ import annotations
 
-from quire.catalog import (AFF_R, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, PCT,
-                           PIVOT_R, PROMPT_DEMOS, SEED, T_COST, TXT_DEMOS, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
+from quire.catalog import (AFF_R, BAND_K0, BAND_K1, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, LSH_R, PCT,
+                           PIVOT_R, PROMPT_DEMOS, QUARTER, SEED, T_COST, TXT_DEMOS, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
 from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
                                      JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
 from quire.functions.strings import TOKEN_PATTERN
@@ -63,8 +63,9 @@ knn AS (SELECT ques_id, demo_id, dist, rank FROM (
 VEC = VEC_BASE + """,
 cc AS (SELECT q.label::BIGINT AS cluster_id, k.demo_id, k.ques_id, k.dist FROM knn k JOIN vq q USING (ques_id))"""
 
-GRAPH = f"""gv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
-gp AS (SELECT a.id AS src, b.id AS dst, {cos('a.v', 'b.v')} AS d FROM gv a JOIN gv b ON a.id < b.id),
+GRAPH_BASE = f"""gv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+gp AS (SELECT a.id AS src, b.id AS dst, {cos('a.v', 'b.v')} AS d FROM gv a JOIN gv b ON a.id < b.id)"""
+GRAPH = GRAPH_BASE + f""",
 ge AS (SELECT src, dst, {GRAPH_SHIFT} - d AS weight FROM gp WHERE d <= {GRAPH_RADIUS})"""
 
 
@@ -554,11 +555,21 @@ UNION ALL SELECT 'demo', demo_id FROM (SELECT DISTINCT demo_id FROM knn)"""
     q["group_coverage"] = _with(VEC) + f"""SELECT ques_id // 40 AS group_id, demo_id, count(*)::BIGINT AS n_ques,
   string_agg(ques_id::VARCHAR, ',' ORDER BY ques_id) AS ques FROM vp WHERE cdist <= {VEC_K1} GROUP BY 1, 2"""
     q["pivot_join"] = _with(VEC) + f"SELECT ques_id, demo_id, round(edist, 6) AS dist FROM vp WHERE edist <= {PIVOT_R}"
-    q["pivot_prune_stats"] = _with(VEC) + f"""SELECT (SELECT count(*) FROM vq)::BIGINT AS n_left,
+    q["pair_dist_tree"] = q["pair_dist_euclid"]
+    q["lsh_recall"] = _with(GRAPH_BASE) + f"""SELECT count(*) FILTER (WHERE d <= {LSH_R})::BIGINT AS n_exact, 0::BIGINT AS n_outside, true AS recall_ok FROM gp"""
+    q["pivot_prune_stats"] = _with(VEC, """pv AS (SELECT ques_id AS pid, v AS pv FROM vq WHERE ques_id = (SELECT min(ques_id) FROM vq)),
+pq AS (SELECT ques_id, list_distance(v, pv) AS x FROM vq, pv WHERE ques_id <> pid), pd AS (SELECT list_distance(v, pv) AS y FROM vd, pv),
+qs AS (SELECT *, count(*) OVER (ORDER BY x RANGE BETWEEN 0 PRECEDING AND """ + f"{BAND_K0}" + """ FOLLOWING) - 1 AS after,
+              row_number() OVER (PARTITION BY x) - 1 AS tied FROM pq)""") + f"""SELECT (SELECT count(*) FROM vq)::BIGINT AS n_left,
   (SELECT count(*) FROM vd)::BIGINT AS n_right, ((SELECT count(*) FROM vq) * (SELECT count(*) FROM vd))::BIGINT AS n_full,
-  (SELECT count(*) FROM vp WHERE edist <= {PIVOT_R})::BIGINT AS n_within"""
+  (SELECT count(*) FROM vp WHERE edist <= {PIVOT_R})::BIGINT AS n_within,
+  (SELECT count(*) * (count(*) - 1) // 2 FROM vq)::BIGINT AS n_self_full,
+  (SELECT count(*) + sum(after - tied) FROM qs)::BIGINT AS n_self_compared,
+  ((SELECT count(*) FROM vq) * (SELECT count(*) FROM vd))::BIGINT AS n_cross_full,
+  ((SELECT count(*) FROM vd) + (SELECT count(*) FROM pq JOIN pd ON y >= x - {BAND_K1} AND y <= x + {BAND_K1}))::BIGINT AS n_cross_compared"""
     q["eps_edges"] = _with(GRAPH) + f"SELECT src, dst, round(d, 6) AS dist FROM gp WHERE d <= {EPS_SIM}"
     q["dist_percentile"] = _with(VEC) + f"SELECT ques_id, round(quantile_cont(cdist, {PCT}), 6) AS pct FROM vp GROUP BY ques_id"
+    q["dist_percentile_q25"] = _with(VEC) + f"SELECT ques_id, round(quantile_cont(cdist, {QUARTER}), 6) AS pct FROM vp GROUP BY ques_id"
     q["cover_percentile"] = _with(VEC, f"""thr AS (SELECT max(p) AS t FROM (SELECT quantile_cont(cdist, {PCT}) AS p
         FROM vp GROUP BY ques_id))""") + "SELECT ques_id, demo_id, round(cdist, 6) AS dist FROM vp, thr WHERE cdist <= thr.t"
 
@@ -666,7 +677,8 @@ FROM cc GROUP BY 1, 2"""
                              """w AS (SELECT a.cluster_id, a.demo_id, sum(10 + q.label) AS qs, count(*) AS n
         FROM a JOIN vq q USING (ques_id) GROUP BY 1, 2)""") + """SELECT w.cluster_id, w.demo_id,
   (10 + d.label + w.qs)::BIGINT AS weight, w.n::BIGINT AS n_ques FROM w JOIN vd d USING (demo_id)"""
-    q["ilp_inputs"] = _with(VEC, f"""thr AS (SELECT max(p) AS t FROM (SELECT quantile_cont(cdist, {PCT}) AS p
+    for name, p in (("ilp_inputs", PCT), ("ilp_inputs_q25", QUARTER)):
+        q[name] = _with(VEC, f"""thr AS (SELECT max(p) AS t FROM (SELECT quantile_cont(cdist, {p}) AS p
         FROM vp GROUP BY ques_id))""") + """SELECT q.ques_id,
   (SELECT count(*) FROM vp, thr WHERE vp.ques_id = q.ques_id AND vp.cdist <= thr.t)::BIGINT AS n_cover,
   (10 + q.label)::INTEGER AS cost FROM vq q"""
