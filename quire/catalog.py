@@ -30,6 +30,7 @@ EUC_R = 1.2           # Euclidean radius of the plain distance joins
 PIVOT_R = 1.1         # radius of the pivot-join query
 EPS_SIM = 0.7         # cosine eps of similar clustering / eps edges
 K0_DIV = 0.6          # diverse clustering threshold on VEC (1/d <= k0)
+K0_CORR = 0.85        # cosine distance from which questions attract in diverse correlation grouping
 K0_AFF = 1.2          # affinity threshold
 AFF_R = 1.25          # radius of the affinity pairs
 PCT = 0.00001         # per-question distance quantile (0.001 %)
@@ -512,9 +513,18 @@ def plan_groups_dominated(spark, sf):
 
 
 def plan_groups_corr(spark, sf):
+    return _corr_plan(spark, sf, EPS_SIM, "similar")
+
+
+def plan_groups_corr_diverse(spark, sf):
+    """X2 where questions at least K0_CORR apart attract and nearer ones repel."""
+    return _corr_plan(spark, sf, K0_CORR, "diverse")
+
+
+def _corr_plan(spark, sf, k0, kind):
     q = fx.vec_costs(_vq(spark, sf), "ques_id")
     d = fx.vec_costs(_vd(spark, sf), "demo_id")
-    cfg = PlanConfig(k0=EPS_SIM, k1=VEC_K1, k2=140, upper_ques=UPPER, batch_type="correlation", metric="cosine",
+    cfg = PlanConfig(k0=k0, k1=VEC_K1, k2=140, upper_ques=UPPER, batch_type="correlation", corr_kind=kind, metric="cosine",
                      task="qa", set_cover_num=2)
     return _groups_out(grouping.plan_groups(q, d, cfg, render_prompts=False).groups)
 
@@ -722,7 +732,7 @@ _QUERIES: dict[str, Query] = {
     "plan_groups_random": plan_groups_random, "render_prompt_qa": render_prompt_qa,
     "render_prompt_jd": render_prompt_jd, "eval_exact_qa": eval_exact_qa,
     "pair_dist_tree": pair_dist_tree, "pair_dist_cosine_lsh": pair_dist_cosine_lsh, "lsh_recall": lsh_recall,
-    "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
+    "plan_groups_corr_diverse": plan_groups_corr_diverse, "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
 }
 
 

@@ -6,7 +6,7 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 
 from __future__ import annotations
 
-from quire.catalog import (AFF_R, BAND_K0, BAND_K1, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_DIV, K2_REPORT, LSH_R, PCT,
+from quire.catalog import (AFF_R, BAND_K0, BAND_K1, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_CORR, K0_DIV, K2_REPORT, LSH_R, PCT,
                            PIVOT_R, PROMPT_DEMOS, QUARTER, SEED, T_COST, TXT_DEMOS, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
 from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
                                      JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
@@ -470,8 +470,8 @@ SELECT group_id, demo_id, extra_round::INTEGER AS extra_round, pick_no::INTEGER
 UNION ALL SELECT group_id, demo_id, extra_round::INTEGER, pick_no::INTEGER FROM a2"""
 
 
-def _plan_groups_corr_sql() -> str:
-    """``catalog.plan_groups_corr``: QA task on VEC -- kNN filter, threshold cover among the
+def _plan_groups_corr_sql(attracts: str = f"<= {EPS_SIM}") -> str:
+    """``catalog.plan_groups_corr`` and ``plan_groups_corr_diverse``: QA task on VEC -- kNN filter, threshold cover among the
     kept rows, correlation clustering of the full signed graph (+1 near, -1 beyond eps),
     sequential greedy per cluster, balancing pass, last holder, best-fit-decreasing, two rounds of extra covers, groups."""
     from quire.functions.prompts import task_text_cost
@@ -482,7 +482,7 @@ def _plan_groups_corr_sql() -> str:
                  f"""cov AS (SELECT ques_id, demo_id FROM vp WHERE cdist <= {VEC_K1}
         AND ques_id IN (SELECT ques_id FROM fq) AND demo_id IN (SELECT demo_id FROM fd))""",
                  "gv AS (SELECT ques_id AS id, v FROM vq WHERE ques_id IN (SELECT ques_id FROM fq))",
-                 f"""ge AS (SELECT a.id AS src, b.id AS dst, CASE WHEN {cos('a.v', 'b.v')} <= {EPS_SIM} THEN 1.0 ELSE -1.0 END AS weight
+                 f"""ge AS (SELECT a.id AS src, b.id AS dst, CASE WHEN {cos('a.v', 'b.v')} {attracts} THEN 1.0 ELSE -1.0 END AS weight
         FROM gv a JOIN gv b ON a.id < b.id)""",
                  *_corr_parts(),
                  "cc AS (SELECT sp.l AS cluster_id, cov.demo_id, cov.ques_id FROM cov JOIN sp ON sp.id = cov.ques_id)",
@@ -669,6 +669,7 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
     q["corr_cluster"] = _corr_cluster_sql()
     q["group_extra_demos"] = _group_extra_demos_sql()
     q["plan_groups_corr"] = _plan_groups_corr_sql()
+    q["plan_groups_corr_diverse"] = _plan_groups_corr_sql(f">= {K0_CORR}")
     q["assign_balanced"] = _assign_balanced_sql()
     q["assign_last"] = _with(VEC) + "SELECT cluster_id, ques_id, max(demo_id) AS demo_id FROM cc GROUP BY 1, 2"
     q["assign_random"] = _with(VEC) + f"""SELECT cluster_id, ques_id, arg_min(demo_id, md5('{SEED}:' || demo_id::VARCHAR) || lpad(demo_id::VARCHAR, 20, '0')) AS demo_id

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quire.config import PlanConfig
 from quire.functions.prompts import item_word, render, task_text_cost
 from quire.functions.strings import token_count
-from quire.operators import assign, coverage, graph, packing, setcover, simjoin
+from quire.operators import assign, complement, coverage, graph, packing, setcover, simjoin
 from quire.session import cut_lineage, prepare
 
 
@@ -43,6 +43,12 @@ def _cluster(questions: DataFrame, cfg: PlanConfig) -> DataFrame:
         return graph.cluster_similar(pts, cfg.k0, cfg.metric, n_pivots=cfg.n_pivots)
     if cfg.batch_type == "random":
         return graph.cluster_random(pts)
+    if cfg.batch_type == "correlation" and cfg.corr_kind == "diverse":
+        # far pairs attract: the near ones, which repel, are listed, the others follow from counts
+        pairs = simjoin.range_join(pts, pts.withColumnRenamed("id", "id2"), "id", "id2", cfg.k0,
+                                   metric=cfg.metric, self_join=True, strict=True, n_pivots=cfg.n_pivots)
+        return complement.correlation_clustering_far(pts.select("id"), complement.both_ways(pairs, "id", "id2"),
+                                                     seeds=[0, 1, 2])
     if cfg.batch_type == "correlation":
         pairs = simjoin.range_join(pts, pts.withColumnRenamed("id", "id2"), "id", "id2", cfg.k0,
                                    metric=cfg.metric, self_join=True, n_pivots=cfg.n_pivots)
