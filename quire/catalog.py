@@ -30,6 +30,7 @@ EUC_R = 1.2           # Euclidean radius of the plain distance joins
 PIVOT_R = 1.1         # radius of the pivot-join query
 EPS_SIM = 0.7         # cosine eps of similar clustering / eps edges
 K0_DIV = 0.6          # diverse clustering threshold on VEC (1/d <= k0)
+K0_DENSE = 0.77       # the same with most pairs far
 K0_CORR = 0.85        # cosine distance from which questions attract in diverse correlation grouping
 K0_AFF = 1.2          # affinity threshold
 AFF_R = 1.25          # radius of the affinity pairs
@@ -313,6 +314,11 @@ def cluster_diverse(spark, sf):
     return graph.cluster_diverse(_vq(spark, sf).select(F.col("ques_id").alias("id"), "vec"), K0_DIV)
 
 
+def cluster_diverse_dense(spark, sf):
+    """G2 where most pairs are far, but no two points so far that they reach everything."""
+    return graph.cluster_diverse(_vq(spark, sf).select(F.col("ques_id").alias("id"), "vec"), K0_DENSE)
+
+
 def cluster_stats(spark, sf):
     sizes = _similar(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("size"))
     return sizes.agg(F.count("*").cast("long").alias("n_clusters"), F.sum("size").cast("long").alias("n_points"),
@@ -732,7 +738,7 @@ _QUERIES: dict[str, Query] = {
     "plan_groups_random": plan_groups_random, "render_prompt_qa": render_prompt_qa,
     "render_prompt_jd": render_prompt_jd, "eval_exact_qa": eval_exact_qa,
     "pair_dist_tree": pair_dist_tree, "pair_dist_cosine_lsh": pair_dist_cosine_lsh, "lsh_recall": lsh_recall,
-    "plan_groups_corr_diverse": plan_groups_corr_diverse, "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
+    "cluster_diverse_dense": cluster_diverse_dense, "plan_groups_corr_diverse": plan_groups_corr_diverse, "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
 }
 
 

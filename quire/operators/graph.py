@@ -13,8 +13,11 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.vectors import euclid
 from quire.session import cut_lineage
@@ -81,19 +84,110 @@ def components(nodes: DataFrame, edges: DataFrame, is_non_value: Column | None =
 # ---------------------------------------------------------------------------
 
 
+def _cells(points: DataFrame, eps: float, metric: str) -> DataFrame:
+    """``points(id, vec)`` with ``cell``, the smallest id of its cell: points whose distances are all within ``eps``.
+
+    A cell is a cube of diameter eps (in the chord space for cosine).  A zero vector under
+    cosine has distance 1 to everything, itself included, so it is a cell of its own."""
+    from quire.functions.vectors import norm, unit
+
+    v = F.col("vec").cast("array<double>")
+    space = unit(v) if metric == "cosine" else v
+    key = v                                       # only equal vectors are within 0
+    if eps > 0:
+        side = F.lit((math.sqrt(2.0 * eps) if metric == "cosine" else eps) * (1 - 1e-9)) / F.sqrt(F.size("vec"))
+        key = F.transform(space, lambda x: F.floor(x / side))
+    alone = (norm(v) == 0) if metric == "cosine" else F.lit(False)
+    keyed = points.select("id", "vec", key.alias("_key"), F.when(alone, F.col("id")).alias("_own"))
+    first = keyed.groupBy("_key", "_own").agg(F.min("id").alias("cell"))
+    return keyed.join(first, keyed["_key"].eqNullSafe(first["_key"]) & keyed["_own"].eqNullSafe(first["_own"])).select("id", "vec", "cell")
+
+
+def _close_cells(points: DataFrame, pairs: DataFrame, eps: float, metric: str, block_rows: int) -> DataFrame:
+    """``(src, dst)`` of the cell ``pairs`` that hold two points within ``eps``: one row a pair, whatever
+    the number of points.  A point takes part only if the other cell's ball can hold a partner."""
+    from quire.operators.simjoin import _block_fn, _prep, _working_radius, _space_distance
+
+    inner = _block_fn(metric, eps, 0.0, 0, False, False)
+    reach = _working_radius(metric, eps) * (1 + 1e-9) + 1e-12
+    p = _prep(points, "id", "vec").join(points.select("id", "cell"), "id")
+    n = points.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_b"))
+    pairs = pairs.join(n.select(F.col("cell").alias("src"), F.col("_b").alias("_bs")), "src") \
+        .join(n.select(F.col("cell").alias("dst"), F.col("_b").alias("_bd")), "dst")
+
+    def side(own: str, other: str, radius: str, mine: str, theirs: str, salt: str, spread: str) -> DataFrame:
+        at = pairs.select("src", "dst", F.col(own).alias("cell"), F.col(f"_{other}").alias("_o"), F.col(radius).alias("_r"),
+                          F.col(mine).alias("_m"), F.col(theirs).alias("_t"))
+        near = p.join(at, "cell").where(_space_distance(metric, F.col("_v"), F.col("_o")) <= F.col("_r") + F.lit(reach))
+        same = [F.col(c).alias(c) for c in ("src", "dst", "_v", "_n")]      # columns of their own on each side
+        return near.select(*same, F.col("id").alias("_lid" if own == "src" else "_rid"),
+                           F.pmod(F.xxhash64("id"), F.col("_m")).cast("int").alias(salt),
+                           F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias(spread))
+
+    def any_pair(key, l, r):
+        found = inner(l, r)
+        return found.iloc[:1].assign(src=key[0], dst=key[1])[["src", "dst"]].astype("int64")
+
+    keys = ["src", "dst", "_ls", "_rs"]
+    left = side("src", "dv", "_dr", "_bs", "_bd", "_ls", "_rs")
+    right = side("dst", "sv", "_sr", "_bd", "_bs", "_rs", "_ls")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(any_pair, "src long, dst long").distinct()
+
+
+def similar_cell_edges(cells: DataFrame, eps: float, metric: str, n_pivots: int = 2, block_rows: int = 2048) -> DataFrame:
+    """``(src, dst)`` links between the cells of ``cells(id, vec, cell)``, enough to connect all cells that pairs within
+    ``eps`` connect: at most one for each two cells.
+
+    Cells whose first points are within eps are linked by these; of the others, only pairs in
+    different components whose balls can hold a pair within eps are searched."""
+    from quire.operators.simjoin import _space_distance, _working_radius, range_join
+
+    reps = cut_lineage(cells.where(F.col("id") == F.col("cell")).select("id", "vec"))
+    other = reps.withColumnRenamed("id", "id2")
+    near = range_join(reps, other, "id", "id2", eps, metric=metric, self_join=True, n_pivots=n_pivots)
+    edges = cut_lineage(near.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
+    wide = cells.join(reps.select(F.col("id").alias("cell"), F.col("vec").alias("_c")), "cell")
+    radius = cut_lineage(wide.where(F.col("id") != F.col("cell")).groupBy("cell").agg(
+        F.max(_space_distance(metric, F.col("vec"), F.col("_c"))).alias("_r")))
+    most = radius.agg(F.max("_r").alias("r")).first()["r"]
+    if not most:
+        return edges
+    comp = cut_lineage(connected_components(reps.select("id"), edges))
+    # first points within eps + both radii; one of the two cells has more than one place
+    reach = _working_radius(metric, eps) + 2.0 * most
+    far = reach * reach / 2.0 if metric == "cosine" else reach
+    several = reps.join(radius.select(F.col("cell").alias("id")), "id", "left_semi")
+    cand = range_join(several, other, "id", "id2", min(far, 2.0) if metric == "cosine" else far, metric=metric, n_pivots=n_pivots) \
+        .where(F.col("id") != F.col("id2"))
+    cand = cand.select(F.least("id", "id2").alias("src"), F.greatest("id", "id2").alias("dst")).distinct()
+    for c, v, r, k in (("src", "_sv", "_sr", "_sc"), ("dst", "_dv", "_dr", "_dc")):
+        cand = cand.join(reps.select(F.col("id").alias(c), F.col("vec").cast("array<double>").alias(v)), c) \
+            .join(comp.select(F.col("id").alias(c), F.col("cluster_id").alias(k)), c) \
+            .join(radius.select(F.col("cell").alias(c), F.col("_r").alias(r)), c, "left")
+    cand = cand.withColumns({"_sr": F.coalesce("_sr", F.lit(0.0)), "_dr": F.coalesce("_dr", F.lit(0.0))})
+    gap = _space_distance(metric, F.col("_sv"), F.col("_dv"))
+    cand = cand.where((F.col("_sc") != F.col("_dc")) &
+                      (gap <= F.lit(_working_radius(metric, eps) * (1 + 1e-9) + 1e-9) + F.col("_sr") + F.col("_dr")))
+    cand = cut_lineage(cand.drop("_sc", "_dc"))
+    if cand.isEmpty():
+        return edges
+    return edges.unionByName(_close_cells(cells, cand, eps, metric, block_rows))
+
+
 def cluster_similar(points: DataFrame, eps: float, metric: str, id_col: str = "id", vec_col: str = "vec",
                     n_pivots: int = 2) -> DataFrame:
-    """G1: components of the graph ``dist <= eps`` (exact range join)."""
-    from quire.operators.simjoin import range_join
-
+    """G1: components of the graph ``dist <= eps``, without listing all its pairs: points of one cell are
+    connected at once, and cells are linked by one pair at most (``similar_cell_edges``)."""
     p = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    e = range_join(p, p.withColumnRenamed("id", "id2"), "id", "id2", eps, metric=metric,
-                   self_join=True, n_pivots=n_pivots)
-    return connected_components(p.select("id"), e.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
+    cells = cut_lineage(_cells(p.where(F.col("vec").isNotNull()), eps, metric))
+    edges = similar_cell_edges(cells, eps, metric, n_pivots)
+    lab = connected_components(cells.select(F.col("cell").alias("id")), edges)
+    placed = cells.select("id", "cell").join(lab.select(F.col("id").alias("cell"), "cluster_id"), "cell").select("id", "cluster_id")
+    return placed.unionByName(p.where(F.col("vec").isNull()).select("id", F.col("id").alias("cluster_id")))
 
 
 def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: str = "vec",
-                    n_pivots: int = 2, max_rounds: int = 10000) -> DataFrame:
+                    n_pivots: int = 2) -> DataFrame:
     """Components of the graph "far or identical": ``if(d = 0, 0, 1/d) <= k0``.
 
     1. identical vectors are one node (their smallest id);
@@ -103,9 +197,9 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
        components are the identical-vector groups;
     4. otherwise, when the far pairs are the sparse side, they are found exactly by a
        range join of the centred points with their negation and linked by connected
-       components; else a breadth-first search on the complement of the exact "near"
-       join (pairs closer than 1/k0): seed = node with fewest near partners, absorb
-       every node not near all of the component, repeat on what is left."""
+       components; else parts are joined by bounds between nodes of a tree of centres,
+       and what these leave open is decided by the near pairs (closer than 1/k0) of the
+       points outside the largest part: a point is linked to a part it is not near all of."""
     from quire.operators.simjoin import range_join
 
     pts = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -155,46 +249,61 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
             .where((F.col("d") == 0) | ((F.lit(1.0) / F.col("d")) <= F.lit(k0)))
         labels = connected_components(P.select("id"), far.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
         return finish(labels)
-    # 4b. dense far graph: breadth-first search on the complement of the near join
-    near = range_join(P, P.withColumnRenamed("id", "id2"), "id", "id2", r * (1 + 1e-9), metric="euclid",
-                      self_join=True, n_pivots=n_pivots)
-    near = near.where((F.col("dist") > 0) & ((F.lit(1.0) / F.col("dist")) > F.lit(k0)))
-    N = cut_lineage(near.select(F.col("id").alias("u"), F.col("id2").alias("v")).unionByName(
-        near.select(F.col("id2").alias("u"), F.col("id").alias("v"))))
-    remaining = cut_lineage(P.select("id"))
-    labelled = []
-    rounds = 0
-    while not remaining.isEmpty():
-        rounds += 1
-        Nr = N.join(remaining.withColumnRenamed("id", "u"), "u", "left_semi") \
-            .join(remaining.withColumnRenamed("id", "v"), "v", "left_semi")
-        deg = remaining.join(Nr.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("deg")), "id", "left") \
-            .select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
-        v0 = deg.select(F.min_by("id", F.struct("deg", "id")).alias("v0")).first()["v0"]
-        nb = Nr.where(F.col("u") == v0).select(F.col("v").alias("id"))
-        comp = cut_lineage(remaining.join(nb, "id", "left_anti"))
-        rest = cut_lineage(remaining.join(nb, "id", "left_semi"))
-        while True:
-            size_c = comp.count()
-            cnt = Nr.join(rest.withColumnRenamed("id", "u"), "u", "left_semi") \
-                .join(comp.withColumnRenamed("id", "v"), "v", "left_semi") \
-                .groupBy(F.col("u").alias("id")).agg(F.count("*").alias("c"))
-            joins = rest.join(cnt, "id", "left").where(F.coalesce("c", F.lit(0)) < size_c).select("id")
-            joins = cut_lineage(joins)
-            if joins.isEmpty():
-                break
-            comp = cut_lineage(comp.unionByName(joins))
-            rest = cut_lineage(rest.join(joins, "id", "left_anti"))
-        low = comp.agg(F.min("id").alias("m")).first()["m"]
-        labelled.append(comp.select("id", F.lit(low).cast("long").alias("cluster_id")))
-        remaining = rest
-        if rounds >= max_rounds:
-            warnings.warn("cluster_diverse: many rounds; continuing", RuntimeWarning)
-            max_rounds *= 2
-    out = labelled[0]
-    for x in labelled[1:]:
-        out = out.unionByName(x)
-    return finish(out)
+    # 4b. dense far graph: bounds between nodes of a tree join most points at once; near pairs are listed
+    #     only for points outside the largest part, and decide the rest by counts
+    from quire.operators.complement import complement_components
+
+    start = cut_lineage(_far_parts(P, r, lowest))
+    parts = start.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    largest = parts.orderBy(F.desc("n"), "cluster_id").first()
+    asks = cut_lineage(P.join(start.where(F.col("cluster_id") != largest["cluster_id"]).select("id"), "id", "left_semi")
+                       if largest["n"] > 1 else P)
+    if asks.isEmpty():
+        return finish(start)
+    near = range_join(asks, P.withColumnRenamed("id", "id2"), "id", "id2", r * (1 + 1e-9), metric="euclid", n_pivots=n_pivots)
+    near = near.where((F.col("id") != F.col("id2")) & (F.col("dist") > 0) & ((F.lit(1.0) / F.col("dist")) > F.lit(k0)))
+    near = cut_lineage(near.select(F.col("id").alias("u"), F.col("id2").alias("v")))
+    return finish(complement_components(P.select("id"), near, start, asks.select("id")))
+
+
+def _far_parts(points: DataFrame, r: float, lowest: int) -> DataFrame:
+    """``(id, cluster_id)``: parts of ``points(id, vec)`` that pairs at least ``r`` apart connect, as far as bounds tell.
+
+    A point x is linked to every point of a leaf of centre c and radius R if ``|x - c| - R >= r``, so the
+    leaf's points are connected through x: one link a point and such leaf, for points that are
+    connected through their own leaf only distinct links between leaves.  cluster_id = smallest member."""
+    from quire.operators import centretree as ct
+
+    alone = points.select("id", F.col("id").alias("cluster_id"))
+    tree = ct.build_tree(points, points, "id", "id", r, "euclid", always=True)
+    if tree is None:
+        return alone
+    placed = cut_lineage(ct._placed(tree, points, "vec").select("id", "vec", F.col("_at.leaf").alias("leaf"), F.col("_at.b").alias("b")))
+    ball = placed.groupBy("leaf").agg(F.max("b").alias("r")).collect()          # bounded by the number of centres
+    leaves = np.array([x["leaf"] for x in ball], np.int64)
+    centres = np.stack([tree.fine[n // ct.FINE][n % ct.FINE] for n in leaves])
+    radii = np.array([x["r"] for x in ball])
+    margin = 1e-6 * (1.0 + r + float(np.abs(centres).max()))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def far(v: pd.Series) -> pd.Series:
+        ok = ct._dist(ct._rows(v), centres) - radii[None, :] >= r + margin
+        return pd.Series([leaves[row].tolist() for row in ok])
+
+    seen = placed.select("id", "leaf", F.explode(far("vec")).alias("other"))
+    seen = cut_lineage(seen)
+    whole = cut_lineage(seen.select(F.col("other").alias("leaf")).distinct())   # leaves that some point is far from
+    node = lambda c: F.lit(lowest - 1).cast("long") - F.col(c)  # noqa: E731 - leaves as nodes below all ids
+    links = seen.join(whole.withColumn("_w", F.lit(True)), "leaf", "left") \
+        .select(F.when(F.col("_w"), node("leaf")).otherwise(F.col("id")).alias("src"), node("other").alias("dst")).distinct()
+    members = placed.select("id", "leaf").join(whole, "leaf", "left_semi")
+    lone = placed.select("id").join(members.select("id"), "id", "left_anti")
+    nodes = whole.select(node("leaf").alias("id")).unionByName(lone)
+    lab = cut_lineage(connected_components(nodes, links))
+    got = members.select("id", node("leaf").alias("_n")).unionByName(lone.select("id", F.col("id").alias("_n"))) \
+        .join(lab.select(F.col("id").alias("_n"), F.col("cluster_id").alias("_part")), "_n")
+    low = got.groupBy("_part").agg(F.min("id").alias("cluster_id"))
+    return got.join(low, "_part").select("id", "cluster_id")
 
 
 def cluster_random(points: DataFrame, id_col: str = "id") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import euclid
+from quire.functions.vectors import cosine_dist, euclid
 
 _EPS = 1e-9
 
@@ -99,6 +99,13 @@ def _working_radius(metric: str, radius: float) -> float:
     return radius
 
 
+def _space_distance(metric: str, a: F.Column, b: F.Column) -> F.Column:
+    """Distance of two vectors in the metric's space: Euclid, or the chord of the unit vectors."""
+    if metric == "euclid":
+        return euclid(a, b)
+    return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) * cosine_dist(a, b)))
+
+
 def choose_pivots(df: DataFrame, id_col: str, n_pivots: int, metric: str = "euclid") -> list[list[float]]:
     """Farthest-point pivots over prepared rows ``(id, _v, _n)`` (one aggregate per pivot)."""
     first = (df.select(F.min_by("_v", F.struct(F.xxhash64(F.col(id_col)), F.col(id_col))).alias("p"),

@@ -6,7 +6,7 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 
 from __future__ import annotations
 
-from quire.catalog import (AFF_R, BAND_K0, BAND_K1, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_CORR, K0_DIV, K2_REPORT, LSH_R, PCT,
+from quire.catalog import (AFF_R, BAND_K0, BAND_K1, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_CORR, K0_DENSE, K0_DIV, K2_REPORT, LSH_R, PCT,
                            PIVOT_R, PROMPT_DEMOS, QUARTER, SEED, T_COST, TXT_DEMOS, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
 from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
                                      JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
@@ -608,6 +608,11 @@ WHERE EXISTS (SELECT 1 FROM sets j JOIN cst cj ON cj.demo_id = j.demo_id
         WHERE list_distance(a.v, b.v) = 0 OR 1.0 / list_distance(a.v, b.v) <= {K0_DIV})""", qn,
                                  reach("qnodes", "qe"), recursive=True) + \
         "SELECT id, min(r) AS cluster_id FROM reach GROUP BY id"
+    q["cluster_diverse_dense"] = _with(VEC, f"""qe AS (SELECT a.ques_id AS a, b.ques_id AS b FROM vq a JOIN vq b ON a.ques_id <> b.ques_id
+        WHERE list_distance(a.v, b.v) = 0 OR 1.0 / list_distance(a.v, b.v) <= {K0_DENSE})""",
+                                       """lab(id, l) USING KEY (id) AS (SELECT ques_id, ques_id FROM vq UNION
+        SELECT qe.b, min(lab.l) FROM lab JOIN qe ON qe.a = lab.id GROUP BY qe.b
+        HAVING min(lab.l) < (SELECT x.l FROM recurring.lab x WHERE x.id = qe.b))""", recursive=True) + "SELECT id, l AS cluster_id FROM lab"
     q["cluster_stats"] = _with(VEC, sim_edges, qn, reach("qnodes", "qe"), sim_lab,
                                "sz AS (SELECT cluster_id, count(*) AS size FROM lab GROUP BY 1)", recursive=True) + \
         """SELECT count(*)::BIGINT AS n_clusters, sum(size)::BIGINT AS n_points, max(size)::BIGINT AS max_size,
