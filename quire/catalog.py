@@ -50,6 +50,9 @@ ER_CFG = PlanConfig(k0=1.9, k1=0.13, k2=300, upper_ques=5, batch_type="diverse",
 ER_SIMILAR = ER_CFG.with_(batch_type="similar", k0=0.02)
 ER_RANDOM = ER_CFG.with_(batch_type="random")
 ER_DOMINATED = ER_SIMILAR.with_(is_dominated=True)
+CODE_CFG = PlanConfig(k0=1.15, k1=VEC_K1, k2=200, upper_ques=UPPER, batch_type="random", metric="cosine", task="code", set_cover_num=2)
+BOUND_ROUNDS = 8      # rounds of the objective's lower bound
+MANHATTAN_R = 0.1     # radius of the caller's distance
 WEAK_EDGE = 0.05      # weights below it are no values in components_non_value
 PROMPT_DEMOS = 4      # demos of a QA / transform prompt
 
@@ -412,6 +415,13 @@ def corr_cluster(spark, sf):
     return graph.correlation_clustering(fx.graph_nodes(spark, sf).select("id"), fx.graph_edges(spark, sf), [0, 1, 2])
 
 
+def corr_cluster_refined(spark, sf):
+    """G5 with the local search on the loss."""
+    e = fx.graph_edges(spark, sf)
+    e = cut_lineage(e)
+    return graph.refine_clusters(graph.correlation_clustering(fx.graph_nodes(spark, sf).select("id"), e, [0, 1, 2]), e)
+
+
 # ---------------------------------------------------------------------------
 # Set cover, assignment, packing
 # ---------------------------------------------------------------------------
@@ -527,6 +537,13 @@ def plan_groups_corr_diverse(spark, sf):
     return _corr_plan(spark, sf, K0_CORR, "diverse")
 
 
+def plan_groups_code(spark, sf):
+    """X1 of the code task: questions in clusters of one or two are not asked, groups get extra demos."""
+    q = fx.vec_costs(_vq(spark, sf), "ques_id")
+    d = fx.vec_costs(_vd(spark, sf), "demo_id")
+    return _groups_out(grouping.plan_groups(q, d, CODE_CFG, render_prompts=False).groups)
+
+
 def _corr_plan(spark, sf, k0, kind):
     q = fx.vec_costs(_vq(spark, sf), "ques_id")
     d = fx.vec_costs(_vd(spark, sf), "demo_id")
@@ -605,6 +622,21 @@ def plan_violations_er(spark, sf):
     return reports.plan_violations(gq, gd, q, d, ER_CFG.k2, task_text_cost("er"), cover=plan.cover, forbidden=apart)
 
 
+def plan_lower_bound(spark, sf):
+    """The flagship plan's objective against a bound for any plan."""
+    q, d, plan, gq, gd = _er_report(spark, sf)
+    r = reports.plan_lower_bound(gq, gd, q, d, plan.cover, ER_CFG.k2, task_text_cost("er"), BOUND_ROUNDS)
+    return r.select("ques_tokens", F.round("demo_bound", 4).alias("demo_bound"), "task_bound", F.round("lower_bound", 4).alias("lower_bound"),
+                    "objective", F.round("gap", 6).alias("gap"))
+
+
+def pair_dist_manhattan(spark, sf):
+    """A distance of the caller's on the ER features, pruned by its Euclidean bound."""
+    q, d = _er_inputs(spark, sf)
+    p = simjoin.pair_distances(q, d, MANHATTAN_R, simjoin.MANHATTAN)
+    return p.select("ques_id", "demo_id", _r(F.col("dist")).alias("dist"))
+
+
 # ---------------------------------------------------------------------------
 # Rendering
 # ---------------------------------------------------------------------------
@@ -738,7 +770,8 @@ _QUERIES: dict[str, Query] = {
     "plan_groups_random": plan_groups_random, "render_prompt_qa": render_prompt_qa,
     "render_prompt_jd": render_prompt_jd, "eval_exact_qa": eval_exact_qa,
     "pair_dist_tree": pair_dist_tree, "pair_dist_cosine_lsh": pair_dist_cosine_lsh, "lsh_recall": lsh_recall,
-    "cluster_diverse_dense": cluster_diverse_dense, "plan_groups_corr_diverse": plan_groups_corr_diverse, "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
+    "corr_cluster_refined": corr_cluster_refined, "plan_lower_bound": plan_lower_bound, "pair_dist_manhattan": pair_dist_manhattan,
+    "plan_groups_code": plan_groups_code, "cluster_diverse_dense": cluster_diverse_dense, "plan_groups_corr_diverse": plan_groups_corr_diverse, "dist_percentile_q25": dist_percentile_q25, "ilp_inputs_q25": ilp_inputs_q25,
 }
 
 

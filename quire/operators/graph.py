@@ -187,7 +187,7 @@ def cluster_similar(points: DataFrame, eps: float, metric: str, id_col: str = "i
 
 
 def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: str = "vec",
-                    n_pivots: int = 2) -> DataFrame:
+                    n_pivots: int = 2, metric=None) -> DataFrame:
     """Components of the graph "far or identical": ``if(d = 0, 0, 1/d) <= k0``.
 
     1. identical vectors are one node (their smallest id);
@@ -199,7 +199,10 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
        range join of the centred points with their negation and linked by connected
        components; else parts are joined by bounds between nodes of a tree of centres,
        and what these leave open is decided by the near pairs (closer than 1/k0) of the
-       points outside the largest part: a point is linked to a part it is not near all of."""
+       points outside the largest part: a point is linked to a part it is not near all of.
+
+    With a ``metric`` of the caller's (``simjoin.Metric``) only 1. and the near pairs of all points
+    are used, since the bounds are those of Euclid."""
     from quire.operators.simjoin import range_join
 
     pts = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -215,6 +218,12 @@ def cluster_diverse(points: DataFrame, k0: float, id_col: str = "id", vec_col: s
 
     if n <= 1:
         return finish(P.select("id", F.col("id").alias("cluster_id")))
+    if metric is not None:
+        from quire.operators.complement import both_ways, complement_components
+
+        near = range_join(P, P.withColumnRenamed("id", "id2"), "id", "id2", r * (1 + 1e-9), metric=metric, self_join=True, n_pivots=n_pivots)
+        near = near.where((F.col("dist") > 0) & ((F.lit(1.0) / F.col("dist")) > F.lit(k0)))
+        return finish(complement_components(P.select("id"), cut_lineage(both_ways(near, "id", "id2"))))
     first = P.select(F.min_by("vec", F.struct(F.xxhash64("id"), F.col("id"))).alias("v"),
                      F.min("id").alias("lowest")).first()
     start, lowest = list(first["v"]), first["lowest"]
@@ -526,3 +535,39 @@ def correlation_clustering(nodes: DataFrame, edges: DataFrame, seeds: list[int],
     best = best_state(losses).first()["seed"]
     chosen = allruns.where(F.col("seed") == best).select("id", "cluster_id")
     return split_clusters(chosen, edges)
+
+
+def refine_clusters(labels: DataFrame, edges: DataFrame, digits: int = 9) -> DataFrame:
+    """Local search on the linear loss from ``labels(id, cluster_id)``; output the same columns.
+
+    Each round every node finds the cluster (or a cluster of its own) whose edges to it weigh most
+    -- one signed aggregate of the edges by neighbour's cluster -- and what a move would gain
+    against its present one (ties: the cluster of the lowest id, a new one last).  A node moves if
+    none of its neighbours wants to gain more (ties: lower id); two movers share no edge, so the
+    loss falls by the sum of their gains, and rounds end when nobody gains.  Sums are rounded to
+    ``digits`` so that the order of addition does not decide."""
+    e = cut_lineage(edges.where(~F.isnan("weight") & (F.col("weight") != 0) & (F.col("src") != F.col("dst"))).select("src", "dst", "weight"))
+    both = e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight").unionByName(
+        e.select(F.col("dst").alias("u"), F.col("src").alias("v"), "weight"))
+    both = cut_lineage(both)
+    lab = cut_lineage(labels.select("id", "cluster_id"))
+    while True:
+        to = both.join(lab.select(F.col("id").alias("v"), F.col("cluster_id").alias("c")), "v").groupBy("u", "c") \
+            .agg(F.round(F.sum("weight"), digits).alias("s"))
+        own = F.col("c") == F.col("own")
+        pull = to.join(lab.select(F.col("id").alias("u"), F.col("cluster_id").alias("own")), "u")
+        best = pull.groupBy("u", "own").agg(
+            F.coalesce(F.max(F.when(own, F.col("s"))), F.lit(0.0)).alias("stay"),
+            F.max(F.when(~own & (F.col("s") > 0), F.struct("s", (-F.col("c")).alias("c")))).alias("go"))
+        gain = F.round(F.coalesce(F.col("go.s"), F.lit(0.0)) - F.col("stay"), digits)
+        wish = cut_lineage(best.select("u", gain.alias("gain"), (-F.col("go.c")).alias("to")).where(F.col("gain") > 0))
+        if wish.isEmpty():
+            return lab
+        prio = F.struct("gain", (-F.col("u")).alias("u"))
+        rival = both.join(wish.select(F.col("u").alias("v"), prio.alias("p")), "v").groupBy("u").agg(F.max("p").alias("rival"))
+        moves = wish.join(rival, "u", "left").where(F.col("rival").isNull() | (prio > F.col("rival"))) \
+            .select(F.col("u").alias("id"), F.struct(F.col("to").isNull().alias("new"), F.coalesce("to", "u").alias("c")).alias("name"))
+        named = lab.join(moves, "id", "left").select("id", F.coalesce("name", F.struct(F.lit(False).alias("new"), F.col("cluster_id").alias("c"))).alias("name"))
+        named = cut_lineage(named, sized=True)
+        low = named.groupBy("name").agg(F.min("id").alias("cluster_id"))
+        lab = cut_lineage(named.join(low, "name").select("id", "cluster_id"), sized=True)

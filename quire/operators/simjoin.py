@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,6 +36,23 @@ from quire.functions.vectors import cosine_dist, euclid
 _EPS = 1e-9
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A distance of the caller's: an expression of two ``array<double>`` columns and, if one is known, the
+    Euclidean radius that holds every pair within a given radius of it.
+
+    With such a bound the Euclidean range join prunes and the expression decides; without one all
+    pairs are evaluated, in bounded blocks."""
+
+    name: str
+    distance: Callable[[F.Column, F.Column], F.Column]
+    euclid_radius: Callable[[float], float] | None = None
+
+
+#: sum of absolute differences: at least the Euclidean distance
+MANHATTAN = Metric("manhattan", lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: acc + x),
+                   lambda r: r)
+
 UNROLL_MAX_DIM = 15   # unrolled (codegen) arithmetic below the block engine threshold
 BLOCK_MIN_DIM = 16   # dense vectors from this dimension on are compared block-wise in numpy
 
@@ -185,7 +204,7 @@ def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool,
 
 
 def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float,
-               metric: str = "euclid", vec_col: str = "vec", self_join: bool = False,
+               metric: str | Metric = "euclid", vec_col: str = "vec", self_join: bool = False,
                n_pivots: int = 2, pivots: list[list[float]] | None = None,
                strict: bool = False, engine: str = "auto", block_rows: int = 2048) -> DataFrame:
     """All pairs with ``dist <= radius`` (``< radius`` if ``strict``): ``(left_id, right_id, dist)``.
@@ -196,8 +215,10 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     where a sample shows that it prunes, else blocks for dense vectors and the grid for others.
     With ``self_join`` both inputs describe the same rows and only ``left_id < right_id``
     pairs are returned."""
+    if isinstance(metric, Metric):
+        return _caller_join(left, right, left_id, right_id, radius, metric, vec_col, self_join, strict, n_pivots, block_rows)
     if metric not in ("euclid", "cosine"):
-        raise ValueError(f"unknown metric {metric!r} (euclid | cosine)")
+        raise ValueError(f"unknown metric {metric!r} (euclid | cosine | a Metric)")
     R = _working_radius(metric, radius)
     width = max(R * (1 + _EPS), 1e-12)
     if engine in ("auto", "tree") and pivots is None:
@@ -250,6 +271,26 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     return out.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def _caller_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, metric: Metric, vec_col: str,
+                 self_join: bool, strict: bool, n_pivots: int, block_rows: int) -> DataFrame:
+    """Range join under a caller's distance."""
+    a = left.select(F.col(left_id).alias("_lid"), F.col(vec_col).cast("array<double>").alias("_a")).where("_a is not null")
+    b = right.select(F.col(right_id).alias("_rid"), F.col(vec_col).cast("array<double>").alias("_b")).where("_b is not null")
+    if metric.euclid_radius is not None:
+        near = range_join(a.withColumnRenamed("_a", "vec"), b.withColumnRenamed("_b", "vec"), "_lid", "_rid",
+                          metric.euclid_radius(radius) * (1 + _EPS) + 1e-12, self_join=self_join, n_pivots=n_pivots)
+        met = near.select("_lid", "_rid").join(a, "_lid").join(b, "_rid")
+    else:
+        n_left, n_right = (max(1, -(-d.count() // block_rows)) for d in (a, b))
+        met = a.select("*", F.pmod(F.xxhash64("_lid"), F.lit(n_left)).alias("_ls"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))).alias("_rs")) \
+            .join(b.select("*", F.pmod(F.xxhash64("_rid"), F.lit(n_right)).alias("_rs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_ls")),
+                  ["_ls", "_rs"])
+        if self_join:
+            met = met.where(F.col("_lid") < F.col("_rid"))
+    out = met.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), metric.distance(F.col("_a"), F.col("_b")).alias("dist"))
+    return out.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
+
+
 def block_join(lx: DataFrame, rx: DataFrame, keys: list[str], left_id: str, right_id: str, metric: str, radius: float,
                n_bands: int = 0, width: float = 0.0, self_join: bool = False, strict: bool = False,
                block_rows: int = 2048) -> DataFrame:
@@ -377,7 +418,7 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
 # kNN cover and candidate filters
 # ---------------------------------------------------------------------------
 
-def pair_distances(questions: DataFrame, demos: DataFrame, radius: float, metric: str,
+def pair_distances(questions: DataFrame, demos: DataFrame, radius: float, metric: str | Metric,
                    vec_col: str = "vec", n_pivots: int = 2) -> DataFrame:
     """``(ques_id, demo_id, dist)`` for every pair within ``radius``."""
     return range_join(demos, questions, "demo_id", "ques_id", radius, metric=metric, vec_col=vec_col,

@@ -6,7 +6,7 @@ out again in SQL; doubles are rounded to 6 digits as on the Spark side.
 
 from __future__ import annotations
 
-from quire.catalog import (AFF_R, BAND_K0, BAND_K1, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_CORR, K0_DENSE, K0_DIV, K2_REPORT, LSH_R, PCT,
+from quire.catalog import (AFF_R, BAND_K0, BAND_K1, BOUND_ROUNDS, CODE_CFG, COVER_CNT, ER_CFG, ER_DOMINATED, ER_GROUP, ER_RANDOM, ER_SIMILAR, EPS_SIM, EUC_R, K0_AFF, K0_CORR, K0_DENSE, K0_DIV, K2_REPORT, LSH_R, MANHATTAN_R, PCT,
                            PIVOT_R, PROMPT_DEMOS, QUARTER, SEED, T_COST, TXT_DEMOS, TXT_GROUP, UPPER, VEC_K1, WEAK_EDGE)
 from quire.functions.prompts import (CODE_QUESTIONS_HEADER, CODE_TASK_TEXT, ER_TASK_TEXT, JD_QUESTIONS_HEADER,
                                      JD_TASK_TEXT, QA_QUESTIONS_HEADER, QA_TASK_TEXT)
@@ -470,22 +470,91 @@ SELECT group_id, demo_id, extra_round::INTEGER AS extra_round, pick_no::INTEGER
 UNION ALL SELECT group_id, demo_id, extra_round::INTEGER, pick_no::INTEGER FROM a2"""
 
 
+def _refined_sql() -> str:
+    """The local search of ``catalog.corr_cluster_refined``, round by round, from the labels of ``corr_cluster``."""
+    return _with(GRAPH, *_corr_parts(),
+                 "und AS (SELECT src AS u, dst AS v, weight FROM ge WHERE weight <> 0 UNION ALL SELECT dst, src, weight FROM ge WHERE weight <> 0)",
+                 """st(rnd, id, l) AS (
+  SELECT 0, id, l FROM sp
+  UNION ALL
+  SELECT rnd + 1, id, min(id) OVER (PARTITION BY fresh, c) FROM (
+    WITH pull AS (SELECT und.u, o.l AS own, x.l AS c, round(sum(und.weight), 9) AS s FROM und JOIN st x ON x.id = und.v JOIN st o ON o.id = und.u GROUP BY 1, 2, 3),
+    best AS (SELECT u, coalesce(max(s) FILTER (WHERE c = own), 0) AS stay, max(s) FILTER (WHERE c <> own AND s > 0) AS go FROM pull GROUP BY u),
+    wish AS (SELECT b.u, round(coalesce(go, 0) - stay, 9) AS gain, (SELECT min(p.c) FROM pull p WHERE p.u = b.u AND p.c <> p.own AND p.s = b.go) AS dest
+             FROM best b WHERE round(coalesce(go, 0) - stay, 9) > 0),
+    moves AS (SELECT w.u, w.dest FROM wish w WHERE NOT EXISTS (SELECT 1 FROM und JOIN wish o ON o.u = und.v
+              WHERE und.u = w.u AND (o.gain > w.gain OR (o.gain = w.gain AND o.u < w.u))))
+    SELECT st.rnd, st.id, m.u IS NOT NULL AND m.dest IS NULL AS fresh, CASE WHEN m.u IS NULL THEN st.l ELSE coalesce(m.dest, m.u) END AS c
+    FROM st LEFT JOIN moves m ON m.u = st.id WHERE EXISTS (SELECT 1 FROM moves)))""", recursive=True) + \
+        "SELECT id, l AS cluster_id FROM st WHERE rnd = (SELECT max(rnd) FROM st)"
+
+
+def _lower_bound_sql(cfg) -> str:
+    """The dual ascent of ``reports.cover_lower_bound``, round by round, beside the plan's objective."""
+    from quire.functions.prompts import task_text_cost
+    t = task_text_cost("er")
+    ctes = [_plan_ctes(cfg).rstrip(), "le AS (SELECT DISTINCT ques_id, demo_id FROM kn WHERE ques_id IN (SELECT ques_id FROM gq))",
+            "sl0 AS (SELECT demo_id, cost::DOUBLE AS slack FROM ed WHERE demo_id IN (SELECT demo_id FROM le))", "ri0 AS (SELECT * FROM le)"]
+    for r in range(1, BOUND_ROUNDS + 1):
+        p = r - 1
+        ctes += [f"sh{r} AS (SELECT demo_id, any_value(slack) / count(*) AS share FROM ri{p} JOIN sl{p} USING (demo_id) GROUP BY demo_id)",
+                 f"up{r} AS MATERIALIZED (SELECT ques_id, min(share) AS up FROM ri{p} JOIN sh{r} USING (demo_id) GROUP BY ques_id)",
+                 f"pa{r} AS (SELECT demo_id, sum(up) AS paid FROM ri{p} JOIN up{r} USING (ques_id) GROUP BY demo_id)",
+                 f"sl{r} AS MATERIALIZED (SELECT demo_id, greatest(0.0, round(slack - coalesce(paid, 0), 9)) AS slack FROM sl{p} LEFT JOIN pa{r} USING (demo_id))",
+                 f"""ri{r} AS MATERIALIZED (SELECT * FROM ri{p} WHERE ques_id NOT IN
+        (SELECT ques_id FROM le JOIN sl{r} USING (demo_id) WHERE slack <= 1e-6))"""]
+    bound = " + ".join(f"coalesce((SELECT sum(up) FROM up{r}), 0)" for r in range(1, BOUND_ROUNDS + 1))
+    return ",\n".join(ctes) + f"""
+SELECT qt AS ques_tokens, round(db, 4) AS demo_bound, tb AS task_bound, round(qt + db + tb, 4) AS lower_bound, objective,
+       round((objective - (qt + db + tb)) / objective, 6) AS gap
+FROM (SELECT *, (ceil((qt + db) / {float(cfg.k2 - t)}) * {t})::BIGINT AS tb
+      FROM (SELECT (SELECT sum(cost) FROM (SELECT DISTINCT ques_id FROM gq) JOIN eq USING (ques_id))::BIGINT AS qt, {bound} AS db,
+                   ((SELECT sum(cost) FROM gq JOIN eq USING (ques_id)) + (SELECT sum(cost) FROM pb JOIN ed USING (demo_id) WHERE rn > 0)
+                    + (SELECT count(*) FROM gd) * {t})::BIGINT AS objective))"""
+
+
+def _manhattan_sql() -> str:
+    feat = f"""feat AS (SELECT id, is_demo, {lcs_ratio('n1', 'n2')} AS f1, {lcs_ratio('b1', 'b2')} AS f2, {lcs_ratio('t1', 't2')} AS f3 FROM er)"""
+    return _with(ER, feat, """mp AS (SELECT q.id AS ques_id, d.id AS demo_id, abs(q.f1 - d.f1) + abs(q.f2 - d.f2) + abs(q.f3 - d.f3) AS dist
+        FROM feat q JOIN feat d ON NOT q.is_demo AND d.is_demo)""") + \
+        f"SELECT ques_id, demo_id, round(dist, 6) AS dist FROM mp WHERE dist <= {MANHATTAN_R}"
+
+
+def _plan_groups_code_sql() -> str:
+    """``catalog.plan_groups_code``: clusters of at least ``min_cluster_size`` questions, then the plan with one cluster."""
+    from quire.functions.prompts import task_text_cost
+    first, rest = VEC_BASE.split("\n", 1)
+    kept = f"""vq AS (SELECT * FROM vq0 WHERE ques_id IN (SELECT id FROM lab0 JOIN (SELECT l, count(*) AS n FROM lab0 GROUP BY l) USING (l)
+        WHERE n >= {CODE_CFG.min_cluster_size})),"""
+    base = first.replace("vq AS", "vq0 AS", 1) + f"""
+qe0 AS (SELECT a.ques_id AS a, b.ques_id AS b FROM vq0 a JOIN vq0 b ON a.ques_id <> b.ques_id WHERE list_distance(a.v, b.v) <= {CODE_CFG.k0}),
+reach0(id, r) AS (SELECT ques_id, ques_id FROM vq0 UNION SELECT u.b, reach0.r FROM reach0 JOIN qe0 u ON u.a = reach0.id),
+lab0 AS (SELECT id, min(r) AS l FROM reach0 GROUP BY id),
+""" + kept + "\n" + rest
+    return _plan_groups_cover_sql(base, [], "cov.ques_id, 0::BIGINT AS cluster_id, cov.demo_id FROM cov", float(CODE_CFG.k2 - task_text_cost("code")))
+
+
 def _plan_groups_corr_sql(attracts: str = f"<= {EPS_SIM}") -> str:
     """``catalog.plan_groups_corr`` and ``plan_groups_corr_diverse``: QA task on VEC -- kNN filter, threshold cover among the
     kept rows, correlation clustering of the full signed graph (+1 near, -1 beyond eps),
     sequential greedy per cluster, balancing pass, last holder, best-fit-decreasing, two rounds of extra covers, groups."""
     from quire.functions.prompts import task_text_cost
-    cap = float(140 - task_text_cost("qa"))
-    return _with(VEC_BASE,
+    labels = ["gv AS (SELECT ques_id AS id, v FROM vq WHERE ques_id IN (SELECT ques_id FROM fq))",
+              f"""ge AS (SELECT a.id AS src, b.id AS dst, CASE WHEN {cos('a.v', 'b.v')} {attracts} THEN 1.0 ELSE -1.0 END AS weight
+        FROM gv a JOIN gv b ON a.id < b.id)""", *_corr_parts()]
+    return _plan_groups_cover_sql(VEC_BASE, labels, "sp.l AS cluster_id, cov.demo_id, cov.ques_id FROM cov JOIN sp ON sp.id = cov.ques_id",
+                                  float(140 - task_text_cost("qa")))
+
+
+def _plan_groups_cover_sql(base: str, labels: list[str], cc: str, cap: float) -> str:
+    """A plan on VEC from its kNN filter on, with two rounds of extra covers; ``cc``: the cover with clusters."""
+    return _with(base,
                  "fq AS (SELECT DISTINCT ques_id FROM knn)",
                  "fd AS (SELECT DISTINCT demo_id FROM knn)",
                  f"""cov AS (SELECT ques_id, demo_id FROM vp WHERE cdist <= {VEC_K1}
         AND ques_id IN (SELECT ques_id FROM fq) AND demo_id IN (SELECT demo_id FROM fd))""",
-                 "gv AS (SELECT ques_id AS id, v FROM vq WHERE ques_id IN (SELECT ques_id FROM fq))",
-                 f"""ge AS (SELECT a.id AS src, b.id AS dst, CASE WHEN {cos('a.v', 'b.v')} {attracts} THEN 1.0 ELSE -1.0 END AS weight
-        FROM gv a JOIN gv b ON a.id < b.id)""",
-                 *_corr_parts(),
-                 "cc AS (SELECT sp.l AS cluster_id, cov.demo_id, cov.ques_id FROM cov JOIN sp ON sp.id = cov.ques_id)",
+                 *labels,
+                 f"cc AS (SELECT {cc})",
                  greedy(cap, OWNER_BALANCED),
                  """g0 AS (SELECT cluster_id, cluster_id::VARCHAR || '-' || bin_no::VARCHAR AS group_id, demo_id
         FROM bins WHERE rn > 0)""",
@@ -608,6 +677,10 @@ WHERE EXISTS (SELECT 1 FROM sets j JOIN cst cj ON cj.demo_id = j.demo_id
         WHERE list_distance(a.v, b.v) = 0 OR 1.0 / list_distance(a.v, b.v) <= {K0_DIV})""", qn,
                                  reach("qnodes", "qe"), recursive=True) + \
         "SELECT id, min(r) AS cluster_id FROM reach GROUP BY id"
+    q["corr_cluster_refined"] = _refined_sql()
+    q["plan_lower_bound"] = _lower_bound_sql(ER_CFG)
+    q["pair_dist_manhattan"] = _manhattan_sql()
+    q["plan_groups_code"] = _plan_groups_code_sql()
     q["cluster_diverse_dense"] = _with(VEC, f"""qe AS (SELECT a.ques_id AS a, b.ques_id AS b FROM vq a JOIN vq b ON a.ques_id <> b.ques_id
         WHERE list_distance(a.v, b.v) = 0 OR 1.0 / list_distance(a.v, b.v) <= {K0_DENSE})""",
                                        """lab(id, l) USING KEY (id) AS (SELECT ques_id, ques_id FROM vq UNION

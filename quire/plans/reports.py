@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.ordering import row_number_within
+from quire.session import cut_lineage
 
 
 def fixed_groups(questions: DataFrame, demos: DataFrame, per_group: int, demos_each: int):
@@ -99,3 +100,49 @@ def plan_violations(gq, gd, questions, demos, k2: int, t_cost: int, cover: DataF
         .unionByName(nf.select(F.lit("forbidden_pair").alias("check"), F.col("n").cast("long"))) \
         .unionByName(n(empty, "empty_group"))
     return out
+
+
+def cover_lower_bound(cover: DataFrame, demo_cost: DataFrame, rounds: int = 8) -> DataFrame:
+    """``bound``: what any choice of demos that covers every question of ``cover(ques_id, demo_id)`` costs at least.
+
+    Dual ascent in rounds: each question raises its price by the least share that one of its demos has
+    left, a demo's share being what its cost exceeds the prices of its questions by, split among those that
+    still rise; a question with an exhausted demo stops.  No demo's questions ever pay more than it costs, so after
+    any number of rounds the prices add up to a bound."""
+    e = cut_lineage(cover.select("ques_id", "demo_id").distinct())
+    slack = cut_lineage(e.select("demo_id").distinct().join(demo_cost.select("demo_id", F.col("cost").cast("double").alias("slack")), "demo_id"))
+    rising = e
+    total = None
+    for _ in range(rounds):
+        share = rising.groupBy("demo_id").agg(F.count("*").alias("_n")).join(slack, "demo_id") \
+            .select("demo_id", (F.col("slack") / F.col("_n")).alias("_share"))
+        # every demo of a rising question has that question rising, so it has a share
+        step = cut_lineage(rising.join(share, "demo_id").groupBy("ques_id").agg(F.min("_share").alias("_up")))
+        total = step.select("_up") if total is None else total.unionByName(step.select("_up"))
+        paid = rising.join(step, "ques_id").groupBy("demo_id").agg(F.sum("_up").alias("_paid"))
+        slack = cut_lineage(slack.join(paid, "demo_id", "left").select(
+            "demo_id", F.greatest(F.lit(0.0), F.round(F.col("slack") - F.coalesce("_paid", F.lit(0.0)), 9)).alias("slack")))
+        stopped = e.join(slack.where(F.col("slack") <= 1e-6), "demo_id").select("ques_id").distinct()
+        rising = cut_lineage(rising.join(stopped, "ques_id", "left_anti"))
+        if rising.isEmpty():
+            break
+    return total.agg(F.coalesce(F.sum("_up"), F.lit(0.0)).alias("bound"))
+
+
+def plan_lower_bound(gq, gd, questions, demos, cover, k2: int, t_cost: int, rounds: int = 8) -> DataFrame:
+    """The plan's objective against a bound that no plan of the same questions can go below.
+
+    ``ques_tokens`` of the asked questions, ``demo_bound`` for the demos that cover them (``cover_lower_bound``),
+    ``task_bound`` for the groups that so many tokens need at least, their sum, and ``gap`` = the part of
+    the objective above it."""
+    asked = gq.select("ques_id").distinct()
+    ques = asked.join(questions.select("ques_id", "cost"), "ques_id").agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("long").alias("ques_tokens"))
+    bound = cover_lower_bound(cover.join(asked, "ques_id", "left_semi"), demos, rounds)
+    objective = plan_objective(gq, gd, questions, demos, t_cost).select("objective")
+    one = ques.unionByName(bound, allowMissingColumns=True).unionByName(objective, allowMissingColumns=True) \
+        .agg(F.max("ques_tokens").alias("ques_tokens"), F.max("bound").alias("demo_bound"), F.max("objective").alias("objective"))
+    least = F.ceil((F.col("ques_tokens") + F.col("demo_bound")) / F.lit(float(k2 - t_cost))) * F.lit(t_cost)
+    one = one.withColumn("task_bound", least.cast("long"))
+    one = one.withColumn("lower_bound", F.col("ques_tokens") + F.col("demo_bound") + F.col("task_bound"))
+    return one.select("ques_tokens", "demo_bound", "task_bound", "lower_bound", F.col("objective").cast("long").alias("objective"),
+                      F.try_divide(F.col("objective") - F.col("lower_bound"), F.col("objective")).alias("gap"))

@@ -108,7 +108,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), materialised now."""
+def cut_lineage(df: DataFrame, sized: bool = False) -> DataFrame:
+    """Reliable checkpoint (survives executor loss), materialised now.
+
+    A checkpoint keeps the size that the optimizer estimated for its plan, and a join's estimate is
+    the product of its sides', so over many rounds of joins the estimates grow without bound.
+    ``sized`` measures the rows first (held until they are checkpointed), for loops of many
+    rounds."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not sized:
+        return df.checkpoint(eager=True)
+    held = df.persist()
+    held.count()
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
