@@ -13,8 +13,8 @@ def test_a_menu_ends_behind_unclosed_elements(depth):
     page = f"<body><nav><a href=/>Home</a>{'<div><ul>' * depth}</nav>{ARTICLE}"
     assert html_text.main_text(page, tree).startswith("Title\nThe article of this page")
     after = f"<body><article>{'<div>' * depth}<p>text</article><p>later"
-    assert [b[5] for b in html_text.blocks_of(after)] == [1, 0]
+    assert [b[1][4] for b in html_text.blocks_of(after)] == [1, -1]
 
 
 def test_stray_closing_tags_close_nothing():
-    assert [b[5] for b in html_text.blocks_of("<article></nav></ul><div></section></div></div><p>text")] == [1]
+    assert [b[1][4] for b in html_text.blocks_of("<article></nav></ul><div></section></div></div><p>text")] == [1]
