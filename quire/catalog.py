@@ -7,6 +7,7 @@ rounded to 6 digits in both.  Fixture rules are in ``quire.sources.fixtures``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,12 @@ from quire.functions.prompts import task_text_cost
 from quire.functions.replies import parse_json_reply, parse_yes_no
 from quire.functions.strings import entity_text, lcs_ratio
 from quire.functions.vectors import reciprocal
-from quire.operators import assign, bandcount, coverage, evaluate, graph, lsh, packing, setcover, simjoin
+from quire.operators import assign, bandcount, coverage, evaluate, features, graph, lsh, packing, setcover, simjoin
 from quire.operators.features import feature_vector, max_value_length
 from quire.plans import grouping, reports
-from quire.session import cut_lineage, prepare
+from quire.session import cut_lineage, ensure_checkpoint_dir, prepare
 from quire.sources import fixtures as fx
+from quire.sources import tables
 
 # Parameters of the registered queries (fixed for the oracle comparison).
 VEC_K1 = 0.8          # cosine threshold of the VEC cover
@@ -106,6 +108,45 @@ def pair_features(spark, sf):
         "id", _r(F.col("f")[0]).alias("f_name"), _r(F.col("f")[1]).alias("f_brand"), _r(F.col("f")[2]).alias("f_type"))
 
 
+def pair_features_distinct(spark, sf):
+    """F1 once per distinct pair of values, joined back."""
+    v = features.pair_features_distinct(fx.er_pairs(spark, sf), "id", "f")
+    return v.select("id", _r(F.col("f")[0]).alias("f_name"), _r(F.col("f")[1]).alias("f_brand"), _r(F.col("f")[2]).alias("f_type"))
+
+
+def _json_folder(spark, name):
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/json-{name}-{uuid.uuid4().hex}"
+
+
+def jsonl_pairs(spark, sf):
+    """The entity pairs as JSON lines in key order, read back by the record reader."""
+    path = _json_folder(spark, "pairs")
+    pair = F.struct(F.col("e1").alias("entity1"), F.col("e2").alias("entity2")).alias("question")
+    fx.er_pairs(spark, sf).orderBy("id").select(pair, "answer").write.json(path)
+    return tables.read_records(spark, path, "er").select(
+        "ques_id", "answer", F.col("cost").cast("int").alias("cost"), entity_text(F.col("e1")).alias("e1_text"),
+        entity_text(F.col("e2")).alias("e2_text"))
+
+
+def jsonl_texts(spark, sf):
+    """The documents as JSON lines of the transform task, read back by the record reader."""
+    path = _json_folder(spark, "texts")
+    tables.read_table(spark, sf, "documents").orderBy("doc_id").select(
+        F.col("source").alias("table_name"), F.col("text").alias("question"), F.col("lang").alias("answer")).write.json(path)
+    return tables.read_records(spark, path, "jd").select(
+        "ques_id", "table_name", "answer", F.col("cost").cast("int").alias("cost"), F.md5("text").alias("text_md5"))
+
+
+def parquet_texts(spark, sf):
+    """The documents through the columnar reader, with the task of a dataset's name."""
+    path = _json_folder(spark, "columns")
+    tables.read_table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("question"), F.col("lang").alias("answer")).write.parquet(path)
+    return tables.read_records_parquet(spark, path, tables.task_of("StrategyQA"), "doc_id", dataset="StrategyQA").select(
+        "ques_id", "task", "dataset", "answer", F.col("cost").cast("int").alias("cost"), F.md5("text").alias("text_md5"))
+
+
 # ---------------------------------------------------------------------------
 # VEC fixture: distance joins, kNN cover, filters
 # ---------------------------------------------------------------------------
@@ -672,6 +713,28 @@ def render_prompt_qa(spark, sf):
     return _task_prompts(spark, sf, "qa", PROMPT_DEMOS)
 
 
+def prompts_reread(spark, sf):
+    """The prompts of transformations written as JSON lines and read again."""
+    path = _json_folder(spark, "prompts")
+    shown = _task_prompts(spark, sf, "jd", PROMPT_DEMOS)
+    tables.write_prompts(shown.withColumn("answers", F.split("answers", ",")), path)
+    return tables.read_prompts(spark, path).select("group_id", "prompt", F.array_join("answers", ",").alias("answers"))
+
+
+def groups_reread(spark, sf):
+    """The packed groups written as JSON, one folder per setting, and read again."""
+    path = _json_folder(spark, "groups")
+    b, a = _bins(spark, sf)
+    long = packing.groups_long(b, a)
+    groups = long.groupBy("cluster_id", "group_id").agg(
+        F.array_sort(F.collect_set("ques_id")).alias("ques"), F.array_sort(F.collect_set("demo_id")).alias("demo"),
+        F.count(F.lit(1)).alias("tokens"), F.lit(False).alias("over_budget"))
+    tables.write_groups(tables.with_settings(groups, ER_CFG), path, partition_by=tables.SETTING_COLUMNS)
+    back = tables.read_groups(spark, path)
+    return back.select("group_id", F.size("ques").cast("long").alias("n_ques"), F.size("demo").cast("long").alias("n_demo"),
+                       F.array_min("ques").alias("first_ques"), F.array_max("demo").alias("last_demo"), F.col("tokens").alias("n_rows"))
+
+
 def render_prompt_jd(spark, sf):
     """prompts of transformations."""
     return _task_prompts(spark, sf, "jd", PROMPT_DEMOS)
@@ -743,6 +806,8 @@ def eval_running_tables(spark, sf):
 _QUERIES: dict[str, Query] = {
     "scan_pairs": scan_pairs, "render_entity": render_entity, "token_cost": token_cost,
     "field_similarity": field_similarity, "pair_features": pair_features,
+    "pair_features_distinct": pair_features_distinct, "jsonl_pairs": jsonl_pairs, "jsonl_texts": jsonl_texts,
+    "parquet_texts": parquet_texts, "groups_reread": groups_reread, "prompts_reread": prompts_reread,
     "pair_dist_euclid": pair_dist_euclid, "pair_dist_cosine": pair_dist_cosine, "pair_dist_recip": pair_dist_recip,
     "self_dist": self_dist, "knn_cover": knn_cover, "knn_topk3": knn_topk3, "cover_threshold": cover_threshold,
     "topup_cover": topup_cover, "filter_candidates": filter_candidates, "filter_demos_topk": filter_demos_topk,

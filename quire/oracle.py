@@ -598,6 +598,14 @@ UNION ALL SELECT id, 'type', round({lcs_ratio('t1', 't2')}, 6) FROM er"""
     q["pair_features"] = _with(ER) + f"""SELECT id, round({lcs_ratio('n1', 'n2')}, 6) AS f_name,
   round({lcs_ratio('b1', 'b2')}, 6) AS f_brand, round({lcs_ratio('t1', 't2')}, 6) AS f_type FROM er"""
 
+    q["pair_features_distinct"] = q["pair_features"]
+    q["jsonl_pairs"] = f"""SELECT row_number() OVER (ORDER BY id) - 1 AS ques_id, answer, cost, e1_text, e2_text
+FROM ({q["scan_pairs"]})"""
+    q["jsonl_texts"] = f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ques_id, source AS table_name, lang AS answer,
+  {tok('text')}::INTEGER AS cost, md5(text) AS text_md5 FROM documents"""
+    q["parquet_texts"] = f"""SELECT doc_id AS ques_id, 'qa' AS task, 'StrategyQA' AS dataset, lang AS answer,
+  {tok('text')}::INTEGER AS cost, md5(text) AS text_md5 FROM documents"""
+
     q["pair_dist_euclid"] = _with(VEC) + f"SELECT ques_id, demo_id, round(edist, 6) AS dist FROM vp WHERE edist <= {EUC_R}"
     q["pair_dist_cosine"] = _with(VEC) + f"SELECT ques_id, demo_id, round(cdist, 6) AS dist FROM vp WHERE cdist <= {VEC_K1}"
     q["pair_dist_recip"] = _with(VEC) + (f"SELECT ques_id, demo_id, round(CASE WHEN edist = 0 THEN 0 ELSE 1 / edist END, 6)"
@@ -738,6 +746,8 @@ LEFT JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) l USING (id)"""
   bin_no FROM bins WHERE rn > 0"""
     q["groups_long"] = _with(VEC, GREEDY, recursive=True) + """SELECT b.cluster_id, b.cluster_id::VARCHAR || '-' || b.bin_no::VARCHAR AS group_id,
   b.demo_id, o.ques_id FROM bins b JOIN owner o USING (cluster_id, demo_id) WHERE b.rn > 0"""
+    q["groups_reread"] = f"""SELECT group_id, count(DISTINCT ques_id) AS n_ques, count(DISTINCT demo_id) AS n_demo,
+  min(ques_id) AS first_ques, max(demo_id) AS last_demo, count(*) AS n_rows FROM ({q["groups_long"]}) GROUP BY group_id"""
     q["plan_groups"] = _plan_groups_sql(ER_CFG)
     q["plan_groups_similar"] = _plan_groups_sql(ER_SIMILAR)
     q["plan_groups_random"] = _plan_groups_sql(ER_RANDOM)
@@ -781,6 +791,8 @@ UNION ALL SELECT 'empty_group', (SELECT count(*) FROM tt WHERE nq = 0 OR nd = 0)
     q["render_prompt_jd"] = _task_prompt_sql(JD_TASK_TEXT, JD_QUESTIONS_HEADER, "'Question:' || chr(10) || d.text || chr(10) || "
                                              "'After transformation:' || chr(10) || d.answer || chr(10) || chr(10)")
 
+    q["prompts_reread"] = f"SELECT group_id::VARCHAR AS group_id, prompt, answers FROM ({q['render_prompt_jd']})"
+
     q["parse_yes_no"] = _with(EVAL) + """SELECT group_id, attempt, len(v)::BIGINT AS n_verdicts,
   array_to_string(v, ',') AS verdicts FROM yn"""
     q["parse_json_reply"] = _with(EJSON) + """SELECT group_id, attempt, valid,
