@@ -298,10 +298,83 @@ def total_counts(group: np.ndarray, n: int, first: np.ndarray, extras: list[np.n
     return total * 2 + first
 
 
-def count_join(blocks: DataFrame, request: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+# ---------------------------------------------------------------- the exchange
+
+FAN = 256                  # payloads that a task sends at most
+BUNDLE = "range long, gang long, shard array<int>, block array<int>, payload array<binary>"
+
+
+def exchange_levels(shards: int) -> int:
+    """Hops from a block to its shards, so that nobody sends more than ``FAN`` rows: ``FAN ** levels`` shards are reached."""
+    levels = 1
+    while FAN ** levels < shards:
+        levels += 1
+    return levels
+
+
+def bundle(table: pa.Table, ranges: int, gangs: int) -> pa.Table:
+    """Payloads that go the same way, as one row: to a range of ``ranges`` shards, for a gang of ``gangs`` blocks."""
+    shard, block = (table.column(c).to_numpy().astype(np.int64) for c in ("shard", "block"))
+    order = np.lexsort((block, shard, block // gangs, shard // ranges))
+    r, g = shard[order] // ranges, block[order] // gangs
+    at = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (g[1:] != g[:-1]))) if len(order) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(at, len(order)), pa.int32())
+    rows = table.take(pa.array(order)).combine_chunks()
+    lists = {c: pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], t), *rows.column(c).chunks]))
+             for c, t in (("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary()))}
+    return pa.table({"range": pa.array(r[at], pa.int64()), "gang": pa.array(g[at], pa.int64()), **lists})
+
+
+def unbundle(table: pa.Table) -> pa.Table:
+    """The single payloads again."""
+    return pa.table({c: pa.concat_arrays([pa.array([], t), *(x.flatten() for x in table.column(c).chunks)])
+                     for c, t in (("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary()))})
+
+
+class Exchange:
+    """Payloads from blocks to shards, and the answers back, along a tree of ``FAN`` branches.
+
+    With more than ``FAN`` shards a row for every block and shard would grow with the square of the input.  So a block
+    sends one bundle to each of ``FAN`` ranges of shards; the task of a range and a gang of ``FAN`` blocks regroups them
+    by smaller ranges, and so on, with gangs of ``FAN ** k`` blocks at hop k.  Every such task holds about a block's
+    bytes and sends ``FAN`` rows: rows and bytes of a hop are in proportion to the blocks.  Answers go the same way back.
+    Up to ``FAN`` shards there is one hop and no bundle."""
+
+    def __init__(self, shards: int):
+        self.fan, self.levels = FAN, exchange_levels(shards)
+        self.schema = REQUEST if self.levels == 1 else BUNDLE
+        self.key = "block" if self.levels == 1 else "gang"
+
+    def send(self, table: pa.Table) -> pa.Table:
+        """What a block hands over for its payloads."""
+        return table if self.levels == 1 else bundle(table, self.fan ** (self.levels - 1), self.fan)
+
+    def answered(self, sent: DataFrame, answer: Callable) -> DataFrame:
+        """``answer(payloads of a shard)`` on the way back; ``self.key`` names a row's block."""
+        fan, top = self.fan, self.levels
+        if top == 1:
+            return sent.groupBy("shard").applyInArrow(lambda key, rows: answer(rows), REQUEST)
+
+        def hop(rows: DataFrame, ranges: int, gangs: int) -> DataFrame:
+            return rows.groupBy("range", "gang").applyInArrow(lambda key, t: bundle(unbundle(t), ranges, gangs), BUNDLE)
+
+        for k in range(1, top):
+            sent = hop(sent, fan ** (top - 1 - k), fan ** (k + 1))
+        told = sent.groupBy("range").applyInArrow(lambda key, t: bundle(answer(unbundle(t)), fan, fan ** (top - 1)), BUNDLE)
+        for k in range(top - 1, 0, -1):
+            told = hop(told, fan ** (top - k + 1), fan ** (k - 1))
+        return told
+
+    def received(self, table: pa.Table) -> pa.Table:
+        """A block's answers, as ``answer`` gave them."""
+        return table if self.levels == 1 else unbundle(table)
+
+
+def count_join(blocks: DataFrame, request: Callable, answer: Callable, finish: Callable, schema: str, shards: int) -> DataFrame:
     """``finish(block's rows, its answers)`` for every block.  The rows are dealt to their blocks by one
     shuffle, which both uses share; what else moves are sorted distinct hashes and numbers."""
-    asked = blocks.groupBy("block").applyInArrow(lambda key, rows: request(key[0].as_py(), rows), REQUEST)
-    told = asked.groupBy("shard").applyInArrow(lambda key, rows: answer_all(rows, answer), REQUEST)
-    return (blocks.groupBy("block").cogroup(told.groupBy("block"))
-            .applyInArrow(lambda key, rows, answers: finish(rows, answers), schema))
+    ex = Exchange(shards)
+    asked = blocks.groupBy("block").applyInArrow(lambda key, rows: ex.send(request(key[0].as_py(), rows)), ex.schema)
+    told = ex.answered(asked, lambda rows: answer_all(rows, answer))
+    return (blocks.groupBy("block").cogroup(told.groupBy(ex.key))
+            .applyInArrow(lambda key, rows, answers: finish(rows, ex.received(answers)), schema))

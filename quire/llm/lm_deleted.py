@@ -120,7 +120,8 @@ def score(docs: DataFrame, shards: int, blocks: int, id_col: str = "doc_id", tex
 
     counted = cut_lineage(bl.count_join(
         dealt, request, bl.total_counts, finish,
-        "key array<long>, doc_id array<long>, held_out array<boolean>, counts binary, distinct long, trained long, starts long"))
+        "key array<long>, doc_id array<long>, held_out array<boolean>, counts binary, distinct long, trained long, starts long",
+        2 * shards))
     facts = counted.agg(F.sum("distinct").alias("v"), F.sum("trained").alias("n"), F.sum("starts").alias("s")).first()
     vocabulary, total, starts = int(facts["v"] or 0), int(facts["n"] or 0), int(facts["s"] or 0)
 

@@ -156,7 +156,7 @@ def near_copies(docs: DataFrame, groups: int, shingle: int = 3, percent: int = 9
                          "shared": pa.array([shared[i] for i in which], pa.binary())})
 
     profiles = cut_lineage(bl.count_join(dealt, request, bl.total_counts, finish,
-                                         "key long, doc_id long, n long, sig_a long, sig_b long, shared binary"))
+                                         "key long, doc_id long, n long, sig_a long, sig_b long, shared binary", groups))
     same = ["sig_a", "sig_b", "n"]
     able = profiles.filter("shared is not null")
     classes = able.groupBy(*same).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"),

@@ -276,8 +276,8 @@ def remove_repeats(docs: DataFrame, groups: int, id_col: str = "doc_id", text_co
                 out.append(bl.pack(known, rest, least[a:b]))
         return pa.table({"shard": pa.array(to, pa.int32()), "block": pa.array([block] * len(to), pa.int32()), "payload": pa.array(out, pa.binary())})
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:                                 # a block's own notes come back to it
+    def merge(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:                                 # a block's own notes come back to it
             return table
         table = table.sort_by("block")
         runs, ids, parts = [], [], []
@@ -326,8 +326,9 @@ def remove_repeats(docs: DataFrame, groups: int, id_col: str = "doc_id", text_co
                          "kept": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1,
                                                                   [None, pa.py_buffer(stay.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept))]).cast(pa.binary())})
 
-    sent = bl.count_join(dealt, request, several, send, bl.REQUEST)
-    told = sent.groupBy("shard").applyInArrow(merge, bl.REQUEST)
-    return (dealt.groupBy("block").cogroup(told.groupBy("block"))
-            .applyInArrow(lambda key, rows, answers: finish(rows, answers),
+    ex = bl.Exchange(groups)
+    sent = bl.count_join(dealt, request, several, lambda rows, answers: ex.send(send(rows, answers)), ex.schema, groups)
+    told = ex.answered(sent, merge)
+    return (dealt.groupBy("block").cogroup(told.groupBy(ex.key))
+            .applyInArrow(lambda key, rows, answers: finish(rows, ex.received(answers)),
                           "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
