@@ -300,7 +300,7 @@ def total_counts(group: np.ndarray, n: int, first: np.ndarray, extras: list[np.n
 
 # ---------------------------------------------------------------- the exchange
 
-FAN = 256                  # payloads that a task sends at most
+FAN = 4096                 # payloads that a block sends at most: of a kilobyte or so each
 BUNDLE = "range long, gang long, shard array<int>, block array<int>, payload array<binary>"
 
 
@@ -332,16 +332,19 @@ def unbundle(table: pa.Table) -> pa.Table:
 
 
 class Exchange:
-    """Payloads from blocks to shards, and the answers back, along a tree of ``FAN`` branches.
+    """Payloads from blocks to shards, and the answers back, along a tree of at most ``FAN`` branches.
 
     With more than ``FAN`` shards a row for every block and shard would grow with the square of the input.  So a block
-    sends one bundle to each of ``FAN`` ranges of shards; the task of a range and a gang of ``FAN`` blocks regroups them
-    by smaller ranges, and so on, with gangs of ``FAN ** k`` blocks at hop k.  Every such task holds about a block's
-    bytes and sends ``FAN`` rows: rows and bytes of a hop are in proportion to the blocks.  Answers go the same way back.
-    Up to ``FAN`` shards there is one hop and no bundle."""
+    sends one bundle to each of ``fan`` ranges of shards; the task of a range and a gang of ``fan`` blocks regroups them
+    by smaller ranges, and so on, with gangs of ``fan ** k`` blocks at hop k.  Every such task holds about a block's
+    bytes and sends ``fan`` rows: rows and bytes of a hop are in proportion to the blocks.  Answers go the same way back.
+    Up to ``FAN`` shards there is one hop and no bundle; every further hop moves the same bytes once more."""
 
     def __init__(self, shards: int):
-        self.fan, self.levels = FAN, exchange_levels(shards)
+        self.levels = exchange_levels(shards)
+        self.fan = 1                                      # equal branches, or a gang would be more blocks than a range's share
+        while self.fan ** self.levels < shards:
+            self.fan += 1
         self.schema = REQUEST if self.levels == 1 else BUNDLE
         self.key = "block" if self.levels == 1 else "gang"
 

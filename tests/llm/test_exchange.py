@@ -53,6 +53,13 @@ def test_rows_of_a_hop_are_in_proportion_to_the_blocks(spark, monkeypatch, size)
     assert all(p == f"{b}>{s}".encode() for s, b, p in got)
 
 
+def test_branches_are_equal():
+    for shards in (1, 4096, 4097, 30_000, 16 << 20, (16 << 20) + 1, 40_000_000):
+        ex = bl.Exchange(shards)
+        assert (ex.fan - 1) ** ex.levels < shards <= ex.fan ** ex.levels and ex.fan <= bl.FAN
+    assert (bl.Exchange(4097).levels, bl.Exchange(4097).fan) == (2, 65)
+
+
 def test_no_payload_no_bundle():
     empty = bl.bundle(bl.unbundle(pa.table({c: pa.array([], pa.list_(t)) for c, t in (("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary()))})), 4, 4)
     assert empty.num_rows == 0 and bl.unbundle(empty).num_rows == 0
