@@ -82,7 +82,7 @@ def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray, keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            texts = [" ".join(b[0] for b in blocks_of(h) if not b[4]) if h else "" for h in batch.column("html").to_pylist()]
+            texts = [" ".join(b[0] for b in blocks_of(h) if not b[1][3]) if h else "" for h in batch.column("html").to_pylist()]
             buf, off = bl.text_bytes(pa.array(texts, pa.large_string()))
             n = len(texts)
             likely, grams = np.zeros((n, len(langs))), np.zeros(n, np.int64)
