@@ -1,17 +1,17 @@
 """Quality by perplexity under a trusted-text language model.
 
 One interpolated modified Kneser-Ney bigram model per language, trained on documents labelled good and
-not toxic: a sample of at most about ``max_train`` documents a language, by a hash of the id, and at most
-``TRAIN_SHARE`` of them.  In the log domain a text's score is a sum of one weight per occurring n-gram:
+not toxic: ``TRAIN_SHARE`` of them by a hash of the id, however many there are (a caller may bound them by
+``max_train`` a language); the others give the thresholds.  In the log domain a text's score is a sum of one weight per occurring n-gram:
 
     log p(text) = tokens * u  +  sum over its words (log p(w) - u + log g(w))  +  sum over its known bigrams d(vw)
 
 with u the log probability of an unknown word, g(w) the back-off mass of w as a context and
 d(vw) = log p(w|v) - log g(v) - log p(w).  So whole texts are scored by joining n-gram counts with
 weights, shard by shard: a task sends each shard its distinct n-grams with the documents that have them, and
-gets one number a document back.  Every ``PART_BYTES`` of text meet a copy of the model, so that a shard's work does not
-grow with the input.  A bit table of the model (size bound by ``max_train``) holds back n-grams
-that the model does not have; they weigh nothing.
+gets one number a document back.  The model is dealt to shards of about ``MODEL_BYTES`` of training text, and as much text as
+comes to ``PART_BYTES`` for eight shards meets a copy of it, so that a task's work does not grow with the input.  A bit table
+of the model (of fixed size) holds back n-grams that the model does not have; they weigh nothing.
 
 A document is kept if its perplexity is at most its language's threshold: ``margin`` times the quantile
 ``quantile`` of trusted documents outside the training sample (of all trusted ones if there are none).
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from quire.llm import blocks as bl
 from quire.session import cut_lineage
 
-SHARDS_LOG = 3
-PART_BYTES = 512 << 20     # text bytes that meet one copy of the model, about
+SHARDS_LOG = 3             # at least
+MODEL_BYTES = 64 << 20     # training text of one shard of the model, about
+PART_BYTES = 512 << 20     # text bytes that meet one copy of a model of eight shards, about
 TRAIN_BYTES = 16 << 20     # training text of one shard, about
 BITS_LOG = 26
 RUN_BYTES = 4 << 20        # text bytes hashed at once
@@ -102,13 +103,19 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.1) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
+def shards_log(train_bytes: int) -> int:
+    """Of how many shards the model of so much training text is, as a power of two."""
+    return max(SHARDS_LOG, (-(-train_bytes // MODEL_BYTES) - 1).bit_length())
+
+
 def train(docs: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """The model of ``docs(key, lang, text)``: ``shard, payload`` with the sorted hashes of words and bigrams and
     their weights; and the log10 probability of an unknown word by hash of the language.
 
     Bigrams meet by their second word as packed arrays.  A shard asks for the totals of its bigrams' first words,
     which the shard of that word's hash knows."""
-    shards = max(8, -(-bl.extent(docs, "text")[1] // TRAIN_BYTES))
+    size = bl.extent(docs, "text")[1]
+    shards, log = max(8, -(-size // TRAIN_BYTES)), shards_log(size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,21 +216,21 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[int, float]]:
                 u, lang, *sums = bl.unpack(x)
                 hashes.append(bl.ungaps(u))
                 weights.append(np.log10(mass([y.astype(np.int64) for y in sums], np.searchsorted(all_langs, lang))))
-        return _model_parts(np.concatenate(hashes), np.concatenate(weights))
+        return _model_parts(np.concatenate(hashes), np.concatenate(weights), log)
 
     asked = pairs.mapInArrow(contexts, bl.REQUEST)
     told = asked.groupBy("shard").applyInArrow(total, bl.REQUEST)
     parts = pairs.groupBy("shard").cogroup(told.groupBy("block")).applyInArrow(weigh, "shard int, payload binary")
-    model = parts.groupBy("shard").applyInArrow(lambda key, table: _model_parts(*_model_arrays(table)), "shard int, payload binary")
+    model = parts.groupBy("shard").applyInArrow(lambda key, table: _model_parts(*_model_arrays(table), log), "shard int, payload binary")
     return cut_lineage(model), {int(k.view(np.int64)): float(np.log10(x)) for k, x in zip(all_langs, unknown)}
 
 
-def _model_parts(h: np.ndarray, weight: np.ndarray) -> pa.Table:
+def _model_parts(h: np.ndarray, weight: np.ndarray, log: int) -> pa.Table:
     """Hashes and their summed weights, a payload a shard."""
     h, which = np.unique(h, return_inverse=True)
     weight = np.bincount(which, weights=weight, minlength=len(h)).astype(float)
-    cut = bl.shard_cuts(h, 1 << SHARDS_LOG)
-    to = [s for s in range(1 << SHARDS_LOG) if cut[s + 1] > cut[s]]
+    cut = bl.shard_cuts(h, 1 << log)
+    to = [s for s in range(1 << log) if cut[s + 1] > cut[s]]
     return pa.table({"shard": pa.array(to, pa.int32()), "payload": pa.array(
         [bl.pack(bl.gaps(h[cut[s]:cut[s + 1]]), weight[cut[s]:cut[s + 1]]) for s in to], pa.binary())})
 
@@ -233,9 +240,9 @@ def _model_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([np.zeros(0, np.uint64), *(bl.ungaps(p[0]) for p in parts)]), np.concatenate([np.zeros(0), *(p[1] for p in parts)]))
 
 
-def _bits(model: DataFrame) -> np.ndarray:
+def _bits(model: DataFrame, log: int = SHARDS_LOG) -> np.ndarray:
     """A table of 2**BITS_LOG bits with the leading bits of each n-gram's hash set."""
-    size = 1 << (BITS_LOG - SHARDS_LOG)
+    size = 1 << (BITS_LOG - log)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,15 +253,15 @@ def _bits(model: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"shard": batch.column("shard").slice(i, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = np.zeros((1 << BITS_LOG) // 8, np.uint8)
-    for r in model.mapInArrow(run, "shard int, bits binary").toLocalIterator():                   # 2**SHARDS_LOG rows
+    for r in model.mapInArrow(run, "shard int, bits binary").toLocalIterator():                   # a row a shard
         out[r["shard"] * size // 8:][:size // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copies: int) -> DataFrame:
+def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copies: int, log: int = SHARDS_LOG) -> DataFrame:
     """``key, n_tokens, weight`` (summed) of every row of ``docs(key, lang, text)``; table: the model's bits;
-    copies of the model, between which the runs of documents are dealt."""
-    shards = 1 << SHARDS_LOG
+    copies of the model, between which the runs of documents are dealt; log: its shards as a power of two."""
+    shards = 1 << log
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -322,25 +329,26 @@ def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copie
             .select("key", (F.col("weight") / F.col("copies")).alias("weight"), (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_train: int = 3000, quantile: float = 0.99, margin: float = 1.5, min_tokens: int = 12,
+def judge(docs: DataFrame, labels: DataFrame, max_train: int | None = None, quantile: float = 0.99, margin: float = 1.5, min_tokens: int = 12,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``key, doc_id, lang, n_tokens, log10_prob, perplexity, threshold, keep`` of every row."""
     docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col), F.col(lang_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     good = (labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("doc_id"))
     per_lang = docs.select("doc_id", "lang").join(good, "doc_id", "left_semi").groupBy("lang").count().filter("lang is not null")
-    share = {r["lang"]: min(TRAIN_SHARE, max_train / r["count"]) for r in per_lang.collect()}      # a row a language
+    share = {r["lang"]: min(TRAIN_SHARE, max_train / r["count"]) if max_train else TRAIN_SHARE for r in per_lang.collect()}      # a row a language
     spark = docs.sparkSession
     share = spark.createDataFrame([(k, v) for k, v in share.items()], "lang string, share double")
     chosen = (docs.select("key", "doc_id", "lang").join(good, "doc_id", "left_semi").join(F.broadcast(share), "lang")
               .withColumn("trains", F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)))
     chosen = cut_lineage(chosen.select("key", "trains").distinct())
-    sample = F.broadcast(chosen.filter("trains").select("key"))        # about max_train a language at most
-    model, unknown = train(cut_lineage(docs.join(sample, "key", "left_semi")))
+    trusted = cut_lineage(docs.join(chosen.filter("trains").select("key"), "key", "left_semi"))
+    model, unknown = train(trusted)
+    log = shards_log(bl.extent(trusted, "text")[1])
     unknown = spark.createDataFrame(list(unknown.items()), "lang_hash long, unknown double")       # a row a language
-    table = spark.sparkContext.broadcast(_bits(model))                                             # 2**BITS_LOG bits
-    copies = max(1, -(-bl.extent(docs, "text")[1] // PART_BYTES))
-    sums = log_probabilities(docs, model, table, copies)
+    table = spark.sparkContext.broadcast(_bits(model, log))                                             # 2**BITS_LOG bits
+    copies = max(1, -(-bl.extent(docs, "text")[1] // (PART_BYTES << (log - SHARDS_LOG))))
+    sums = log_probabilities(docs, model, table, copies, log)
     scored = (docs.select("key", "doc_id", "lang").join(sums, "key")
               .withColumn("lang_hash", F.xxhash64(F.coalesce("lang", F.lit("")))).join(F.broadcast(unknown), "lang_hash", "left")
               .withColumn("log10_prob", F.col("weight") + F.col("n_tokens") * F.col("unknown"))
