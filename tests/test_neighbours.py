@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import graph
+from quire.operators import complement, graph
 from quire.operators import neighbours as nb
 
 
@@ -75,3 +75,16 @@ def test_edges_are_not_stored_as_a_table(spark):
     before = stored()
     graph.correlation_clustering(spark.range(n), edges, [0, 1]).count()
     assert stored() - before < 8 * edges.count()
+
+
+def test_near_pairs_in_one_direction(spark):
+    rng = random.Random(4)
+    near = [(i, j) for i in range(40) for j in range(i + 1, 40) if rng.random() < .9]
+    one = spark.createDataFrame(near, "u long, v long")
+    ids = np.arange(40)
+    blocks = nb.neighbour_blocks(complement.both_ways(one, "u", "v").toDF("src", "dst"), ids)
+    labels = [complement._components_by_blocks(ids, blocks), *complement._pivots_by_blocks(spark.range(40), ids, blocks, [0, 1])]
+    loss = [sum((x[i] == x[j]) == ((i, j) in near) for i in range(40) for j in range(i + 1, 40)) for x in labels]
+    assert complement._losses_by_blocks(blocks, np.stack(labels)) == loss
+    got = rows(complement.correlation_clustering_far(spark.range(40), one, [0, 1]), "id", "cluster_id")
+    assert got == list(enumerate(labels[loss.index(min(loss))].tolist()))
