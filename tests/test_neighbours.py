@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import complement, graph
+from quire.operators import complement, graph, simjoin
 from quire.operators import neighbours as nb
 
 
@@ -88,3 +88,18 @@ def test_near_pairs_in_one_direction(spark):
     assert complement._losses_by_blocks(blocks, np.stack(labels)) == loss
     got = rows(complement.correlation_clustering_far(spark.range(40), one, [0, 1]), "id", "cluster_id")
     assert got == list(enumerate(labels[loss.index(min(loss))].tolist()))
+
+
+def test_a_callers_distance_moves_no_pairs(spark):
+    rng = random.Random(5)
+    make = lambda n: [(rng.randrange(n), [rng.randrange(9) / 8 for _ in range(3)]) for _ in range(n)]  # noqa: E731 - ids repeat
+    q, d = make(60), make(40)
+    got = simjoin.pair_distances(spark.createDataFrame(q, "ques_id long, vec array<double>"), spark.createDataFrame(d, "demo_id long, vec array<double>"),
+                                 .5, simjoin.MANHATTAN)
+    top = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "_k0" in top
+    far = lambda a, b: sum(abs(x - y) for x, y in zip(a, b))
+    want = {(i, j, far(a, b)) for i, a in q for j, b in d if far(a, b) <= .5}
+    assert {(r[0], r[1], r[2]) for r in got.select("ques_id", "demo_id", "dist").collect()} >= want
+    once = {(r["ques_id"], r["demo_id"]) for r in got.collect()}
+    assert once == {(i, j) for i, j, _ in want}
