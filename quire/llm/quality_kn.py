@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -36,12 +37,13 @@ from quire.llm import blocks as bl
 from quire.session import cut_lineage
 
 SHARDS_LOG = 3             # at least
-MODEL_BYTES = 64 << 20     # training text of one shard of the model, about
+MODEL_BYTES = 16 << 20     # training text of one shard of the model, about
 PART_BYTES = 512 << 20     # text bytes that meet one copy of a model of eight shards, about
 TRAIN_BYTES = 16 << 20     # training text of one shard, about
 BITS_LOG = 26
 RUN_BYTES = 4 << 20        # text bytes hashed at once
 SEND_BYTES = 16 << 20      # text bytes whose known n-grams are sent together
+KEY_BITS_LOG, KEY_PARTS_LOG = 26, 8
 TRAIN_SHARE = 0.8
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
@@ -108,13 +110,46 @@ def shards_log(train_bytes: int) -> int:
     return max(SHARDS_LOG, (-(-train_bytes // MODEL_BYTES) - 1).bit_length())
 
 
+def text_size(docs: DataFrame) -> int:
+    """Bytes of the texts; from the column ``bytes`` where there is one, so that no text is moved for it."""
+    if "bytes" not in docs.columns:
+        return bl.extent(docs, "text")[1]
+    return docs.agg(F.sum("bytes")).first()[0] or 0
+
+
+def only_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is among ``keys(key)``: a bit table of the keys (of fixed size) holds back
+    nearly all other rows before the exact join, so that their texts are not moved."""
+    size = 1 << (KEY_BITS_LOG - KEY_PARTS_LOG)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, bool)
+        bits[(bl.mix(table.column("key").to_numpy().view(np.uint64)) >> np.uint64(64 - KEY_BITS_LOG)).astype(np.int64) % size] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def part(x: pd.Series) -> pd.Series:
+        return pd.Series((bl.mix(x.to_numpy().view(np.uint64)) >> np.uint64(64 - KEY_PARTS_LOG)).astype(np.int32))
+
+    parts = keys.select("key", F.pandas_udf(part, "int")("key").alias("part")).groupBy("part").applyInArrow(run, "part int, bits binary")
+    table = np.zeros((1 << KEY_BITS_LOG) // 8, np.uint8)
+    for r in parts.toLocalIterator():                                                              # 2**KEY_PARTS_LOG rows at most
+        table[r["part"] * size // 8:][:size // 8] = np.frombuffer(r["bits"], np.uint8)
+    table = docs.sparkSession.sparkContext.broadcast(table)
+
+    def may(x: pd.Series) -> pd.Series:
+        place = (bl.mix(x.to_numpy().view(np.uint64)) >> np.uint64(64 - KEY_BITS_LOG)).astype(np.int64)
+        return pd.Series((table.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return docs.where(F.pandas_udf(may, "boolean")("key")).join(keys, "key", "left_semi")
+
+
 def train(docs: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """The model of ``docs(key, lang, text)``: ``shard, payload`` with the sorted hashes of words and bigrams and
     their weights; and the log10 probability of an unknown word by hash of the language.
 
     Bigrams meet by their second word as packed arrays.  A shard asks for the totals of its bigrams' first words,
     which the shard of that word's hash knows."""
-    size = bl.extent(docs, "text")[1]
+    size = text_size(docs)
     shards, log = max(8, -(-size // TRAIN_BYTES)), shards_log(size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +312,10 @@ def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copie
                         known = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
                         parts.append((h[known], (d[known] + a).astype(np.int32)))
                 h, d = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()                                                # a worker holds each n-gram once or twice
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
+                del order
                 new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 ends = np.append(new, len(h))
                 u, n = h[new], np.diff(ends)
@@ -342,9 +379,9 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int | None = None, quan
     chosen = (docs.select("key", "doc_id", "lang").join(good, "doc_id", "left_semi").join(F.broadcast(share), "lang")
               .withColumn("trains", F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)))
     chosen = cut_lineage(chosen.select("key", "trains").distinct())
-    trusted = cut_lineage(docs.join(chosen.filter("trains").select("key"), "key", "left_semi"))
+    trusted = only_keys(docs.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), chosen.filter("trains").select("key"))
     model, unknown = train(trusted)
-    log = shards_log(bl.extent(trusted, "text")[1])
+    log = shards_log(text_size(trusted))
     unknown = spark.createDataFrame(list(unknown.items()), "lang_hash long, unknown double")       # a row a language
     table = spark.sparkContext.broadcast(_bits(model, log))                                             # 2**BITS_LOG bits
     copies = max(1, -(-bl.extent(docs, "text")[1] // (PART_BYTES << (log - SHARDS_LOG))))

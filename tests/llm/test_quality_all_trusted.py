@@ -30,3 +30,15 @@ def test_more_shards_same_scores(spark, monkeypatch):
     want = score()
     monkeypatch.setattr(quality_kn, "MODEL_BYTES", 200)
     assert score() == want and len(want) == 150
+
+
+def test_training_rows_found_without_moving_other_texts(spark):
+    docs = _rows(spark, 3000).selectExpr("xxhash64(doc_id) as key", "*", "octet_length(text) as bytes")
+    keys = docs.filter("doc_id % 10 = 3").select("key")
+    got = quality_kn.only_keys(docs, keys)
+    assert {r["doc_id"] for r in got.collect()} == set(range(3, 3000, 10))
+    got.count()
+    # the texts pass the bit table before the exchange of the join
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("may(")
+    assert quality_kn.only_keys(docs, keys.limit(0)).count() == 0
