@@ -3,7 +3,9 @@
 Rows are packed into blocks of a few thousand vectors, one row of the table each, so that a vector moves once for
 each block of the other side and not once for each neighbour cell; a self join compares each two blocks once.
 A pair of blocks is compared in tiles: a matrix product with a margin for rounding leaves few pairs, and these are
-decided by the exact distance, its dimensions summed left to right as in SQL.  Found pairs leave a task tile by tile.
+decided by the exact distance, its dimensions summed left to right as in SQL.  Found pairs leave a task tile by tile,
+or, where the caller needs less than all of them, as what they come to: a row's nearest, a row's number of partners, or
+links that connect the same rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ MOST_ROWS, LEAST_ROWS = 16384, 512   # of a block
 BLOCKS = 16                          # that the smaller side is cut into, if its blocks stay large enough
 TILE = 1 << 21                       # pairs compared at once
 DENSE = 0.4                          # share of a tile's pairs from which all its exact distances are computed
+FIRST_ROWS = 256                     # of a block that links are first sought with
 _TINY = 1e-150                       # norms whose product may vanish
 
 
@@ -84,6 +87,137 @@ def close_pairs(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: n
     return li[near], ri[near], d[near]
 
 
+class _Tiles:
+    """Two blocks, whose pairs are told apart into sure and possible ones by a matrix product."""
+
+    def __init__(self, metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray, radius: float, strict: bool, far: bool):
+        self.metric, self.L, self.ln, self.R, self.rn = metric, L, ln, R, rn
+        self.radius, self.strict, self.far = radius, strict, far
+        if metric == "cosine":
+            self.a, self.b = (x / np.where(n > 0, n, 1.0)[:, None] for x, n in ((L, ln), (R, rn)))
+            self.tiny = [(n > 0) & (n < _TINY) for n in (ln, rn)]
+            self.odd = any(x.any() for x in self.tiny)
+        else:
+            self.a, self.b = ((x * x).sum(axis=1) for x in (L, R))
+            self.odd = False
+
+    def bounds(self, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the distances (Euclid: of their squares)."""
+        if self.metric == "cosine":
+            x = 1.0 - self.a[rows] @ self.b[cols].T
+            low, high = x - 1e-9, x + 1e-9
+            if self.odd:
+                odd = self.tiny[0][rows][:, None] | self.tiny[1][cols][None, :]
+                low[odd], high[odd] = -np.inf, np.inf
+            return low, high
+        both = self.a[rows][:, None] + self.b[cols][None, :]
+        x = both - 2.0 * (self.L[rows] @ self.R[cols].T)
+        both *= 1e-9
+        return x - both, x + both
+
+    def split(self, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are sure, and which only possible."""
+        low, high = self.bounds(rows, cols)
+        r = self.radius if self.metric == "cosine" else self.radius * self.radius
+        below, above = (r - 1e-9, r + 1e-9) if self.metric == "cosine" else (r * (1 - 1e-9), r * (1 + 1e-9))
+        if self.far:
+            sure = low >= above
+            return sure, ~sure & ((high >= below) | (low <= 0))
+        sure = high <= below
+        return sure, ~sure & (low <= above)
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        parts = [np.zeros(0)]
+        for a in range(0, len(i), 1 << 16):
+            x, y = i[a:a + (1 << 16)], j[a:a + (1 << 16)]
+            parts.append(exact_distances(self.metric, self.L[x].T, self.ln[x], self.R[y].T, self.rn[y]))
+        return np.concatenate(parts)
+
+    def meet(self, d: np.ndarray) -> np.ndarray:
+        if self.far:
+            return (d == 0) | (np.divide(1.0, d, out=np.full_like(d, np.inf), where=d != 0) <= 1.0 / self.radius)
+        return (d < self.radius) if self.strict else (d <= self.radius)
+
+    def pieces(self, rows: np.ndarray, cols: np.ndarray) -> Iterator[np.ndarray]:
+        step = max(1, TILE // max(1, len(cols)))
+        for a in range(0, len(rows) if len(cols) else 0, step):
+            yield rows[a:a + step]
+
+
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Adds the edges (a, b) to components given by their smallest node, and gives their smallest nodes."""
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        np.minimum.at(parent, a, b)
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+    return parent
+
+
+def _links(t: _Tiles, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, its component's first row) that connect all rows of the two blocks that pairs connect; rows of the
+    second block are counted on from the first's.  A pair whose rows are connected is not compared: it adds nothing."""
+    nl, nr = len(t.L), len(t.R)
+    shift = 0 if same else nl
+    parent = np.arange(shift + nr)
+    at, width = 0, FIRST_ROWS
+    while at < nr:
+        cols = np.arange(at, min(at + width, nr))
+        top = np.bincount(parent).argmax()
+        inside, outside = parent[:nl] == top, cols[parent[cols + shift] != top]
+        for rows, its in ((np.flatnonzero(~inside), cols), (np.flatnonzero(inside), outside)):
+            for some in t.pieces(rows, its):
+                sure, doubt = t.split(some, its)
+                i, j = np.nonzero(sure)
+                parent = unite(parent, some[i], its[j] + shift)
+                i, j = (x[y] for x, y in zip((some, its), np.nonzero(doubt)))
+                apart = parent[i] != parent[j + shift]
+                i, j = i[apart], j[apart]
+                meet = t.meet(t.distances(i, j))
+                parent = unite(parent, i[meet], j[meet] + shift)
+        at, width = at + width, 2 * width
+    leaf = np.flatnonzero(parent != np.arange(len(parent)))
+    return leaf, parent[leaf]
+
+
+def _counts(t: _Tiles) -> np.ndarray:
+    """The number of partners of each row of the second block."""
+    n, cols = np.zeros(len(t.R), np.int64), np.arange(len(t.R))
+    for rows in t.pieces(np.arange(len(t.L)), cols):
+        sure, doubt = t.split(rows, cols)
+        n += np.count_nonzero(sure, axis=0)
+        i, j = np.nonzero(doubt)
+        j = j[t.meet(t.distances(rows[i], j))]
+        n += np.bincount(j, minlength=len(n))
+    return n
+
+
+def _nearest(t: _Tiles, k: int, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of the first block, the ``k`` nearest partners in the second one (of equal distance: of lowest ``order``)."""
+    cols = np.arange(len(t.R))
+    limit = t.radius + 1e-9 if t.metric == "cosine" else t.radius * t.radius * (1 + 1e-9)
+    for rows in t.pieces(np.arange(len(t.L)), cols):
+        low, high = t.bounds(rows, cols)
+        ok = low <= limit
+        if len(cols) > k:
+            ok &= low <= np.partition(high, k - 1, axis=1)[:, k - 1:k]
+        i, j = np.nonzero(ok)
+        i = rows[i]
+        d = t.distances(i, j)
+        meet = t.meet(d)
+        i, j, d = i[meet], j[meet], d[meet]
+        at = np.lexsort((order[j], d, i))
+        i, j, d = i[at], j[at], d[at]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        yield i[rank < k], j[rank < k], d[rank < k]
+
+
 class _Columns:
     """Chosen columns of a matrix, taken a row at a time."""
 
@@ -117,12 +251,18 @@ def _blocks(df: DataFrame, n: int, dim: int, rows: int) -> tuple[DataFrame, int]
 
 
 def block_pairs_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, metric: str, vec_col: str,
-                     self_join: bool, strict: bool, min_dim: int) -> DataFrame | None:
-    """``(left_id, right_id, dist)`` of the pairs within ``radius``; None for vectors below ``min_dim`` or no vectors."""
+                     self_join: bool, strict: bool, min_dim: int, nearest: int | None = None, links: bool = False,
+                     counts: bool = False, far: bool = False) -> DataFrame | None:
+    """``(left_id, right_id, dist)`` of the pairs within ``radius``; None for vectors below ``min_dim`` or no vectors.
+
+    All pairs are compared.  ``nearest``: of a left row's pairs with one block only so many, the nearest (then the lowest
+    ids), are given.  ``links`` (of a self join): ``(src, dst)`` that connect the rows that pairs connect; with ``far`` pairs
+    whose reciprocal distance is at most ``1 / radius``, or of distance 0.  ``counts``: ``(right_id, n)``, the pairs of a right row
+    with one block."""
     from quire.operators.simjoin import _prep
 
     def sized(df: DataFrame, id_col: str) -> tuple[DataFrame, int, int]:
-        df = _prep(df.where(F.col(vec_col).isNotNull()), id_col, vec_col).withColumnRenamed(id_col, "id")
+        df = _prep(df.where(F.col(vec_col).isNotNull() & (F.col(id_col).isNotNull() if links else F.lit(True))), id_col, vec_col).withColumnRenamed(id_col, "id")
         row = df.agg(F.count("*").alias("n"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first()
         if row["lo"] != row["hi"]:
             raise ValueError(f"vectors of different lengths ({row['lo']} and {row['hi']}) cannot be compared")
@@ -167,5 +307,30 @@ def block_pairs_join(left: DataFrame, right: DataFrame, left_id: str, right_id:
                     if len(d):
                         yield pa.RecordBatch.from_arrays([x, y, pa.array(d)], names=["_lid", "_rid", "dist"])
 
-    out = met.select("i", "j", "lids", "ln", "lv", "rids", "rn", "rv").mapInArrow(compare, "_lid long, _rid long, dist double")
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lids, ln, L = side(batch, k, "lids", "ln", "lv")
+                rids, rn, R = side(batch, k, "rids", "rn", "rv")
+                same = self_join and batch.column("i")[k].as_py() == batch.column("j")[k].as_py()
+                with np.errstate(invalid="ignore", over="ignore"):
+                    t = _Tiles(metric, L, ln, R, rn, radius, strict, far)
+                    if links:
+                        ids = lids if same else pa.concat_arrays([lids, rids])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)) for x in _links(t, same)], names=["src", "dst"])
+                    elif counts:
+                        n = _counts(t)
+                        has = np.flatnonzero(n)
+                        yield pa.RecordBatch.from_arrays([rids.take(pa.array(has)), pa.array(n[has])], names=["_rid", "n"])
+                    else:
+                        order = rids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                        for i, j, d in _nearest(t, nearest, order):
+                            yield pa.RecordBatch.from_arrays([lids.take(pa.array(i)), rids.take(pa.array(j)), pa.array(d)], names=["_lid", "_rid", "dist"])
+
+    met = met.select("i", "j", "lids", "ln", "lv", "rids", "rn", "rv")
+    if links:
+        return met.mapInArrow(reduce, "src long, dst long")
+    if counts:
+        return met.mapInArrow(reduce, "_rid long, n long").select(F.col("_rid").alias(right_id), "n")
+    out = met.mapInArrow(reduce if nearest and not self_join else compare, "_lid long, _rid long, dist double")
     return out.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "dist")

@@ -205,7 +205,7 @@ def _block_fn(metric: str, radius: float, width: float, m: int, self_join: bool,
 def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float,
                metric: str | Metric = "euclid", vec_col: str = "vec", self_join: bool = False,
                n_pivots: int = 2, pivots: list[list[float]] | None = None,
-               strict: bool = False, engine: str = "auto", block_rows: int = 2048) -> DataFrame:
+               strict: bool = False, engine: str = "auto", block_rows: int = 2048, nearest: int | None = None) -> DataFrame:
     """All pairs with ``dist <= radius`` (``< radius`` if ``strict``): ``(left_id, right_id, dist)``.
 
     ``left`` is the side replicated over neighbour cells -- pass the smaller one.  ``engine``:
@@ -214,7 +214,8 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     where a sample shows that it prunes, else all pairs of blocks for dense vectors (``blockpairs``; with
     given ``pivots`` the cells' blocks) and the grid for others.
     With ``self_join`` both inputs describe the same rows and only ``left_id < right_id``
-    pairs are returned."""
+    pairs are returned.  ``nearest``: the caller needs only so many nearest pairs of each left row (of equal distance:
+    of the lowest ids), so a task that compares blocks need not give others."""
     if isinstance(metric, Metric):
         return _caller_join(left, right, left_id, right_id, radius, metric, vec_col, self_join, strict, n_pivots, block_rows)
     if metric not in ("euclid", "cosine"):
@@ -230,7 +231,7 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
         if out is not None:
             return out
     if engine == "auto" and pivots is None:
-        out = block_pairs_join(left, right, left_id, right_id, radius, metric, vec_col, self_join, strict, BLOCK_MIN_DIM)
+        out = block_pairs_join(left, right, left_id, right_id, radius, metric, vec_col, self_join, strict, BLOCK_MIN_DIM, nearest)
         if out is not None:
             return out
     if pivots is None:
@@ -259,6 +260,22 @@ def range_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     return out.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def range_links(points: DataFrame, id_col: str, radius: float, metric: str = "euclid", vec_col: str = "vec", n_pivots: int = 2) -> DataFrame:
+    """``(src, dst)`` links that connect all rows that the pairs of ``range_join`` connect.  Blocks of dense vectors are
+    contracted where they are compared, so that their pairs are neither moved nor stored."""
+    from quire.operators.centretree import tree_join
+    from quire.operators.graph import star_edges
+
+    other = points.withColumnRenamed(id_col, "_id2")
+    pairs = tree_join(points, other, id_col, "_id2", radius, metric, vec_col, True, False, 2048, always=False)
+    if pairs is None:
+        links = block_pairs_join(points, points, id_col, id_col, radius, metric, vec_col, True, False, BLOCK_MIN_DIM, links=True)
+        if links is not None:
+            return star_edges(links)
+        pairs = range_join(points, other, id_col, "_id2", radius, metric=metric, vec_col=vec_col, self_join=True, n_pivots=n_pivots)
+    return star_edges(pairs, id_col, "_id2")
+
+
 def _grid_candidates(lc: DataFrame, rc: DataFrame, left_id: str, right_id: str, off_arr, m: int, width: float, self_join: bool,
                      l_keep: tuple[str, ...] = (), r_keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows that meet in neighbour cells and whose pivot distances differ by at most ``width``, with their vectors."""
@@ -449,10 +466,20 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
 # ---------------------------------------------------------------------------
 
 def pair_distances(questions: DataFrame, demos: DataFrame, radius: float, metric: str | Metric,
-                   vec_col: str = "vec", n_pivots: int = 2) -> DataFrame:
-    """``(ques_id, demo_id, dist)`` for every pair within ``radius``."""
+                   vec_col: str = "vec", n_pivots: int = 2, nearest: int | None = None) -> DataFrame:
+    """``(ques_id, demo_id, dist)`` for every pair within ``radius`` (``nearest``: at least so many of a demo's
+    nearest ones, if the caller needs no others)."""
     return range_join(demos, questions, "demo_id", "ques_id", radius, metric=metric, vec_col=vec_col,
-                      n_pivots=n_pivots).select("ques_id", "demo_id", "dist")
+                      n_pivots=n_pivots, nearest=nearest).select("ques_id", "demo_id", "dist")
+
+
+def pair_counts(questions: DataFrame, demos: DataFrame, radius: float, metric: str, vec_col: str = "vec") -> DataFrame:
+    """``(ques_id, n)``: the pairs of ``pair_distances`` of every question that has any.  Blocks of dense vectors are counted
+    where they are compared."""
+    n = block_pairs_join(demos, questions, "demo_id", "ques_id", radius, metric, vec_col, False, False, BLOCK_MIN_DIM, counts=True)
+    if n is None:
+        return pair_distances(questions, demos, radius, metric, vec_col).groupBy("ques_id").agg(F.count("*").alias("n"))
+    return n.groupBy("ques_id").agg(F.sum("n").alias("n"))
 
 
 def duplicate_share(questions: DataFrame, demos: DataFrame, vec_col: str = "vec") -> float:
@@ -476,7 +503,7 @@ def knn_cover(questions: DataFrame, demos: DataFrame, k1: float, upper_ques: int
     if dedup == "auto":
         dedup = duplicate_share(questions, demos, vec_col) >= 0.2
     if not dedup:
-        pairs = pair_distances(questions, demos, k1, metric, vec_col, n_pivots)
+        pairs = pair_distances(questions, demos, k1, metric, vec_col, n_pivots, nearest=upper_ques)
         return top_k(pairs, "demo_id", "ques_id", upper_ques).select("ques_id", "demo_id", "dist", "rank")
     k = upper_ques
     q = questions.select("ques_id", F.col(vec_col).alias("vec"))
@@ -561,8 +588,8 @@ def dist_percentile(questions: DataFrame, demos: DataFrame, p: float, metric: st
 
 
 def cover_percentile(questions: DataFrame, demos: DataFrame, p: float, metric: str,
-                     vec_col: str = "vec") -> tuple[float, DataFrame]:
-    """threshold = max over questions of A3; cover = all pairs within it."""
+                     vec_col: str = "vec", counted: bool = False) -> tuple[float, DataFrame]:
+    """threshold = max over questions of A3; cover = all pairs within it (``counted``: their number a question)."""
     row = dist_percentile(questions, demos, p, metric, vec_col).agg(F.max("pct").alias("t")).first()
     thr = float(row["t"]) if row and row["t"] is not None else 0.0
-    return thr, pair_distances(questions, demos, thr, metric, vec_col)
+    return thr, (pair_counts if counted else pair_distances)(questions, demos, thr, metric, vec_col)
