@@ -26,6 +26,12 @@ TILE = 1 << 21                       # pairs compared at once
 DENSE = 0.4                          # share of a tile's pairs from which all its exact distances are computed
 FIRST_ROWS = 256                     # of a block that links are first sought with
 _TINY = 1e-150                       # norms whose product may vanish
+CHUNK = 64                           # columns of which the nearest one is sought first
+
+
+def _single(dim: int) -> float:
+    """How far a product of two unit vectors in single precision may be from the exact one."""
+    return (dim + 8) * 1.2e-7 + 1e-9
 
 
 def exact_distances(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray) -> np.ndarray:
@@ -44,12 +50,16 @@ def exact_distances(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, r
     return np.sqrt(acc)
 
 
-def _maybe(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray, radius: float) -> np.ndarray:
-    """Which pairs may be within the radius."""
+def _units(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision: their products are within ``_single`` of the exact ones."""
+    return (x / np.where(n > 0, n, 1.0)[:, None]).astype(np.float32)
+
+
+def _maybe(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray, radius: float, units: tuple | None = None) -> np.ndarray:
+    """Which pairs may be within the radius; ``units`` of the two sides, if they are known."""
     if metric == "cosine":
-        a = L / np.where(ln > 0, ln, 1.0)[:, None]
-        b = R / np.where(rn > 0, rn, 1.0)[:, None]
-        ok = a @ b.T >= 1.0 - radius - 1e-9
+        a, b = units or (_units(L, ln), _units(R, rn))
+        ok = a @ b.T >= np.float32(1.0 - radius - _single(L.shape[1]))
         for odd, at in ((ln, (slice(None), None)), (rn, (None, slice(None)))):
             small = (odd > 0) & (odd < _TINY)
             if small.any():
@@ -61,10 +71,10 @@ def _maybe(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.nda
 
 
 def close_pairs(metric: str, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray, radius: float, strict: bool = False,
-                allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                allowed: np.ndarray | None = None, units: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers and distances of the pairs within the radius, of those ``allowed``."""
     with np.errstate(invalid="ignore", over="ignore"):
-        ok = _maybe(metric, L, ln, R, rn, radius)
+        ok = _maybe(metric, L, ln, R, rn, radius, units)
         if allowed is not None:
             ok &= allowed
         if np.count_nonzero(ok) > DENSE * ok.size:
@@ -97,6 +107,8 @@ class _Tiles:
             self.a, self.b = (x / np.where(n > 0, n, 1.0)[:, None] for x, n in ((L, ln), (R, rn)))
             self.tiny = [(n > 0) & (n < _TINY) for n in (ln, rn)]
             self.odd = any(x.any() for x in self.tiny)
+            self.single = None if self.odd else tuple(x.astype(np.float32) for x in (self.a, self.b))
+            self.slack = _single(L.shape[1])
         else:
             self.a, self.b = ((x * x).sum(axis=1) for x in (L, R))
             self.odd = False
@@ -117,6 +129,10 @@ class _Tiles:
 
     def split(self, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs are sure, and which only possible."""
+        if self.metric == "cosine" and not self.odd and not self.far:
+            x = self.single[0][rows] @ self.single[1][cols].T
+            sure = x >= np.float32(1.0 - self.radius + 2 * self.slack)
+            return sure, (x >= np.float32(1.0 - self.radius - 2 * self.slack)) & ~sure
         low, high = self.bounds(rows, cols)
         r = self.radius if self.metric == "cosine" else self.radius * self.radius
         below, above = (r - 1e-9, r + 1e-9) if self.metric == "cosine" else (r * (1 - 1e-9), r * (1 + 1e-9))
@@ -201,11 +217,18 @@ def _nearest(t: _Tiles, k: int, order: np.ndarray) -> Iterator[tuple[np.ndarray,
     """Of each row of the first block, the ``k`` nearest partners in the second one (of equal distance: of lowest ``order``)."""
     cols = np.arange(len(t.R))
     limit = t.radius + 1e-9 if t.metric == "cosine" else t.radius * t.radius * (1 + 1e-9)
+    wide = len(cols) // CHUNK
     for rows in t.pieces(np.arange(len(t.L)), cols):
-        low, high = t.bounds(rows, cols)
-        ok = low <= limit
-        if len(cols) > k:
-            ok &= low <= np.partition(high, k - 1, axis=1)[:, k - 1:k]
+        if t.metric == "cosine" and not t.odd and wide >= 4 * k:
+            x = t.single[0][rows] @ t.single[1].T
+            best = np.fmax.reduce(x[:, :wide * CHUNK].reshape(len(rows), CHUNK, wide), axis=1)    # the best of each chunk
+            kth = -np.partition(-best, k - 1, axis=1)[:, k - 1:k]                                 # k columns are as near at least
+            ok = x >= np.fmax(kth - np.float32(2 * t.slack), np.float32(1.0 - limit - t.slack))
+        else:
+            low, high = t.bounds(rows, cols)
+            ok = low <= limit
+            if len(cols) > k:
+                ok &= low <= np.partition(high, k - 1, axis=1)[:, k - 1:k]
         i, j = np.nonzero(ok)
         i = rows[i]
         d = t.distances(i, j)
@@ -231,9 +254,11 @@ class _Columns:
         return self.rows[j].take(self.at)
 
 
-def _blocks(df: DataFrame, n: int, dim: int, rows: int) -> tuple[DataFrame, int]:
-    """``block, ids, norms, vecs``: the rows of ``df(id, _v, _n)`` packed, and the number of blocks."""
+def _blocks(df: DataFrame, n: int, dim: int, rows: int, by: str | None = None) -> tuple[DataFrame, int]:
+    """``block, ids, norms, vecs``: the rows of ``df(id, _v, _n)`` packed, and the number of blocks.  ``by``: rows that agree
+    in this column share a block, which has their values as ``keys``."""
     count = max(1, -(-n // rows))
+    kind = f", keys array<{dict(df.dtypes)[by]}>" if by else ""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]                  # a block: at most about ``rows`` rows
@@ -242,14 +267,82 @@ def _blocks(df: DataFrame, n: int, dim: int, rows: int) -> tuple[DataFrame, int]
             x = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             small = x.astype("<f4")
             x = small if np.array_equal(small, x, equal_nan=True) else x.astype("<f8")
-            yield pa.RecordBatch.from_pydict({
+            row = {
                 "block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())),
-                "norms": pa.array([t.column("_n").to_numpy().astype("<f8").tobytes()], pa.binary()), "vecs": pa.array([x.tobytes()], pa.binary())})
+                "norms": pa.array([t.column("_n").to_numpy().astype("<f8").tobytes()], pa.binary()), "vecs": pa.array([x.tobytes()], pa.binary())}
+            if by:
+                row["keys"] = pa.array([t.column(by).to_pylist()], pa.list_(t.schema.field(by).type))
+            yield pa.RecordBatch.from_pydict(row)
 
-    packed = df.repartition(count).mapInArrow(pack, "block int, ids array<long>, norms binary, vecs binary")
+    packed = df.repartition(count, *[by] if by else []).mapInArrow(pack, "block int, ids array<long>, norms binary, vecs binary" + kind)
     return cut_lineage(packed), count
 
 
+def _sized(df: DataFrame, id_col: str, vec_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """The rows with a vector as ``id, _v, _n``, their number and the dimension."""
+    from quire.operators.simjoin import _prep
+
+    df = _prep(df.where(F.col(vec_col).isNotNull()), id_col, vec_col, keep=keep).withColumnRenamed(id_col, "id")
+    row = df.agg(F.count("*").alias("n"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first()
+    if row["lo"] != row["hi"]:
+        raise ValueError(f"vectors of different lengths ({row['lo']} and {row['hi']}) cannot be compared")
+    return df, row["n"], row["hi"] or 0
+
+
+def _side(row: pa.RecordBatch, k: int, ids: str, norms: str, vecs: str, dim: int) -> tuple:
+    n = np.frombuffer(row.column(norms)[k].as_py(), "<f8")
+    v = row.column(vecs)[k].as_py()
+    x = np.frombuffer(v, "<f4" if len(v) == 4 * dim * len(n) else "<f8").reshape(len(n), dim).astype(np.float64)
+    return row.column(ids)[k].values, n, x
+
+
+def block_sets_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, radius: float, metric: str, vec_col: str,
+                    min_dim: int) -> DataFrame | None:
+    """``(key, left_id, ids)``: the ids, ascending and each once, of the rows of ``right(key, right_id, vec)`` with this key that are
+    within ``radius`` of the left row; None as in ``block_pairs_join``.  A key's rows share a block, so that no pairs are moved;
+    the caller sees to it that a key has few rows, and that a left id does not repeat."""
+    r, n_right, dim = _sized(right, right_id, vec_col, (key,))
+    if dim < min_dim or not n_right:
+        return None
+    l, n_left, _ = _sized(left, left_id, vec_col)
+    if not n_left:
+        return None
+    rows = min(MOST_ROWS, max(LEAST_ROWS, -(-min(n_left, n_right) // BLOCKS)))
+    rb, n_rb = _blocks(r, n_right, dim, rows, key)
+    lb, n_lb = _blocks(l, n_left, dim, rows)
+    met = lb.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1))).alias("j"), F.col("ids").alias("lids"), F.col("norms").alias("ln"), F.col("vecs").alias("lv")) \
+        .join(rb.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_lb - 1))).alias("i"), "keys", F.col("ids").alias("rids"), F.col("norms").alias("rn"), F.col("vecs").alias("rv")), ["i", "j"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lids, ln, L = _side(batch, k, "lids", "ln", "lv", dim)
+                rids, rn, R = _side(batch, k, "rids", "rn", "rv", dim)
+                keys = batch.column("keys")[k].values
+                rids, code = rids.to_numpy(zero_copy_only=False), keys.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                at = np.lexsort((rids, code))
+                rids, code, keys, rn, R = rids[at], code[at], keys.take(pa.array(at)), rn[at], R[at]
+                cols = np.arange(len(R))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    t = _Tiles(metric, L, ln, R, rn, radius, False, False)
+                    for some in t.pieces(np.arange(len(L)), cols):
+                        near, doubt = t.split(some, cols)
+                        i, j = np.nonzero(doubt)
+                        meet = t.meet(t.distances(some[i], j))
+                        near[i[meet], j[meet]] = True
+                        i, j = np.divmod(np.flatnonzero(near.ravel()), len(cols))
+                        same = (i[1:] == i[:-1]) & (code[j[1:]] == code[j[:-1]])
+                        once = np.append(True, ~(same & (rids[j[1:]] == rids[j[:-1]])))[:len(i)]
+                        first = np.flatnonzero(np.append(True, ~same)[:len(i)][once])
+                        i, j = i[once], j[once]
+                        if len(i):
+                            ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(i)).astype(np.int32)), pa.array(rids[j]))
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(j[first])), lids.take(pa.array(some[i[first]])), ids], names=[key, left_id, "ids"])
+
+    met = met.select("i", "j", "lids", "ln", "lv", "keys", "rids", "rn", "rv")
+    return met.mapInArrow(compare, f"`{key}` {dict(r.dtypes)[key]}, `{left_id}` long, ids array<long>")
+
+
 def block_pairs_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, metric: str, vec_col: str,
                      self_join: bool, strict: bool, min_dim: int, nearest: int | None = None, links: bool = False,
                      counts: bool = False, far: bool = False) -> DataFrame | None:
@@ -259,19 +352,10 @@ def block_pairs_join(left: DataFrame, right: DataFrame, left_id: str, right_id:
     ids), are given.  ``links`` (of a self join): ``(src, dst)`` that connect the rows that pairs connect; with ``far`` pairs
     whose reciprocal distance is at most ``1 / radius``, or of distance 0.  ``counts``: ``(right_id, n)``, the pairs of a right row
     with one block."""
-    from quire.operators.simjoin import _prep
-
-    def sized(df: DataFrame, id_col: str) -> tuple[DataFrame, int, int]:
-        df = _prep(df.where(F.col(vec_col).isNotNull() & (F.col(id_col).isNotNull() if links else F.lit(True))), id_col, vec_col).withColumnRenamed(id_col, "id")
-        row = df.agg(F.count("*").alias("n"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first()
-        if row["lo"] != row["hi"]:
-            raise ValueError(f"vectors of different lengths ({row['lo']} and {row['hi']}) cannot be compared")
-        return df, row["n"], row["hi"] or 0
-
-    r, n_right, dim = sized(right, right_id)
+    r, n_right, dim = _sized(right.where(F.col(right_id).isNotNull()) if links else right, right_id, vec_col)
     if dim < min_dim or not n_right:
         return None
-    l, n_left, _ = (r, n_right, dim) if self_join else sized(left, left_id)
+    l, n_left, _ = (r, n_right, dim) if self_join else _sized(left.where(F.col(left_id).isNotNull()) if links else left, left_id, vec_col)
     if not n_left:
         return None
     rows = min(MOST_ROWS, max(LEAST_ROWS, -(-min(n_left, n_right) // BLOCKS)))
@@ -283,10 +367,7 @@ def block_pairs_join(left: DataFrame, right: DataFrame, left_id: str, right_id:
         .join(rb.select(F.col("block").alias("j"), F.explode(mine).alias("i"), F.col("ids").alias("rids"), F.col("norms").alias("rn"), F.col("vecs").alias("rv")), ["i", "j"])
 
     def side(row: pa.RecordBatch, k: int, ids: str, norms: str, vecs: str) -> tuple:
-        n = np.frombuffer(row.column(norms)[k].as_py(), "<f8")
-        v = row.column(vecs)[k].as_py()
-        x = np.frombuffer(v, "<f4" if len(v) == 4 * dim * len(n) else "<f8").reshape(len(n), dim).astype(np.float64)
-        return row.column(ids)[k].values, n, x
+        return _side(row, k, ids, norms, vecs, dim)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,9 +376,11 @@ def block_pairs_join(left: DataFrame, right: DataFrame, left_id: str, right_id:
                 rids, rn, R = side(batch, k, "rids", "rn", "rv")
                 same = self_join and batch.column("i")[k].as_py() == batch.column("j")[k].as_py()
                 step = max(1, TILE // len(R))
+                units = (_units(L, ln), _units(R, rn)) if metric == "cosine" else None
                 for a in range(0, len(L), step):
                     allowed = np.arange(a, min(a + step, len(L)))[:, None] < np.arange(len(R))[None, :] if same else None
-                    li, ri, d = close_pairs(metric, L[a:a + step], ln[a:a + step], R, rn, radius, strict, allowed)
+                    li, ri, d = close_pairs(metric, L[a:a + step], ln[a:a + step], R, rn, radius, strict, allowed,
+                                            units and (units[0][a:a + step], units[1]))
                     x, y = lids.take(pa.array(li + a)), rids.take(pa.array(ri))
                     if self_join:
                         x, y = x.to_pandas().to_numpy(), y.to_pandas().to_numpy()

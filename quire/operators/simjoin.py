@@ -32,7 +32,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import cosine_dist, euclid
-from quire.operators.blockpairs import block_pairs_join, close_pairs
+from quire.operators.blockpairs import block_pairs_join, block_sets_join, close_pairs
+from quire.session import cut_lineage
 
 _EPS = 1e-9
 
@@ -55,6 +56,7 @@ MANHATTAN = Metric("manhattan", lambda a, b: F.aggregate(F.zip_with(a, b, lambda
                    lambda r: r)
 
 UNROLL_MAX_DIM = 15   # unrolled (codegen) arithmetic below the block engine threshold
+SET_ROWS = 512         # questions of a group that one task holds
 BLOCK_MIN_DIM = 16   # dense vectors from this dimension on are compared block-wise in numpy
 
 
@@ -408,18 +410,21 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
              n_pivots: int = 2, checkpoint: bool = True, sample_size: int = 32) -> DataFrame:
     """Exact ``k`` nearest ``right`` rows for every ``left`` row (no distance threshold).
 
-    Radius doubling: a left row is settled as soon as it has ``k`` partners within the
+    Dense vectors that no bound prunes are compared once, all pairs in blocks that keep a row's ``k`` nearest.
+    Others by radius doubling: a left row is settled as soon as it has ``k`` partners within the
     current radius (its k nearest must then all lie inside it); the last step uses the
     proven maximum distance, so every row is settled.  Output: ``left_id, right_id,
     dist, rank``."""
-    from quire.session import cut_lineage
-
     spark = left.sparkSession
     max_d = max(max_distance_bound(left, metric, vec_col), max_distance_bound(right, metric, vec_col)) \
         if metric == "euclid" else 2.0
     # loop invariant: the right side is read by every round
     right = cut_lineage(right.select(F.col(right_id), F.col(vec_col))) if checkpoint else \
         right.select(F.col(right_id), F.col(vec_col)).cache()
+    if not start_radius:
+        near = block_pairs_join(left, right, left_id, right_id, max_d, metric, vec_col, False, False, BLOCK_MIN_DIM, nearest=k)
+        if near is not None:
+            return top_k(near, left_id, right_id, k)
     pivots = choose_pivots(_prep(right, right_id, vec_col), right_id, n_pivots, metric)
     if not pivots:
         return left.sparkSession.createDataFrame(
@@ -541,6 +546,35 @@ def group_coverage(pairs: DataFrame, groups_long: DataFrame) -> DataFrame:
     return j.groupBy("group_id", "demo_id").agg(F.sort_array(F.collect_set("ques_id")).alias("ques"))
 
 
+def group_coverage_within(questions: DataFrame, demos: DataFrame, groups_long: DataFrame, radius: float, metric: str,
+                          vec_col: str = "vec") -> DataFrame:
+    """P6 of the pairs of ``pair_distances``: ``group_coverage`` without a table of them where vectors are compared in blocks.
+
+    A group's questions meet each demo in one task.  Groups of more than ``SET_ROWS`` questions, and demos whose id
+    repeats, go through the pairs."""
+    groups = groups_long.select("group_id", "ques_id")
+    members = questions.select("ques_id", F.col(vec_col).alias("vec")).join(groups, "ques_id")
+    d = demos.select("demo_id", F.col(vec_col).alias("vec"))
+    large = cut_lineage(members.groupBy(F.col("group_id").alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > SET_ROWS).select("_g"))
+    again = cut_lineage(d.groupBy(F.col("demo_id").alias("_d")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("_d"))
+    is_large, repeats = F.col("group_id").eqNullSafe(F.col("_g")), F.col("demo_id").eqNullSafe(F.col("_d"))
+    any_large, any_again = not large.isEmpty(), not again.isEmpty()
+    few = members.join(large, is_large, "left_anti") if any_large else members
+    once = d.join(again, repeats, "left_anti") if any_again else d
+    sets = block_sets_join(once, few.select("group_id", "ques_id", "vec"), "demo_id", "ques_id", "group_id", radius, metric, "vec", BLOCK_MIN_DIM)
+    if sets is None:
+        return group_coverage(pair_distances(questions, demos, radius, metric, vec_col), groups)
+    out = sets.select("group_id", "demo_id", F.col("ids").alias("ques"))
+    if any_large:
+        its = groups.join(large, is_large, "left_semi")
+        q = questions.join(its.select("ques_id"), "ques_id", "left_semi")
+        out = out.unionByName(group_coverage(pair_distances(q, demos, radius, metric, vec_col), its))
+    if any_again:
+        its = groups.join(large, is_large, "left_anti") if any_large else groups
+        out = out.unionByName(group_coverage(pair_distances(questions, demos.join(again, repeats, "left_semi"), radius, metric, vec_col), its))
+    return out
+
+
 def topup_cover(cover: DataFrame, questions: DataFrame, demos: DataFrame, cover_cnt: int, metric: str,
                 vec_col: str = "vec") -> DataFrame:
     """Every question gets its nearest not-yet-assigned demos until it has ``cover_cnt``.
