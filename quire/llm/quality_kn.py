@@ -11,7 +11,8 @@ d(vw) = log p(w|v) - log g(v) - log p(w).  So whole texts are scored by joining
 weights, shard by shard: a task sends each shard its distinct n-grams with the documents that have them, and
 gets one number a document back.  The model is dealt to shards of about ``MODEL_BYTES`` of training text, and as much text as
 comes to ``PART_BYTES`` for eight shards meets a copy of it, so that a task's work does not grow with the input.  A bit table
-of the model (of fixed size) holds back n-grams that the model does not have; they weigh nothing.
+of the model (of fixed size) holds back n-grams that the model does not have; they weigh nothing.  Every task knows the weights of
+the ``FREQUENT`` n-grams that the training texts have most, and adds these itself.
 
 A document is kept if its perplexity is at most its language's threshold: ``margin`` times the quantile
 ``quantile`` of trusted documents outside the training sample (of all trusted ones if there are none).
@@ -41,6 +42,8 @@ MODEL_BYTES = 16 << 20     # training text of one shard of the model, about
 PART_BYTES = 512 << 20     # text bytes that meet one copy of a model of eight shards, about
 TRAIN_BYTES = 16 << 20     # training text of one shard, about
 BITS_LOG = 26
+FREQUENT = 1 << 20         # n-grams whose weights all tasks know, at most
+SCALE = float(1 << 40)     # weights are kept as whole multiples of 1 / SCALE
 RUN_BYTES = 4 << 20        # text bytes hashed at once
 SEND_BYTES = 16 << 20      # text bytes whose known n-grams are sent together
 KEY_BITS_LOG, KEY_PARTS_LOG = 26, 8
@@ -231,7 +234,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[int, float]]:
 
     def weigh(pairs: pa.Table, told: pa.Table) -> pa.Table:
         rows = sorted(zip(told.column("shard").to_pylist(), told.column("payload").to_pylist()))
-        hashes, weights = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        hashes, weights, levels = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.uint8)]
         if pairs.num_rows:
             v, w, c, lang = _unpack_pairs(pairs.column("payload")[0].as_py())
             _, which = np.unique(v, return_inverse=True)
@@ -243,36 +246,77 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[int, float]]:
             p1 = (n - _steps(n, less_word[of])) / seen[of] + unknown[of]
             hashes.append(w[first])
             weights.append(np.log10(p1) - np.log10(unknown[of]))
+            levels.append(_level(np.add.reduceat(c, first) if len(c) else c))
             p1, spare = np.repeat(p1, n), mass(sums, its)
             hashes.append(bl.combine(v, w))
+            levels.append(_level(c))
             weights.append(np.log10((c - _steps(c, less_pair[its])) / sums[3] + spare * p1) - np.log10(spare) - np.log10(p1))
         for s, x in rows:
             if s < 0:
                 u, lang, *sums = bl.unpack(x)
                 hashes.append(bl.ungaps(u))
                 weights.append(np.log10(mass([y.astype(np.int64) for y in sums], np.searchsorted(all_langs, lang))))
-        return _model_parts(np.concatenate(hashes), np.concatenate(weights), log)
+                levels.append(_level(sums[3]))
+        return _model_parts(np.concatenate(hashes), np.concatenate(weights), np.concatenate(levels), log)
 
     asked = pairs.mapInArrow(contexts, bl.REQUEST)
     told = asked.groupBy("shard").applyInArrow(total, bl.REQUEST)
     parts = pairs.groupBy("shard").cogroup(told.groupBy("block")).applyInArrow(weigh, "shard int, payload binary")
-    model = parts.groupBy("shard").applyInArrow(lambda key, table: _model_parts(*_model_arrays(table), log), "shard int, payload binary")
+    model = parts.groupBy("shard").applyInArrow(lambda key, table: _model_parts(*_model_arrays(table), _model_levels(table), log), "shard int, payload binary")
     return cut_lineage(model), {int(k.view(np.int64)): float(np.log10(x)) for k, x in zip(all_langs, unknown)}
 
 
-def _model_parts(h: np.ndarray, weight: np.ndarray, log: int) -> pa.Table:
-    """Hashes and their summed weights, a payload a shard."""
+def _level(count: np.ndarray) -> np.ndarray:
+    """Counts by their size, four steps for a doubling."""
+    return np.floor(4 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+
+def _model_parts(h: np.ndarray, weight: np.ndarray, level: np.ndarray, log: int) -> pa.Table:
+    """Hashes, their summed weights and the levels of their counts, a payload a shard."""
     h, which = np.unique(h, return_inverse=True)
     weight = np.bincount(which, weights=weight, minlength=len(h)).astype(float)
+    most = np.zeros(len(h), np.uint8)
+    np.maximum.at(most, which, level)
+    whole = np.rint(weight * SCALE).astype(np.int64)
     cut = bl.shard_cuts(h, 1 << log)
     to = [s for s in range(1 << log) if cut[s + 1] > cut[s]]
     return pa.table({"shard": pa.array(to, pa.int32()), "payload": pa.array(
-        [bl.pack(bl.gaps(h[cut[s]:cut[s + 1]]), weight[cut[s]:cut[s + 1]]) for s in to], pa.binary())})
+        [bl.pack(bl.gaps(h[cut[s]:cut[s + 1]]), whole[cut[s]:cut[s + 1]], most[cut[s]:cut[s + 1]]) for s in to], pa.binary())})
 
 
 def _model_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts = [bl.unpack(x.as_py()) for x in table.column("payload")]
-    return (np.concatenate([np.zeros(0, np.uint64), *(bl.ungaps(p[0]) for p in parts)]), np.concatenate([np.zeros(0), *(p[1] for p in parts)]))
+    return (np.concatenate([np.zeros(0, np.uint64), *(bl.ungaps(p[0]) for p in parts)]), np.concatenate([np.zeros(0), *(p[1] / SCALE for p in parts)]))
+
+
+def _model_levels(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *(bl.unpack(x.as_py())[2] for x in table.column("payload"))])
+
+
+def _frequent(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and weights of the n-grams of the highest counts, ``FREQUENT`` at most."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.bincount(_model_levels(pa.Table.from_batches([batch])), minlength=256)
+            yield pa.RecordBatch.from_pydict({"level": pa.array(np.flatnonzero(n), pa.int32()), "n": pa.array(n[n > 0].astype(np.int64))})
+
+    n = np.zeros(256, np.int64)
+    for r in model.mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():       # 256 rows at most
+        n[r["level"]] = r["n"]
+    least = 256 - int((np.cumsum(n[::-1]) <= FREQUENT).sum())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                h, weight = _model_arrays(one)
+                some = _model_levels(one) >= least
+                yield pa.RecordBatch.from_pydict({"shard": batch.column("shard").slice(i, 1),
+                                                  "payload": pa.array([bl.pack(h[some], weight[some])], pa.binary())})
+
+    found = {r["shard"]: bl.unpack(bytes(r["payload"])) for r in model.mapInArrow(pick, "shard int, payload binary").toLocalIterator()}
+    parts = [found[k] for k in sorted(found)]                                                       # shards are ranges of hashes
+    return (np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), np.concatenate([np.zeros(0), *(p[1] for p in parts)]))
 
 
 def _bits(model: DataFrame, log: int = SHARDS_LOG) -> np.ndarray:
@@ -293,24 +337,33 @@ def _bits(model: DataFrame, log: int = SHARDS_LOG) -> np.ndarray:
     return out
 
 
-def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copies: int, log: int = SHARDS_LOG) -> DataFrame:
+def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copies: int, log: int = SHARDS_LOG,
+                      frequent: Broadcast | None = None) -> DataFrame:
     """``key, n_tokens, weight`` (summed) of every row of ``docs(key, lang, text)``; table: the model's bits;
-    copies of the model, between which the runs of documents are dealt; log: its shards as a power of two."""
+    copies of the model, between which the runs of documents are dealt; log: its shards as a power of two;
+    frequent: what ``_frequent`` gives, so that these n-grams are not sent."""
     shards = 1 << log
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
+        common, its = frequent.value if frequent else (np.zeros(0, np.uint64), np.zeros(0))
         for batch in batches:
             buf, off = bl.text_bytes(batch.column("text"))
             keys, langs = batch.column("key").to_numpy(), _langs(batch)
             for lo, hi in bl.doc_runs(off, SEND_BYTES):
-                parts = []
+                parts, own = [], np.zeros(hi - lo)
                 for a, b in bl.doc_runs(off[lo:hi + 1], RUN_BYTES):
                     word, doc, pair, second = _grams(batch, lo + a, lo + b, buf, off, langs)
                     for h, d in ((word, doc), (pair, doc[second])):
                         place = (h >> np.uint64(64 - BITS_LOG)).astype(np.int64)
                         known = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                        parts.append((h[known], (d[known] + a).astype(np.int32)))
+                        h, d = h[known], (d[known] + a).astype(np.int32)
+                        if len(common):
+                            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                            is_common = common[at] == h
+                            own += np.bincount(d[is_common], weights=its[at[is_common]], minlength=len(own))
+                            h, d = h[~is_common], d[~is_common]
+                        parts.append((h, d))
                 h, d = (np.concatenate(x) for x in zip(*parts))
                 parts.clear()                                                # a worker holds each n-gram once or twice
                 order = np.argsort(h, kind="stable")
@@ -327,7 +380,10 @@ def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copie
                     a, b = cut[s], cut[s + 1]
                     if b > a:
                         to.append(s)
-                        out.append(bl.pack(bl.gaps(u[a:b]), bl.smallest(n[a:b]), bl.smallest(d[ends[a]:ends[b]]), keys[lo:hi]))
+                        out.append(bl.pack(bl.gaps(u[a:b]), bl.smallest(n[a:b]), bl.smallest(d[ends[a]:ends[b]]), keys[lo:hi], own))
+                        own = own[:0]                                        # sent once
+                if own.any():
+                    to, out = [0], [bl.pack(u, n, d, keys[lo:hi], own)]
                 part = int(bl.mix(keys[lo:lo + 1].view(np.uint64))[0] % np.uint64(copies))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(to), pa.int32()), "shard": pa.array(to, pa.int32()),
                                                   "payload": pa.array(out, pa.binary())})
@@ -336,7 +392,7 @@ def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copie
         h, weight = _model_arrays(known)                                     # sorted, in one payload
         key, total = [np.zeros(0, np.int64)], [np.zeros(0)]
         for value in asked.column("payload"):
-            gap, n, d, keys = bl.unpack(value.as_py())
+            gap, n, d, keys, own = bl.unpack(value.as_py())
             u, n, d = bl.ungaps(gap), n.astype(np.int64), d.astype(np.int64)
             begin, d = np.cumsum(n) - n, np.cumsum(d)
             d -= np.repeat(np.append(0, d)[begin], n)
@@ -344,6 +400,8 @@ def log_probabilities(docs: DataFrame, model: DataFrame, table: Broadcast, copie
             x = np.where(h[at] == u, weight[at], 0.0) if len(h) else np.zeros(len(u))
             key.append(keys)
             total.append(np.bincount(d, weights=np.repeat(x, n), minlength=len(keys)))
+            if len(own):
+                total[-1] = total[-1] + own
         keys, which = np.unique(np.concatenate(key), return_inverse=True)    # parts of one document in this shard
         return pa.table({"key": pa.array(keys), "weight": pa.array(np.bincount(which, weights=np.concatenate(total), minlength=len(keys)).astype(float))})
 
@@ -385,12 +443,14 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int | None = None, quan
     unknown = spark.createDataFrame(list(unknown.items()), "lang_hash long, unknown double")       # a row a language
     table = spark.sparkContext.broadcast(_bits(model, log))                                             # 2**BITS_LOG bits
     copies = max(1, -(-bl.extent(docs, "text")[1] // (PART_BYTES << (log - SHARDS_LOG))))
-    sums = log_probabilities(docs, model, table, copies, log)
+    frequent = spark.sparkContext.broadcast(_frequent(model))                                           # FREQUENT n-grams
+    sums = log_probabilities(docs, model, table, copies, log, frequent)
     scored = (docs.select("key", "doc_id", "lang").join(sums, "key")
               .withColumn("lang_hash", F.xxhash64(F.coalesce("lang", F.lit("")))).join(F.broadcast(unknown), "lang_hash", "left")
               .withColumn("log10_prob", F.col("weight") + F.col("n_tokens") * F.col("unknown"))
               .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
     scored = cut_lineage(scored.join(chosen, "key", "left").select("key", "doc_id", "lang", "n_tokens", "log10_prob", "perplexity", "trains"))
+    frequent.destroy()
     table.destroy()                                                                                # what used it is written
     cuts = (scored.filter("trains is not null").groupBy("lang").agg(
         F.expr(f"percentile_approx(perplexity, {quantile}, 10000) filter (where not trains)").alias("apart"),
