@@ -62,3 +62,23 @@ def test_equal_texts_side_by_side():
     alone = [fp.filters([t], rank)[0].tobytes() for t in some]
     assert [x.tobytes() for x in fp.filters(some, rank)] == alone
     assert [x.tobytes() for x in fp.filters(some[::-1], rank)] == alone[::-1]
+
+
+def test_every_window_competes():
+    """A digest recomputed from all windows of a text, one by one."""
+    rng = random.Random(5)
+    rank = fp.ranks({s: (s * 37) % 91 for s in range(385)})
+    for n in (64, 65, 90, 300, 6000):
+        t = "".join(rng.choice("abcdefgh ijklmnopq.,") for _ in range(n)).encode()
+        buf = np.frombuffer(t, np.uint8)
+        at = [i for i in range(n - 63) if score(t[i:i + 64]) >= fp.LOWEST]
+        h = [int(fp.bl.span_hashes(buf, np.array([i]), np.array([i + 64]))[0]) for i in at]
+        key = [(int(rank[score(t[i:i + 64])]), x >> 16) for i, x in zip(at, h)]
+        wins = Counter(min(range(max(s, 0), min(s + fp.NEAR, len(at))), key=key.__getitem__) for s in range(1 - fp.NEAR, len(at)))
+        chosen = [h[i] for i in range(len(at)) if wins[i] >= fp.MIN_WINS]
+        assert chosen
+        want = np.zeros((-(-len(chosen) // fp.PER_FILTER), fp.BITS), bool)
+        for i, x in enumerate(chosen):
+            for k in range(fp.HASHES):
+                want[i // fp.PER_FILTER, (x >> 12 * k) % fp.BITS] = True
+        assert (fp.filters([t], rank)[0] == np.packbits(want, axis=1)).all()
