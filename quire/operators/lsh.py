@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import cut_lineage
+
 SEED = 20240611
 MAX_TABLES = 256
 BUCKET_ROWS = 64       # right rows of a bucket that more hashes would not make smaller
+FILED_ROWS = 1 << 20   # copies of vectors that are filed at once, one table at least
 
 
 @lru_cache(maxsize=4)
@@ -39,11 +42,13 @@ def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(count)], axis=1)
 
 
-def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = SEED) -> np.ndarray:
-    """Bucket numbers of each row, ``probes`` for each table (the best first); a table's numbers
+def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = SEED, some: range | None = None) -> np.ndarray:
+    """Bucket numbers of each row, ``probes`` for each table or ``some`` of them (the best first); a table's numbers
     are its own.  A probe's cost is what its axes lack in squared length against the best ones."""
     n, dim = x.shape
-    y = (x @ rotations(dim, tables * hashes, seed)).reshape(n, tables, hashes, dim)
+    some = some or range(tables)
+    wide, most, tables = hashes * dim, tables, len(some)
+    y = (x @ rotations(dim, most * hashes, seed)[:, some.start * wide:some.stop * wide]).reshape(n, tables, hashes, dim)
     best = min(probes, dim)
     axis = np.argsort(-np.abs(y), axis=3, kind="stable")[..., :best]
     value = np.take_along_axis(y, axis, axis=3)
@@ -56,7 +61,7 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = SE
         pick = np.argsort(cost, axis=2, kind="stable")[..., :probes]
         out, cost = np.take_along_axis(out, pick, axis=2), np.take_along_axis(cost, pick, axis=2)
     out = out[..., :probes]
-    return (out + np.arange(tables)[None, :, None] * (2 * dim) ** hashes).reshape(n, -1)
+    return (out + np.array(some)[None, :, None] * (2 * dim) ** hashes).reshape(n, -1)
 
 
 @lru_cache(maxsize=64)
@@ -97,14 +102,14 @@ def settings(right: DataFrame, radius: float, vec_col: str = "vec", recall: floa
     return wanted, tables
 
 
-def _filed(df: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
-    """``df`` with a row for each bucket (``_k0``) of its vector ``_v``."""
+def _filed(df: DataFrame, tables: int, hashes: int, probes: int, some: range | None = None) -> DataFrame:
+    """``df`` with a row for each bucket (``_k0``) of its vector ``_v``, in ``some`` tables if given."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(v: pd.Series) -> pd.Series:
         x = np.stack([np.asarray(r, dtype=np.float64) for r in v])
         norm = np.sqrt((x * x).sum(axis=1))
-        found = buckets(x / np.where(norm > 0, norm, 1.0)[:, None], tables, hashes, probes)
+        found = buckets(x / np.where(norm > 0, norm, 1.0)[:, None], tables, hashes, probes, some=some)
         return pd.Series([k.tolist() if n > 0 else [] for k, n in zip(found, norm)])
 
     return df.withColumn("_k0", F.explode(keys("_v")))
@@ -122,10 +127,20 @@ def lsh_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rad
     if not 0.0 <= radius < 1.0:
         raise ValueError("random projections need a cosine distance below 1")
     hashes, tables = settings(right, radius, vec_col, recall, hashes, probes, tables)
-    lx = _filed(_prep(left.where(F.col(vec_col).isNotNull()), left_id, vec_col), tables, hashes, probes)
-    rx = _filed(_prep(right.where(F.col(vec_col).isNotNull()), right_id, vec_col), tables, hashes, 1)
-    pairs = block_join(lx.select(F.col(left_id).alias("_lid"), "_v", "_n", "_k0"), rx.select(F.col(right_id).alias("_rid"), "_v", "_n", "_k0"),
-                       ["_k0"], left_id, right_id, "cosine", radius, self_join=self_join, strict=strict, block_rows=block_rows)
+    lw, rw = _prep(left.where(F.col(vec_col).isNotNull()), left_id, vec_col), _prep(right.where(F.col(vec_col).isNotNull()), right_id, vec_col)
+
+    def found(some: range) -> DataFrame:
+        lx, rx = _filed(lw, tables, hashes, probes, some), _filed(rw, tables, hashes, 1, some)
+        return block_join(lx.select(F.col(left_id).alias("_lid"), "_v", "_n", "_k0"), rx.select(F.col(right_id).alias("_rid"), "_v", "_n", "_k0"),
+                          ["_k0"], left_id, right_id, "cosine", radius, self_join=self_join, strict=strict, block_rows=block_rows)
+
+    step = max(1, FILED_ROWS // max(1, lw.count() * probes + rw.count()))
+    if step >= tables:
+        return found(range(tables)).dropDuplicates([left_id, right_id])
+    pairs = None
+    for t in range(0, tables, step):
+        new = cut_lineage(found(range(t, min(t + step, tables))))
+        pairs = new if pairs is None else pairs.unionByName(new)
     return pairs.dropDuplicates([left_id, right_id])
 
 
